@@ -74,15 +74,16 @@ class Codec:
     def __init__(self, vocabulary: list[bytes], pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.hash = PerfectHash(vocabulary)
+        self.rank = {token: i for i, token in enumerate(vocabulary)}
         self.known: dict[str, tuple[int, ...]] = {}
         self.digits = [str(i) for i in range(len(vocabulary))]
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Lowest rank first, leftmost on ties: a heap of the pairs between linked neighbours; stale ones are passed over."""
-        n = len(word)
+        n, rank = len(word), self.rank.get
         part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := self.hash.find(word[i : i + 2])) is not None]
+        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, length = heapq.heappop(heap)
@@ -96,9 +97,9 @@ class Codec:
             for k in (left[i], i):
                 if k >= 0 and right[k] < n:
                     pair = part[k] + part[right[k]]
-                    if (r := self.hash.find(pair)) is not None:
+                    if (r := rank(pair)) is not None:
                         heapq.heappush(heap, (r, k, len(pair)))
-        return tuple(self.hash.find(p) for p in part if p is not None)
+        return tuple(rank(p) for p in part if p is not None)
 
     def word(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
