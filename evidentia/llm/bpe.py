@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: A worker forgets its words when it has so many, so its memory is bounded on any corpus.
+#: A worker keeps between one and two times so many recent words, so its memory is bounded on any corpus.
 MOST_WORDS = 300_000
 #: Texts are split about every so many characters, at places where the pattern always splits.
 PIECE = 1 << 18
@@ -75,41 +75,56 @@ class Codec:
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.hash = PerfectHash(vocabulary)
         self.rank = {token: i for i, token in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.digits = [str(i) for i in range(len(vocabulary))]
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """Lowest rank first, leftmost on ties: a heap of the pairs between linked neighbours; stale ones are passed over."""
+        """Lowest rank first, leftmost on ties: a heap of the pairs of linked neighbours. pair[i] is the rank of what
+        begins at byte i and its right neighbour; heap items that no longer agree with it are stale."""
         n, rank = len(word), self.rank.get
-        part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        right, left = list(range(1, n + 1)), list(range(-1, n))
+        pair = [rank(word[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, length = heapq.heappop(heap)
-            j = right[i]
-            if part[i] is None or j >= n or len(part[i]) + len(part[j]) != length:
+            r, i = divmod(heapq.heappop(heap), n)
+            if pair[i] != r:
                 continue
-            part[i], part[j] = part[i] + part[j], None
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            for k in (left[i], i):
-                if k >= 0 and right[k] < n:
-                    pair = part[k] + part[right[k]]
-                    if (r := rank(pair)) is not None:
-                        heapq.heappush(heap, (r, k, len(pair)))
-        return tuple(rank(p) for p in part if p is not None)
-
-    def word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogatepass")
-        found = self.hash.find(raw)
-        ids = (found,) if found is not None else self.merge(raw)
+            gone = right[i]
+            end = right[i] = right[gone]
+            pair[gone] = -1
+            if end < n:
+                left[end] = i
+                pair[i] = r = rank(word[i : right[end]], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + i)
+            else:
+                pair[i] = -1
+            if i:
+                k = left[i]
+                pair[k] = r = rank(word[k:end], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r * n + k)
+        ids, i = [], 0
+        while i < n:
+            ids.append(rank(word[i : right[i]]))
+            i = right[i]
+        return tuple(ids)
+
+    def word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
+        """A pre-token's ids, those in decimals, and what they decode to."""
+        found = self.older.get(word)
+        if found is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            whole = self.hash.find(raw)
+            ids = (whole,) if whole is not None else self.merge(raw)
+            found = ids, " ".join(map(str, ids)), self.decode(ids)
         if len(self.known) >= MOST_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         if len(word) <= 64:
-            self.known[word] = ids
-        return ids
+            self.known[word] = found
+        return found
 
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -121,25 +136,24 @@ class Codec:
             at = cut.start()
         yield text[at:] if at else text
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of text, a bounded piece at a time."""
+    def words(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """The pre-tokens of text, a bounded piece at a time."""
         for piece in self.pieces(text):
-            ids: list[int] = []
-            known = self.known
-            for w in self.pattern.findall(piece):
-                ids.extend(known.get(w) or self.word(w))
-            yield ids
+            yield [self.known.get(w) or self.word(w) for w in self.pattern.findall(piece)]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def encode(self, text: str) -> list[int]:
+        return [i for words in self.words(text) for ids, _, _ in words for i in ids]
+
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
     def digests(self, text: str) -> tuple[int, str, str]:
+        """How many ids, the digest of the ids in decimals, the digest of the decoded bytes."""
         n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in self.encode(text):
-            if ids:
-                of_ids.update(((" " if n else "") + " ".join(map(self.digits.__getitem__, ids))).encode())
-                of_bytes.update(self.decode(ids))
-                n += len(ids)
+        for words in self.words(text):
+            of_ids.update((" " * (n > 0 and len(words) > 0) + " ".join([w[1] for w in words])).encode())
+            of_bytes.update(b"".join([w[2] for w in words]))
+            n += sum([len(w[0]) for w in words])
         return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
 
@@ -167,7 +181,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(vocabulary, key)
         for texts in batches:
-            yield pd.Series([[i for ids in codec.encode(t or "") for i in ids] for t in texts], index=texts.index)
+            yield pd.Series([codec.encode(t or "") for t in texts], index=texts.index)
 
     return docs.withColumn(as_col, run(F.col(text_col)))
 
