@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, sharding
+from . import bpe, chat, exact_dedup, langid, mixing, ngram_join, sharding
 
 QUERIES, ORACLES = {}, {}
 
@@ -125,3 +125,8 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS c FROM r
 @query("op9_ngram_jaccard", NGRAM_SQL)
 def op9(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
