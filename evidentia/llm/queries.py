@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, mixing, ngram_join, sharding
+from . import ann, bpe, chat, exact_dedup, langid, mixing, ngram_join, sharding, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -130,3 +130,42 @@ def op9(spark, sf_dir):
 @query("op4_language_id")
 def op4(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_multi_index_neighbours")
+def op8(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+def url_sql() -> str:
+    """The query's rules and rounds, unrolled."""
+    rules = [(r.text, r.verdict, f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')") for r in sorted(url_filter.RULES, key=lambda r: -len(r.text))]
+    pick = lambda i: "CASE " + " ".join(f"WHEN {r[2]} THEN '{r[i]}'" for r in rules) + " END"
+    d = url_filter.DAMPING
+    steps = ["s0 AS (SELECT kind, host, seed AS score FROM seed)"] + [
+        f"s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(part) AS score FROM (SELECT e.kind, e.dst AS host, s.score * e.share * {d} AS part FROM share e JOIN s{i} s ON s.kind = e.kind AND s.host = e.src "
+        f"UNION ALL SELECT kind, host, seed * (1 - {d}::DOUBLE) FROM seed) GROUP BY ALL)"
+        for i in range(url_filter.ROUNDS)
+    ]
+    return f"""
+WITH u AS (SELECT page_id, html, strpos(coalesce(url, ''), '://') > 0 AS ok, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+told AS (SELECT page_id, host, path, {pick(0)} AS rule, {pick(1)} AS verdict FROM p),
+link AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\\s"''>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p),
+up AS (SELECT DISTINCT host AS src, regexp_replace(host, '^[^.]*[.]', '') AS dst FROM p WHERE len(string_split(host, '.')) > 3),
+edge AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS weight FROM (SELECT src, dst, 1 AS w FROM link WHERE src <> '' AND src <> dst UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY ALL),
+both_ways AS (SELECT 'allow' AS kind, src, dst, weight FROM edge UNION ALL SELECT 'block', dst, src, weight FROM edge),
+share AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM both_ways),
+n AS (SELECT verdict AS kind, host, count(*)::DOUBLE AS n FROM told WHERE rule IS NOT NULL GROUP BY ALL),
+seed AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER () AS seed FROM n),
+{", ".join(steps)},
+h AS (SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM s{url_filter.ROUNDS} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {url_filter.RATIO} + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
+FROM told LEFT JOIN h USING (host)
+"""
+
+
+@query("op10_url_link_graph", url_sql())
+def op10(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
