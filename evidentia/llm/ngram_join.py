@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, stored
+from .common import broadcast_if_small, connected_components, shuffle_width, stored
 from .shingles import U, mixed, set_key, shingle_set
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
@@ -20,6 +20,8 @@ RUN = 3_000_000
 #: (least size, most size, groups): sets of these sizes index pairs of frequent tokens that fall into one of so many
 #: groups. Neighbouring levels overlap by a factor of 1.25, so both sets of a link share a level.
 LEVELS = ((16, 500, 8), (400, 12_500, 64), (10_000, 1 << 62, 512))
+#: Narrow rows that may be broadcast, counted before; pairs of one set that a task verifies together.
+NARROW, MEET = 1_000_000, 256
 #: Smaller sets index single frequent tokens.
 SINGLES = 20
 
@@ -97,19 +99,48 @@ def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray,
     return token[order], table["n"].to_numpy(np.int64)[order]
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact: 100 * intersection >= 80 * union."""
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of about as many bits as tokens, each toggled by its tokens: 1/64 of the set's size. Bits that differ
+    between two sets' bitmaps are at most the tokens that only one set has."""
+    bits = max(128, 1 << max(0, int(len(tokens) - 1).bit_length()))
+    return np.packbits((np.bincount((tokens % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer bitmap is folded to the shorter one's bits."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that their bitmaps don't rule out: Jaccard 0.8 leaves a symmetric difference of a ninth of both sizes."""
     for pairs in batches:
-        keep = np.zeros(len(pairs), np.bool_)
-        for i, (x, y) in enumerate(zip(pairs["set_a"], pairs["set_b"])):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            if len(y) < len(x):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int(np.count_nonzero(y[at] == x))
-            keep[i] = 100 * both >= 80 * (len(x) + len(y) - both)
-        yield pairs.loc[keep, ["a", "b"]]
+        keep = [9 * differ_at_least(x, y) <= n + m for x, y, n, m in zip(pairs["bits_a"], pairs["bits_b"], pairs["n_a"], pairs["n_b"])]
+        yield pairs.loc[np.array(keep, np.bool_), ["a", "b"]]
+
+
+def _verified(k: int):
+    """Rows (a, part, b, text) sorted so that the text of a itself, with b null, comes before those to compare with it.
+    Exact: 100 * intersection >= 80 * union. One set and a stretch of texts are in memory at a time."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, tokens = None, np.zeros(0, U)
+        for batch in batches:
+            found = []
+            for a, b, text in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text"]):
+                if b < 0:
+                    head, tokens = a, shingle_set(text, k)
+                elif a == head:
+                    other = shingle_set(text, k)
+                    both = len(np.intersect1d(tokens, other, assume_unique=True))
+                    if 100 * both >= 80 * (len(tokens) + len(other) - both):
+                        found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return check
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -119,8 +150,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sequence as its one shingle; without words (or null) a set is empty and linked with nothing, itself a component.
 
     Equal sets are one class. Classes are indexed by signatures(); within a signature each class is first compared with the
-    smallest one, which joins a group of near copies without all its pairs; then only classes that are still in
-    different components are compared. Every pair that could link is thus either compared exactly or already joined.
+    smallest one that it meets most often, which joins a group of near copies without all its pairs; then only classes
+    that share a signature and are still in different components are compared. Every pair that could link is thus
+    compared exactly, ruled out by a bound, or already joined.
 
     Returns one row per row of docs: id_col, n_shingles, component_id (the smallest id in the component; nulls don't
     count, so it is null only if all ids there are). Repeated rows are rows of one class. Empty in, empty out.
@@ -135,57 +167,56 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({
-                "id": batch["id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets],
+                "id": batch["id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "bits": [parity(s) for s in sets], "th": batch["th"],
                 "sigs": [signatures(s, frequent, counts).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
 
     id_type = docs.schema["id"].dataType.simpleString()
-    rows = docs.mapInPandas(index, f"id {id_type}, n long, key binary, sigs array<long>")
+    hashed = docs.withColumn("th", F.xxhash64("text"))
+    rows = hashed.mapInPandas(index, f"id {id_type}, th long, n long, key binary, bits binary, sigs array<long>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    members = rows.where("n > 0").select("key", "row", "id")
+    members = rows.where("n > 0").select("key", "row")
     classes = stored(members.groupBy("key").agg(F.min("row").alias("rep")), "classes")
-    reps = rows.select("row", "n", "sigs").join(classes.select(F.col("rep").alias("row")), "row")
+    reps = rows.select("row", "n", "sigs").join(broadcast_if_small(classes.select(F.col("rep").alias("row")), NARROW), "row", "left_semi")
     postings = reps.select(F.col("row").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     by_size = Window.partitionBy("sig").orderBy("n", "rep")
     whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
     shared = postings.select(
-        "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"),
-        F.lag("rep").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("prev_n"), F.lead("rep").over(by_size).alias("next"),
-    )
-    shared = stored(shared.where("prev IS NOT NULL OR next IS NOT NULL").drop("next"), "shared")
-    near = F.col("n") * 80 <= F.col("head_n") * 100
-    first = shared.where("prev IS NOT NULL").select(
-        F.when(near, F.col("head")).when(F.col("n") * 80 <= F.col("prev_n") * 100, F.col("prev")).alias("a"), F.col("rep").alias("b")
+        "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"), F.lead("rep").over(by_size).alias("next")
     )
-    first = stored(first.where("a IS NOT NULL").distinct(), "pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """(rep, set) of the classes in pairs: their texts are fetched by id and told apart by the set's key."""
-        wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-        wanted = stored(wanted.join(rows.select("row", "id", "key"), "row"), "wanted")
-        ids = broadcast_if_small(wanted.select(F.col("id").alias("w_id")).distinct(), 1_000_000)
-
-        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for at in range(0, len(batch), 256):
-                    sets = [shingle_set(t, k) for t in batch["text"].iloc[at : at + 256]]
-                    yield pd.DataFrame({"key": [set_key(s) for s in sets], "set": [s.tobytes() for s in sets]})
-
-        there = docs.join(ids, docs["id"].eqNullSafe(ids["w_id"]), "left_semi").select("text").mapInPandas(build, "key binary, set binary")
-        found = there.join(wanted.select("key", F.col("row").alias("rep")), "key").dropDuplicates(["rep"])
-        return stored(found.select("rep", "set"), "sets")
+    shared = stored(shared.where("rep <> head OR next IS NOT NULL").drop("next"), "shared")
 
     def links(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs)
-        joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-        joined = joined.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-        return stored(joined.select("a", "b", "set_a", "set_b").mapInPandas(_linked, "a long, b long"), "links")
-
+        """Those of the pairs (a, b) that are linked. First their bitmaps; then each a, and the b of its pairs, meet in
+        one task, or for many pairs in several, by texts that are fetched by id and text hash."""
+        marks = rows.select("row", "n", "bits")
+        one = pairs.join(marks.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+        two = one.join(marks.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+        left = stored(two.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(_possible, "a long, b long"), "possible")
+        degree = left.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+        heads = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("b"), F.col("a").alias("row"))
+        others = left.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("b").alias("row"))
+        wanted = stored(heads.union(others).join(rows.select("row", "id", "th"), "row").drop("row"), "wanted")
+        texts = hashed.select(F.col("id").alias("t_id"), F.col("th").alias("t_th"), "text")
+        if not rows.groupBy("id", "th").count().where("count > 1").join(wanted, ["th"], "left_semi").isEmpty():
+            texts = texts.dropDuplicates(["t_id", "t_th"])  # rows that repeat an id with its text
+        side = broadcast_if_small(wanted, NARROW)
+        there = texts.join(side, texts["t_id"].eqNullSafe(side["id"]) & (texts["t_th"] == side["th"])).select("a", "part", "b", "text")
+        there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "b")
+        return stored(there.select("a", "b", "text").mapInPandas(_verified(k), "a long, b long"), "links")
+
+    near = shared.where("rep <> head AND n * 80 <= head_n * 100")
+    tries = near.groupBy("rep", "head").agg(F.count("*").alias("times"))
+    best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
+    first = stored(best.select("a", F.col("rep").alias("b")), "pairs")
     found = links(first)
-    parts = connected_components(found)
-    apart = shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    mixed_sigs = apart.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-    apart = stored(apart.join(mixed_sigs, "sig"), "apart")
+    parts = stored(connected_components(found), "parts")
+    side = broadcast_if_small(parts, NARROW)
+    of = lambda c: side.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    placed = shared.join(of("rep"), "rep", "left").join(of("head"), "head", "left")
+    placed = placed.select("sig", "rep", "n", F.coalesce("rep_part", "rep").alias("part"), F.coalesce("head_part", "head").alias("head_part"))
+    open_sigs = stored(placed.where("part <> head_part").select("sig").distinct(), "open")
+    apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").drop("head_part"), "apart")
     one, two = apart.alias("x"), apart.alias("y")
     meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
     second = one.join(two, meet & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
