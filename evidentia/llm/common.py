@@ -5,15 +5,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only when a count shows that it has at most so many narrow rows.
 BROADCAST_ROWS = 50_000
+#: The same for rows of a few numbers.
+NARROW = 1_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -99,3 +102,39 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.where("component <> old").isEmpty():
             return labels
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+
+
+def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of sets that are linked by Jaccard similarity 0.8 or more.
+
+    postings: (sig, rep, n): set rep, of n elements, has signature sig; links(pairs) returns those of the pairs (a, b) that
+    are linked. First each set is tried with the smallest set of a signature that it meets most often, which joins a
+    group of near copies without all its pairs. Then only sets of one signature that are still in different components
+    are tried, if their sizes allow a link. A pair that shares a signature is thus tried, or joined already.
+    """
+    by_size = Window.partitionBy("sig").orderBy("n", "rep")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
+    shared = postings.select(
+        "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"), F.lead("rep").over(by_size).alias("next")
+    )
+    shared = stored(shared.where("rep <> head OR next <> rep").drop("next"), "shared")
+    near = shared.where("rep <> head AND n * 80 <= head_n * 100")
+    tries = near.groupBy("rep", "head").agg(F.count("*").alias("times"))
+    best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
+    first = stored(best.select("a", F.col("rep").alias("b")), "pairs")
+    found = links(first)
+    parts = stored(connected_components(found), "parts")
+    side = broadcast_if_small(parts, NARROW)
+    of = lambda c: side.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    placed = shared.join(of("rep"), "rep", "left").join(of("head"), "head", "left")
+    placed = placed.select("sig", "rep", "n", F.coalesce("rep_part", "rep").alias("part"), F.coalesce("head_part", "head").alias("head_part"))
+    open_sigs = stored(placed.where("part <> head_part").select("sig").distinct(), "open")
+    apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").drop("head_part"), "apart")
+    one, two = apart.alias("x"), apart.alias("y")
+    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
+    second = one.join(two, meet & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        found = found.union(links(second))
+        parts = connected_components(found)
+    return parts

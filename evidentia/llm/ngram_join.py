@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, shuffle_width, stored
+from .common import NARROW, broadcast_if_small, linked_parts, shuffle_width, stored
 from .shingles import U, mixed, set_key, shingle_set
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
@@ -20,8 +20,8 @@ RUN = 3_000_000
 #: (least size, most size, groups): sets of these sizes index pairs of frequent tokens that fall into one of so many
 #: groups. Neighbouring levels overlap by a factor of 1.25, so both sets of a link share a level.
 LEVELS = ((16, 500, 8), (400, 12_500, 64), (10_000, 1 << 62, 512))
-#: Narrow rows that may be broadcast, counted before; pairs of one set that a task verifies together.
-NARROW, MEET = 1_000_000, 256
+#: Pairs of one set that a task verifies together.
+MEET = 256
 #: Smaller sets index single frequent tokens.
 SINGLES = 20
 
@@ -143,20 +143,8 @@ def _verified(k: int):
     return check
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """Components of documents linked by Jaccard similarity 0.8 or more of their sets of k-word shingles.
-
-    Words are runs without space or \\t-\\r, A-Z lower-cased, of the whole text. A text of fewer than k words has its whole word
-    sequence as its one shingle; without words (or null) a set is empty and linked with nothing, itself a component.
-
-    Equal sets are one class. Classes are indexed by signatures(); within a signature each class is first compared with the
-    smallest one that it meets most often, which joins a group of near copies without all its pairs; then only classes
-    that share a signature and are still in different components are compared. Every pair that could link is thus
-    compared exactly, ruled out by a bound, or already joined.
-
-    Returns one row per row of docs: id_col, n_shingles, component_id (the smallest id in the component; nulls don't
-    count, so it is null only if all ids there are). Repeated rows are rows of one class. Empty in, empty out.
-    """
+def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, n, part) of the rows with words, th the text's hash and part the component's number; (id, th, n) of the others."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     frequent, counts = frequent_tokens(docs, "text", k)
@@ -179,13 +167,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = stored(members.groupBy("key").agg(F.min("row").alias("rep")), "classes")
     reps = rows.select("row", "n", "sigs").join(broadcast_if_small(classes.select(F.col("rep").alias("row")), NARROW), "row", "left_semi")
     postings = reps.select(F.col("row").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
-    by_size = Window.partitionBy("sig").orderBy("n", "rep")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
-    shared = postings.select(
-        "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"), F.lead("rep").over(by_size).alias("next")
-    )
-    shared = stored(shared.where("rep <> head OR next IS NOT NULL").drop("next"), "shared")
-
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are linked. First their bitmaps; then each a, and the b of its pairs, meet in
         one task, or for many pairs in several, by texts that are fetched by id and text hash."""
@@ -205,37 +186,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "b")
         return stored(there.select("a", "b", "text").mapInPandas(_verified(k), "a long, b long"), "links")
 
-    near = shared.where("rep <> head AND n * 80 <= head_n * 100")
-    tries = near.groupBy("rep", "head").agg(F.count("*").alias("times"))
-    best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
-    first = stored(best.select("a", F.col("rep").alias("b")), "pairs")
-    found = links(first)
-    parts = stored(connected_components(found), "parts")
-    side = broadcast_if_small(parts, NARROW)
-    of = lambda c: side.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    placed = shared.join(of("rep"), "rep", "left").join(of("head"), "head", "left")
-    placed = placed.select("sig", "rep", "n", F.coalesce("rep_part", "rep").alias("part"), F.coalesce("head_part", "head").alias("head_part"))
-    open_sigs = stored(placed.where("part <> head_part").select("sig").distinct(), "open")
-    apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").drop("head_part"), "apart")
-    one, two = apart.alias("x"), apart.alias("y")
-    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
-    second = one.join(two, meet & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        found = found.union(links(second))
-        parts = connected_components(found)
+    parts = linked_parts(postings, links)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("part"))
-    placed = stored(rows.where("n > 0").select("id", "n", "key").join(of_class, "key").select("id", "n", "part"), "placed")
+    return stored(rows.where("n > 0").select("id", "th", "n", "key").join(of_class, "key").drop("key"), "placed"), rows.where("n = 0").select("id", "th", "n")
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """Components of documents linked by Jaccard similarity 0.8 or more of their sets of k-word shingles.
+
+    Words are runs without space or \\t-\\r, A-Z lower-cased, of the whole text. A text of fewer than k words has its whole word
+    sequence as its one shingle; without words (or null) a set is empty and linked with nothing, itself a component.
+
+    Equal sets are one class. Classes are indexed by signatures(); within a signature each class is first compared with the
+    smallest one that it meets most often, which joins a group of near copies without all its pairs; then only classes
+    that share a signature and are still in different components are compared. Every pair that could link is thus
+    compared exactly, ruled out by a bound, or already joined.
+
+    Returns one row per row of docs: id_col, n_shingles, component_id (the smallest id in the component; nulls don't
+    count, so it is null only if all ids there are). Repeated rows are rows of one class. Empty in, empty out.
+    """
+    placed, empty = _parts(docs, id_col, text_col, k)
     least = placed.groupBy("part").agg(F.min("id").alias("component_id"))
     linked = placed.join(least, "part").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.union(alone)
+    return linked.union(empty.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """docs, of each component the row with the smallest id (all columns; of repeated rows of that id, one)."""
-    parts = stored(ngram_components(docs, id_col, text_col, k), "components")
-    alone = parts.where(f"n_shingles = 0 OR {id_col} <=> component_id")
-    ids = stored(alone.groupBy(F.col(id_col).alias("k_id")).agg(F.count("*").alias("n")), "kept")
-    out = docs.join(ids.select("k_id"), docs[id_col].eqNullSafe(ids["k_id"]), "left_semi")
-    return out if ids.where("n > 1 AND k_id IS NOT NULL").isEmpty() else out.dropDuplicates([id_col, text_col])
+    """docs with one row of each component, that of the smallest (id, text hash), nulls first; of rows that repeat an id with
+    its text, one. Rows without words all stay. All columns stay."""
+    placed, empty = _parts(docs, id_col, text_col, k)
+    ones = placed.groupBy("part").agg(F.min(F.struct("id", "th")).alias("own")).select("own.id", "own.th")
+    ids = stored(ones.union(empty.select("id", "th").distinct()).select(F.col("id").alias("k_id"), F.col("th").alias("k_th")), "kept")
+    ids = broadcast_if_small(ids, NARROW)
+    out = docs.join(ids, docs[id_col].eqNullSafe(ids["k_id"]) & (F.xxhash64(docs[text_col]) == ids["k_th"]), "left_semi")
+    if placed.groupBy("id", "th").count().where("count > 1").isEmpty():
+        return out
+    return out.withColumn("evidentia_th", F.when(F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]")), F.lit("")).otherwise(F.expr("uuid()"))).dropDuplicates([id_col, text_col, "evidentia_th"]).drop("evidentia_th")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, langid, mixing, ngram_join, sharding, url_filter
+from . import ann, bpe, chat, exact_dedup, langid, line_dedup, mixing, ngram_join, sharding, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -169,3 +169,8 @@ FROM told LEFT JOIN h USING (host)
 @query("op10_url_link_graph", url_sql())
 def op10(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_fuzzy_lines")
+def op7(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
