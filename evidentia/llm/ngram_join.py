@@ -13,8 +13,10 @@ from .common import NARROW, broadcast_if_small, linked_parts, shuffle_width, sto
 from .shingles import U, mixed, set_key, shingle_set
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
-FREQUENT = 40
-MOST_FREQUENT = 400_000
+FREQUENT = 10
+MOST_FREQUENT = 4_000_000
+#: Tokens are counted by their leading bits: so many, the first of them for the range that a task counts.
+KEY_BITS, RANGE_BITS = 48, 8
 #: A task counts tokens in runs of about so many.
 RUN = 3_000_000
 #: (least size, most size, groups): sets of these sizes index pairs of frequent tokens that fall into one of so many
@@ -39,9 +41,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
     need = n // 5 + 1
     if not len(frequent):
         return tokens[:need]
-    at = np.searchsorted(frequent, tokens)
+    keys = tokens >> U(64 - KEY_BITS)
+    at = np.searchsorted(frequent, keys)
     at[at == len(frequent)] = 0
-    common = frequent[at] == tokens
+    common = frequent[at] == keys
     rare = tokens[~common][:need]
     if len(rare) == need:
         return rare
@@ -63,17 +66,37 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
     return np.unique(np.concatenate(found))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers under 2 ** 48 byte by byte: the upper, mostly empty bytes lie together and compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    planes = np.zeros((len(x) // 6, 8), np.uint8)
+    planes[:, :6] = np.frombuffer(x, np.uint8).reshape(6, -1).T
+    return planes.view("<u8")[:, 0].astype(U)
+
+
 def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of many sets, with counts, by a pass over all documents. A task sends a token once for each run of sets in which
-    it occurs more than once (equal sets count once), so what is sent stays far below the tokens; a count may miss
-    single occurrences. It sets only the order of tokens, on which results don't depend."""
+    """Tokens that FREQUENT or more sets hold, with counts, exact over all documents (equal sets in a run count once).
+
+    A task sorts the tokens of a run of sets and sends, for each range of token values, the differences and counts:
+    about 3 bytes a token. A range is counted by one task; there are at least four ranges a shuffle partition. Only the order of
+    tokens depends on the table, results don't: tokens are told apart by KEY_BITS bits, and above MOST_FREQUENT rows
+    the least frequent ones count as rare."""
+    width = max(1 << RANGE_BITS, 4 * shuffle_width(docs.sparkSession))
+    drop = U(64 - KEY_BITS)
+    step = (1 << KEY_BITS) // width + 1
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, held, seen = [], 0, set()
 
         def run():
-            token, n = np.unique(np.concatenate(sets), return_counts=True)
-            return pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
+            token, n = np.unique(np.concatenate(sets) >> drop, return_counts=True)
+            at = (token // U(step)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            rows = [(int(r[0]), int(t[0]), packed(np.diff(t)), packed(c.astype(U))) for r, t, c in zip(np.split(at, cuts), np.split(token, cuts), np.split(n, cuts))]
+            return pd.DataFrame(rows, columns=["part", "first", "gaps", "counts"])
 
         for batch in batches:
             for text in batch[text_col]:
@@ -88,15 +111,22 @@ def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray,
         if sets:
             yield run()
 
-    counted = docs.select(text_col).mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = stored(counted.where(F.col("n") >= FREQUENT), "frequent")
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        tokens = [np.concatenate([[U(f)], U(f) + np.cumsum(unpacked(g))]).astype(U) for f, g in zip(group["first"], group["gaps"])]
+        token, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([unpacked(c) for c in group["counts"]])).astype(np.int64)
+        often = n >= FREQUENT
+        return pd.DataFrame({"token": token[often].astype(np.int64), "n": n[often]})
+
+    sent = docs.select(text_col).mapInPandas(runs, "part int, first long, gaps binary, counts binary")
+    counted = stored(sent.groupBy("part").applyInPandas(count, "token long, n long"), "frequent")
     least = FREQUENT
     while counted.where(F.col("n") >= least).count() > MOST_FREQUENT:
-        least *= 2
+        least = least * 3 // 2
     table = counted.where(F.col("n") >= least).toPandas()  # at most MOST_FREQUENT narrow rows
-    token = table["token"].to_numpy(np.int64).view(U)
+    token = table["token"].to_numpy(np.int64).astype(U)
     order = np.argsort(token)
-    return token[order], table["n"].to_numpy(np.int64)[order]
+    return token[order], table["n"].to_numpy(np.int32)[order]
 
 
 def parity(tokens: np.ndarray) -> bytes:
