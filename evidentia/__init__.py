@@ -1,0 +1 @@
+"""Analytics over collections of scientific documents as Spark DataFrame operations."""
