@@ -72,10 +72,11 @@ def roll_up(deep: DataFrame, draft_col: str = "draft") -> DataFrame:
     for depth in range(most - 1, -1, -1):
         child = deep.where(F.col("depth") == depth + 1).select("node_id", "parent_id", "ord", "title").join(done, "node_id")
         part = F.concat(F.lit("### "), "title", F.lit("\n\n"), "text")
-        merged = child.groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("ord", "node_id", part.alias("part")))).alias("parts"))
-        up = deep.where(F.col("depth") == depth).join(merged, deep["node_id"] == merged["parent_id"])
-        head = F.concat(F.lit("## "), deep["title"], F.lit("\n\n"), F.coalesce(deep["description"], F.lit("")), F.lit("\n\n"))
-        done = saved(done.union(up.select(deep["node_id"], F.concat(head, F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")).alias("text"))), "rollup")
+        merged = child.groupBy(F.col("parent_id").alias("up_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "node_id", part.alias("part")))).alias("parts"))
+        here = deep.where(F.col("depth") == depth).select(F.col("node_id").alias("up_id"), "title", "description")
+        head = F.concat(F.lit("## "), "title", F.lit("\n\n"), F.coalesce("description", F.lit("")), F.lit("\n\n"))
+        body = F.concat(head, F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n"))
+        done = saved(done.union(here.join(merged, "up_id").select("up_id", body)), "rollup")
     return done.withColumnRenamed("text", "draft")
 
 

@@ -208,3 +208,347 @@ def verify_decision(spark, sf_dir):
     facts = docs.select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("source_doc"), F.substring("text", 1, 60).alias("text"))
     v = attribution.verify_facts(facts, docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("source_text")))
     return v.select("fact_id", "verified", F.round("confidence", 3).alias("confidence"), "method")
+
+
+TITLES = rf"""
+p AS (SELECT doc_id AS ord, substr(text, 1, 80) AS title, CASE WHEN doc_id % 5 = 0 THEN '10.1/' || (doc_id % 50) END AS doi FROM documents),
+k AS (SELECT ord, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({TITLE_STOP}))) AS w FROM p),
+pairs AS MATERIALIZED (SELECT a, b, similarity FROM (SELECT x.ord AS a, y.ord AS b, len(list_intersect(x.w, y.w))::DOUBLE / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) AS similarity FROM k x JOIN k y ON x.ord < y.ord AND len(x.w) > 0 AND len(y.w) > 0) WHERE similarity >= 0.82)"""
+
+
+def papers(spark, sf_dir) -> DataFrame:
+    """documents as found papers: a title, a DOI for every fifth."""
+    none = F.array().cast("array<string>")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("ord"), F.substring("text", 1, 80).alias("title"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("10.1/"), (F.col("doc_id") % 50).cast("string"))).alias("doi"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("http://x/"), F.col("doc_id").cast("string"))).alias("pdf_url"), none.alias("pdf_alternatives"),
+        F.col("n_chars").cast("int").alias("citation_count"), F.lit(0.0).alias("relevance_score"),
+    )
+
+
+@query("title_jaccard_pairs", f"WITH {TITLES} SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
+def title_jaccard_pairs(spark, sf_dir):
+    tokens = papers(spark, sf_dir).select(F.col("ord").alias("id"), text.title_tokens("title").alias("tokens"))
+    return dedup.similar_pairs(tokens, 0.82).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query("fuzzy_dedup_exact", f"WITH {TITLES}, e AS (SELECT CASE WHEN doi IS NOT NULL THEN 'd' || doi ELSE 't' || {STRIP('lower(title)')} END AS key, ord FROM p) SELECT min(ord) AS ord, count(*) AS n FROM e GROUP BY key")
+def fuzzy_dedup_exact(spark, sf_dir):
+    key = F.when(F.col("doi").isNotNull(), F.concat(F.lit("d"), "doi")).otherwise(F.concat(F.lit("t"), dedup.title_key("title")))
+    return papers(spark, sf_dir).groupBy(key.alias("key")).agg(F.min("ord").alias("ord"), F.count("*").alias("n")).drop("key")
+
+
+@query("fuzzy_dedup")
+def fuzzy_dedup(spark, sf_dir):
+    return dedup.deduplicate(papers(spark, sf_dir)).select("ord", "title", "doi", "pdf_url", "citation_count")
+
+
+@query("fingerprints", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'doi:10.1/' || (doc_id % 50) ELSE substr({STRIP('lower(substr(text, 1, 80))')}, 1, 80) END AS fingerprint FROM documents")
+def fingerprints(spark, sf_dir):
+    return papers(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.fingerprint("doi", "title").alias("fingerprint"))
+
+
+@query("rank_papers", "WITH s AS (SELECT d.doc_id, " + " + ".join(f"(CASE WHEN contains(lower(substr(text, 1, 80)), '{w}') THEN 5.0 ELSE 0 END) + (CASE WHEN contains(lower(text), '{w}') THEN 1.0 ELSE 0 END)" for w in ("thing", "erble")) + " + least(n_chars / 50.0, 15.0) + (CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) + (CASE WHEN d.doc_id % 2 = 0 THEN 0.5 ELSE 0 END) + (CASE WHEN source = 'src1' THEN 0.3 ELSE 0 END) AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT doc_id, round(score::DOUBLE, 6) AS score, n::INT AS position FROM (SELECT *, row_number() OVER (ORDER BY round(score::DOUBLE, 6) DESC, doc_id) AS n FROM s) WHERE n <= 50")
+def rank_papers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    api = F.when(F.col("source") == "src1", "arxiv").otherwise(F.col("source"))
+    score = scores.paper_relevance(F.substring("text", 1, 80), "text", ["thing", "erble"], "n_chars", F.col("quality") == 1, F.col("doc_id") % 2 == 0, api)
+    top = docs.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)  # a top-50 report
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+
+
+@query("query_terms", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda x: length(x) > 2))), ' ') AS terms, CASE WHEN len(list_filter(regexp_split_to_array(p_name, '\\s+'), lambda x: x <> '')) < 4 AND contains(lower(p_name), 'machine learning') THEN 'machine learning artificial intelligence' ELSE p_name END AS expanded FROM part")
+def query_terms(spark, sf_dir):
+    terms = F.array_join(F.array_sort(text.query_terms(F.concat_ws(" ", "p_name", "p_type"))), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", terms.alias("terms"), text.expand_query("p_name").alias("expanded"))
+
+
+CAND = f"WITH {TAGGED}, ca AS (SELECT doc_id, tag, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) AS rank FROM tg)"
+
+
+def ranked_candidates(spark, sf_dir) -> DataFrame:
+    """Documents with tags, in the order of a hash: a ranking that has nothing to do with their tags."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), scores.primary_tag("text", KEYWORDS).alias("tag"))
+    return docs.withColumn("rank", F.md5(F.col("paper_id").cast("string").cast("binary")))
+
+
+@query("coverage_select", CAND + ", b(tag, budget, o) AS (VALUES ('T', 8, 0), ('E', 8, 1), ('M', 7, 2), ('A', 7, 3)), n AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY rank) AS n FROM ca JOIN b USING (tag)), x AS (SELECT *, CASE WHEN n <= budget THEN 1 ELSE 2 END AS pass FROM n), q AS (SELECT *, row_number() OVER (ORDER BY pass, CASE WHEN pass = 1 THEN o ELSE n - budget END, CASE WHEN pass = 1 THEN n ELSE o END) AS position FROM x) SELECT doc_id AS paper_id, tag, pass::INT AS pass, position::INT AS position FROM q WHERE pass = 1 OR position <= 30")
+def coverage_select(spark, sf_dir):
+    return selection.select_evidence(ranked_candidates(spark, sf_dir), 30).drop("rank")
+
+
+@query("coverage_notes", CAND + ", b(tag, budget) AS (VALUES ('T', 8), ('E', 8), ('M', 7), ('A', 7)), n AS (SELECT tag, least(count(*), 8) AS selected FROM ca WHERE doc_id % 40 = 0 GROUP BY 1) SELECT tag, coalesce(selected, 0)::BIGINT AS selected, budget, CASE WHEN coalesce(selected, 0) < budget THEN 'Under-covered tag ' || tag || ': selected ' || coalesce(selected, 0) || ' vs budget ' || budget END AS note FROM b LEFT JOIN n USING (tag)")
+def coverage_notes(spark, sf_dir):
+    few = ranked_candidates(spark, sf_dir).where("paper_id % 40 = 0").groupBy("tag").agg(F.least(F.count("*"), F.lit(8)).alias("k"))
+    return selection.coverage_report(few.select("tag", F.explode(F.sequence(F.lit(1).cast("long"), "k"))), 30)
+
+
+@query("candidate_docs", f"WITH {SCORED.replace('q.vec_id < 20', 'q.vec_id < 3')}, r AS (SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, label, arg_min(vec_id, rank) AS vec_id, min(rank)::INT AS rank FROM r WHERE rank <= 50 GROUP BY ALL")
+def candidate_docs(spark, sf_dir):
+    q, rows = vectors_of(spark, sf_dir)
+    scored = retrieval.score_all(q.where("query_id < 3"), rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6))
+    top = retrieval.top_k(scored, 50, tie="vec_id")
+    return top.groupBy("query_id", "label").agg(F.min_by("vec_id", "rank").alias("vec_id"), F.min("rank").alias("rank"))
+
+
+@query("evidence_semi", "SELECT d.doc_id, d.source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def evidence_semi(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("theme_status", "WITH u AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), o AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT d.doc_id, CASE WHEN u.doc_id IS NOT NULL OR o.doc_id IS NOT NULL THEN 'used' ELSE 'remaining' END AS status, u.doc_id IS NOT NULL AND o.doc_id IS NULL AS newly_used FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN u USING (doc_id) LEFT JOIN o USING (doc_id)")
+def theme_status(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return sinks.theme_status(table(spark, sf_dir, "documents"), labels.where("quality = 1"), labels.where("toxic = 1"))
+
+
+@query("remaining_anti", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def remaining_anti(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+EV = "e AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS v, count(*) AS t, count(*) FILTER (event_type = 'error') AS g FROM events GROUP BY 1), r AS (SELECT *, CASE WHEN t <= 0 THEN 0 ELSE v::DOUBLE / t END AS ratio, 1.0::DOUBLE / (1 + g) AS proxy FROM e)"
+GATE = "v >= 2 AND ratio >= 0.2 AND g <= 2"
+
+
+@query("sufficiency_modes", f"WITH {EV} SELECT user_id, {GATE} AS verified_facts, proxy >= 0.3 AND g <= 2 AS gap_coverage, v >= 2 AND proxy >= 0.3 AND g <= 2 AS hybrid, {GATE} AND t >= 6 AND proxy >= 0.3 AS hybrid_v2, 'hybrid_v2_gate:' || CASE WHEN t < 6 THEN 'pool_too_small' WHEN {GATE} AND proxy >= 0.3 THEN 'all_gates_passed' ELSE concat_ws('_', CASE WHEN v < 2 THEN 'verified_facts_below_min' END, CASE WHEN ratio < 0.2 THEN 'verified_ratio_below_min' END, CASE WHEN g > 2 THEN 'with_gaps_exceeds_max' END, CASE WHEN proxy < 0.3 THEN 'coverage_proxy_below_min' END) END AS reason, round(0.45 * least(ratio, 1) + 0.35 / (1 + g) + 0.2 * proxy, 6)::DOUBLE AS score FROM r")
+def sufficiency_modes(spark, sf_dir):
+    kind = lambda k: F.count_if(F.col("event_type") == k)
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(kind("purchase").alias("v"), F.count("*").alias("t"), kind("error").alias("g"))
+    limits = {"min_verified_facts": 2, "min_coverage_sentences": 0.2, "max_gaps": 2, "min_sentence_pool": 6, "min_coverage_proxy": 0.3}
+    s = {m: scores.sufficiency("v", "t", "g", m, limits) for m in ("verified_facts", "gap_coverage", "hybrid", "hybrid_v2")}
+    return users.select("user_id", *[x["passed"].alias(m) for m, x in s.items()], s["hybrid_v2"]["reason"].alias("reason"), F.round(s["hybrid_v2"]["score"], 6).alias("score"))
+
+
+@query("node_quality", "SELECT source, round(CASE WHEN count(*) = 0 THEN 0.2 ELSE least(count(*) / 60.0::DOUBLE / 5 * 5, 1) END, 6) AS x, round(CASE WHEN count(DISTINCT lang) = 0 THEN 0.2 ELSE least(count(DISTINCT lang) / 5.0::DOUBLE, 1) * 0.4 + least(min(n_chars) / 500.0::DOUBLE, 1) * 0.3 + least((count(*) % 4) / 3.0::DOUBLE, 1) * 0.3 END, 6) AS quality FROM documents GROUP BY 1".replace("round(CASE WHEN count(*) = 0 THEN 0.2 ELSE least(count(*) / 60.0::DOUBLE / 5 * 5, 1) END, 6) AS x, ", ""))
+def node_quality(spark, sf_dir):
+    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.countDistinct("lang").alias("f"), F.min("n_chars").alias("d"), (F.count("*") % 4).alias("c"))
+    return by.select("source", F.round(scores.node_quality("f", "d", "c"), 6).alias("quality"))
+
+
+@query("dup_penalty", "SELECT conv_id, turn, round(CASE WHEN row_number() OVER (PARTITION BY substr(text, 1, 10) ORDER BY conv_id, turn) > 1 THEN 0.9 * 0.8 ELSE 0.9 END::DOUBLE, 6) AS confidence FROM conversations")
+def dup_penalty(spark, sf_dir):
+    facts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bfs"), F.col("turn").alias("fact_ord"), F.substring("text", 1, 10).alias("text"), F.lit(0.9).alias("confidence"))
+    return tree.duplicate_penalty(facts).select(F.col("bfs").alias("conv_id"), F.col("fact_ord").alias("turn"), F.round("confidence", 6).alias("confidence"))
+
+
+EDGES = "edge AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_returnflag AS f FROM lineitem) WHERE dst IS NOT NULL AND f = 'R' AND src <> dst)"
+
+
+def edges_of(spark, sf_dir) -> DataFrame:
+    """A citation graph from orders: from the part of a returned line to that of the next line."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), "l_returnflag")
+    return li.where("dst IS NOT NULL AND l_returnflag = 'R' AND src <> dst").select("src", "dst").distinct()
+
+
+def parts_1(spark) -> DataFrame:
+    return spark.range(1, 2).withColumnRenamed("id", "node")
+
+
+HOPS = "h1 AS (SELECT DISTINCT {b} AS node FROM edge WHERE {a} = 1), h2 AS (SELECT DISTINCT {b} AS node FROM h1 JOIN edge ON {a} = node)"
+
+
+@query("graph_backward", f"WITH {EDGES}, {HOPS.format(a='src', b='dst')} SELECT node, min(hop)::INT AS hop FROM (SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY 1")
+def graph_backward(spark, sf_dir):
+    return graph.k_hop(edges_of(spark, sf_dir), parts_1(spark), 2)
+
+
+@query("graph_forward", f"WITH {EDGES}, {HOPS.format(a='dst', b='src')} SELECT node, min(hop)::INT AS hop FROM (SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY 1")
+def graph_forward(spark, sf_dir):
+    return graph.k_hop(edges_of(spark, sf_dir), parts_1(spark), 2, forward=True)
+
+
+@query("explore_first", f"WITH {EDGES}, {HOPS.format(a='src', b='dst')}, h3 AS (SELECT DISTINCT dst AS node FROM h2 JOIN edge ON src = node) SELECT node, min(hop)::INT AS hop FROM (SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 FROM h2 UNION ALL SELECT node, 3 FROM h3) GROUP BY 1 ORDER BY 2, 1 LIMIT 25")
+def explore_first(spark, sf_dir):
+    return graph.explore_first(edges_of(spark, sf_dir), parts_1(spark), 25)
+
+
+@query("parallel_explore", f"WITH {EDGES}, n AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM edge WHERE src BETWEEN 1 AND 20) SELECT DISTINCT dst AS node FROM n WHERE n <= 3")
+def parallel_explore(spark, sf_dir):
+    return graph.explore_parallel(edges_of(spark, sf_dir), spark.range(1, 21).withColumnRenamed("id", "node"), 3)
+
+
+@query("neighbour_jaccard", f"WITH {EDGES}, b AS (SELECT src AS node, dst AS near FROM edge UNION SELECT dst, src FROM edge), o AS (SELECT near FROM b WHERE node = 1), s AS (SELECT node, count(*) AS d, count(*) FILTER (near IN (SELECT near FROM o)) AS c FROM b WHERE node <> 1 GROUP BY 1) SELECT node, round(c::DOUBLE / (d + (SELECT count(*) FROM o) - c), 9) AS score FROM s ORDER BY score DESC, node LIMIT 10")
+def neighbour_jaccard(spark, sf_dir):
+    return graph.related(edges_of(spark, sf_dir), 1, 10).select("node", F.round("score", 9).alias("score"))
+
+
+@query("graph_stats", f"WITH {EDGES}, n AS (SELECT src AS x FROM edge UNION SELECT dst FROM edge) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edge) AS edges, round((SELECT count(*) FROM edge)::DOUBLE / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 4) AS density")
+def graph_stats(spark, sf_dir):
+    return graph.graph_stats(edges_of(spark, sf_dir))
+
+
+@query("shortest_path", f"WITH RECURSIVE {EDGES}, lv AS (SELECT 1::BIGINT AS node, 0 AS hop UNION SELECT DISTINCT dst, hop + 1 FROM lv JOIN edge ON src = node WHERE hop < 8), d AS MATERIALIZED (SELECT node, min(hop) AS hop FROM lv GROUP BY 1), k AS (SELECT node, hop FROM d WHERE node = 77 UNION ALL SELECT * FROM (SELECT e.src, k.hop - 1 FROM k JOIN edge e ON e.dst = k.node JOIN d ON d.node = e.src AND d.hop = k.hop - 1 ORDER BY e.src LIMIT 1)) SELECT hop::INT AS hop, node FROM k")
+def shortest_path(spark, sf_dir):
+    return graph.shortest_path(edges_of(spark, sf_dir), 1, 77)
+
+
+@query("expand_levels", f"WITH {EDGES}, a AS (SELECT DISTINCT dst AS node FROM edge WHERE src = 1 AND dst <> 1 ORDER BY 1 LIMIT 10), b AS (SELECT DISTINCT dst AS node FROM edge JOIN a ON src = node WHERE dst <> 1 AND dst NOT IN (SELECT node FROM a) ORDER BY 1 LIMIT 10) SELECT node, 1 AS level FROM a UNION ALL SELECT node, 2 FROM b")
+def expand_levels(spark, sf_dir):
+    return graph.expand(edges_of(spark, sf_dir), parts_1(spark), 2)
+
+
+def outline(spark, sf_dir) -> DataFrame:
+    """regions, nations and suppliers as an outline of three levels."""
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit("root").alias("parent_id"), F.col("r_regionkey").cast("int").alias("ord"), F.col("r_name").alias("title"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey").cast("int"), F.col("n_name"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), F.col("s_suppkey").cast("int"), F.col("s_name"))
+    root = spark.range(1).select(F.lit("root"), F.lit(None).cast("string"), F.lit(0), F.lit("World"))
+    whole = root.union(r).union(n).union(s).toDF("node_id", "parent_id", "ord", "title")
+    whole = whole.withColumn("description", F.concat(F.lit("About "), "title")).withColumn("draft", F.concat(F.lit("Text of "), "title"))
+    return whole.withColumn("confidence", (F.col("ord") % 10) / 10.0).withColumn("is_complete", F.col("ord") % 2 == 0).withColumn("gaps", F.when(F.col("ord") % 5 == 0, F.array(F.lit("gap"))).otherwise(F.array().cast("array<string>")))
+
+
+TREE = "tr AS (SELECT 'root' AS node_id, NULL AS parent_id, 0 AS ord, 'World' AS title, 0 AS depth, 'root' AS path UNION ALL SELECT 'r' || r_regionkey, 'root', r_regionkey::INT, r_name, 1, 'root/r' || r_regionkey FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey::INT, n_name, 2, 'root/r' || n_regionkey || '/n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey::INT, s_name, 3, 'root/r' || n_regionkey || '/n' || s_nationkey || '/s' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey), lf AS (SELECT *, node_id NOT IN (SELECT parent_id FROM tr WHERE parent_id IS NOT NULL) AS leaf FROM tr)"
+
+
+@query("tree_paths", f"WITH {TREE} SELECT node_id, depth, path, leaf AS is_leaf FROM lf")
+def tree_paths(spark, sf_dir):
+    return tree.add_depth(outline(spark, sf_dir)).select("node_id", "depth", F.array_join("path", "/").alias("path"), "is_leaf")
+
+
+@query("tree_stats", f"WITH {TREE} SELECT count(*) AS total_nodes, max(depth)::INT AS max_depth, count(*) FILTER (leaf) AS leaves, count(*) FILTER (ord % 2 = 0) AS complete, count(*) FILTER (ord % 5 = 0) AS with_gaps, round(avg(ord % 10 / 10.0::DOUBLE) FILTER (leaf), 2) AS avg_confidence FROM lf")
+def tree_stats(spark, sf_dir):
+    return tree.tree_stats(tree.add_depth(outline(spark, sf_dir)))
+
+
+@query("siblings", f"WITH {TREE} SELECT a.node_id, count(*) AS n, min(b.node_id) AS first FROM tr a JOIN tr b ON a.parent_id = b.parent_id AND a.node_id <> b.node_id GROUP BY 1")
+def siblings(spark, sf_dir):
+    return tree.siblings(outline(spark, sf_dir)).groupBy("node_id").agg(F.count("*").alias("n"), F.min("sibling_id").alias("first"))
+
+
+@query("leaf_descendants", f"WITH {TREE} SELECT a.node_id AS ancestor, count(*) AS leaves FROM lf a JOIN lf b ON b.leaf AND starts_with(b.path, a.path || '/') GROUP BY 1")
+def leaf_descendants(spark, sf_dir):
+    return tree.leaf_descendants(tree.add_depth(outline(spark, sf_dir))).groupBy("ancestor").agg(F.count("*").alias("leaves"))
+
+
+@query("bfs_order", f"WITH {TREE}, p AS (SELECT t.node_id, t.depth, CASE t.depth WHEN 0 THEN [0] WHEN 1 THEN [0, t.ord] WHEN 2 THEN [0, u.ord, t.ord] ELSE [0, v.ord, u.ord, t.ord] END AS po FROM tr t LEFT JOIN tr u ON u.node_id = t.parent_id LEFT JOIN tr v ON v.node_id = u.parent_id) SELECT node_id, row_number() OVER (ORDER BY depth, po) AS bfs FROM p")
+def bfs_order(spark, sf_dir):
+    return tree.bfs_order(tree.add_depth(outline(spark, sf_dir))).select("node_id", F.col("bfs").cast("long").alias("bfs"))
+
+
+ROLL = TREE + ", l3 AS (SELECT node_id, parent_id, ord, title, 'Text of ' || title AS d FROM lf WHERE leaf), m2 AS (SELECT n.node_id, n.parent_id, n.ord, n.title, '## ' || n.title || chr(10) || chr(10) || 'About ' || n.title || chr(10) || chr(10) || string_agg('### ' || l.title || chr(10) || chr(10) || l.d, chr(10) || chr(10) ORDER BY l.ord) AS d FROM lf n JOIN l3 l ON l.parent_id = n.node_id WHERE n.depth = 2 GROUP BY n.node_id, n.parent_id, n.ord, n.title), a2 AS (SELECT * FROM m2 UNION ALL SELECT l3.* FROM l3 JOIN lf USING (node_id) WHERE lf.depth = 2), m1 AS (SELECT n.node_id, n.parent_id, n.ord, n.title, '## ' || n.title || chr(10) || chr(10) || 'About ' || n.title || chr(10) || chr(10) || string_agg('### ' || l.title || chr(10) || chr(10) || l.d, chr(10) || chr(10) ORDER BY l.ord) AS d FROM lf n JOIN a2 l ON l.parent_id = n.node_id WHERE n.depth = 1 GROUP BY n.node_id, n.parent_id, n.ord, n.title), m0 AS (SELECT 'root' AS node_id, '## World' || chr(10) || chr(10) || 'About World' || chr(10) || chr(10) || string_agg('### ' || title || chr(10) || chr(10) || d, chr(10) || chr(10) ORDER BY ord) AS d FROM m1)"
+
+
+@query("tree_rollup", f"WITH {ROLL} SELECT node_id, length(d)::BIGINT AS chars, md5(d) AS md5 FROM (SELECT node_id, d FROM l3 UNION ALL SELECT node_id, d FROM m2 UNION ALL SELECT node_id, d FROM m1 UNION ALL SELECT node_id, d FROM m0)")
+def tree_rollup(spark, sf_dir):
+    drafts = tree.roll_up(tree.add_depth(outline(spark, sf_dir)))
+    return drafts.select("node_id", F.char_length("draft").cast("long").alias("chars"), F.md5(F.col("draft").cast("binary")).alias("md5"))
+
+
+BIO = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE role WHEN 'user' THEN 'B' WHEN 'assistant' THEN 'I' ELSE 'O' END AS tag FROM conversations), g AS (SELECT *, sum((tag <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM t)"
+
+
+@query("bio_spans", f"WITH {BIO} SELECT conv_id, min(i)::INT AS st, (max(i) + 1)::INT AS ed FROM g GROUP BY conv_id, run HAVING arg_min(tag, i) = 'B'")
+def bio_spans(spark, sf_dir):
+    tag = F.when(F.col("role") == "user", "B").when(F.col("role") == "assistant", "I").otherwise("O")
+    return symbolic.bio_spans(table(spark, sf_dir, "conversations").select("conv_id", "turn", tag.alias("tag")), "conv_id", "turn")
+
+
+@query("info_unit_rollup", "SELECT event_type AS unit_type, user_id AS paper_id, count(*) AS n, 0 AS level FROM events GROUP BY 1, 2 UNION ALL SELECT event_type, NULL, count(*), 1 FROM events GROUP BY 1")
+def info_unit_rollup(spark, sf_dir):
+    units = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("unit_type"))
+    return symbolic.unit_roll_up(units).select("unit_type", "paper_id", "n", F.col("level").cast("int").alias("level"))
+
+
+WORDS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS w FROM documents), tp AS (SELECT doc_id, w[1] AS s, w[2] AS p, w[3] AS o, (doc_id % 4)::INT AS c, w FROM w WHERE len(w) >= 3)"
+
+
+def triples_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Triples from the first three words of a document; terms: its first 60 words in sentences of ten."""
+    w = table(spark, sf_dir, "documents").select("doc_id", text.words(F.lower("text")).alias("w")).where(F.size("w") >= 3)
+    part = lambda i: F.get("w", F.lit(i))
+    triples = w.select(F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("triple_id"), part(0).alias("subject"), part(1).alias("predicate"), part(2).alias("object"), (F.col("doc_id") % 4).cast("int").alias("completeness"), (F.col("doc_id") % 7).alias("sentence_idx"))
+    terms = w.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.slice("w", 1, 60)).alias("i", "term")).select("paper_id", F.floor(F.col("i") / 10).alias("sentence_idx"), "term")
+    return triples, terms
+
+
+@query("triple_resolution", f"WITH {WORDS}, e AS (SELECT doc_id, (i - 1) // 10 AS s, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 60) + 1)) AS i FROM tp)), n AS (SELECT tp.doc_id, count(DISTINCT e.s) AS n FROM tp JOIN e ON e.doc_id = tp.doc_id AND e.t IN (tp.s, tp.p, tp.o) GROUP BY 1) SELECT tp.doc_id AS paper_id, CASE WHEN c >= 3 THEN c ELSE least(coalesce(n, 0), 2) END::INT AS completeness FROM tp LEFT JOIN n USING (doc_id)")
+def triple_resolution(spark, sf_dir):
+    triples, terms = triples_of(spark, sf_dir)
+    return symbolic.resolve_triples(symbolic.valid_triples(triples), terms).select("paper_id", "completeness")
+
+
+@query("completeness_histogram", f"WITH {WORDS} SELECT c AS completeness, count(*) AS n, c >= 2 AS fully_resolved FROM tp GROUP BY 1")
+def completeness_histogram(spark, sf_dir):
+    return symbolic.completeness_histogram(triples_of(spark, sf_dir)[0])
+
+
+@query("evidence_lookup", f"WITH {WORDS}, k AS (SELECT s || '||' || p || '||' || o AS k, arg_max(doc_id % 7, doc_id) AS x FROM tp GROUP BY 1) SELECT doc_id AS paper_id, x AS sentence_idx FROM tp JOIN k ON k = s || '||' || p || '||' || o")
+def evidence_lookup(spark, sf_dir):
+    triples, _ = triples_of(spark, sf_dir)
+    wanted = triples.select("paper_id", "subject", "predicate", "object")
+    return symbolic.evidence_lookup(wanted, triples).select("paper_id", "sentence_idx")
+
+
+@query("theme_ids", "SELECT p_partkey, substr(lower(regexp_replace(regexp_replace(p_name, '[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 48) || '_' || substr(sha256(p_name), 1, 16) AS theme_id, md5('paper:' || p_name) AS cache_key, 'firecrawl://' || substr(sha256(p_name), 1, 16) AS report_id FROM part")
+def theme_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.theme_id("p_name").alias("theme_id"), text.cache_key(F.lit("paper"), "p_name").alias("cache_key"), text.report_id("p_name").alias("report_id"))
+
+
+@query("set_fingerprint", "SELECT source, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS fingerprint, count(*) AS n FROM documents GROUP BY 1")
+def set_fingerprint(spark, sf_dir):
+    return selection.evidence_fingerprint(table(spark, sf_dir, "documents"), "doc_id", ["source"])
+
+
+@query("safe_names", r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '[_ ]+', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS s, regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g') AS r FROM pages) SELECT page_id, substr(s, 1, 120) AS file_name, substr(r, 1, 180) AS rel_name FROM f""")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_filename("url").alias("file_name"), text.safe_relname("url").alias("rel_name"))
+
+
+@query("json_normalise", "SELECT event_id, coalesce(json_extract_string(j, '$.paperId'), '') AS paper_id, coalesce(json_extract_string(j, '$.authors[0].name'), '') AS first_author, 2 AS n_authors, event_id AS citation_count, CASE WHEN event_id % 3 = 0 THEN '10.9/' || event_id ELSE '' END AS doi, 'c' || event_id AS cited FROM (SELECT event_id, '{\"paperId\": \"p' || event_id || '\", \"authors\": [{\"name\": \"A' || user_id || '\"}, \"B\"]}' AS j FROM events)")
+def json_normalise(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    doi = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "externalIds": {"DOI": "10.9/'), "event_id", F.lit('"}'))).otherwise("")
+    body = F.concat(F.lit('{"paperId": "p'), "event_id", F.lit('", "authors": [{"name": "A'), "user_id", F.lit('"}, "B"], "citationCount": '), "event_id", doi, F.lit(', "references": [{"citedPaper": {"paperId": "c'), "event_id", F.lit('"}}]}'))
+    p = readers.paper_records(e.select(body.alias("json")))
+    return p.select(
+        F.substring("paper_id", 2, 20).cast("long").alias("event_id"), "paper_id", F.get("authors", F.lit(0)).alias("first_author"), F.size("authors").alias("n_authors"),
+        F.col("citation_count").cast("long").alias("citation_count"), "doi", F.get("references", F.lit(0))["paper_id"].alias("cited"),
+    )
+
+
+@query("prompt_build", rf"WITH c AS (SELECT conv_id, turn, role, {STRIP('text')} AS b FROM conversations), s AS (SELECT conv_id, string_agg(b, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system') AS sys, string_agg('[' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END || ']' || chr(10) || b, chr(10) ORDER BY turn) FILTER (role <> 'system') AS rest FROM c WHERE b <> '' GROUP BY 1) SELECT conv_id, md5({STRIP('''concat_ws(chr(10) || chr(10), '[System]' || chr(10) || sys, rest)''')}) AS prompt_md5 FROM s")
+def prompt_build(spark, sf_dir):
+    return models.prompt(table(spark, sf_dir, "conversations")).select("conv_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+ANSWER = "CASE doc_id % 5 WHEN 0 THEN 'NO GAPS found' WHEN 1 THEN 'GAPS: ' || substr(lang, 1, 2) || ' | second gap' WHEN 2 THEN 'SEARCH: \"more on ' || source || '\"' WHEN 3 THEN '[' || source || ']' || 'E' ELSE 'Yes, enough' END"
+
+
+@query("parse_answers", rf"WITH a AS (SELECT doc_id, lang, source, {ANSWER} AS x FROM documents) SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN lang || ';second gap' WHEN doc_id % 5 = 2 AND length(x) > 20 THEN x ELSE '' END AS gaps, CASE WHEN doc_id % 5 IN (0, 1, 3) THEN 'SEARCH' WHEN doc_id % 5 = 2 THEN 'SEARCH' ELSE 'ANSWER' END AS action, CASE WHEN doc_id % 5 = 2 THEN 'more on ' || source WHEN doc_id % 5 = 4 THEN NULL ELSE 'more details' END AS follow_up, CASE WHEN doc_id % 5 = 3 THEN source ELSE x END AS paper, CASE WHEN doc_id % 5 = 3 THEN 'E' ELSE 'M' END AS tag FROM a")
+def parse_answers(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select("doc_id", F.expr(ANSWER.replace("||", "||")).alias("x"))
+    d, t = text.parse_decision("x"), text.parse_paper_tag("x")
+    return a.select("doc_id", F.array_join(text.parse_gaps("x"), ";").alias("gaps"), d["action"].alias("action"), d["follow_up"].alias("follow_up"), t["paper"].alias("paper"), t["tag"].alias("tag"))
+
+
+@query("section_extract", "SELECT page_id, i::INT AS n, md5(x) AS header_md5 FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS i, h[k] AS x FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages)))")
+def section_extract(spark, sf_dir):
+    heads = F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(heads).alias("n", "h")).select("page_id", "n", F.md5(F.col("h").cast("binary")).alias("header_md5"))
+
+
+@query("url_extract", r"SELECT page_id, array_to_string(list_distinct(regexp_extract_all('See ' || url || ') and ' || url || ' [1]', '(https?://[^\s)\]]+)')), ' ') AS urls FROM pages")
+def url_extract(spark, sf_dir):
+    md = F.concat(F.lit("See "), "url", F.lit(") and "), "url", F.lit(" [1]"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.source_urls(md), " ").alias("urls"))
+
+
+@query("report_chunks", "SELECT 'firecrawl://' || substr(sha256(item_id::VARCHAR), 1, 16) || '::chunk' || n AS chunk_id, CASE n WHEN 1 THEN '# One' ELSE '## Two' END AS section_header, length(" + STRIP("text") + ")::INT AS chars FROM benchmark, (VALUES (1), (2)) v(n) WHERE length(" + STRIP("text") + ") >= 30")
+def report_chunks(spark, sf_dir):
+    md = F.concat(F.lit("# One\n"), "text", F.lit("\n## Two\n"), "text", F.lit("\n### Small\nx"))
+    made = readers.report_chunks(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), md.alias("markdown")))
+    return made.select("chunk_id", "section_header", F.char_length("text").alias("chars"))
+
+
+@query("topn_report", "SELECT p_name AS title, '- ' || p_name || ' (' || p_size || ') — ' || floor(p_retailprice)::BIGINT || ' citations' AS line FROM part ORDER BY floor(p_retailprice)::BIGINT DESC, p_size DESC, p_name LIMIT 30")
+def topn_report(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.floor("p_retailprice").alias("citation_count"), F.col("p_size").cast("double").alias("relevance_score"))
+    return readers.top_report(p)
+
+
+@query("search_stats", "SELECT count(*) AS raw, count(DISTINCT substr(text, 1, 80)) AS unique_papers, count(*) FILTER (doc_id % 2 = 0) AS with_pdf, count(*) FILTER (doc_id % 3 = 0) AS open_access FROM documents")
+def search_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("raw"), F.countDistinct(F.substring("text", 1, 80)).alias("unique_papers"), F.count_if(F.col("doc_id") % 2 == 0).alias("with_pdf"), F.count_if(F.col("doc_id") % 3 == 0).alias("open_access"))
