@@ -15,27 +15,30 @@ from .common import LOWER, NARROW, UPPER, broadcast_if_small, linked_parts, shuf
 from .shingles import mixed
 
 #: Characters of a shingle; bands and rows of a signature; pairs of one line that a task verifies together; characters
-#: whose shingles are in memory at a time; lines that a task remembers so as not to send them again.
-CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER = 10, 12, 4, 256, 1 << 21, 500_000
+#: whose shingles are in memory at a time; lines that a task remembers so as not to send them again; bits of a bitmap.
+CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, BITS = 10, 12, 4, 256, 1 << 21, 500_000, 1024
 U32, U64 = np.uint32, np.uint64
 _seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(U32) | U32(1)
-_blank = re.compile(r"[\x20\x09-\x0D]+")
+_blank, _odd = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x09\x0B-\x0D]|  ")
 _lower = str.maketrans(UPPER, LOWER)
 
 
-def normal(line: str) -> str:
-    """Lines are compared with A-Z lower-cased, each run of white space as one space, none at the ends."""
-    return _blank.sub(" ", line).strip(" ").translate(_lower)
+def normal_lines(text: str) -> list[str]:
+    """The lines of a text as they are compared: A-Z lower-cased, each run of white space one space, none at the ends."""
+    text = text.lower() if text.isascii() else text.translate(_lower)
+    if _odd.search(text):
+        return [_blank.sub(" ", x).strip(" ") for x in text.split("\n")]
+    return [x.strip(" ") for x in text.split("\n")]
 
 
 def number(line: str) -> int:
     """64 bits, signed, that stand for a normal line."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))).astype(np.int64))
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each, and the counts of shingles.
-    A line of fewer than CHARS characters has itself as its one shingle."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of the lines, one line after another, and their counts. A line of fewer than CHARS
+    characters has itself as its one shingle."""
     short = [x if len(x) >= CHARS else x + "\0" * (CHARS - len(x)) for x in lines]
     code = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), U32)
     size = np.fromiter(map(len, short), np.int64, len(short))
@@ -46,17 +49,29 @@ def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(len(code), np.bool_)
     for i in range(1, CHARS):
         inside[np.cumsum(size) - i] = False  # those would reach into the next line
-    h = (h ^ (h >> U32(13)))[inside[: len(h)]]
-    starts = np.concatenate([[0], np.cumsum(size - CHARS + 1)[:-1]])
+    return (h ^ (h >> U32(13)))[inside[: len(h)]], size - CHARS + 1
+
+
+def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each, and the counts of shingles."""
+    h, sizes = shingle_hashes(lines)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.zeros((len(lines), BANDS), U64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, U64)
         for r in range(ROWS):
-            x = h * _seeds[b * ROWS + r]
-            x ^= x >> U32(15)
-            key = key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts).astype(U64)
+            key = key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _seeds[b * ROWS + r], starts).astype(U64)
         out[:, b] = mixed(key)
-    return out, size - CHARS + 1
+    return out, sizes
+
+
+def bitmaps(lines: list[str]) -> tuple[list[bytes], list[int]]:
+    """For each line BITS bits, set by the shingle hashes that fall on them, and its count of shingles, repeats included.
+    A bit that only one of two lines has stands for a shingle, at least one, that only this line has."""
+    h, sizes = shingle_hashes(lines)
+    on = np.zeros(len(lines) * BITS, np.bool_)
+    on[np.repeat(np.arange(len(lines)) * BITS, sizes) + (h & U32(BITS - 1))] = True
+    return [x.tobytes() for x in np.packbits(on.reshape(-1, BITS), axis=1)], sizes.tolist()
 
 
 def shingle_strings(line: str) -> set[str]:
@@ -75,8 +90,7 @@ def _new_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], lis
     lines, numbers, held = [], [], 0
     for batch in batches:
         for text in batch["text"]:
-            for raw in (text or "").split("\n"):
-                line = normal(raw)
+            for line in normal_lines(text or ""):
                 if line and (n := number(line)) not in seen:
                     seen.add(n)
                     lines.append(line)
@@ -92,9 +106,29 @@ def _new_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], lis
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every line's place and number, and about once a task its bitmap."""
+    seen: set[int] = set()
     for batch in batches:
-        found = [(i, th, nth, number(line)) for i, th, text in zip(batch["id"], batch["th"], batch["text"]) for nth, raw in enumerate((text or "").split("\n")) if (line := normal(raw))]
-        yield pd.DataFrame(found, columns=["id", "th", "nth", "line"])
+        for at in range(0, len(batch), 500):
+            some = batch.iloc[at : at + 500]
+            found = [(i, th, nth, line) for i, th, text in zip(some["id"], some["th"], some["text"]) for nth, line in enumerate(normal_lines(text or "")) if line]
+            numbers = [number(f[3]) for f in found]
+            new = [k for k, n in enumerate(numbers) if n not in seen and not seen.add(n)]
+            bits, sizes = [None] * len(found), [0] * len(found)
+            if new:
+                for k, b, c in zip(new, *bitmaps([found[k][3] for k in new])):
+                    bits[k], sizes[k] = b, c
+            yield pd.DataFrame({"id": [f[0] for f in found], "th": [f[1] for f in found], "nth": [f[2] for f in found], "line": numbers, "size": sizes, "bits": bits})
+        if len(seen) > REMEMBER:
+            seen.clear()
+
+
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that their bitmaps don't rule out: similarity 0.8 leaves at most a ninth of both sizes that differ."""
+    for pairs in batches:
+        x, y = (np.frombuffer(b"".join(pairs[c]), np.uint8).reshape(len(pairs), -1) for c in ("bits_a", "bits_b"))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        yield pairs.loc[9 * differ <= (pairs["size_a"] + pairs["size_b"]).to_numpy(), ["a", "b"]]
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,20 +137,16 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sig": found.view(np.int64).ravel(), "rep": np.repeat(np.array(numbers, np.int64), BANDS), "n": np.repeat(sizes, BANDS)})
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for lines, numbers in _new_lines(batches):
-        yield pd.DataFrame({"line": numbers, "text": lines})
-
-
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (a, own, b, text) sorted so that line a itself comes first: exact Jaccard of the shingles as strings."""
     head, held = None, set()
     for batch in batches:
         found = []
         for a, own, b, text in zip(batch["a"].tolist(), batch["own"].tolist(), batch["b"].tolist(), batch["text"]):
+            line = normal_lines(text)[0]
             if own:
-                head, held = a, shingle_strings(text)
-            elif a == head and similar(held, shingle_strings(text)):
+                head, held = a, shingle_strings(line)
+            elif a == head and similar(held, shingle_strings(line)):
                 found.append((a, b))
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
@@ -124,10 +154,10 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of similar lines, over all documents, keep one.
 
-    Lines lie between newlines and are compared in their normal() form; lines without visible characters stay and take
+    Lines lie between newlines and are compared in their normal form (normal_lines); lines without visible characters stay and take
     no part. Equal lines are one class, told apart by a 64-bit number. Classes whose sets of 10-character shingles have
     Jaccard similarity 0.8 or more are linked if they share one of 12 MinHash bands of 4 (at 0.8 all but
-    (1 - 0.41) ** 12 = 0.2 % do, at 0.9 all but 3 in 100,000) and exact comparison agrees; linked_parts() keeps
+    (1 - 0.41) ** 12 = 0.2 % do, at 0.9 all but 3 in 100,000), a bound from bitmaps allows it and exact comparison agrees; linked_parts() keeps
     groups of near copies from making all their pairs. Of a component the line of the smallest (id, text hash,
     place) stays, all others go, so of a line that a document repeats too.
 
@@ -137,14 +167,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     id_type = docs.schema["id"].dataType.simpleString()
-    places = stored(docs.mapInPandas(_places, f"id {id_type}, th long, nth int, line long"), "places")
+    places = stored(docs.mapInPandas(_places, f"id {id_type}, th long, nth int, line long, size int, bits binary"), "places")
+    marks = places.where("bits IS NOT NULL")
+    owners = stored(places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at")), "owners")
 
     def links(pairs: DataFrame) -> DataFrame:
+        side = lambda c: marks.select(F.col("line").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")).dropDuplicates([c])
+        two = pairs.join(side("a"), "a").join(side("b"), "b")
+        pairs = stored(two.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInPandas(_possible, "a long, b long"), "possible")
         degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
         heads = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rest"), F.col("a").alias("b"))
         others = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rest"), "b")
-        wanted = broadcast_if_small(stored(heads.union(others), "wanted"), NARROW)
-        there = docs.select("text").mapInPandas(_texts, "line long, text string").join(wanted, F.col("line") == F.col("b"))
+        wanted = heads.union(others).join(owners.withColumnRenamed("line", "b"), "b")
+        wanted = stored(wanted.select("a", "part", "rest", "b", F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th"), F.col("at.nth").alias("w_nth")), "wanted")
+        some = broadcast_if_small(stored(wanted.select("w_id", "w_th").distinct(), "some"), NARROW)
+        cut = docs.join(some, docs["id"].eqNullSafe(some["w_id"]) & (docs["th"] == some["w_th"]), "left_semi").select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("nth", "text"))
+        wanted = broadcast_if_small(wanted, NARROW)
+        there = cut.join(wanted, cut["id"].eqNullSafe(wanted["w_id"]) & (cut["th"] == wanted["w_th"]) & (cut["nth"] == wanted["w_nth"]))
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "rest")
         return stored(there.select("a", (F.col("rest") == 0).alias("own"), "b", "text").mapInPandas(_verified, "a long, b long"), "links")
 
