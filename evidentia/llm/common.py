@@ -104,20 +104,34 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
-def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame], most: int | None = None, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of sets that are linked by Jaccard similarity 0.8 or more.
 
     postings: (sig, rep, n): set rep, of n elements, has signature sig; links(pairs) returns those of the pairs (a, b) that
     are linked. First each set is tried with the smallest set of a signature that it meets most often, which joins a
     group of near copies without all its pairs. Then only sets of one signature that are still in different components
     are tried, if their sizes allow a link. A pair that shares a signature is thus tried, or joined already.
+
+    Where a signature that only makes a link likely has more than `most` sets, exact(reps) gives those sets finer postings,
+    under which linked ones are sure to meet: dissimilar sets of a large bucket then don't make all their pairs.
     """
-    by_size = Window.partitionBy("sig").orderBy("n", "rep")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
-    shared = postings.select(
-        "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"), F.lead("rep").over(by_size).alias("next")
-    )
-    shared = stored(shared.where("rep <> head OR next <> rep").drop("next"), "shared")
+
+    def meet(postings: DataFrame) -> DataFrame:
+        by_size = Window.partitionBy("sig").orderBy("n", "rep")
+        whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
+        found = postings.select(
+            "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"),
+            F.lead("rep").over(by_size).alias("next"), F.row_number().over(by_size).alias("nth"),
+        )
+        return stored(found.where("rep <> head OR next <> rep").drop("next"), "shared")
+
+    shared = meet(postings)
+    if exact is not None:
+        large = stored(shared.where(F.col("nth") == most + 1).select("sig"), "large")
+        if not large.isEmpty():
+            large = broadcast_if_small(large, NARROW)
+            reps = stored(shared.join(large, "sig", "left_semi").select("rep").distinct(), "reps")
+            shared = stored(shared.join(large, "sig", "left_anti"), "small").union(meet(exact(reps)))
     near = shared.where("rep <> head AND n * 80 <= head_n * 100")
     tries = near.groupBy("rep", "head").agg(F.count("*").alias("times"))
     best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
@@ -131,8 +145,8 @@ def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame]) -
     open_sigs = stored(placed.where("part <> head_part").select("sig").distinct(), "open")
     apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").drop("head_part"), "apart")
     one, two = apart.alias("x"), apart.alias("y")
-    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
-    second = one.join(two, meet & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    same = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
+    second = one.join(two, same & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         found = found.union(links(second))

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NARROW, UPPER, broadcast_if_small, linked_parts, shuffle_width, stored
+from .ngram_join import frequent_tokens, signatures
 from .shingles import mixed
 
 #: Characters of a shingle; bands and rows of a signature; pairs of one line that a task verifies together; characters
-#: whose shingles are in memory at a time; lines that a task remembers so as not to send them again; bits of a bitmap.
-CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, BITS = 10, 12, 4, 256, 1 << 21, 500_000, 1024
+#: whose shingles are in memory at a time; lines that a task remembers so as not to send them again; bits of a bitmap;
+#: lines of a band's bucket above which they are joined exactly.
+CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, BITS, BUCKET = 10, 12, 4, 256, 1 << 21, 500_000, 1024, 32
 U32, U64 = np.uint32, np.uint64
 _seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(U32) | U32(1)
 _blank, _odd = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x09\x0B-\x0D]|  ")
@@ -52,8 +54,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h ^ (h >> U32(13)))[inside[: len(h)]], size - CHARS + 1
 
 
-def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each, and the counts of shingles."""
+def bands(lines: list[str]) -> np.ndarray:
+    """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each."""
     h, sizes = shingle_hashes(lines)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.zeros((len(lines), BANDS), U64)
@@ -62,7 +64,7 @@ def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for r in range(ROWS):
             key = key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _seeds[b * ROWS + r], starts).astype(U64)
         out[:, b] = mixed(key)
-    return out, sizes
+    return out
 
 
 def bitmaps(lines: list[str]) -> tuple[list[bytes], list[int]]:
@@ -74,6 +76,16 @@ def bitmaps(lines: list[str]) -> tuple[list[bytes], list[int]]:
     return [x.tobytes() for x in np.packbits(on.reshape(-1, BITS), axis=1)], sizes.tolist()
 
 
+def shingle_set(line: str) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a normal line's shingles."""
+    line = line if len(line) >= CHARS else line + "\0" * (CHARS - len(line))
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), U32).astype(U64)
+    h = np.zeros(len(code) - CHARS + 1, U64)
+    for i in range(CHARS):
+        h = h * U64(0x9E3779B97F4A7C15) + code[i : len(code) - CHARS + 1 + i]
+    return np.unique(mixed(h))
+
+
 def shingle_strings(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
@@ -133,8 +145,7 @@ def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for lines, numbers in _new_lines(batches):
-        found, sizes = bands(lines)
-        yield pd.DataFrame({"sig": found.view(np.int64).ravel(), "rep": np.repeat(np.array(numbers, np.int64), BANDS), "n": np.repeat(sizes, BANDS)})
+        yield pd.DataFrame({"sig": bands(lines).view(np.int64).ravel(), "rep": np.repeat(np.array(numbers, np.int64), BANDS), "n": 1})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +169,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     no part. Equal lines are one class, told apart by a 64-bit number. Classes whose sets of 10-character shingles have
     Jaccard similarity 0.8 or more are linked if they share one of 12 MinHash bands of 4 (at 0.8 all but
     (1 - 0.41) ** 12 = 0.2 % do, at 0.9 all but 3 in 100,000), a bound from bitmaps allows it and exact comparison agrees; linked_parts() keeps
-    groups of near copies from making all their pairs. Of a component the line of the smallest (id, text hash,
+    groups of near copies from making all their pairs, and where a band's bucket holds more than 32 classes, those are
+    joined by exact prefix signatures instead, so that many lines with a common passage don't make all theirs. Of a component the line of the smallest (id, text hash,
     place) stays, all others go, so of a line that a document repeats too.
 
     Rows that repeat an id with its very text share one decision. Null text counts as empty; null ids come first. Returns one
@@ -171,6 +183,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = places.where("bits IS NOT NULL")
     owners = stored(places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at")), "owners")
 
+    def texts_of(lines: DataFrame) -> DataFrame:
+        """lines (b, ...) with the text of line b, fetched from the document that owns it."""
+        wanted = stored(lines.join(owners.withColumnRenamed("line", "b"), "b").select(*lines.columns, F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th"), F.col("at.nth").alias("w_nth")), "wanted")
+        some = broadcast_if_small(stored(wanted.select("w_id", "w_th").distinct(), "some"), NARROW)
+        cut = docs.join(some, docs["id"].eqNullSafe(some["w_id"]) & (docs["th"] == some["w_th"]), "left_semi")
+        cut = cut.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("nth", "text"))
+        wanted = broadcast_if_small(wanted, NARROW)
+        there = cut.join(wanted, cut["id"].eqNullSafe(wanted["w_id"]) & (cut["th"] == wanted["w_th"]) & (cut["nth"] == wanted["w_nth"]))
+        return there.select(*lines.columns, "text")
+
+    def exact(reps: DataFrame) -> DataFrame:
+        """Prefix signatures of these lines, rare shingles first."""
+        lines = stored(texts_of(reps.select(F.col("rep").alias("b"))), "lines")
+        sent = spark.sparkContext.broadcast(frequent_tokens(lines, "text", lambda text: shingle_set(normal_lines(text)[0])))
+
+        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for b, text in zip(batch["b"], batch["text"]):
+                    sigs = signatures(shingle_set(normal_lines(text)[0]), *sent.value).view(np.int64)
+                    yield pd.DataFrame({"sig": sigs, "rep": b, "n": 1})
+
+        return lines.mapInPandas(sign, "sig long, rep long, n int")
+
     def links(pairs: DataFrame) -> DataFrame:
         side = lambda c: marks.select(F.col("line").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")).dropDuplicates([c])
         two = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -178,16 +213,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
         heads = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rest"), F.col("a").alias("b"))
         others = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rest"), "b")
-        wanted = heads.union(others).join(owners.withColumnRenamed("line", "b"), "b")
-        wanted = stored(wanted.select("a", "part", "rest", "b", F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th"), F.col("at.nth").alias("w_nth")), "wanted")
-        some = broadcast_if_small(stored(wanted.select("w_id", "w_th").distinct(), "some"), NARROW)
-        cut = docs.join(some, docs["id"].eqNullSafe(some["w_id"]) & (docs["th"] == some["w_th"]), "left_semi").select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("nth", "text"))
-        wanted = broadcast_if_small(wanted, NARROW)
-        there = cut.join(wanted, cut["id"].eqNullSafe(wanted["w_id"]) & (cut["th"] == wanted["w_th"]) & (cut["nth"] == wanted["w_nth"]))
+        there = texts_of(heads.union(others))
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "rest")
         return stored(there.select("a", (F.col("rest") == 0).alias("own"), "b", "text").mapInPandas(_verified, "a long, b long"), "links")
 
-    parts = linked_parts(docs.select("text").mapInPandas(_sign, "sig long, rep long, n int"), links)
+    parts = linked_parts(docs.select("text").mapInPandas(_sign, "sig long, rep long, n int"), links, BUCKET, exact)
     parts = broadcast_if_small(stored(parts, "parts"), NARROW)
     placed = places.join(parts.withColumnRenamed("node", "line"), "line", "left").select("id", "th", "nth", F.coalesce("component", "line").alias("part"))
     stays = placed.groupBy("part").agg(F.min(F.struct("id", "th", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,8 +77,9 @@ def unpacked(x: bytes) -> np.ndarray:
     return planes.view("<u8")[:, 0].astype(U)
 
 
-def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that FREQUENT or more sets hold, with counts, exact over all documents (equal sets in a run count once).
+def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that FREQUENT or more sets hold, with counts, exact over all texts (equal sets in a run count once); make: the
+    set of a text, as sorted distinct hashes.
 
     A task sorts the tokens of a run of sets and sends, for each range of token values, the differences and counts:
     about 3 bytes a token. A range is counted by one task; there are at least four ranges a shuffle partition. Only the order of
@@ -100,7 +101,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray,
 
         for batch in batches:
             for text in batch[text_col]:
-                tokens = shingle_set(text, k)
+                tokens = make(text)
                 if len(tokens) and (key := set_key(tokens)) not in seen:
                     seen.add(key)
                     sets.append(tokens)
@@ -177,7 +178,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
     """(id, th, n, part) of the rows with words, th the text's hash and part the component's number; (id, th, n) of the others."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    frequent, counts = frequent_tokens(docs, "text", k)
+    frequent, counts = frequent_tokens(docs, "text", lambda text: shingle_set(text, k))
     sent = spark.sparkContext.broadcast((frequent, counts))  # at most MOST_FREQUENT rows
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
