@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps between one and two times so many recent words, so its memory is bounded on any corpus.
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 #: Texts are split about every so many characters, at places where the pattern always splits.
 PIECE = 1 << 18
 SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")

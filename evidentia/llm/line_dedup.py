@@ -201,7 +201,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for b, text in zip(batch["b"], batch["text"]):
-                    sigs = signatures(shingle_set(normal_lines(text)[0]), *sent.value).view(np.int64)
+                    sigs = signatures(shingle_set(normal_lines(text)[0]), sent.value).view(np.int64)
                     yield pd.DataFrame({"sig": sigs, "rep": b, "n": 1})
 
         return lines.mapInPandas(sign, "sig long, rep long, n int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,51 +20,62 @@ MOST_FREQUENT = 4_000_000
 KEY_BITS, RANGE_BITS = 48, 8
 #: A task counts tokens in runs of about so many.
 RUN = 3_000_000
-#: (least size, most size, groups): sets of these sizes index pairs of frequent tokens that fall into one of so many
-#: groups. Neighbouring levels overlap by a factor of 1.25, so both sets of a link share a level.
-LEVELS = ((16, 500, 8), (400, 12_500, 64), (10_000, 1 << 62, 512))
 #: Pairs of one set that a task verifies together.
 MEET = 256
-#: Smaller sets index single frequent tokens.
-SINGLES = 20
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _bounds() -> list[int]:
+    """Sizes that begin the intervals i; sets of a link lie in one interval or in neighbouring ones."""
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(max(found[-1] + 1, 5 * (found[-1] - 1) // 4 + 1))
+    return found
+
+
+BOUNDS = _bounds()
+
+
+def combinations(tokens: np.ndarray) -> np.ndarray:
+    """Signatures of combinations of tokens; linked sets share one.
+
+    Level l is for the sets of intervals l - 1 and l, so a set has two levels and linked ones share one. There, linked
+    sets differ in at most d = 2 * (most size) // 9 tokens. Tokens fall into g > d groups by hash; what differs touches d
+    groups, so some group holds the same combination of tokens, three or four mostly, in both sets. Combinations are
+    the signatures. If no more than d groups of a set hold any token, its empty ones count too: then that holds as well
+    when the equal groups are empty ones, which both sets then have.
+    """
+    found, at = [], bisect.bisect_right(BOUNDS, len(tokens)) - 1
+    for level in (at, at + 1):
+        d = 2 * (BOUNDS[level + 1] - 1) // 9
+        g = d + d // 7 + 3
+        group = (mixed(tokens ^ U(level)) % U(g)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            total = np.zeros(g, U)
+            np.add.at(total, group, mixed(tokens + U(level)))
+            held = np.bincount(group, minlength=g)
+            sig = mixed(total ^ mixed(np.arange(g, dtype=U) * U(0x9FB21C651E98DF25) + U(level)) + held.astype(U))
+        some = held > 0
+        found.append(sig[some] if int(some.sum()) > d else sig)
+    return np.concatenate(found)
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """What a set is indexed under; linked sets (Jaccard 0.8 or more) share a signature.
 
-    A linked set lacks at most m = size // 5 of these tokens. In the order of rare tokens by hash, then frequent ones by
-    count: the m + 1 first are the prefix if all are rare, each a signature. Else all R rare ones are, and the
-    prefix goes on: by g more than m + 1 - R frequent tokens for a level with g groups. If two linked sets share no rare
-    token and no two frequent ones of a group there, they share at most g tokens in the shorter prefix; it has
-    m + 1 + g, so more than m are lacking, a contradiction. So pairs within groups suffice.
+    A linked set lacks at most m = size // 5 of these tokens. In the order of rare tokens by hash, then frequent ones, the
+    m + 1 first are a prefix of which a linked set has one. If all are rare, each is a signature. Else all rare tokens
+    are, and the prefix extends over the frequent ones as combinations(). Two linked sets of the first kind share a token
+    of the shorter prefix; so do a set of the first and one of the second kind, whose rare tokens are all indexed;
+    two of the second kind share a combination.
     """
-    n = len(tokens)
-    need = n // 5 + 1
+    need = len(tokens) // 5 + 1
     if not len(frequent):
         return tokens[:need]
     keys = tokens >> U(64 - KEY_BITS)
     at = np.searchsorted(frequent, keys)
     at[at == len(frequent)] = 0
-    common = frequent[at] == keys
-    rare = tokens[~common][:need]
-    if len(rare) == need:
-        return rare
-    often = tokens[common]
-    often = often[np.lexsort((often, counts[at[common]]))]
-    found = [rare]
-    if n <= SINGLES:
-        found.append(often[: need - len(rare)])
-    for least, most, groups in LEVELS:
-        if least <= n <= most:
-            head = often[: need - len(rare) + groups]
-            group = (mixed(head) % U(groups)).astype(np.int64)
-            order = np.lexsort((head, group))
-            head, group = head[order], group[order]
-            for part in np.split(head, np.flatnonzero(np.diff(group)) + 1):
-                i, j = np.triu_indices(len(part), 1)
-                with np.errstate(over="ignore"):
-                    found.append(mixed(part[i] * U(0x9FB21C651E98DF25) ^ mixed(part[j]) + U(groups)))
-    return np.unique(np.concatenate(found))
+    rare = tokens[frequent[at] != keys][:need]
+    return rare if len(rare) == need else np.unique(np.concatenate([rare, combinations(tokens)]))
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -77,8 +89,8 @@ def unpacked(x: bytes) -> np.ndarray:
     return planes.view("<u8")[:, 0].astype(U)
 
 
-def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that FREQUENT or more sets hold, with counts, exact over all texts (equal sets in a run count once); make: the
+def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.ndarray]) -> np.ndarray:
+    """The leading bits of tokens that FREQUENT or more sets hold, sorted; exact over all texts (equal sets in a run count once); make: the
     set of a text, as sorted distinct hashes.
 
     A task sorts the tokens of a run of sets and sends, for each range of token values, the differences and counts:
@@ -124,10 +136,8 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
     least = FREQUENT
     while counted.where(F.col("n") >= least).count() > MOST_FREQUENT:
         least = least * 3 // 2
-    table = counted.where(F.col("n") >= least).toPandas()  # at most MOST_FREQUENT narrow rows
-    token = table["token"].to_numpy(np.int64).astype(U)
-    order = np.argsort(token)
-    return token[order], table["n"].to_numpy(np.int32)[order]
+    table = counted.where(F.col("n") >= least).select("token").toPandas()  # at most MOST_FREQUENT numbers
+    return np.sort(table["token"].to_numpy(np.int64).astype(U))
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -178,16 +188,16 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
     """(id, th, n, part) of the rows with words, th the text's hash and part the component's number; (id, th, n) of the others."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    frequent, counts = frequent_tokens(docs, "text", lambda text: shingle_set(text, k))
-    sent = spark.sparkContext.broadcast((frequent, counts))  # at most MOST_FREQUENT rows
+    frequent = frequent_tokens(docs, "text", lambda text: shingle_set(text, k))
+    sent = spark.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT rows
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, counts = sent.value
+        frequent = sent.value
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({
                 "id": batch["id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "bits": [parity(s) for s in sets], "th": batch["th"],
-                "sigs": [signatures(s, frequent, counts).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
+                "sigs": [signatures(s, frequent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
 
     id_type = docs.schema["id"].dataType.simpleString()
