@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if_small, stored
 
 #: The template: a header line with the percent-encoded role, the escaped text, a closing line.
 HEAD, CLOSE = "### ", "\n</turn>\n"
@@ -61,11 +61,12 @@ def format_windows(
     outer = Window.partitionBy("ck").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     blocks = blocks.select("ck", "block", F.coalesce(F.sum("n").over(outer), zero).alias("n0"), F.coalesce(F.sum("t").over(outer), zero).alias("t0"))
-    placed = src.join(blocks, ["ck", "block"]).select(
+    placed = src.join(broadcast_if_small(stored(blocks, "blocks")), ["ck", "block"]).select(
         "conv", "ck", "role", "text", "tokens", (F.col("n0") + F.col("nth") - 1).alias("pos"), (F.col("t0") + F.col("upto") - F.col("tokens")).alias("start")
     )
     systems = placed.where("pos = 0 AND role = 'system'").select("ck", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
-    placed = placed.join(systems.select("ck", "s_tokens"), "ck", "left").withColumn("s_tokens", F.coalesce("s_tokens", F.lit(0)))
+    systems = stored(systems, "systems")
+    placed = placed.join(broadcast_if_small(systems.select("ck", "s_tokens")), "ck", "left").withColumn("s_tokens", F.coalesce("s_tokens", F.lit(0)))
     half = F.greatest(F.lit(window_tokens) - history_tokens - F.col("s_tokens"), F.lit(window_tokens // 8)) / 2
     placed = placed.withColumn("half", F.floor(half))
     # A window's key: the stretch its turns begin in; a long turn and what follows it in the same stretch part there.
