@@ -109,8 +109,8 @@ def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame], m
 
     postings: (sig, rep, n): set rep, of n elements, has signature sig; links(pairs) returns those of the pairs (a, b) that
     are linked. First each set is tried with the smallest set of a signature that it meets most often, which joins a
-    group of near copies without all its pairs. Then only sets of one signature that are still in different components
-    are tried, if their sizes allow a link. A pair that shares a signature is thus tried, or joined already.
+    group of near copies without all its pairs; then with the smallest sets of its other signatures, if in another
+    component. Last, all sets of one signature that are still in different components are tried, if their sizes allow a link. A pair that shares a signature is thus tried, or joined already.
 
     Where a signature that only makes a link likely has more than `most` sets, exact(reps) gives those sets finer postings,
     under which linked ones are sure to meet: dissimilar sets of a large bucket then don't make all their pairs.
@@ -135,19 +135,27 @@ def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame], m
     near = shared.where("rep <> head AND n * 80 <= head_n * 100")
     tries = near.groupBy("rep", "head").agg(F.count("*").alias("times"))
     best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
-    first = stored(best.select("a", F.col("rep").alias("b")), "pairs")
-    found = links(first)
-    parts = stored(connected_components(found), "parts")
-    side = broadcast_if_small(parts, NARROW)
-    of = lambda c: side.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    placed = shared.join(of("rep"), "rep", "left").join(of("head"), "head", "left")
-    placed = placed.select("sig", "rep", "n", F.coalesce("rep_part", "rep").alias("part"), F.coalesce("head_part", "head").alias("head_part"))
+    tried = stored(best.select("a", F.col("rep").alias("b")), "pairs")
+    found = links(tried)
+
+    def place() -> tuple[DataFrame, DataFrame]:
+        parts = stored(connected_components(found), "parts")
+        side = broadcast_if_small(parts, NARROW)
+        of = lambda c: side.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+        at = shared.join(of("rep"), "rep", "left").join(of("head"), "head", "left")
+        return parts, at.withColumn("part", F.coalesce("rep_part", "rep")).withColumn("head_part", F.coalesce("head_part", "head"))
+
+    _, placed = place()
+    more = placed.where("part <> head_part AND n * 80 <= head_n * 100").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found, tried = found.union(links(more)), tried.union(more)
+    parts, placed = place()
     open_sigs = stored(placed.where("part <> head_part").select("sig").distinct(), "open")
-    apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").drop("head_part"), "apart")
+    apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").select("sig", "rep", "n", "part"), "apart")
     one, two = apart.alias("x"), apart.alias("y")
     same = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
     second = one.join(two, same & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         found = found.union(links(second))
         parts = connected_components(found)
