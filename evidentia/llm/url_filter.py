@@ -31,6 +31,8 @@ RULES = (
 )
 #: Iterations and share of a score that follows links; the block threshold is distrust > RATIO * trust, beyond rounding.
 ROUNDS, DAMPING, RATIO = 8, 0.85, 2.0
+#: Rounding, relative to the scores: these shrink as the table grows, so no absolute margin would do.
+MARGIN = 1e-9
 #: An absolute link's host.
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s\"'>]+)"
 
@@ -87,7 +89,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
 
     Hosts are judged by propagation: pages that a rule allows seed trust in their hosts, which flows along links;
     blocked pages seed distrust, which flows against links, to those that link there. A host whose distrust exceeds
-    `ratio` times its trust is blocked, others, also those that neither reaches, are allowed. A difference under 1e-9 is a tie.
+    `ratio` times its trust is blocked, others, also those that neither reaches, are allowed. Scores within a share of MARGIN
+    of that are a tie; any distrust without trust blocks. So verdicts don't depend on how many other pages have rules.
 
     Null url or one without ://: host and path are empty, no rule fits and the verdict is allow. Null html has no
     links. Repeated rows are judged alike; each counts as a page. Returns id_col, host, path, rule, verdict, trust, distrust.
@@ -110,6 +113,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     return joined.select(
         F.col("id").alias(id_col), "host", "path", F.col("rule.text").alias("rule"),
-        F.coalesce(F.col("rule.verdict"), F.when(distrust > trust * ratio + 1e-9, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(F.col("rule.verdict"), F.when(distrust > trust * ratio * (1 + MARGIN), "block").otherwise("allow")).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"),
     )
