@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, broadcast_if_small, stored
+from .common import BROADCAST_ROWS, LOWER, UPPER, broadcast_if_small, stored
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,14 @@ RULES = (
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 )
-#: Iterations and share of a score that follows links; the block threshold is distrust > RATIO * trust, beyond rounding.
+#: Iterations that the query's SQL unrolls (propagate goes on until the scores settle) and share of a score that follows
+#: links; the block threshold is distrust > RATIO * trust, beyond rounding.
 ROUNDS, DAMPING, RATIO = 8, 0.85, 2.0
+#: The scores have settled when no host's changes by more than this share of itself: far under MARGIN, so that ties stay ties.
+TOLERANCE = 1e-12
+#: Rounds in one job; rounds and scores beyond which there is an error.
+AT_ONCE, MOST_ROUNDS, LEAST_SCORE = 16, 10_000, 1e-290
+TOO_FAR = f"a host's score is under {LEAST_SCORE}: it is too far from the rules' hosts to be judged"
 #: Rounding, relative to the scores: these shrink as the table grows, so no absolute margin would do.
 MARGIN = 1e-9
 #: An absolute link's host.
@@ -71,17 +79,57 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _settle(edges: pd.DataFrame, seeds: pd.DataFrame, tolerance: float, damping: float, most_rounds: int) -> pd.DataFrame:
+    """propagate's rounds over one kind's edges and seeds."""
+    hosts, at = np.unique(np.concatenate([edges["src"], edges["dst"], seeds["host"]]).astype(str), return_inverse=True)
+    src, dst, begin = np.split(at, [len(edges), 2 * len(edges)])
+    share = edges["share"].to_numpy(float) * damping
+    score = np.bincount(begin, seeds["seed"].to_numpy(float) * (1 - damping), len(hosts))
+    step, reached = score.copy(), np.bincount(begin, minlength=len(hosts)) > 0
+    for _ in range(most_rounds):
+        step = np.bincount(dst, step[src] * share, len(hosts))
+        score, reached = score + step, reached | (np.bincount(dst, reached[src], len(hosts)) > 0)
+        if (score[reached] < LEAST_SCORE).any():
+            raise ArithmeticError(TOO_FAR)
+        if (step[reached] <= tolerance * score[reached]).all():
+            kind = (edges if len(edges) else seeds)["kind"].iloc[0]
+            return pd.DataFrame({"kind": kind, "host": hosts[reached], "score": score[reached]})
+    raise RuntimeError(f"scores have not settled in {most_rounds} rounds")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, most_rounds: int = MOST_ROUNDS, most_edges: int = BROADCAST_ROWS) -> DataFrame:
     """Personalised PageRank of two kinds at once. edges: (kind, src, dst, share), shares of a source adding up to 1;
     seeds: (kind, host, seed), all adding up to 1, so that the kinds compare. Returns (kind, host, score). A host without links
-    passes nothing on. Joins and partial sums; the score table is written after each round."""
-    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        moved = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"])
-        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
-        back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part"))
-        scores = broadcast_if_small(stored(moved.union(back).groupBy("kind", "host").agg(F.sum("part").alias("score")), "scores"))
-    return scores
+    passes nothing on.
+
+    The scores are the sum of the walks of each length, (1 - damping) * damping^n for those of n links; a round adds the next
+    length. It ends when no host's last step is over `tolerance` of its own score. A host that a round reaches first has
+    only its step, so the end is also not before every host that can be reached has been; and as scores are sums of their
+    neighbours', later steps stay within that share. A score that underflows, or no end within most_rounds, is an error.
+    Up to most_edges edges and seeds, by count, are one task's work for each kind, as jobs for so few rows would be mostly
+    planning. More are joins and partial sums, and the score table is written after AT_ONCE rounds; the law is the same."""
+    narrow = max(edges.limit(most_edges + 1).count(), seeds.limit(most_edges + 1).count()) <= most_edges
+    if narrow:
+        settle = lambda e, s: _settle(e, s, tolerance, damping, most_rounds)
+        return stored(edges.groupBy("kind").cogroup(seeds.groupBy("kind")).applyInPandas(settle, "kind string, host string, score double"), "scores")
+    start = (F.col("seed") * (1 - damping)).alias("score")
+    back = seeds.select("kind", "host", start, F.lit(0.0).alias("step"))
+    state = seeds.select("kind", "host", start, start.alias("step"))
+    few = seeds.select("kind", "host").union(edges.select("kind", "dst")).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for _ in range(0, most_rounds, AT_ONCE):
+        for _ in range(AT_ONCE):
+            at = state.withColumnRenamed("host", "src")
+            moved = edges.join(F.broadcast(at) if few else at, ["kind", "src"])
+            passed = lambda c: (F.col(c) * F.col("share") * damping).alias(c)
+            moved = moved.select("kind", F.col("dst").alias("host"), passed("score"), passed("step"))
+            state = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("step").alias("step"))
+        state = stored(state, "scores")
+        row = state.agg(F.min("score").alias("least"), F.max(F.try_divide("step", "score")).alias("change")).first()  # one row
+        if row["least"] is not None and row["least"] < LEAST_SCORE:
+            raise ArithmeticError(TOO_FAR)
+        if row["change"] is None or row["change"] <= tolerance:
+            return state.select("kind", "host", "score")
+    raise RuntimeError(f"scores have not settled in {most_rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO) -> DataFrame:
@@ -106,7 +154,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block"), F.col("dst"), F.col("src"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     shares = both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"))
-    scores = propagate(broadcast_if_small(stored(shares, "shares")), broadcast_if_small(seeds))
+    scores = propagate(stored(shares, "shares"), seeds)
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     hosts = stored(scores.groupBy("host").agg(one("allow").alias("trust"), one("block").alias("distrust")), "hosts")
     joined = told.join(broadcast_if_small(hosts), "host", "left")

@@ -1,5 +1,7 @@
 """Cases beyond what a bound on rounds, margins or columns would let through."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import url_filter
@@ -19,3 +21,38 @@ def test_url_verdicts_do_not_depend_on_unrelated_pages(spark):
     others = spark.range(300_000).select((F.col("id") + 10_000).alias("page_id"), F.lit("http://u.org/").alias("url"), F.lit("").alias("html"))
     want = {i: "block" for i in range(1001)} | {1001: "allow"}
     assert verdicts(graph) == want and verdicts(graph.union(others)) == want
+
+
+def test_url_scores_reach_the_end_of_a_chain_and_settle(spark):
+    """20 hosts in a chain that ends in a blocked page, and a circle of trust and distrust against exact PageRank."""
+    link = lambda h: f'<a href="http://{h}/x">l</a>'
+    rows = [(i, f"http://s{i}.net/x", link(f"s{i + 1}.net" if i < 19 else "bad.com")) for i in range(20)] + [(20, "http://bad.com/de/y", "")]
+    rows += [(21, "http://good.org/", link("c0.net"))] + [(22 + i, f"http://c{i}.net/x", link(f"c{(i + 1) % 3}.net") + (link("bad.com") if i == 1 else "")) for i in range(3)]
+    got = url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} >= set(range(21))
+    hosts = sorted({r["host"] for r in got})
+    n = {h: i for i, h in enumerate(hosts)}
+    links = np.zeros((len(hosts), len(hosts)))
+    for _, url, html in rows:
+        for h in hosts:
+            links[n[url.split("/")[2]], n[h]] += html.count(f"//{h}/")
+    for column, m, seed in (("trust", links, "good.org"), ("distrust", links.T, "bad.com")):
+        share = m / np.maximum(m.sum(1, keepdims=True), 1)
+        start = np.zeros(len(hosts))
+        start[n[seed]] = 0.15 / 2
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * share.T, start)
+        for r in got:
+            assert abs(r[column] - want[n[r["host"]]]) <= 1e-9 * want[n[r["host"]]]
+
+
+def test_url_scores_by_jobs_agree_with_one_task(spark):
+    edges = [("allow", f"s{i}", f"s{i + 1}", 1.0) for i in range(20)] + [("block", "a", "b", 0.5), ("block", "a", "c", 0.5), ("block", "b", "a", 1.0), ("allow", "x", "y", 1.0)]
+    edges = spark.createDataFrame(edges, "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("allow", "s0", 0.5), ("block", "a", 0.3), ("block", "alone", 0.2)], "kind string, host string, seed double")
+    told = lambda **x: {(r["kind"], r["host"]): r["score"] for r in url_filter.propagate(edges, seeds, tolerance=1e-2, **x).collect()}
+    one, jobs = told(), told(most_edges=0)
+    assert set(one) == set(jobs) and len(one) == 25
+    assert all(abs(one[k] - jobs[k]) <= 0.1 * jobs[k] for k in one) and all(one[k] == pytest.approx(jobs[k], 1e-12) for k in one if k[0] == "allow")
+    for most_edges in (0, 100):
+        with pytest.raises(Exception, match="not settled in 16 rounds"):
+            url_filter.propagate(edges, seeds, most_rounds=16, most_edges=most_edges)
