@@ -51,7 +51,8 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the rows is spread over tasks. Null text has size 0 and is never taken; null sources form a source of their own.
     Rows with equal id are ordered by size and the text's md5, so reruns agree.
 
-    Returns id_col, size, source_size, target, taken, copies (whole readings), first_position (null if none), key, text_md5, source.
+    Returns id_col, size, source_size, target, taken, copies (whole readings), first_position (null if none), positions (of each
+    reading, the last maybe in part), start, nth, md5, source.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
@@ -70,16 +71,24 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stop = F.floor("target")
     read = [F.least(F.col("size"), F.greatest(F.lit(0), stop - F.col("start") - e * F.col("source_size"))) for e in range(most)]
     a, b = F.when(F.col("nth") % 2 == 1, 1.5).otherwise(0.5), F.when(F.col("nth") % 2 == 1, 0.5).otherwise(1.5)
-    share = F.col("start") / F.col("target")  # D(t) / D(1) = a t + (b - a) t^2 / 2
-    t = (F.sqrt(a * a + 2 * (b - a) * share) - a) / (b - a)
+    share = [(F.col("start") + e * F.col("source_size")) / F.col("target") for e in range(most)]  # D(t) / D(1) = a t + (b - a) t^2 / 2
+    t = [F.round((F.sqrt(a * a + 2 * (b - a) * x) - a) / (b - a), 9) for x in share]
     taken = sum(read[1:], read[0])
     return placed.select(
         F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"),
         sum((F.when((r == F.col("size")) & (F.col("size") > 0), 1).otherwise(0) for r in read[1:]), F.when((read[0] == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"),
-        F.when(taken > 0, F.round(t, 9)).alias("first_position"), "start", "nth", "md5", "source",
+        F.when(taken > 0, t[0]).alias("first_position"), F.array_compact(F.array(*[F.when(r > 0, x) for r, x in zip(read, t)])).alias("positions"), "start", "nth", "md5", "source",
     )
 
 
+def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_EPOCHS) -> DataFrame:
+    """curriculum's rows in the order of training: range-sorted by first position, rows that are never read last; ties by id."""
+    order = [F.col("first_position").asc_nulls_last(), F.col(id_col).asc_nulls_first()]
+    plan = curriculum(docs, id_col, text_col, source_col, most).select(id_col, "size", "source_size", "target", "taken", "copies", "first_position", "positions")
+    plan = stored(plan, "schedule")  # else the sample for the ranges repeats the work
+    return plan.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_EPOCHS) -> DataFrame:
     """The mix itself: whole rows of docs, each once for every reading whose middle word the target covers (so a source is
     within half a row of its target), range-sorted by training position. All columns stay. Rows without words demand

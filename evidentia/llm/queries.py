@@ -90,7 +90,7 @@ FROM p
 
 @query("op3_curriculum_mix", MIX_SQL)
 def op3(spark, sf_dir):
-    return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
 def tokenizer() -> tuple[str, str]:

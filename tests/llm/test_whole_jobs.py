@@ -1,10 +1,13 @@
 """Cases beyond what a bound on rounds, margins or columns would let through."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import url_filter
+from evidentia.llm import queries, url_filter
 
 PAGES = "page_id long, url string, html string"
 
@@ -56,3 +59,37 @@ def test_url_scores_by_jobs_agree_with_one_task(spark):
     for most_edges in (0, 100):
         with pytest.raises(Exception, match="not settled in 16 rounds"):
             url_filter.propagate(edges, seeds, most_rounds=16, most_edges=most_edges)
+
+
+def reached_at(share, odd):
+    """When the integral of a source's weight comes to this share of its total, by bisection."""
+    a, b = (1.5, 0.5) if odd else (0.5, 1.5)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if a * t + (b - a) * t * t / 2 < share else (low, t)
+    return low
+
+
+def test_curriculum_query_gives_positions_in_order(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(0, 40) if i % 9 else None, rng.choice(["a", "b", "c", "c", "c", None])) for i in range(300)]
+    rows += [(1000 + i, "w " * 9, "bb") for i in range(3)]  # a small source, read several times
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in queries.QUERIES["op3_curriculum_mix"](spark, str(tmp_path)).collect()]
+    assert list(got[0])[:5] == ["doc_id", "size", "source_size", "target", "taken"] and sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    by = {r["doc_id"]: r for r in got}
+    words = {i: len((text or "").split()) for i, text, _ in rows}
+    for nth, source in enumerate(["a", "b", "bb", "c", None], 1):
+        tape = sorted((i for i, _, s in rows if s == source), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        target, begin, want = by[tape[0]]["target"], 0, {i: [] for i in tape}
+        for _ in range(3):
+            for i in tape:
+                if words[i] and begin < int(target):
+                    want[i].append(reached_at(begin / target, nth % 2))
+                begin += words[i]
+        for i in tape:
+            assert by[i]["positions"] == pytest.approx(want[i], abs=2e-9) and by[i]["first_position"] == (by[i]["positions"] or [None])[0]
+    assert any(len(r["positions"]) == 3 for r in got) and any(not r["positions"] and r["size"] for r in got)
+    order = [(r["first_position"] is None, r["first_position"] or 0, r["doc_id"]) for r in got]
+    assert order == sorted(order)
