@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +71,26 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return n.crossJoin(m).withColumn("density", F.when(F.col("nodes") > 1, F.round(F.col("edges") / possible, 4)).otherwise(0.0))
 
 
-def shortest_path(edges: DataFrame, source, target, most_hops: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target, most_hops: int | None = None) -> DataFrame:
     """(hop, node) of a shortest directed path; no rows if there is none. Of several, each step back takes the smallest node.
-    Breadth first: every round joins the frontier, drops what was visited and writes the new level."""
+    Breadth first: every round joins the frontier, drops what was visited and writes the new level, until the target or no new
+    node is found. With most_hops, a search that is still open then is an error."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
     start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(kind).alias("back"))
     visited = frontier = saved(start, "path")
-    for hop in range(1, most_hops + 1):
+    for hop in count(1):
         if not frontier.where(F.col("node") == F.lit(target)).isEmpty():
             break
+        if most_hops is not None and hop > most_hops:
+            raise RuntimeError(f"no path found in {most_hops} hops, and there are further nodes")
         following = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("back"))
         frontier = saved(following.join(visited.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "back"), "path")
         if frontier.isEmpty():
             return spark.createDataFrame([], f"hop int, node {kind.simpleString()}")
         visited = visited.union(frontier)
+        if hop % 32 == 0:  # one table again, so that long searches don't plan ever longer unions
+            visited = saved(visited, "path")
     path, at = [], target
     for row_hop in range(hop, -1, -1):  # one lookup a hop
         row = visited.where((F.col("node") == F.lit(at)) & (F.col("hop") <= row_hop)).select("hop", "node", "back").first()

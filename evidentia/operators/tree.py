@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +19,25 @@ def build_outline(spark, title: str, sections: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "node_id string, parent_id string, ord int, title string, description string, keywords array<string>, value double")
 
 
-def add_depth(tree: DataFrame, most_depth: int = 30) -> DataFrame:
-    """Adds depth, path (node ids from the root), path_ord (for breadth-first order) and is_leaf; level by level from the root."""
+def add_depth(tree: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """Adds depth, path (node ids from the root), path_ord (for breadth-first order) and is_leaf; level by level from the root
+    until there are no further nodes. A node that is its own ancestor, or one deeper than most_depth, is an error."""
     kind = tree.schema["node_id"].dataType.simpleString()
     level = tree.where("parent_id IS NULL").select("node_id", F.lit(0).alias("depth"), F.array("node_id").cast(f"array<{kind}>").alias("path"), F.array(F.col("ord")).alias("path_ord"))
     found = level
-    for depth in range(1, most_depth + 1):
+    for depth in count(1):
         up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("p"), F.col("path_ord").alias("po"))
         below = tree.join(up, "parent_id").select("node_id", F.lit(depth).alias("depth"), F.concat("p", F.array("node_id")).alias("path"), F.concat("po", F.array("ord")).alias("path_ord"))
         level = saved(below, "level")
         if level.isEmpty():
             break
+        if most_depth is not None and depth > most_depth:
+            raise RuntimeError(f"the tree has nodes deeper than {most_depth}")
+        if not level.where(F.array_contains(F.slice("path", 1, depth), F.col("node_id"))).isEmpty():
+            raise ValueError("a node of the tree is its own ancestor")
         found = found.union(level)
+        if depth % 32 == 0:  # one table again, so that deep trees don't plan ever longer unions
+            found = saved(found, "level")
     parents = tree.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
     return tree.join(found, "node_id").join(parents, "node_id", "left").withColumn("is_leaf", F.col("inner").isNull()).drop("inner")
 
