@@ -17,6 +17,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
 #: The same for rows of a few numbers.
 NARROW = 1_000_000
+#: Rows of one key beyond which spread_join deals them over several tasks.
+HEAVY = 100_000
+#: Rows with whole texts that a Python worker gets at a time.
+TEXTS = 500
 
 
 def ascii_lower(text: Column) -> Column:
@@ -37,12 +41,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evidentia-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition_by: str, batch: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors and
-    fixes the values of expressions that are not repeatable."""
-    path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fixes the values of expressions that are not repeatable. batch: rows that a Python worker gets at a time, for rows
+    with whole texts, of which 10,000 (the default) take much memory."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, usual = new_path(spark, name), spark.conf.get(key)
+    try:
+        if batch:
+            spark.conf.set(key, str(batch))
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(key, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -54,6 +65,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with side, one row a key, in which column n counts the key's rows: those of a key with more than HEAVY
+    rows are dealt over several tasks, to which its row of side is copied. Column n is dropped."""
+    side = side.withColumn("evidentia_parts", F.ceil(F.col(n) / HEAVY).cast("int")).drop(n)
+    heavy = stored(side.where("evidentia_parts > 1").select(key, "evidentia_parts"), "heavy")
+    if heavy.isEmpty():
+        return rows.join(side.drop("evidentia_parts"), key)
+    rows = rows.join(broadcast_if_small(heavy, NARROW), key, "left")
+    rows = rows.withColumn("evidentia_part", F.floor(F.rand(7) * F.coalesce("evidentia_parts", F.lit(1))).cast("int")).drop("evidentia_parts")
+    side = side.withColumn("evidentia_part", F.explode(F.sequence(F.lit(0), F.col("evidentia_parts") - 1))).drop("evidentia_parts")
+    return rows.join(side, [key, "evidentia_part"]).drop("evidentia_part")
+
+
 def no_clash(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Only the wanted columns, so that further ones cannot clash with an operator's own names."""
     return df.select(*wanted)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, broadcast_if_small, linked_parts, shuffle_width, stored
+from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, shuffle_width, spread_join, stored
 from .shingles import U, mixed, set_key, shingle_set
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
@@ -19,7 +19,7 @@ MOST_FREQUENT = 4_000_000
 #: Tokens are counted by their leading bits: so many, the first of them for the range that a task counts.
 KEY_BITS, RANGE_BITS = 48, 8
 #: A task counts tokens in runs of about so many.
-RUN = 3_000_000
+RUN = 1_000_000
 #: Pairs of one set that a task verifies together.
 MEET = 256
 
@@ -105,7 +105,11 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
         sets, held, seen = [], 0, set()
 
         def run():
-            token, n = np.unique(np.concatenate(sets) >> drop, return_counts=True)
+            token = np.concatenate(sets)
+            token >>= drop  # in place, as is the sort: the run is the most that a worker holds
+            token.sort()
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token, n = token[first], np.diff(np.append(first, len(token)))
             at = (token // U(step)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(at)) + 1
             rows = [(int(r[0]), int(t[0]), packed(np.diff(t)), packed(c.astype(U))) for r, t, c in zip(np.split(at, cuts), np.split(token, cuts), np.split(n, cuts))]
@@ -132,7 +136,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
         return pd.DataFrame({"token": token[often].astype(np.int64), "n": n[often]})
 
     sent = docs.select(text_col).mapInPandas(runs, "part int, first long, gaps binary, counts binary")
-    counted = stored(sent.groupBy("part").applyInPandas(count, "token long, n long"), "frequent")
+    counted = stored(sent.groupBy("part").applyInPandas(count, "token long, n long"), "frequent", batch=TEXTS)
     least = FREQUENT
     while counted.where(F.col("n") >= least).count() > MOST_FREQUENT:
         least = least * 3 // 2
@@ -203,9 +207,9 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
     id_type = docs.schema["id"].dataType.simpleString()
     hashed = docs.withColumn("th", F.xxhash64("text"))
     rows = hashed.mapInPandas(index, f"id {id_type}, th long, n long, key binary, bits binary, sigs array<long>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows", batch=TEXTS)
     members = rows.where("n > 0").select("key", "row")
-    classes = stored(members.groupBy("key").agg(F.min("row").alias("rep")), "classes")
+    classes = stored(members.groupBy("key").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "classes")
     reps = rows.select("row", "n", "sigs").join(broadcast_if_small(classes.select(F.col("rep").alias("row")), NARROW), "row", "left_semi")
     postings = reps.select(F.col("row").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     def links(pairs: DataFrame) -> DataFrame:
@@ -225,11 +229,12 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
         side = broadcast_if_small(wanted, NARROW)
         there = texts.join(side, texts["t_id"].eqNullSafe(side["id"]) & (texts["t_th"] == side["th"])).select("a", "part", "b", "text")
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "b")
-        return stored(there.select("a", "b", "text").mapInPandas(_verified(k), "a long, b long"), "links")
+        return stored(there.select("a", "b", "text").mapInPandas(_verified(k), "a long, b long"), "links", batch=TEXTS)
 
     parts = linked_parts(postings, links)
-    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("part"))
-    return stored(rows.where("n > 0").select("id", "th", "n", "key").join(of_class, "key").drop("key"), "placed"), rows.where("n = 0").select("id", "th", "n")
+    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("part"), F.col("n").alias("copies"))
+    placed = spread_join(rows.where("n > 0").select("id", "th", "n", "key"), of_class, "key", "copies").drop("key")
+    return stored(placed, "placed"), rows.where("n = 0").select("id", "th", "n")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -247,8 +252,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     count, so it is null only if all ids there are). Repeated rows are rows of one class. Empty in, empty out.
     """
     placed, empty = _parts(docs, id_col, text_col, k)
-    least = placed.groupBy("part").agg(F.min("id").alias("component_id"))
-    linked = placed.join(least, "part").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    least = stored(placed.groupBy("part").agg(F.min("id").alias("component_id"), F.count("*").alias("copies")), "least")
+    linked = spread_join(placed, least, "part", "copies").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return linked.union(empty.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
