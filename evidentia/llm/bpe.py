@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -205,10 +206,12 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
     vocabulary (fixed size), at most MOST_WORDS words and one piece of a text at a time."""
     vocabulary, key = _sent(docs, vocabulary_path, pattern)
 
-    @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")  # a text at a time leaves the Arrow batch
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(vocabulary, key)
         for texts in batches:
-            yield pd.DataFrame([codec.digests(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            n, of_ids, of_bytes = zip(*(codec.digests(t.as_py() or "") for t in texts)) if len(texts) else ((), (), ())
+            columns = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col), run(F.col(text_col)).alias("r")).select(id_col, "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

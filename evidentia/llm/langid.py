@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,11 +181,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, from the whole text alone. Without letters (or null): und, 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # features x languages, a fixed size
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")  # a text at a time leaves the Arrow batch
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+            told = [model.predict(t.as_py()) for t in texts]
+            lang, score = pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())
+            yield pa.StructArray.from_arrays([lang, score], ["lang_pred", "score"])
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("evidentia_lang", run(F.col(text_col))).select(*keep, "evidentia_lang.lang_pred", "evidentia_lang.score")
