@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ NARROW = 1_000_000
 HEAVY = 100_000
 #: Rows with whole texts that a Python worker gets at a time.
 TEXTS = 500
+#: Sets of one signature that linked_parts compares in one place.
+BLOCK = 512
 
 
 def ascii_lower(text: Column) -> Column:
@@ -105,14 +107,29 @@ def _forest(batches):
         yield pd.DataFrame({"a": nodes[own], "b": nodes[roots[own]]})
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _labels(batches):
+    """(node, component) of the whole graph that one task is given."""
+    edges = list(batches)
+    if edges:
+        edges = pd.concat(edges, ignore_index=True)
+        node = np.unique(edges[["a", "b"]].to_numpy())
+        component = node.copy()
+        for forest in _forest([edges]):
+            component[np.searchsorted(node, forest["a"])] = forest["b"]
+        yield pd.DataFrame({"node": node, "component": component})
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, few: int = NARROW) -> DataFrame:
     """(node, component) of an undirected graph given as rows (a, b) of longs; component: its smallest node.
 
     Union-find within each task thins the edges to a forest; then every node takes the smallest label around it
     and the label of its label (pointer jumping) until nothing changes. Joins and partial sums only: the edges of
-    a hub never meet in one task's memory. Self-loops and repeated edges are harmless; an empty table gives none.
+    a hub never meet in one task's memory. Up to `few` edges of that forest, by count, are one task's work: the same
+    labels without a dozen jobs. Self-loops and repeated edges are harmless; an empty table gives none.
     """
-    thin = edges.select("a", "b").where("a <> b").mapInPandas(_forest, "a long, b long")
+    thin = stored(edges.select("a", "b").where("a <> b").mapInPandas(_forest, "a long, b long"), "forest")
+    if thin.limit(few + 1).count() <= few:
+        return stored(thin.coalesce(1).mapInPandas(_labels, "node long, component long"), "labels")
     both = stored(thin.union(thin.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     for _ in range(most_rounds):
@@ -128,59 +145,151 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
-def linked_parts(postings: DataFrame, links: Callable[[DataFrame], DataFrame], most: int | None = None, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def parity(tokens: np.ndarray, spread: int = 1) -> bytes:
+    """A bitmap of about `spread` bits a token, each toggled by its tokens. Bits that differ between two sets' bitmaps are
+    at most the tokens that only one set has."""
+    bits = max(128, spread << max(0, int(len(tokens) - 1).bit_length()))
+    on = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(on.astype(np.uint8)).tobytes()
+
+
+def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of bitmaps (arrays of bytes objects) a lower bound of the symmetric difference; of two lengths the longer
+    one is folded to the shorter one's bits."""
+    found = np.zeros(len(x), np.int64)
+    lengths = np.stack([np.fromiter(map(len, side), np.int64, len(side)) for side in (x, y)], 1)
+    for a, b in np.unique(lengths, axis=0).tolist():
+        at = np.flatnonzero((lengths == (a, b)).all(1))
+        words = min(a, b) // 8
+        fold = lambda side, at=at, words=words: np.bitwise_xor.reduce(
+            np.frombuffer(b"".join(side[at]), np.uint64).reshape(len(at), -1, words), axis=1
+        )
+        found[at] = np.bitwise_count(fold(x) ^ fold(y)).sum(axis=1, dtype=np.int64)
+    return found
+
+
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that their bitmaps don't rule out: Jaccard 0.8 leaves a symmetric difference of a ninth of both sizes."""
+    for pairs in batches:
+        differ = _differences(pairs["bits_a"].to_numpy(), pairs["bits_b"].to_numpy())
+        yield pairs.loc[9 * differ <= (pairs["n_a"] + pairs["n_b"]).to_numpy(), ["a", "b"]]
+
+
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that the bitmaps of marks (rep, n, bits) don't rule out."""
+    side = lambda c: marks.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    two = pairs.join(side("a"), "a").join(side("b"), "b")
+    return two.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(_possible, "a long, b long")
+
+
+def _closest_forest(pairs: np.ndarray, parts: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of pairs whose ends lie in components `parts`, closest first, those that join what earlier ones haven't joined. The order
+    doesn't depend on the block, so blocks with the same members choose the same pairs."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    chosen = []
+    for i in np.lexsort((pairs[:, 1], pairs[:, 0], differ)).tolist():
+        x, y = root(int(parts[i, 0])), root(int(parts[i, 1]))
+        if x != y:
+            parent[x] = y
+            chosen.append(i)
+    return pairs[chosen]
+
+
+def _block_pairs(block: pd.DataFrame, thin: bool) -> pd.DataFrame:
+    """Pairs of one (sig, i, j) in different components, of different blocks if i <> j, that sizes and bitmaps don't rule out.
+    Row r is compared with row r + 1, then all with r + 2, and so on: whole arrays at a time."""
+    sig, i, j, own, rep, n, part = (block[c].to_numpy() for c in ("sig", "i", "j", "own", "rep", "n", "part"))
+    bits = block["bits"].to_numpy()
+    pairs, parts, differs = [], [], []
+    for step in range(1, len(block)):
+        x, y = slice(None, -step), slice(step, None)
+        same = (sig[x] == sig[y]) & (i[x] == i[y]) & (j[x] == j[y])
+        if not same.any():
+            break
+        fits = same & (part[x] != part[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (80 * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
+        at = np.flatnonzero(fits)
+        if len(at):
+            differ = _differences(bits[at], bits[at + step])
+            close = 9 * differ <= n[at] + n[at + step]
+            at, differ = at[close], differ[close]
+            pairs.append(np.sort(np.stack([rep[at], rep[at + step]], 1), 1))
+            parts.append(np.stack([part[at], part[at + step]], 1))
+            differs.append(differ)
+    found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    if len(found):
+        found = _closest_forest(found, np.concatenate(parts), np.concatenate(differs)) if thin else np.unique(found, axis=0)
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _compared(thin: bool):
+    """Rows (sig, i, j, own, rep, n, part, bits) sorted by sig, i, j: _block_pairs of every stretch of whole blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            key = batch[["sig", "i", "j"]].to_numpy()
+            last = int((~(key == key[-1]).all(1)).cumsum()[-1]) if len(batch) else 0
+            yield _block_pairs(batch.iloc[:last], thin)
+            held = batch.iloc[last:]
+        if held is not None:
+            yield _block_pairs(held, thin)
+
+    return run
+
+
+def linked_parts(postings: DataFrame, marks: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of sets that are linked by Jaccard similarity 0.8 or more.
 
-    postings: (sig, rep, n): set rep, of n elements, has signature sig; links(pairs) returns those of the pairs (a, b) that
-    are linked. First each set is tried with the smallest set of a signature that it meets most often, which joins a
-    group of near copies without all its pairs; then with the smallest sets of its other signatures, if in another
-    component. Last, all sets of one signature that are still in different components are tried, if their sizes allow a link. A pair that shares a signature is thus tried, or joined already.
+    postings: (sig, rep, n): set rep, of about n elements, has signature sig; repeated rows do no harm. marks(reps) gives (rep,
+    n, bits): exact sizes and bitmaps (parity) of these sets. links(pairs) returns those of the pairs (a, b) that are linked.
 
-    Where a signature that only makes a link likely has more than `most` sets, exact(reps) gives those sets finer postings,
-    under which linked ones are sure to meet: dissimilar sets of a large bucket then don't make all their pairs.
+    First each set is tried with the smallest set of a signature that it meets most often. Then, while a signature has sets
+    in different components, its sets lie in blocks of about BLOCK, and those of a block are compared by size and bitmap;
+    twice only as many of the pairs that pass are tried as could join the components, and that is linear in the sets. What
+    signatures still hold apart is compared block with block, and every pair that passes is tried: rows of that step are a
+    BLOCK-th of the square of a signature's sets. So of sets that share a signature each pair is tried, ruled out by a
+    bound, or joined already.
     """
-
-    def meet(postings: DataFrame) -> DataFrame:
-        by_size = Window.partitionBy("sig").orderBy("n", "rep")
-        whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
-        found = postings.select(
-            "sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"),
-            F.lead("rep").over(by_size).alias("next"), F.row_number().over(by_size).alias("nth"),
-        )
-        return stored(found.where("rep <> head OR next <> rep").drop("next"), "shared")
-
-    shared = meet(postings)
-    if exact is not None:
-        large = stored(shared.where(F.col("nth") == most + 1).select("sig"), "large")
-        if not large.isEmpty():
-            large = broadcast_if_small(large, NARROW)
-            reps = stored(shared.join(large, "sig", "left_semi").select("rep").distinct(), "reps")
-            shared = stored(shared.join(large, "sig", "left_anti"), "small").union(meet(exact(reps)))
+    by_size = Window.partitionBy("sig").orderBy("n", "rep")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, 0)
+    met = postings.select("sig", "rep", "n", F.first("rep").over(whole).alias("head"), F.first("n").over(whole).alias("head_n"), F.lead("rep").over(by_size).alias("next"))
+    shared = stored(met.where("(rep <> head OR next <> rep) AND NOT (next <=> rep)").drop("next"), "shared")
+    sizes = stored(marks(shared.select("rep").distinct()), "marks", batch=TEXTS)
     near = shared.where("rep <> head AND n * 80 <= head_n * 100")
     tries = near.groupBy("rep", "head").agg(F.count("*").alias("times"))
-    best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
-    tried = stored(best.select("a", F.col("rep").alias("b")), "pairs")
-    found = links(tried)
-
-    def place() -> tuple[DataFrame, DataFrame]:
-        parts = stored(connected_components(found), "parts")
-        side = broadcast_if_small(parts, NARROW)
-        of = lambda c: side.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-        at = shared.join(of("rep"), "rep", "left").join(of("head"), "head", "left")
-        return parts, at.withColumn("part", F.coalesce("rep_part", "rep")).withColumn("head_part", F.coalesce("head_part", "head"))
-
-    _, placed = place()
-    more = placed.where("part <> head_part AND n * 80 <= head_n * 100").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    found, tried = found.union(links(more)), tried.union(more)
-    parts, placed = place()
-    open_sigs = stored(placed.where("part <> head_part").select("sig").distinct(), "open")
-    apart = stored(placed.join(broadcast_if_small(open_sigs, NARROW), "sig", "left_semi").select("sig", "rep", "n", "part"), "apart")
-    one, two = apart.alias("x"), apart.alias("y")
-    same = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") != F.col("y.part")) & (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep"))
-    second = one.join(two, same & (F.col("y.n") * 80 <= F.col("x.n") * 100)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    second = stored(second.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        found = found.union(links(second))
-        parts = connected_components(found)
+    best = tries.groupBy("rep").agg(F.max_by("head", F.struct("times", "head")).alias("head"))
+    tried = stored(best.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct(), "tried")
+    found = links(stored(possible(tried, sizes), "possible"))
+    parts, new = None, True
+    for turn, thin in enumerate((True, True, False)):
+        parts = connected_components(found) if new else parts
+        side = broadcast_if_small(parts.withColumnRenamed("node", "rep"), NARROW)
+        placed = shared.select("sig", "rep").join(side, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("part"))
+        held = placed.groupBy("sig").agg(F.count("*").alias("g"), F.min("part").alias("low"), F.max("part").alias("high"))
+        # powers of two, so that blocks of signatures with the same sets agree
+        blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("g") / BLOCK)))).cast("int")
+        held = stored(held.where("low <> high").select("sig", blocks.alias("blocks")), "open")
+        if held.isEmpty():
+            break
+        apart = placed.join(broadcast_if_small(held, NARROW), "sig").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
+        others = F.array("own") if thin else F.sequence(F.lit(0), F.col("blocks") - 1)
+        apart = apart.withColumn("other", F.explode(others)).join(sizes, "rep")
+        apart = apart.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "part", "bits")
+        apart = apart.repartition(shuffle_width(postings.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "rep")
+        pairs = apart.mapInPandas(_compared(thin), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        new = not pairs.isEmpty()
+        if new:
+            tried, found = tried.union(pairs), found.union(links(pairs))
+    else:
+        parts = connected_components(found) if new else parts
     return parts

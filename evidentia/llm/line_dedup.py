@@ -11,14 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NARROW, UPPER, broadcast_if_small, linked_parts, shuffle_width, stored
-from .ngram_join import frequent_tokens, signatures
+from .common import LOWER, NARROW, TEXTS, UPPER, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
 from .shingles import mixed
 
 #: Characters of a shingle; bands and rows of a signature; pairs of one line that a task verifies together; characters
-#: whose shingles are in memory at a time; lines that a task remembers so as not to send them again; bits of a bitmap;
-#: lines of a band's bucket above which they are joined exactly.
-CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, BITS, BUCKET = 10, 12, 4, 256, 1 << 21, 500_000, 1024, 32
+#: whose shingles are in memory at a time; lines that a task remembers so as not to send them again; bits of a bitmap a
+#: shingle.
+CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, SPREAD = 10, 12, 4, 256, 1 << 19, 200_000, 2
 U32, U64 = np.uint32, np.uint64
 _seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(U32) | U32(1)
 _blank, _odd = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x09\x0B-\x0D]|  ")
@@ -54,8 +53,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h ^ (h >> U32(13)))[inside[: len(h)]], size - CHARS + 1
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each."""
+def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each; counts of shingles, with repeats."""
     h, sizes = shingle_hashes(lines)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.zeros((len(lines), BANDS), U64)
@@ -64,16 +63,7 @@ def bands(lines: list[str]) -> np.ndarray:
         for r in range(ROWS):
             key = key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _seeds[b * ROWS + r], starts).astype(U64)
         out[:, b] = mixed(key)
-    return out
-
-
-def bitmaps(lines: list[str]) -> tuple[list[bytes], list[int]]:
-    """For each line BITS bits, set by the shingle hashes that fall on them, and its count of shingles, repeats included.
-    A bit that only one of two lines has stands for a shingle, at least one, that only this line has."""
-    h, sizes = shingle_hashes(lines)
-    on = np.zeros(len(lines) * BITS, np.bool_)
-    on[np.repeat(np.arange(len(lines)) * BITS, sizes) + (h & U32(BITS - 1))] = True
-    return [x.tobytes() for x in np.packbits(on.reshape(-1, BITS), axis=1)], sizes.tolist()
+    return out, sizes
 
 
 def shingle_set(line: str) -> np.ndarray:
@@ -118,34 +108,30 @@ def _new_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], lis
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every line's place and number, and about once a task its bitmap."""
-    seen: set[int] = set()
+    """Every line's place and number."""
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            some = batch.iloc[at : at + 500]
-            found = [(i, th, nth, line) for i, th, text in zip(some["id"], some["th"], some["text"]) for nth, line in enumerate(normal_lines(text or "")) if line]
-            numbers = [number(f[3]) for f in found]
-            new = [k for k, n in enumerate(numbers) if n not in seen and not seen.add(n)]
-            bits, sizes = [None] * len(found), [0] * len(found)
-            if new:
-                for k, b, c in zip(new, *bitmaps([found[k][3] for k in new])):
-                    bits[k], sizes[k] = b, c
-            yield pd.DataFrame({"id": [f[0] for f in found], "th": [f[1] for f in found], "nth": [f[2] for f in found], "line": numbers, "size": sizes, "bits": bits})
-        if len(seen) > REMEMBER:
-            seen.clear()
-
-
-def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs that their bitmaps don't rule out: similarity 0.8 leaves at most a ninth of both sizes that differ."""
-    for pairs in batches:
-        x, y = (np.frombuffer(b"".join(pairs[c]), np.uint8).reshape(len(pairs), -1) for c in ("bits_a", "bits_b"))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        yield pairs.loc[9 * differ <= (pairs["size_a"] + pairs["size_b"]).to_numpy(), ["a", "b"]]
+        for at in range(0, len(batch), TEXTS):
+            some = batch.iloc[at : at + TEXTS]
+            found = [
+                (i, th, nth, number(line))
+                for i, th, text in zip(some["id"], some["th"], some["text"])
+                for nth, line in enumerate(normal_lines(text or ""))
+                if line
+            ]
+            yield pd.DataFrame({c: [f[k] for f in found] for k, c in enumerate(("id", "th", "nth", "line"))})
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for lines, numbers in _new_lines(batches):
-        yield pd.DataFrame({"sig": bands(lines).view(np.int64).ravel(), "rep": np.repeat(np.array(numbers, np.int64), BANDS), "n": 1})
+        sigs, sizes = bands(lines)
+        rep = np.repeat(np.array(numbers, np.int64), BANDS)
+        yield pd.DataFrame({"sig": sigs.view(np.int64).ravel(), "rep": rep, "n": np.repeat(sizes.astype(np.int32), BANDS)})
+
+
+def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(normal_lines(text)[0]) for text in batch["text"]]
+        yield pd.DataFrame({"rep": batch["line"], "n": [len(s) for s in sets], "bits": [parity(s, SPREAD) for s in sets]})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,13 +151,13 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of similar lines, over all documents, keep one.
 
-    Lines lie between newlines and are compared in their normal form (normal_lines); lines without visible characters stay and take
-    no part. Equal lines are one class, told apart by a 64-bit number. Classes whose sets of 10-character shingles have
-    Jaccard similarity 0.8 or more are linked if they share one of 12 MinHash bands of 4 (at 0.8 all but
-    (1 - 0.41) ** 12 = 0.2 % do, at 0.9 all but 3 in 100,000), a bound from bitmaps allows it and exact comparison agrees; linked_parts() keeps
-    groups of near copies from making all their pairs, and where a band's bucket holds more than 32 classes, those are
-    joined by exact prefix signatures instead, so that many lines with a common passage don't make all theirs. Of a component the line of the smallest (id, text hash,
-    place) stays, all others go, so of a line that a document repeats too.
+    Lines lie between newlines and are compared in their normal form (normal_lines); lines without visible characters stay and
+    take no part. Equal lines are one class, told apart by a 64-bit number. Classes whose sets of 10-character shingles
+    have Jaccard similarity 0.8 or more are linked if they share one of 12 MinHash bands of 4 (at 0.8 all but
+    (1 - 0.41) ** 12 = 0.2 % do, at 0.9 all but 3 in 100,000), a bound from bitmaps allows it and exact comparison
+    agrees; linked_parts() keeps groups of near copies from making all their pairs. Of a component the line of the
+    smallest (id, text hash, place) stays, all others go, so of a line that a document repeats too. How the table is
+    dealt over partitions changes nothing.
 
     Rows that repeat an id with its very text share one decision. Null text counts as empty; null ids come first. Returns one
     row per row of docs: id_col, n_lines, n_dropped, text (the lines that stay; null stays null).
@@ -179,51 +165,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     id_type = docs.schema["id"].dataType.simpleString()
-    places = stored(docs.mapInPandas(_places, f"id {id_type}, th long, nth int, line long, size int, bits binary"), "places")
-    marks = places.where("bits IS NOT NULL")
-    owners = stored(places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at")), "owners")
-
-    def texts_of(lines: DataFrame) -> DataFrame:
-        """lines (b, ...) with the text of line b, fetched from the document that owns it."""
-        wanted = stored(lines.join(owners.withColumnRenamed("line", "b"), "b").select(*lines.columns, F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th"), F.col("at.nth").alias("w_nth")), "wanted")
+    places = stored(docs.mapInPandas(_places, f"id {id_type}, th long, nth int, line long"), "places", batch=TEXTS)
+    owners = places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at"))
+    texts: list[DataFrame] = []
+
+    def marks(reps: DataFrame) -> DataFrame:
+        """Sizes and bitmaps of lines; their texts are fetched once, each from the document that owns it, and kept for links()."""
+        wanted = owners.join(reps.withColumnRenamed("rep", "line"), "line", "left_semi")
+        wanted = stored(wanted.select("line", F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th"), F.col("at.nth").alias("w_nth")), "wanted")
         some = broadcast_if_small(stored(wanted.select("w_id", "w_th").distinct(), "some"), NARROW)
         cut = docs.join(some, docs["id"].eqNullSafe(some["w_id"]) & (docs["th"] == some["w_th"]), "left_semi")
         cut = cut.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("nth", "text"))
-        wanted = broadcast_if_small(wanted, NARROW)
-        there = cut.join(wanted, cut["id"].eqNullSafe(wanted["w_id"]) & (cut["th"] == wanted["w_th"]) & (cut["nth"] == wanted["w_nth"]))
-        return there.select(*lines.columns, "text")
-
-    def exact(reps: DataFrame) -> DataFrame:
-        """Prefix signatures of these lines, rare shingles first."""
-        lines = stored(texts_of(reps.select(F.col("rep").alias("b"))), "lines")
-        sent = spark.sparkContext.broadcast(frequent_tokens(lines, "text", lambda text: shingle_set(normal_lines(text)[0])))
-
-        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for b, text in zip(batch["b"], batch["text"]):
-                    sigs = signatures(shingle_set(normal_lines(text)[0]), sent.value).view(np.int64)
-                    yield pd.DataFrame({"sig": sigs, "rep": b, "n": 1})
-
-        return lines.mapInPandas(sign, "sig long, rep long, n int")
+        side = broadcast_if_small(wanted, NARROW)
+        there = cut.join(side, cut["id"].eqNullSafe(side["w_id"]) & (cut["th"] == side["w_th"]) & (cut["nth"] == side["w_nth"]))
+        texts.append(stored(there.select("line", "text").dropDuplicates(["line"]), "lines"))
+        return texts[0].mapInPandas(_mark, "rep long, n long, bits binary")
 
     def links(pairs: DataFrame) -> DataFrame:
-        side = lambda c: marks.select(F.col("line").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")).dropDuplicates([c])
-        two = pairs.join(side("a"), "a").join(side("b"), "b")
-        pairs = stored(two.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInPandas(_possible, "a long, b long"), "possible")
         degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
         heads = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rest"), F.col("a").alias("b"))
         others = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rest"), "b")
-        there = texts_of(heads.union(others))
+        there = heads.union(others).join(texts[0].withColumnRenamed("line", "b"), "b")
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "rest")
         return stored(there.select("a", (F.col("rest") == 0).alias("own"), "b", "text").mapInPandas(_verified, "a long, b long"), "links")
 
-    parts = linked_parts(docs.select("text").mapInPandas(_sign, "sig long, rep long, n int"), links, BUCKET, exact)
-    parts = broadcast_if_small(stored(parts, "parts"), NARROW)
-    placed = places.join(parts.withColumnRenamed("node", "line"), "line", "left").select("id", "th", "nth", F.coalesce("component", "line").alias("part"))
-    stays = placed.groupBy("part").agg(F.min(F.struct("id", "th", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = placed.join(stays, "part").where("NOT (first <=> struct(id, th, nth))")
-    gone = gone.groupBy(F.col("id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set("nth").alias("drop"))
-    gone = broadcast_if_small(stored(gone, "gone"))
+    parts = linked_parts(docs.select("text").mapInPandas(_sign, "sig long, rep long, n int"), marks, links)
+    parts = broadcast_if_small(parts.withColumnRenamed("node", "line"), NARROW)
+    placed = places.join(parts, "line", "left").select("id", "th", "nth", F.coalesce("component", "line").alias("part"))
+    stays = placed.groupBy("part").agg(F.min(F.struct("id", "th", "nth")).alias("first"), F.count("*").alias("n"))
+    gone = spread_join(placed, stored(stays.where("n > 1"), "stays"), "part").where("NOT (first <=> struct(id, th, nth))")
+    gone = stored(gone.groupBy(F.col("id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set("nth").alias("drop")), "gone")
+    if gone.agg(F.coalesce(F.sum(F.size("drop") + 3), F.lit(0)).alias("n")).first()["n"] <= NARROW:  # numbers, not rows
+        gone = F.broadcast(gone)
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.coalesce(F.array_contains("drop", i), F.lit(False)), x)), lambda x: x.isNotNull())
     return docs.join(gone, docs["id"].eqNullSafe(gone["g_id"]) & (docs["th"] == gone["g_th"]), "left").select(

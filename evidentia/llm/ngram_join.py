@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, shuffle_width, spread_join, stored
+from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
 from .shingles import U, mixed, set_key, shingle_set
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
@@ -144,29 +144,6 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
     return np.sort(table["token"].to_numpy(np.int64).astype(U))
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """A bitmap of about as many bits as tokens, each toggled by its tokens: 1/64 of the set's size. Bits that differ
-    between two sets' bitmaps are at most the tokens that only one set has."""
-    bits = max(128, 1 << max(0, int(len(tokens) - 1).bit_length()))
-    return np.packbits((np.bincount((tokens % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-def differ_at_least(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference; the longer bitmap is folded to the shorter one's bits."""
-    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs that their bitmaps don't rule out: Jaccard 0.8 leaves a symmetric difference of a ninth of both sizes."""
-    for pairs in batches:
-        keep = [9 * differ_at_least(x, y) <= n + m for x, y, n, m in zip(pairs["bits_a"], pairs["bits_b"], pairs["n_a"], pairs["n_b"])]
-        yield pairs.loc[np.array(keep, np.bool_), ["a", "b"]]
-
-
 def _verified(k: int):
     """Rows (a, part, b, text) sorted so that the text of a itself, with b null, comes before those to compare with it.
     Exact: 100 * intersection >= 80 * union. One set and a stretch of texts are in memory at a time."""
@@ -212,13 +189,10 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
     classes = stored(members.groupBy("key").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "classes")
     reps = rows.select("row", "n", "sigs").join(broadcast_if_small(classes.select(F.col("rep").alias("row")), NARROW), "row", "left_semi")
     postings = reps.select(F.col("row").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are linked. First their bitmaps; then each a, and the b of its pairs, meet in
-        one task, or for many pairs in several, by texts that are fetched by id and text hash."""
-        marks = rows.select("row", "n", "bits")
-        one = pairs.join(marks.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-        two = one.join(marks.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-        left = stored(two.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(_possible, "a long, b long"), "possible")
+
+    def links(left: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are linked. Each a, and the b of its pairs, meet in one task, or for many pairs in
+        several, by texts that are fetched by id and text hash."""
         degree = left.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
         heads = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("b"), F.col("a").alias("row"))
         others = left.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("b").alias("row"))
@@ -231,7 +205,10 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "b")
         return stored(there.select("a", "b", "text").mapInPandas(_verified(k), "a long, b long"), "links", batch=TEXTS)
 
-    parts = linked_parts(postings, links)
+    def marks(reps: DataFrame) -> DataFrame:
+        return rows.select(F.col("row").alias("rep"), "n", "bits").join(broadcast_if_small(stored(reps, "reps"), NARROW), "rep", "left_semi")
+
+    parts = linked_parts(postings, marks, links)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("part"), F.col("n").alias("copies"))
     placed = spread_join(rows.where("n > 0").select("id", "th", "n", "key"), of_class, "key", "copies").drop("key")
     return stored(placed, "placed"), rows.where("n = 0").select("id", "th", "n")
@@ -243,9 +220,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs without space or \\t-\\r, A-Z lower-cased, of the whole text. A text of fewer than k words has its whole word
     sequence as its one shingle; without words (or null) a set is empty and linked with nothing, itself a component.
 
-    Equal sets are one class. Classes are indexed by signatures(); within a signature each class is first compared with the
-    smallest one that it meets most often, which joins a group of near copies without all its pairs; then only classes
-    that share a signature and are still in different components are compared. Every pair that could link is thus
+    Equal sets are one class. Classes are indexed by signatures() and linked by linked_parts(): every pair that could link is
     compared exactly, ruled out by a bound, or already joined.
 
     Returns one row per row of docs: id_col, n_shingles, component_id (the smallest id in the component; nulls don't

@@ -8,7 +8,7 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, langid, line_dedup, ngram_join
+from evidentia.llm import bpe, common, langid, line_dedup, ngram_join
 from evidentia.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, n long, key string"
@@ -21,9 +21,11 @@ def test_components(spark):
     for _ in range(100):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
-    assert all(label[n] == c for n, c in got.items()) and {n for e in edges for n in e if e[0] != e[1]} == set(got)
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 1000):  # by joins, in one task
+        given = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        got = {r["node"]: r["component"] for r in connected_components(given, few=few).collect()}
+        assert all(label[n] == c for n, c in got.items()) and {n for e in edges for n in e if e[0] != e[1]} == set(got)
+        assert connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_language_id(spark):
@@ -173,11 +175,11 @@ def test_line_links_equal_all_pairs(spark):
             break
     df = spark.createDataFrame([(i, t, None, 0, "k") for i, t in enumerate(lines)], SCHEMA)
     want = {i for i in range(len(lines)) if label[i] == i or not norm[i]}
-    old = line_dedup.BUCKET
-    try:
-        for bucket in (old, 3):  # with 3, large buckets are joined exactly
-            line_dedup.BUCKET = bucket
-            got = {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["n_dropped"] == 0}
-            assert len(got ^ want) <= 2  # MinHash may miss a link in 500
-    finally:
-        line_dedup.BUCKET = old
+    old = common.BLOCK
+    for block, parts in ((old, 1), (4, 7)):  # neither the size of blocks nor the partitioning changes anything
+        try:
+            common.BLOCK = block
+            got = line_dedup.dedup_lines(df.repartition(parts)).collect()
+        finally:
+            common.BLOCK = old
+        assert {r["doc_id"] for r in got if r["n_dropped"] == 0} == want
