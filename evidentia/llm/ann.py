@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_width, stored
 
 #: Rows that fit the codebooks, centroids of a half, rows of an index block, share of the rows that a query reranks.
 SAMPLE, CENTROIDS, BLOCK, SHARE = 8000, 32, 4096, 0.65
@@ -78,19 +78,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = SHA
     distance until they hold `share` of all rows (and k + 1 at least), computes exact distances in each block and keeps
     its k best there, ties to smaller ids; a window ranks what the blocks return. All rows are indexed.
 
-    Vectors that are null, zero or of another length than the first codebook row, or hold null or non-finite
+    Vectors that are null, zero or of another length than most (ties: the shorter), or hold null or non-finite
     components, take no part on either side; equal vectors are entries of their own. Rows that repeat an id are one entry for
     each different vector. Fewer candidates than k: all of them. Returns query_id, rank, id_col, score.
     """
     spark = rows.sparkSession
     entries = stored(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(usable("v") & F.col("id").isNotNull()).distinct(), "vectors")
     asked = stored(queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(usable("v") & F.col("id").isNotNull()).distinct(), "queries")
+    lengths = entries.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()  # one row
+    dims = lengths[0]["dims"] if lengths else 0
+    entries, asked = entries.where(F.size("v") == dims), asked.where(F.size("v") == dims).repartition(shuffle_width(spark))
     books = fit_codebooks(entries)
     out = f"query_id {entries.schema['id'].dataType.simpleString()}, {id_col} {entries.schema['id'].dataType.simpleString()}, score double"
     if not books:
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), id_col, "score")
-    dims, half = books[0].shape[1] + books[1].shape[1], books[0].shape[1]
-    entries, asked = entries.where(F.size("v") == dims), asked.where(F.size("v") == dims)
+    half = books[0].shape[1]
     sent = spark.sparkContext.broadcast(books)  # 2 x CENTROIDS vectors
 
     @F.pandas_udf("int")

@@ -15,13 +15,20 @@ BLOCK = 64
 
 
 def escape(text: Column) -> Column:
-    """Reversible: a backslash before each backslash, ### and </turn>, so that no text holds a control string."""
-    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(text, F.lit("###"), F.lit("\\###")), F.lit("</turn>"), F.lit("\\</turn>"))
+    """Reversible, and the result holds neither ### nor </turn>: a backslash becomes \\s, ### becomes \\h\\h\\h and the < of
+    </turn> becomes \\l."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\s"))
+    return F.replace(F.replace(text, F.lit("###"), F.lit("\\h\\h\\h")), F.lit("</turn>"), F.lit("\\l/turn>"))
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<])", "$1")
+    """Each backslash of an escaped text begins one of three marks, so they are replaced one after another, \\s last."""
+    text = F.replace(F.replace(text, F.lit("\\h"), F.lit("#")), F.lit("\\l"), F.lit("<"))
+    return F.replace(text, F.lit("\\s"), F.lit("\\"))
+
+
+def turn_head(role: Column) -> Column:
+    return F.concat(F.lit(HEAD), F.url_encode(role), F.lit("\n"))
 
 
 def token_count(text: Column) -> Column:
@@ -34,8 +41,8 @@ def format_windows(
 ) -> DataFrame:
     """Format every conversation as windows of whole turns.
 
-    Turns are ordered by (turn, role, text). Prefix sums of their tokens cut a conversation: with half = half of what
-    window_tokens leaves beside the history and the first system turn (at least an eighth of the window), the turns whose
+    Turns are ordered by (turn, role, text). Prefix sums of their tokens, those of the template included, so that turns without
+    text count too, cut a conversation: with half = half of what window_tokens leaves beside the history and the first system turn (at least an eighth of the window), the turns whose
     tokens begin in one stretch of `half` tokens share a window, and a turn of more than `half` tokens has one of
     its own. So new turns stay within twice `half`, unless one turn alone is longer; turns are never cut. Each later window
     repeats the conversation's first turn if its role is system, then up to history_turns turns before its own
@@ -52,7 +59,7 @@ def format_windows(
         conv.alias("conv"), F.when(conv.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), conv.cast("string"))).alias("ck"),
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    src = src.withColumn("tokens", token_count(F.col("text")))
+    src = src.withColumn("tokens", token_count(F.concat(turn_head(F.col("role")), escape(F.col("text")), F.lit(CLOSE))))
     src = src.withColumn("block", F.expr(f"coalesce(floor(turn / {BLOCK}), -9223372036854775808)"))
     inner = Window.partitionBy("ck", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     src = src.withColumn("nth", F.row_number().over(inner)).withColumn("upto", F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
@@ -83,7 +90,7 @@ def format_windows(
     again = spans.where("first > 0").join(systems, "ck").select("ck", "cell", "sub", F.lit(-1).cast("long").alias("pos"), F.col("s_role").alias("role"), F.col("s_text").alias("text"), F.lit(False).alias("new"))
     parts = placed.select("ck", "cell", "sub", "pos", "role", "text", F.lit(True).alias("new"))
     parts = parts.union(history.select("ck", "cell", "sub", "pos", "role", "text", F.lit(False).alias("new"))).union(again)
-    head = F.concat(F.lit(HEAD), F.url_encode("role"), F.lit("\n"))
+    head = turn_head(F.col("role"))
     body = escape(F.col("text"))
     parts = parts.select("ck", "cell", "sub", F.struct("pos", "new", head.alias("head"), body.alias("body"), ((F.col("role") == "assistant") & F.col("new")).alias("target")).alias("p"))
     windows = parts.groupBy("ck", "cell", "sub").agg(F.sort_array(F.collect_list("p")).alias("ps"))
@@ -103,8 +110,9 @@ def format_windows(
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """What the windows say, from their text and mask alone: per conversation its turns and the text under the loss
-    mask, as digests: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What the windows say, from their text, their mask and the counts of their turns: per conversation its turns and the text
+    under the loss mask, as digests: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A digest of
+    a whole conversation needs its text in one row, so this report (not format_windows) holds a conversation at a time."""
     turns = F.slice(F.split("formatted", F.lit(CLOSE), -1), F.col("n_context") + 1, F.col("n_new"))
     line = F.transform(turns, lambda t: F.concat(F.url_decode(F.substring_index(F.substr(t, F.lit(len(HEAD) + 1)), "\n", 1)), F.lit("\n"), unescape(F.substr(t, F.locate("\n", t) + 1)), F.lit("\n")))
     under = F.transform("loss", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["length"])))

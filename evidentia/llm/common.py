@@ -67,17 +67,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, *key: str, n: str = "n") -> DataFrame:
     """rows joined with side, one row a key, in which column n counts the key's rows: those of a key with more than HEAVY
     rows are dealt over several tasks, to which its row of side is copied. Column n is dropped."""
     side = side.withColumn("evidentia_parts", F.ceil(F.col(n) / HEAVY).cast("int")).drop(n)
-    heavy = stored(side.where("evidentia_parts > 1").select(key, "evidentia_parts"), "heavy")
+    heavy = stored(side.where("evidentia_parts > 1").select(*key, "evidentia_parts"), "heavy")
     if heavy.isEmpty():
-        return rows.join(side.drop("evidentia_parts"), key)
-    rows = rows.join(broadcast_if_small(heavy, NARROW), key, "left")
+        return rows.join(side.drop("evidentia_parts"), [*key])
+    rows = rows.join(broadcast_if_small(heavy, NARROW), [*key], "left")
     rows = rows.withColumn("evidentia_part", F.floor(F.rand(7) * F.coalesce("evidentia_parts", F.lit(1))).cast("int")).drop("evidentia_parts")
     side = side.withColumn("evidentia_part", F.explode(F.sequence(F.lit(0), F.col("evidentia_parts") - 1))).drop("evidentia_parts")
-    return rows.join(side, [key, "evidentia_part"]).drop("evidentia_part")
+    return rows.join(side, [*key, "evidentia_part"]).drop("evidentia_part")
 
 
 def no_clash(df: DataFrame, wanted: list[str]) -> DataFrame:

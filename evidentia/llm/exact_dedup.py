@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shuffle_width, stored
+from .common import HEAVY, NARROW, ascii_lower, broadcast_if_small, shuffle_width, spread_join, stored
+
+
+#: Hashes are even, so buckets of the depth that their count gives need one or two bits more; keys that share all these bits
+#: stay in one bucket, which only makes it larger.
+MOST_SPLITS = 12
 
 
 @dataclass(frozen=True)
@@ -29,52 +35,67 @@ def _prefix(h: Column, bits: int) -> Column:
     return F.lit(1).cast("long") if bits == 0 else F.shiftrightunsigned(h, 64 - bits) + F.lit(1 << bits).cast("long")
 
 
-def grow_directory(entries: DataFrame, capacity: int, most_slots: int = 1 << 14) -> Directory:
-    """Double the directory until no bucket holds more than `capacity` hash values. One hash value is one chain
-    however many copies it has, so copies never split a bucket. The directory has at most `most_slots` slots;
-    for more entries than that holds, the capacity rises instead, and buckets are files, not memory."""
-    keys = entries.select("h").distinct()
-    n = keys.count()
-    capacity = max(capacity, 2 * n // most_slots)
-    depth = max(0, (n // capacity).bit_length() - 1)
+def grow_directory(keys: DataFrame, capacity: int) -> Directory:
+    """Double the directory until no bucket holds more than `capacity` of the distinct hashes in keys (h). One hash is one
+    chain however many copies it has, so copies never split a bucket. Only the codes of overfull buckets come to the driver: as
+    the depth is chosen by the count of keys and hashes are even, they are few."""
+    depth = max(0, (keys.count() // capacity).bit_length())
     splits: list[tuple[int, ...]] = []
     while True:
         now = Directory(depth, tuple(splits))
         full = keys.groupBy(now.bucket(F.col("h")).alias("bucket")).count().where(F.col("count") > capacity)
         codes = tuple(sorted(r["bucket"] for r in full.collect()))
-        if not codes or depth + len(splits) >= most_slots.bit_length():
+        if not codes or len(splits) >= MOST_SPLITS:
             return now
         splits.append(codes)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 8192) -> DataFrame:
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, hashed: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
     """Groups of equal texts: identical after lower-casing A-Z only.
 
-    1. A scan keeps (id, row, hash, digest) of every row. 2. Grouping by (hash, text) compares the texts' bytes,
-    pre-aggregated before its shuffle so that a huge group of copies sends one row a task; entries of one hash
-    are chained by digest. 3. The directory doubles where buckets are overfull, and owner tasks, each for a range
-    of buckets and hashes, write the index. 4. Every row looks up its entry.
+    1. A scan keeps (id, row, hash, digest) of every row and counts the rows of a hash. 2. The directory doubles where buckets
+    are overfull. 3. Every text goes to the owner task of its bucket, those of a hash with more than HEAVY rows to several by
+    row. An owner compares the bytes of texts with one hash and makes an entry for each different text; entries of one hash
+    are chained by digest. They are the index, written in the order of buckets. 4. Every row looks its entry up by bucket,
+    hash and digest; what it returns is the entry's.
 
-    Returns one row per row of docs: id_col, keep_id, group_size, kept, text_sha256, bucket, chain. The largest
-    id stays; of repeated rows with that very id, exactly one. A null text counts as empty; null ids come last
-    and stay only where a whole group has none. An empty table gives an empty result.
+    Returns one row per row of docs: id_col, keep_id, group_size, kept, text_sha256, bucket, chain. The largest id stays; of
+    repeated rows with that very id, exactly one. A null text counts as empty; null ids come last and stay only where a whole
+    group has none. An empty table gives an empty result. hashed: the hash, of 64 bits; equal ones only make chains longer.
     """
     src = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    src = src.withColumn("h", F.xxhash64("norm"))
-    rows = stored(src.select("id", F.monotonically_increasing_id().alias("row"), "h", F.sha2("norm", 256).alias("sha")), "rows")
-    texts = src.groupBy("h", "norm").agg(F.count("*").alias("copies")).select("h", F.sha2("norm", 256).alias("sha"), "copies")
-    owners = rows.groupBy("h", "sha").agg(F.max(F.struct("id", "row")).alias("top"))
-    chained = owners.join(texts, ["h", "sha"]).withColumn("chain", F.row_number().over(Window.partitionBy("h").orderBy("sha")))
-    entries = stored(chained, "entries")
-    directory = grow_directory(entries, capacity)
-    bucket = directory.bucket(F.col("h")).alias("bucket")
-    width = shuffle_width(docs.sparkSession)
-    index = stored(entries.select(bucket, "*").repartitionByRange(width, "bucket", "h").sortWithinPartitions("bucket", "h"), "index", "bucket")
-    return rows.select(bucket, "*").join(index, ["bucket", "h", "sha"]).select(
+    src = src.withColumn("h", hashed(F.col("norm"))).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(src.select("id", "row", "h", F.sha2("norm", 256).alias("sha")), "rows")
+    keys = stored(rows.groupBy("h").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts")), "keys")
+    bucket = grow_directory(keys, capacity).bucket(F.col("h")).alias("bucket")
+    heavy = stored(keys.where("parts > 1"), "heavy")
+    some = not heavy.isEmpty()
+    if some:
+        dealt = src.join(broadcast_if_small(heavy, NARROW), "h", "left")
+        dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        dealt = src.withColumn("parts", F.lit(1))
+    dealt = dealt.select("*", bucket, F.pmod("row", F.col("parts")).alias("part"))
+    owned = dealt.repartition(shuffle_width(docs.sparkSession), "bucket", "part")
+    entries = owned.groupBy("bucket", "part", "parts", "h", "norm").agg(F.count("*").alias("copies"), F.max("id").alias("keep_id"))
+    entry = ["bucket", "h", F.sha2("norm", 256).alias("sha"), "copies", "keep_id"]
+    if some:
+        met = entries.where("parts > 1").groupBy("bucket", "h", "norm").agg(F.sum("copies").alias("copies"), F.max("keep_id").alias("keep_id"))
+        entries = entries.where("parts = 1").select(*entry).union(met.select(*entry))
+    else:
+        entries = entries.select(*entry)
+    # which of the rows with the largest id: by the numbers that were written, as a second scan may number rows otherwise
+    stays = rows.groupBy("h", "sha").agg(F.max(F.struct("id", "row")).alias("top")).select("h", "sha", F.col("top.row").alias("stays"))
+    entries = entries.join(stays, ["h", "sha"])
+    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha"))
+    index = stored(entries.withColumn("chain", chain).withColumn("group_size", F.col("copies")).sortWithinPartitions("bucket", "h"), "index")
+    return spread_join(rows.select("*", bucket), index, "bucket", "h", "sha", n="copies").select(
         F.col("id").alias(id_col),
-        F.col("top.id").alias("keep_id"),
-        F.col("copies").alias("group_size"),
-        (F.col("row") == F.col("top.row")).alias("kept"),
+        "keep_id",
+        "group_size",
+        (F.col("row") == F.col("stays")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "bucket",
         "chain",

@@ -177,8 +177,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
     return Model(languages, idf, weights, scale)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, from the whole text alone. Without letters (or null): und, 0."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "told") -> DataFrame:
+    """docs with struct<lang_pred, score> as_col, from the whole text alone. Without letters (or null): und, 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # features x languages, a fixed size
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")  # a text at a time leaves the Arrow batch
@@ -189,8 +189,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             lang, score = pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())
             yield pa.StructArray.from_arrays([lang, score], ["lang_pred", "score"])
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("evidentia_lang", run(F.col(text_col))).select(*keep, "evidentia_lang.lang_pred", "evidentia_lang.score")
+    return docs.withColumn(as_col, run(F.col(text_col)))
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -204,4 +203,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     model = fit(docs.where(fold(id_col) != 0), text_col, lang_col, key)
     told = predict(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
-    return told.select(F.col("id").alias(id_col), (fold("id") == 0).alias("held_out"), "lang_pred", "score")
+    return told.select(F.col("id").alias(id_col), (fold("id") == 0).alias("held_out"), "told.lang_pred", "told.score")

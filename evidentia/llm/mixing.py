@@ -84,7 +84,9 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_EPOCHS) -> DataFrame:
     """curriculum's rows in the order of training: range-sorted by first position, rows that are never read last; ties by id."""
     order = [F.col("first_position").asc_nulls_last(), F.col(id_col).asc_nulls_first()]
-    plan = curriculum(docs, id_col, text_col, source_col, most).select(id_col, "size", "source_size", "target", "taken", "copies", "first_position", "positions")
+    plan = curriculum(docs, id_col, text_col, source_col, most).select(
+        id_col, "size", "source_size", "target", "taken", "copies", "first_position", F.try_element_at("positions", F.lit(-1)).alias("last_position"), "positions"
+    )
     plan = stored(plan, "schedule")  # else the sample for the ranges repeats the work
     return plan.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
 
@@ -108,8 +110,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs = docs.withColumn("evidentia_nth", F.row_number().over(Window.partitionBy(id_col, "evidentia_md5").orderBy(F.lit(1))))
     else:
         docs = docs.withColumn("evidentia_nth", F.lit(1))
-    readings = numbered.select(F.col(id_col).alias("p_id"), F.col("md5").alias("p_md5"), F.col("evidentia_nth").alias("p_nth"), t.alias("evidentia_position"))
-    same = docs[id_col].eqNullSafe(readings["p_id"]) & (docs["evidentia_md5"] == readings["p_md5"]) & (docs["evidentia_nth"] == readings["p_nth"])
-    out = docs.join(readings, same).drop("p_id", "p_md5", "p_nth", "evidentia_md5", "evidentia_nth")
+    readings = numbered.select(F.col(id_col).alias("evidentia_id"), F.col("md5").alias("evidentia_p_md5"), F.col("evidentia_nth").alias("evidentia_p_nth"), t.alias("evidentia_position"))
+    same = docs[id_col].eqNullSafe(readings["evidentia_id"]) & (docs["evidentia_md5"] == readings["evidentia_p_md5"]) & (docs["evidentia_nth"] == readings["evidentia_p_nth"])
+    out = docs.join(readings, same).drop("evidentia_id", "evidentia_p_md5", "evidentia_p_nth", "evidentia_md5", "evidentia_nth")
     width = shuffle_width(docs.sparkSession)
     return out.repartitionByRange(width, "evidentia_position").sortWithinPartitions("evidentia_position").drop("evidentia_position")

@@ -210,7 +210,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
 
     parts = linked_parts(postings, marks, links)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("part"), F.col("n").alias("copies"))
-    placed = spread_join(rows.where("n > 0").select("id", "th", "n", "key"), of_class, "key", "copies").drop("key")
+    placed = spread_join(rows.where("n > 0").select("id", "th", "n", "key"), of_class, "key", n="copies").drop("key")
     return stored(placed, "placed"), rows.where("n = 0").select("id", "th", "n")
 
 
@@ -228,7 +228,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     placed, empty = _parts(docs, id_col, text_col, k)
     least = stored(placed.groupBy("part").agg(F.min("id").alias("component_id"), F.count("*").alias("copies")), "least")
-    linked = spread_join(placed, least, "part", "copies").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    linked = spread_join(placed, least, "part", n="copies").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return linked.union(empty.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 

@@ -30,20 +30,21 @@ CHAT_SQL = r"""
 WITH src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-tok AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS tokens FROM src),
+made AS (SELECT *, '### ' || url_encode(role) || chr(10) || replace(replace(replace(text, '\', '\s'), '###', '\h\h\h'), '</turn>', '\l/turn>') || chr(10) || '</turn>' || chr(10) AS made FROM src),
+tok AS (SELECT *, len(regexp_extract_all(made, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS tokens FROM made),
 num AS (SELECT *, row_number() OVER w - 1 AS pos, sum(tokens) OVER w - tokens AS start FROM tok
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-sys AS (SELECT conv_id, role, text, tokens FROM num WHERE pos = 0 AND role = 'system'),
+sys AS (SELECT conv_id, role, made, tokens FROM num WHERE pos = 0 AND role = 'system'),
 half AS (SELECT n.*, floor(greatest(1024 - 256 - coalesce(s.tokens, 0), 128) / 2.0) AS half FROM num n LEFT JOIN sys s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
 cell AS (SELECT *, floor(start / half) AS cell, (tokens > half)::INT AS own FROM half),
 sub AS (SELECT *, 2 * sum(own) OVER (PARTITION BY conv_id, cell ORDER BY pos ROWS UNBOUNDED PRECEDING) - own AS sub FROM cell),
 spans AS (SELECT conv_id, cell, sub, min(pos) AS first, min(start) AS begin FROM sub GROUP BY ALL),
 parts AS (
-  SELECT conv_id, role, text FROM sub
-  UNION ALL SELECT h.conv_id, h.role, h.text FROM spans p JOIN sub h ON h.conv_id IS NOT DISTINCT FROM p.conv_id AND h.pos BETWEEN p.first - 2 AND p.first - 1 AND p.begin - h.start <= 256
+  SELECT conv_id, made FROM sub
+  UNION ALL SELECT h.conv_id, h.made FROM spans p JOIN sub h ON h.conv_id IS NOT DISTINCT FROM p.conv_id AND h.pos BETWEEN p.first - 2 AND p.first - 1 AND p.begin - h.start <= 256
     WHERE NOT (h.pos = 0 AND h.role = 'system')
-  UNION ALL SELECT s.conv_id, s.role, s.text FROM spans p JOIN sys s ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.first > 0),
-chars AS (SELECT conv_id, sum(4 + length(url_encode(role)) + 1 + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 9)::BIGINT AS formatted_chars FROM parts GROUP BY 1),
+  UNION ALL SELECT s.conv_id, s.made FROM spans p JOIN sys s ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.first > 0),
+chars AS (SELECT conv_id, sum(length(made))::BIGINT AS formatted_chars FROM parts GROUP BY 1),
 whole AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM num GROUP BY 1)
 SELECT w.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
@@ -80,17 +81,19 @@ o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY lev
 f AS (SELECT level AS l, nth AS m, rest, open FROM o WHERE level >= rest / open ORDER BY level, nth LIMIT 1),
 t AS (SELECT o.source, o.source_size, o.nth, CASE WHEN f.l IS NULL OR (o.level, o.nth) < (f.l, f.m) THEN cap::DOUBLE ELSE f.rest / f.open * weight END AS target FROM o LEFT JOIN f ON true),
 p AS (SELECT n.doc_id, n.size, t.*, (sum(size) OVER (PARTITION BY n.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
-  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (least(size, greatest(0, floor(target)::BIGINT - start)) + least(size, greatest(0, floor(target)::BIGINT - start - source_size))
-   + least(size, greatest(0, floor(target)::BIGINT - start - 2 * source_size)))::BIGINT AS taken
-FROM p
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT doc_id, size, source_size, target, start, CASE WHEN nth % 2 = 1 THEN 1.5::DOUBLE ELSE 0.5 END AS a, unnest([0, 1, 2]) AS e,
+  least(size, greatest(0, floor(target)::BIGINT - start - e * source_size)) AS got FROM p),
+q AS (SELECT *, CASE WHEN got > 0 THEN round((sqrt(a * a + 2 * (2 - 2 * a) * ((start + e * source_size) / target)) - a) / (2 - 2 * a), 9) + 0.0 END AS t FROM r)
+SELECT doc_id, size, source_size, target, sum(got)::BIGINT AS taken, count(*) FILTER (size > 0 AND got = size)::INT AS copies,
+  min(t) AS first_position, max(t) AS last_position
+FROM q GROUP BY doc_id, size, source_size, target, start
 """
 
 
 @query("op3_curriculum_mix", MIX_SQL)
 def op3(spark, sf_dir):
-    return mixing.schedule(table(spark, sf_dir, "documents"))
+    return mixing.schedule(table(spark, sf_dir, "documents")).drop("positions")
 
 
 def tokenizer() -> tuple[str, str]:

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, exact_dedup, mixing, sharding
+from evidentia.llm import chat, common, exact_dedup, mixing, sharding
 
 DOCS = "doc_id long, text string, source string, h long, id long"
 ROWS = [
@@ -32,6 +32,20 @@ def test_exact_groups(spark):
     assert kept.columns == ["doc_id", "text", "source", "h", "id"] and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 7, 8]
 
 
+def test_exact_groups_whose_hashes_collide_and_hot_ones(spark):
+    """Four hashes for all texts: chains of many entries, told apart by bytes; and hashes dealt over several owners."""
+    rows = [(i, f"text {i % 40}", "s", 0, 0) for i in range(200)]
+    for heavy in (common.HEAVY, 7):
+        old, exact_dedup.HEAVY, common.HEAVY = common.HEAVY, heavy, heavy
+        try:
+            hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(4))
+            got = exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS), capacity=8, hashed=hashed).collect()
+        finally:
+            exact_dedup.HEAVY = common.HEAVY = old
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, 160 + i % 40, 5, i >= 160) for i in range(200)}
+        assert len(got) == 200 and max(r["chain"] for r in got) >= 10
+
+
 def test_directory_doubles_where_buckets_are_overfull(spark):
     entries = spark.range(500).select(F.xxhash64("id").alias("h"))
     d = exact_dedup.grow_directory(entries, 16)
@@ -103,6 +117,12 @@ def test_mixing(spark):
     assert mixing.curriculum(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_the_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "some words", "a", 1, 2) for i in range(5)], DOCS).selectExpr("*", "1 AS p_id", "2 AS p_md5", "3 AS p_nth", "4 AS start")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {(r["p_id"], r["p_md5"], r["p_nth"], r["start"]) for r in got.collect()} == {(1, 2, 3, 4)}
+
+
 def test_targets_when_nothing_has_a_size(spark):
     got = mixing.curriculum(spark.createDataFrame([(1, None, "a", 0, 0), (2, "", None, 0, 0)], DOCS)).collect()
     assert [r["taken"] for r in got] == [0, 0]
@@ -130,9 +150,19 @@ def test_chat_round_trip(spark):
     assert got == {c: told([r for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
     long = windows.where("conv = 100").withColumn("n", chat.token_count(F.col("formatted"))).collect()
     assert len(long) > 20 and sum(r["n_new"] for r in long) == 300 and any(r["n_context"] for r in long)
+    escaped = spark.createDataFrame([("a###b</turn>####\\h",)], "t string").select(chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t")))).first()
+    assert "###" not in escaped[0] and "</turn>" not in escaped[0] and escaped[1] == "a###b</turn>####\\h"
     assert chat.format_windows(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_windows_keep_their_budget(spark):
+    """6,000 turns without text and 1,000 short ones, some without a turn number: no window holds more tokens than it may."""
+    rows = [(1, i if i % 7 else None, "user", "" if i < 6000 else "some words", 0, "") for i in range(7000)]
+    windows = chat.format_windows(spark.createDataFrame(rows, TURNS), window_tokens=512, history_tokens=64)
+    got = windows.select("n_new", chat.token_count(F.col("formatted")).alias("n")).collect()
+    assert sum(r["n_new"] for r in got) == 7000 and max(r["n"] for r in got) <= 512
+
+
 def test_system_turn_stays_and_history_is_masked(spark):
     rows = [(1, 0, "system", "be kind", 0, "")] + [(1, i, "assistant" if i % 2 == 0 else "user", f"t{i} " + "w " * 30, 0, "") for i in range(1, 20)]
     windows = chat.format_windows(spark.createDataFrame(rows, TURNS), window_tokens=200, history_tokens=70).collect()

@@ -41,10 +41,13 @@ def test_run(spark, tmp_path):
     source = "/root/testdata/sf0.001/documents.parquet"
     docs = spark.read.parquet(source)
     more = spark.createDataFrame([(5001, None, "en", "src1", 0), (5002, "", "en", "src1", 0), (5003, "12 34", "en", "src1", 5), (5004, docs.first()["text"].upper(), "fr", "src1", 1)], docs.schema)
+    docs, more = (x.selectExpr("*", "0.5D AS score", "'mine' AS lang_pred") for x in (docs, more))  # names that the stages use
     docs.union(more).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = Counter((r["doc_id"], hashlib.sha256(" ".join(map(str, library.encode_ordinary(r["text"]))).encode()).hexdigest()) for r in plain([r.asDict() for r in docs.union(more).collect()]))
     got = Counter((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want
+    known = corpus_pipeline.known_language(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
+    assert {(r["score"], r["lang_pred"]) for r in known} == {(0.5, "mine")} and all(r["lang"] for r in known)
     assert [name for name, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5

@@ -37,6 +37,12 @@ def test_neighbours(spark):
     assert ann.nearest(df, df.where("vec_id >= 1000")).count() == 0
 
 
+def test_neighbours_of_vectors_of_mixed_lengths(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(100 + i, [1.0] * (3 + i % 4)) for i in range(20)], "vec_id long, embedding array<float>")
+    got = ann.nearest(rows, rows, 3, share=1.0).collect()
+    assert {r["query_id"] for r in got} == set(range(30)) and all(r["vec_id"] < 30 for r in got) and len(got) == 90
+
+
 def test_traverse_goes_by_summed_distance():
     rng = np.random.default_rng(2)
     d1, d2, counts = rng.random(6), rng.random(7), np.ones(42, int)

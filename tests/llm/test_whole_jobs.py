@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import queries, url_filter
+from evidentia.llm import mixing, queries, url_filter
 
 PAGES = "page_id long, url string, html string"
 
@@ -76,7 +76,7 @@ def test_curriculum_query_gives_positions_in_order(spark, tmp_path):
     rows = [(i, "w " * rng.randint(0, 40) if i % 9 else None, rng.choice(["a", "b", "c", "c", "c", None])) for i in range(300)]
     rows += [(1000 + i, "w " * 9, "bb") for i in range(3)]  # a small source, read several times
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [r.asDict() for r in queries.QUERIES["op3_curriculum_mix"](spark, str(tmp_path)).collect()]
+    got = [r.asDict() for r in mixing.schedule(queries.table(spark, str(tmp_path), "documents")).collect()]
     assert list(got[0])[:5] == ["doc_id", "size", "source_size", "target", "taken"] and sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
     by = {r["doc_id"]: r for r in got}
     words = {i: len((text or "").split()) for i, text, _ in rows}
