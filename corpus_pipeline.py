@@ -12,11 +12,19 @@ from evidentia.llm.common import shared_dir
 from evidentia.llm.queries import tokenizer
 
 
+#: Calibrated probability of its best language under which a document's language can't be told.
+LEAST_SCORE = 0.4
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters (or null), in which no language can be told; the others stay as they are."""
+    """Rejects documents whose language can't be told: without letters (or null), or with a score under LEAST_SCORE. Where the
+    table names no language, the one predicted is put in. Without any label to learn from, only texts without letters go."""
     model = langid.fit(docs.where(langid.fold() != 0), key=F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    told = langid.predict(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) | F.lit(not model.languages)).select(*docs.columns)
+    told = langid.predict(docs, model, as_col="evidentia_told")
+    if model.languages:
+        told = told.where((F.col("evidentia_told.lang_pred") != langid.UNKNOWN) & (F.col("evidentia_told.score") >= LEAST_SCORE))
+        told = told.withColumn("lang", F.coalesce("lang", "evidentia_told.lang_pred"))
+    return told.select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
