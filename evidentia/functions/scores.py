@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import STOP_WORDS, col, numbers, strip, words
+from .vectors import let
 
 TAGS = ("T", "E", "M", "A")
 #: The default keywords of theory, experiment, method and application.
@@ -24,9 +25,16 @@ def tag_scores(text, keywords: dict[str, list[str]] = KEYWORDS, closeness: dict[
     raw = [sum((F.contains(low, F.lit(w)).cast("int") for w in keywords[t]), F.lit(0)) * F.lit(0.5) for t in TAGS]
     if closeness:
         raw = [r + F.greatest(F.lit(0.0), closeness[t]) * 0.5 for t, r in zip(TAGS, raw)]
-    top = F.greatest(*raw)
-    top = F.when(top == 0, F.lit(1.0)).otherwise(top)
-    return F.array(*[F.struct(F.lit(t).alias("tag"), F.round(r / top, 3).alias("score")) for t, r in zip(TAGS, raw)])
+    tags = F.array(*map(F.lit, TAGS))
+
+    def shares(raw: Column) -> Column:
+        most = F.array_max(raw)
+        return let(F.when(most == 0, F.lit(1.0)).otherwise(most), lambda top: F.transform(raw, lambda r, i: score_of(i, r / top)))
+
+    def score_of(i: Column, share: Column) -> Column:
+        return F.struct(F.get(tags, i).alias("tag"), F.round(share, 3).alias("score"))
+
+    return let(F.array(*[r.cast("double") for r in raw]), shares)  # each text is searched once for each keyword
 
 
 def top_tags(scores, k: int = 2) -> Column:
@@ -39,30 +47,35 @@ def primary_tag(text, keywords: dict[str, list[str]] = KEYWORDS) -> Column:
     return F.get(top_tags(tag_scores(text, keywords), 1), F.lit(0))["tag"]
 
 
-def local_support(fact, source) -> Column:
-    """1 if the source contains the fact; else the share of its words (and, averaged in, numbers) that the source has."""
+def local_support(fact, source, source_low=None, source_words=None, source_numbers=None) -> Column:
+    """1 if the source contains the fact; else the share of its words (and, averaged in, numbers) that the source has. The last
+    three, if given, are what is derived from the source: for facts that many sources meet."""
     fact, source = col(fact), col(source)
     low = strip(F.lower(fact))
+    theirs = col(source_low) if source_low is not None else F.lower(source)
+    words_there = col(source_words) if source_words is not None else words(theirs)
+    numbers_there = col(source_numbers) if source_numbers is not None else numbers(source)
     mine = F.array_except(F.array_distinct(words(low)), F.array(*map(F.lit, STOP_WORDS)))
-    share = F.size(F.array_intersect(mine, words(F.lower(source)))) / F.size(mine)
+    share = F.size(F.array_intersect(mine, words_there)) / F.size(mine)
     figures = numbers(fact)
-    figured = F.size(F.array_intersect(figures, numbers(source))) / F.size(figures)
+    figured = F.size(F.array_intersect(figures, numbers_there)) / F.size(figures)
     part = F.when(F.size(figures) > 0, share * 0.5 + figured * 0.5).otherwise(share)
-    return F.when(F.contains(F.lower(source), low), F.lit(1.0)).when(F.size(mine) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), part))
+    return F.when(F.contains(theirs, low), F.lit(1.0)).when(F.size(mine) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), part))
 
 
 def verification(fact, source, model_score=None, least: float = 0.7) -> Column:
     """struct<verified, confidence, method>; model_score: a model's support where the local one is below 0.9."""
-    local = local_support(fact, source)
     model = F.coalesce(col(model_score), F.lit(0.0)) if model_score is not None else F.lit(0.0)
-    best = F.greatest(local, model)
     make = lambda ok, score, how: F.struct(ok.alias("verified"), score.alias("confidence"), how.alias("method"))
     missing = (F.coalesce(col(fact), F.lit("")) == "") | (F.coalesce(col(source), F.lit("")) == "")
-    return (
-        F.when(missing, make(F.lit(False), F.lit(0.0), F.lit("none")))
-        .when(local >= 0.9, make(F.lit(True), local, F.lit("local_exact")))
-        .otherwise(make(best >= least, F.round(best, 3), F.when(model > local, "llm_semantic").otherwise("local_partial")))
-    )
+
+    def decide(local: Column) -> Column:
+        best = F.greatest(local, model)
+        by = F.when(model > local, "llm_semantic").otherwise("local_partial")
+        return F.when(local >= 0.9, make(F.lit(True), local, F.lit("local_exact"))).otherwise(make(best >= least, F.round(best, 3), by))
+
+    none = make(F.lit(False), F.lit(0.0), F.lit("none"))
+    return F.when(missing, none).otherwise(let(local_support(fact, source), decide))
 
 
 def node_quality(facts, draft_chars, citations) -> Column:

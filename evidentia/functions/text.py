@@ -41,12 +41,11 @@ def chunk_spans(text, size: int = 1000, overlap: int = 100) -> Column:
 
     A window that isn't the last ends after the last blank line in it, else after the last '. ', else after the last
     newline, if that lies beyond half the size; the next one starts `overlap` before its end. One fold over as many
-    steps as the least advance can need; positions count code points. Null and empty text have none.
+    steps as the least advance can need, over slices of the text; positions count code points. Null and empty text have none.
     """
     if size // 2 <= overlap:
         raise ValueError("half the size must exceed the overlap, else a window may not advance")
     text = col(text)
-    n = F.char_length(text)
     least = size // 2 + 1 - overlap
 
     def after_last(window: Column, sep: str) -> Column:
@@ -54,18 +53,28 @@ def chunk_spans(text, size: int = 1000, overlap: int = 100) -> Column:
         where = F.char_length(window) - at + 1 - len(sep)  # from 0
         return F.when((at > 0) & (where > size // 2), where + len(sep))
 
-    def step(s: Column, _: Column) -> Column:
-        window = F.substr(text, s["at"] + 1, F.lit(size))
-        last = s["at"] + size >= n
-        cut = s["at"] + F.coalesce(after_last(window, "\n\n"), after_last(window, ". "), after_last(window, "\n"), F.lit(size))
-        end = F.when(last, n).otherwise(cut)
-        span = F.struct(s["at"].alias("start"), end.alias("end"))
-        more = F.struct(F.when(end >= n, n).otherwise(end - overlap).alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
-        return F.when(s["at"] < n, more).otherwise(s)
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    steps = F.sequence(F.lit(0), F.ceil(n / least).cast("int"))
-    return F.when(n > 0, F.aggregate(steps, zero, step, lambda s: s["spans"])).otherwise(zero["spans"])
+    def fold(slices: Column) -> Column:
+        """Over slices of `size` characters: a window lies in two of them, so a step's work doesn't grow with the text."""
+
+        def step(s: Column, _: Column) -> Column:
+            first = F.floor(s["at"] / size).cast("int")
+            two = F.concat(F.get(slices, first), F.coalesce(F.get(slices, first + 1), F.lit("")))
+            window = F.substr(two, s["at"] % size + 1, F.lit(size))
+            cut = s["at"] + F.coalesce(after_last(window, "\n\n"), after_last(window, ". "), after_last(window, "\n"), F.lit(size))
+            end = F.when(s["at"] + size >= s["n"], s["n"]).otherwise(cut)
+            span = F.struct(s["at"].alias("start"), end.alias("end"))
+            at = F.when(end >= s["n"], s["n"]).otherwise(end - overlap)
+            more = F.struct(at.alias("at"), s["n"].alias("n"), F.concat(s["spans"], F.array(span)).alias("spans"))
+            return F.when(s["at"] < s["n"], more).otherwise(s)
+
+        n = (F.size(slices) - 1) * size + F.char_length(F.element_at(slices, -1))
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        start = F.struct(F.lit(0).alias("at"), n.cast("int").alias("n"), none.alias("spans"))
+        steps = F.sequence(F.lit(0), F.ceil(n / least).cast("int"))
+        return F.when(F.size(slices) > 0, F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(none)
+
+    slices = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.get(F.transform(F.array(slices), fold), F.lit(0))
 
 
 def sentences(text) -> Column:

@@ -39,6 +39,7 @@ def hash_bucket(token, dim: int = 64) -> Column:
 
 def hash_embed(tokens, dim: int = 64) -> Column:
     """Counts of hashed tokens, unit length: the offline default that depends on content alone."""
-    buckets = F.transform(col(tokens), lambda t: hash_bucket(t, dim))
-    dims = F.array(*[F.lit(i) for i in range(dim)])
-    return l2_normalize(let(buckets, lambda bs: F.transform(dims, lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))))
+    # between the markers 0 .. dim of a sorted array lie the tokens of each bucket
+    buckets = F.concat(F.transform(col(tokens), lambda t: hash_bucket(t, dim)), F.sequence(F.lit(0), F.lit(dim)))
+    count = lambda s, i: (F.array_position(s, i + 1) - F.array_position(s, i) - 1).cast("double")
+    return l2_normalize(let(F.array_sort(buckets), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(s, i))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import TAGS
+from ..functions.vectors import let
 
 
 def budgets(target: int, mode: str = "balanced") -> dict[str, int]:
@@ -25,12 +26,13 @@ def select_evidence(candidates: DataFrame, target: int, mode: str = "balanced",
     so at most five times the target. Unknown and null tags count as T. Adds pass (1 or 2) and position.
     """
     budget = budgets(target, mode)
-    tag = F.when(F.col(tag_col).isin(*TAGS), F.col(tag_col)).otherwise("T")
+    tag = F.coalesce(let(F.col(tag_col), lambda t: F.when(t.isin(*TAGS), t)), F.lit("T"))
     per_tag = F.element_at(F.create_map(*[F.lit(x) for t in TAGS for x in (t, budget[t])]), F.col("tag"))
     order = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(TAGS) for x in (t, i)]), F.col("tag"))
     ranked = candidates.select(F.col(id_col).alias("paper_id"), tag.alias("tag"), F.col(rank_col).alias("rank"))
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("rank", "paper_id"))).withColumn("turn", F.col("n") - per_tag)
-    ranked = ranked.where(F.col("turn") <= target).withColumn("tag_order", order).withColumn("pass", F.when(F.col("turn") <= 0, 1).otherwise(2))
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("rank", "paper_id")))
+    ranked = ranked.where(F.col("n") <= max(budget.values()) + target)  # a bound on the rank itself limits each task's rows
+    ranked = ranked.withColumn("turn", F.col("n") - per_tag).where(F.col("turn") <= target).withColumn("tag_order", order).withColumn("pass", F.when(F.col("turn") <= 0, 1).otherwise(2))
     first = Window.orderBy("pass", F.when(F.col("pass") == 1, F.col("tag_order")).otherwise(F.col("turn")), F.when(F.col("pass") == 1, F.col("n")).otherwise(F.col("tag_order")))
     ranked = ranked.withColumn("position", F.row_number().over(first))
     return ranked.where((F.col("pass") == 1) | (F.col("position") <= target)).select("paper_id", "tag", "rank", "pass", "position")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, words
-from ..functions.vectors import hash_embed
+from ..functions.vectors import hash_embed, let
 
 
 class Embedder(Protocol):
@@ -58,11 +58,11 @@ class OfflineChat:
         return "NO GAPS. ANSWER"
 
 
-def lexical_score(query: Column, text: Column) -> Column:
-    """The default re-ranker: the share of the query's terms that occur in the text."""
-    terms = query_terms(query)
-    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t)))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(hits / F.size(terms))
+def lexical_score(query: Column, text: Column, terms: Column | None = None) -> Column:
+    """The default re-ranker: the share of the query's terms (derived from it unless given) that occur in the text."""
+    share = lambda found, low: F.size(F.filter(found, lambda t: F.contains(low, t))) / F.size(found)
+    score = lambda found: F.when(F.size(found) == 0, F.lit(0.0)).otherwise(let(F.lower(text), lambda low: share(found, low)))
+    return let(query_terms(query) if terms is None else terms, score)
 
 
 def prompt(messages: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:

@@ -115,30 +115,31 @@ def heading_paragraphs(spark, sf_dir):
 
 
 def vectors_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every row whose id is divisible by 50 as a query, against all rows but its own."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec")), rows
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec")), rows
 
 
-SCORED = "s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20)"
+SCORED = "s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)"
 
 
 @query("dense_topk", f"WITH {SCORED} SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     q, rows = vectors_of(spark, sf_dir)
-    scored = retrieval.score_all(q, rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6))
+    scored = retrieval.score_all(q, rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6)).where("query_id <> vec_id")
     return retrieval.top_k(scored, 10, tie="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
 @query("topk_section_filter", f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM r WHERE r <= 20 AND label < 3) SELECT query_id, vec_id, score, rank::INT AS rank FROM f WHERE rank <= 10")
 def topk_section_filter(spark, sf_dir):
     q, rows = vectors_of(spark, sf_dir)
-    scored = retrieval.score_all(q, rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6))
+    scored = retrieval.score_all(q, rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6)).where("query_id <> vec_id")
     return retrieval.over_fetch(scored, 10, F.col("label") < 3, tie="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
 HASHED = r"""
 tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) AS t FROM documents),
-qt AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) AS t FROM benchmark WHERE item_id < 5),
+qt AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) AS t FROM benchmark),
 dv AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM tok GROUP BY ALL), dn AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM dv GROUP BY 1),
 qv AS (SELECT item_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM qt GROUP BY ALL), qn AS (SELECT item_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY 1),
 s AS (SELECT item_id AS query_id, doc_id, round(sum(dv.c * qv.c) / any_value(dn.n) / any_value(qn.n), 6) AS score FROM dv JOIN qv USING (b) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY ALL)"""
@@ -148,7 +149,7 @@ s AS (SELECT item_id AS query_id, doc_id, round(sum(dv.c * qv.c) / any_value(dn.
 def hash_embed_search(spark, sf_dir):
     embed = models.HashEmbedder().embed
     docs = table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("q_vec"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("q_vec"))
     scored = retrieval.score_all(q, docs, measure=lambda a, b: F.round(vectors.dot(a, b), 6))
     return retrieval.top_k(scored, 5, tie="doc_id").select("query_id", "doc_id", "score")
 
@@ -170,17 +171,24 @@ def tag_pivot(spark, sf_dir):
     return selection.tag_counts(tagged, ["source"]).select("source", *[F.col(t).alias(t.lower()) for t in scores.TAGS])
 
 
-RERANK = r"q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2)) AS w FROM benchmark WHERE item_id < 5)"
+RERANK = r"q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2)) AS w FROM benchmark)"
 
 
 @query("rerank_topn", f"WITH {RERANK}, s AS (SELECT item_id AS query_id, doc_id, len(list_filter(w, lambda x: contains(lower(text), x)))::DOUBLE / len(w) AS score FROM q, documents WHERE len(w) > 0) SELECT query_id, doc_id, round(1 / (1 + exp(-score)), 6) AS score, n::INT AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 5")
 def rerank_topn(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(q))  # five queries
-    best = retrieval.rerank(both, models.lexical_score(F.col("query"), F.col("text")), 5, tie="doc_id")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.query_terms("text").alias("terms"))
+    both = asked(table(spark, sf_dir, "documents").select("doc_id", "text"), q)
+    best = retrieval.rerank(both, models.lexical_score(F.lit(""), F.col("text"), F.col("terms")), 5, tie="doc_id")
     return best.select("query_id", "doc_id", F.round(scores.sigmoid("rerank_score"), 6).alias("score"), "new_rank")
 
 
+def asked(docs: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every item of a stated, counted set against all documents."""
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} items: ask them in parts")
+    return docs.join(F.broadcast(items))
+
+
 SUPPORT = rf"""
 f AS (SELECT item_id, text AS ft, {STRIP('lower(text)')} AS fl, list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')) AS fn, list_filter(list_distinct(list_filter(regexp_split_to_array({STRIP('lower(text)')}, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')), lambda x: x NOT IN ({STOP})) AS fw FROM benchmark),
 d AS (SELECT doc_id, text AS dt, lower(text) AS dl, list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')) AS dn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) AS dw FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 > 0),
@@ -191,21 +199,24 @@ SUPPORT = SUPPORT.replace(" WHERE doc_id % 10 = 0 OR doc_id % 10 > 0", "")
 @query("verify_local", f"WITH {SUPPORT}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 6) DESC, doc_id) AS n FROM v) SELECT item_id, doc_id, round(c, 6)::DOUBLE AS confidence, c >= 0.7 AS verified, CASE WHEN c >= 0.9 THEN 'local_exact' ELSE 'local_partial' END AS method FROM r WHERE n <= 3")
 def verify_local(spark, sf_dir):
     facts = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("fact"))
-    if facts.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 facts: verify them in parts")
-    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(facts))  # a stated set against all rows
-    v = both.select("item_id", "doc_id", F.round(scores.local_support("fact", "text"), 6).alias("confidence"))
+    low = F.lower("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", low.alias("low"), text.words(low).alias("w"), text.numbers("text").alias("f"))
+    support = scores.local_support("fact", "text", "low", "w", "f")  # derived once a document, not once a fact
+    v = asked(docs, facts).select("item_id", "doc_id", F.round(support, 6).alias("confidence"))
     best = retrieval.top_k(v, 3, "item_id", "doc_id", "confidence")
     return best.select("item_id", "doc_id", "confidence", (F.col("confidence") >= 0.7).alias("verified"), F.when(F.col("confidence") >= 0.9, "local_exact").otherwise("local_partial").alias("method"))
 
 
-FACTS = "fa AS (SELECT doc_id AS fact_id, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS source_doc, substr(text, 1, 60) AS ft FROM documents)"
+FACTS = f"{MARKED}, {SENTENCES}, fa AS (SELECT doc_id || ':' || n AS fact_id, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS source_doc, x AS ft FROM s)"
 
 
 @query("verify_decision", rf"WITH {FACTS}, x AS (SELECT fact_id, ft, text AS dt, {STRIP('lower(ft)')} AS fl, lower(text) AS dl FROM fa LEFT JOIN documents ON doc_id = source_doc), y AS (SELECT *, list_distinct(regexp_extract_all(ft, '[0-9]+\.?[0-9]*')) AS fn, list_distinct(regexp_extract_all(dt, '[0-9]+\.?[0-9]*')) AS dn, list_filter(list_distinct(list_filter(regexp_split_to_array(fl, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')), lambda x: x NOT IN ({STOP})) AS fw, list_filter(regexp_split_to_array(dl, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS dw FROM x), z AS (SELECT fact_id, dt, ft, CASE WHEN contains(dl, fl) THEN 1.0 WHEN len(fw) = 0 THEN 0.0 WHEN len(fn) > 0 THEN len(list_intersect(fw, dw))::DOUBLE / len(fw) * 0.5 + len(list_intersect(fn, dn))::DOUBLE / len(fn) * 0.5 ELSE len(list_intersect(fw, dw))::DOUBLE / len(fw) END AS c FROM y) SELECT fact_id, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN false ELSE c >= 0.7 END AS verified, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN 0.0 WHEN c >= 0.9 THEN round(c, 3) ELSE round(c, 3) END::DOUBLE AS confidence, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN 'none' WHEN c >= 0.9 THEN 'local_exact' ELSE 'local_partial' END AS method FROM z")
 def verify_decision(spark, sf_dir):
+    """Every sentence of every text as a fact, of every fourth text against the next one."""
     docs = table(spark, sf_dir, "documents")
-    facts = docs.select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("source_doc"), F.substring("text", 1, 60).alias("text"))
+    cut = marked(spark, sf_dir).select("doc_id", F.posexplode(text.sentences("text")).alias("n", "text"))
+    source = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("source_doc")
+    facts = cut.select(F.concat_ws(":", "doc_id", "n").alias("fact_id"), source, "text")
     v = attribution.verify_facts(facts, docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("source_text")))
     return v.select("fact_id", "verified", F.round("confidence", 3).alias("confidence"), "method")
 
@@ -272,21 +283,23 @@ def ranked_candidates(spark, sf_dir) -> DataFrame:
     return docs.withColumn("rank", F.md5(F.col("paper_id").cast("string").cast("binary")))
 
 
-@query("coverage_select", CAND + ", b(tag, budget, o) AS (VALUES ('T', 8, 0), ('E', 8, 1), ('M', 7, 2), ('A', 7, 3)), n AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY rank) AS n FROM ca JOIN b USING (tag)), x AS (SELECT *, CASE WHEN n <= budget THEN 1 ELSE 2 END AS pass FROM n), q AS (SELECT *, row_number() OVER (ORDER BY pass, CASE WHEN pass = 1 THEN o ELSE n - budget END, CASE WHEN pass = 1 THEN n ELSE o END) AS position FROM x) SELECT doc_id AS paper_id, tag, pass::INT AS pass, position::INT AS position FROM q WHERE pass = 1 OR position <= 30")
+CHOSEN = CAND + ", b(tag, budget, o) AS (VALUES ('T', 8, 0), ('E', 8, 1), ('M', 7, 2), ('A', 7, 3)), n AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY rank) AS n FROM ca JOIN b USING (tag)), x AS (SELECT *, CASE WHEN n <= budget THEN 1 ELSE 2 END AS pass FROM n), q AS (SELECT *, row_number() OVER (ORDER BY pass, CASE WHEN pass = 1 THEN o ELSE n - budget END, CASE WHEN pass = 1 THEN n ELSE o END) AS position FROM x)"
+
+
+@query("coverage_select", CHOSEN + " SELECT doc_id AS paper_id, tag, pass::INT AS pass, position::INT AS position FROM q WHERE pass = 1 OR position <= 30")
 def coverage_select(spark, sf_dir):
     return selection.select_evidence(ranked_candidates(spark, sf_dir), 30).drop("rank")
 
 
-@query("coverage_notes", CAND + ", b(tag, budget) AS (VALUES ('T', 8), ('E', 8), ('M', 7), ('A', 7)), n AS (SELECT tag, least(count(*), 8) AS selected FROM ca WHERE doc_id % 40 = 0 GROUP BY 1) SELECT tag, coalesce(selected, 0)::BIGINT AS selected, budget, CASE WHEN coalesce(selected, 0) < budget THEN 'Under-covered tag ' || tag || ': selected ' || coalesce(selected, 0) || ' vs budget ' || budget END AS note FROM b LEFT JOIN n USING (tag)")
+@query("coverage_notes", CHOSEN + ", k AS (SELECT tag, count(*) AS selected FROM q WHERE pass = 1 OR position <= 30 GROUP BY 1) SELECT tag, coalesce(selected, 0)::BIGINT AS selected, budget, CASE WHEN coalesce(selected, 0) < budget THEN 'Under-covered tag ' || tag || ': selected ' || coalesce(selected, 0) || ' vs budget ' || budget END AS note FROM b LEFT JOIN k USING (tag)")
 def coverage_notes(spark, sf_dir):
-    few = ranked_candidates(spark, sf_dir).where("paper_id % 40 = 0").groupBy("tag").agg(F.least(F.count("*"), F.lit(8)).alias("k"))
-    return selection.coverage_report(few.select("tag", F.explode(F.sequence(F.lit(1).cast("long"), "k"))), 30)
+    return selection.coverage_report(selection.select_evidence(ranked_candidates(spark, sf_dir), 30), 30)
 
 
-@query("candidate_docs", f"WITH {SCORED.replace('q.vec_id < 20', 'q.vec_id < 3')}, r AS (SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, label, arg_min(vec_id, rank) AS vec_id, min(rank)::INT AS rank FROM r WHERE rank <= 50 GROUP BY ALL")
+@query("candidate_docs", f"WITH {SCORED}, r AS (SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, label, arg_min(vec_id, rank) AS vec_id, min(rank)::INT AS rank FROM r WHERE rank <= 50 GROUP BY ALL")
 def candidate_docs(spark, sf_dir):
     q, rows = vectors_of(spark, sf_dir)
-    scored = retrieval.score_all(q.where("query_id < 3"), rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6))
+    scored = retrieval.score_all(q, rows, measure=lambda a, b: F.round(vectors.dot(a, b), 6)).where("query_id <> vec_id")
     top = retrieval.top_k(scored, 50, tie="vec_id")
     return top.groupBy("query_id", "label").agg(F.min_by("vec_id", "rank").alias("vec_id"), F.min("rank").alias("rank"))
 
@@ -326,9 +339,9 @@ def node_quality(spark, sf_dir):
     return by.select("source", F.round(scores.node_quality("f", "d", "c"), 6).alias("quality"))
 
 
-@query("dup_penalty", "SELECT conv_id, turn, round(CASE WHEN row_number() OVER (PARTITION BY substr(text, 1, 10) ORDER BY conv_id, turn) > 1 THEN 0.9 * 0.8 ELSE 0.9 END::DOUBLE, 6) AS confidence FROM conversations")
+@query("dup_penalty", "SELECT conv_id, turn, round(CASE WHEN row_number() OVER (PARTITION BY substr(text, 1, 100) ORDER BY conv_id, turn) > 1 THEN 0.9 * 0.8 ELSE 0.9 END::DOUBLE, 6) AS confidence FROM conversations")
 def dup_penalty(spark, sf_dir):
-    facts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bfs"), F.col("turn").alias("fact_ord"), F.substring("text", 1, 10).alias("text"), F.lit(0.9).alias("confidence"))
+    facts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bfs"), F.col("turn").alias("fact_ord"), "text", F.lit(0.9).alias("confidence"))
     return tree.duplicate_penalty(facts).select(F.col("bfs").alias("conv_id"), F.col("fact_ord").alias("turn"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -456,15 +469,15 @@ WORDS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[
 
 
 def triples_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Triples from the first three words of a document; terms: its first 60 words in sentences of ten."""
+    """Triples from the first three words of a document; terms: all its words in sentences of ten."""
     w = table(spark, sf_dir, "documents").select("doc_id", text.words(F.lower("text")).alias("w")).where(F.size("w") >= 3)
     part = lambda i: F.get("w", F.lit(i))
     triples = w.select(F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("triple_id"), part(0).alias("subject"), part(1).alias("predicate"), part(2).alias("object"), (F.col("doc_id") % 4).cast("int").alias("completeness"), (F.col("doc_id") % 7).alias("sentence_idx"))
-    terms = w.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.slice("w", 1, 60)).alias("i", "term")).select("paper_id", F.floor(F.col("i") / 10).alias("sentence_idx"), "term")
+    terms = w.select(F.col("doc_id").alias("paper_id"), F.posexplode("w").alias("i", "term")).select("paper_id", F.floor(F.col("i") / 10).alias("sentence_idx"), "term")
     return triples, terms
 
 
-@query("triple_resolution", f"WITH {WORDS}, e AS (SELECT doc_id, (i - 1) // 10 AS s, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 60) + 1)) AS i FROM tp)), n AS (SELECT tp.doc_id, count(DISTINCT e.s) AS n FROM tp JOIN e ON e.doc_id = tp.doc_id AND e.t IN (tp.s, tp.p, tp.o) GROUP BY 1) SELECT tp.doc_id AS paper_id, CASE WHEN c >= 3 THEN c ELSE least(coalesce(n, 0), 2) END::INT AS completeness FROM tp LEFT JOIN n USING (doc_id)")
+@query("triple_resolution", f"WITH {WORDS}, e AS (SELECT doc_id, (i - 1) // 10 AS s, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM tp)), n AS (SELECT tp.doc_id, count(DISTINCT e.s) AS n FROM tp JOIN e ON e.doc_id = tp.doc_id AND e.t IN (tp.s, tp.p, tp.o) GROUP BY 1) SELECT tp.doc_id AS paper_id, CASE WHEN c >= 3 THEN c ELSE least(coalesce(n, 0), 2) END::INT AS completeness FROM tp LEFT JOIN n USING (doc_id)")
 def triple_resolution(spark, sf_dir):
     triples, terms = triples_of(spark, sf_dir)
     return symbolic.resolve_triples(symbolic.valid_triples(triples), terms).select("paper_id", "completeness")
