@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NARROW, TEXTS, UPPER, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
+from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
 from .shingles import mixed
 
 #: Characters of a shingle; bands and rows of a signature; pairs of one line that a task verifies together; characters
@@ -20,14 +21,13 @@ from .shingles import mixed
 CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, SPREAD = 10, 12, 4, 256, 1 << 19, 200_000, 2
 U32, U64 = np.uint32, np.uint64
 _seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(U32) | U32(1)
-_blank, _odd = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x09\x0B-\x0D]|  ")
-_lower = str.maketrans(UPPER, LOWER)
+_blank, _odd = re.compile(r"[\x20\x09-\x0D]+"), ("  ", "\t", "\x0b", "\x0c", "\r")
 
 
 def normal_lines(text: str) -> list[str]:
     """The lines of a text as they are compared: A-Z lower-cased, each run of white space one space, none at the ends."""
-    text = text.lower() if text.isascii() else text.translate(_lower)
-    if _odd.search(text):
+    text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # of bytes, only A-Z
+    if any(x in text for x in _odd):
         return [_blank.sub(" ", x).strip(" ") for x in text.split("\n")]
     return [x.strip(" ") for x in text.split("\n")]
 
@@ -56,12 +56,13 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """BANDS 64-bit keys for each line, of ROWS minima of permuted shingle hashes each; counts of shingles, with repeats."""
     h, sizes = shingle_hashes(lines)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    starts = np.cumsum(sizes) - sizes
+    held = np.empty_like(h)
     out = np.zeros((len(lines), BANDS), U64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, U64)
         for r in range(ROWS):
-            key = key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _seeds[b * ROWS + r], starts).astype(U64)
+            key = key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(np.multiply(h, _seeds[b * ROWS + r], out=held), starts).astype(U64)
         out[:, b] = mixed(key)
     return out, sizes
 
@@ -86,46 +87,50 @@ def similar(x: set[str], y: set[str]) -> bool:
     return 100 * both >= 80 * (len(x) + len(y) - both)
 
 
-def _new_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], list[int]]]:
-    """Normal lines and their numbers, in stretches, each line about once a task."""
+def _sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """bands() of any number of lines, a stretch at a time."""
+    found, at = [], 0
+    while at < len(lines):
+        end, held = at, 0
+        while end < len(lines) and held < STRETCH:
+            held += len(lines[end]) + CHARS
+            end += 1
+        found.append(bands(lines[at:end]))
+        at = end
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+READ = "struct<line: array<long>, signed: array<struct<rep: long, n: int, sigs: array<long>>>>"
+
+
+def _read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The numbers of a text's lines (null for those without visible characters), and of those that this task hasn't met, or
+    not lately, the signatures."""
     seen: set[int] = set()
-    lines, numbers, held = [], [], 0
-    for batch in batches:
-        for text in batch["text"]:
-            for line in normal_lines(text or ""):
-                if line and (n := number(line)) not in seen:
+    for texts in batches:
+        numbers, counts, new, new_counts, lines = [], [], [], [], []
+        for text in texts:
+            found = normal_lines(text.as_py() or "")
+            counts.append(len(found))
+            before = len(new)
+            for line in found:
+                n = number(line) if line else None
+                numbers.append(n)
+                if n is not None and n not in seen:
                     seen.add(n)
+                    new.append(n)
                     lines.append(line)
-                    numbers.append(n)
-                    held += len(line) + CHARS
-                    if held >= STRETCH:
-                        yield lines, numbers
-                        lines, numbers, held = [], [], 0
+            new_counts.append(len(new) - before)
         if len(seen) > REMEMBER:
             seen.clear()
-    if lines:
-        yield lines, numbers
-
-
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every line's place and number."""
-    for batch in batches:
-        for at in range(0, len(batch), TEXTS):
-            some = batch.iloc[at : at + TEXTS]
-            found = [
-                (i, th, nth, number(line))
-                for i, th, text in zip(some["id"], some["th"], some["text"])
-                for nth, line in enumerate(normal_lines(text or ""))
-                if line
-            ]
-            yield pd.DataFrame({c: [f[k] for f in found] for k, c in enumerate(("id", "th", "nth", "line"))})
-
-
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for lines, numbers in _new_lines(batches):
-        sigs, sizes = bands(lines)
-        rep = np.repeat(np.array(numbers, np.int64), BANDS)
-        yield pd.DataFrame({"sig": sigs.view(np.int64).ravel(), "rep": rep, "n": np.repeat(sizes.astype(np.int32), BANDS)})
+        sigs, sizes = _sign(lines) if lines else (np.zeros((0, BANDS), U64), np.zeros(0, np.int64))
+        of_line = _lists(pa.array(sigs.view(np.int64).ravel(), pa.int64()), [BANDS] * len(lines))
+        signed = pa.StructArray.from_arrays([pa.array(new, pa.int64()), pa.array(sizes, pa.int32()), of_line], ["rep", "n", "sigs"])
+        yield pa.StructArray.from_arrays([_lists(pa.array(numbers, pa.int64()), counts), _lists(signed, new_counts)], ["line", "signed"])
 
 
 def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,8 +169,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    id_type = docs.schema["id"].dataType.simpleString()
-    places = stored(docs.mapInPandas(_places, f"id {id_type}, th long, nth int, line long"), "places", batch=TEXTS)
+    read = stored(docs.withColumn("read", F.arrow_udf(_read, READ)("text")).select("id", "th", "read.line", "read.signed"), "read", batch=TEXTS)
+    places = read.select("id", "th", F.posexplode("line").alias("nth", "line")).where("line IS NOT NULL")
+    postings = read.select(F.explode("signed").alias("s")).select(F.explode("s.sigs").alias("sig"), "s.rep", "s.n")
     owners = places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at"))
     texts: list[DataFrame] = []
 
@@ -189,7 +195,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "rest")
         return stored(there.select("a", (F.col("rest") == 0).alias("own"), "b", "text").mapInPandas(_verified, "a long, b long"), "links")
 
-    parts = linked_parts(docs.select("text").mapInPandas(_sign, "sig long, rep long, n int"), marks, links)
+    parts = linked_parts(postings, marks, links)
     parts = broadcast_if_small(parts.withColumnRenamed("node", "line"), NARROW)
     placed = places.join(parts, "line", "left").select("id", "th", "nth", F.coalesce("component", "line").alias("part"))
     stays = placed.groupBy("part").agg(F.min(F.struct("id", "th", "nth")).alias("first"), F.count("*").alias("n"))
