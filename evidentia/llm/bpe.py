@@ -7,6 +7,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps between one and two times so many recent words, so its memory is bounded on any corpus.
 MOST_WORDS = 150_000
+#: Words that an idle worker keeps for its next task: those that came first, which are mostly the frequent ones.
+IDLE_WORDS = 30_000
 #: Texts are split about every so many characters, at places where the pattern always splits.
 PIECE = 1 << 18
 SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
@@ -127,6 +130,10 @@ class Codec:
             self.known[word] = found
         return found
 
+    def rest(self) -> None:
+        """Give most of the remembered words' memory back: other work follows in the same worker."""
+        self.known, self.older = dict(islice((self.older or self.known).items(), IDLE_WORDS)), {}
+
     def pieces(self, text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > PIECE:
@@ -213,5 +220,6 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
             n, of_ids, of_bytes = zip(*(codec.digests(t.as_py() or "") for t in texts)) if len(texts) else ((), (), ())
             columns = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.rest()
 
     return docs.select(F.col(id_col), run(F.col(text_col)).alias("r")).select(id_col, "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

@@ -189,7 +189,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", as_col: str =
             lang, score = pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())
             yield pa.StructArray.from_arrays([lang, score], ["lang_pred", "score"])
 
-    return docs.withColumn(as_col, run(F.col(text_col)))
+    # else a filter on what it says and a column of it would run it twice
+    return docs.withColumn(as_col, run.asNondeterministic()(F.col(text_col)))
 
 
 def fold(id_col: str = "doc_id") -> Column:
