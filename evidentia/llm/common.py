@@ -153,25 +153,37 @@ def parity(tokens: np.ndarray, spread: int = 1) -> bytes:
     return np.packbits(on.astype(np.uint8)).tobytes()
 
 
-def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For pairs of bitmaps (arrays of bytes objects) a lower bound of the symmetric difference; of two lengths the longer
-    one is folded to the shorter one's bits."""
-    found = np.zeros(len(x), np.int64)
-    lengths = np.stack([np.fromiter(map(len, side), np.int64, len(side)) for side in (x, y)], 1)
-    for a, b in np.unique(lengths, axis=0).tolist():
-        at = np.flatnonzero((lengths == (a, b)).all(1))
-        words = min(a, b) // 8
-        fold = lambda side, at=at, words=words: np.bitwise_xor.reduce(
-            np.frombuffer(b"".join(side[at]), np.uint64).reshape(len(at), -1, words), axis=1
-        )
-        found[at] = np.bitwise_count(fold(x) ^ fold(y)).sum(axis=1, dtype=np.int64)
-    return found
+class Bitmaps:
+    """Bitmaps of several lengths, those of one length a table."""
+
+    def __init__(self, bits: list[bytes]):
+        self.words = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        self.row, self.tables = np.zeros(len(bits), np.int64), {}
+        for words in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == words)
+            self.row[at] = np.arange(len(at))
+            self.tables[words] = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), words)
+
+    def differences(self, x: np.ndarray, other: Bitmaps, y: np.ndarray) -> np.ndarray:
+        """For pairs of these (x) and other ones (y) a lower bound of the symmetric difference; of two lengths the longer one is
+        folded to the shorter one's bits."""
+        found = np.zeros(len(x), np.int64)
+        code = self.words[x] << 32 | other.words[y]
+        for pair in np.unique(code).tolist():
+            at = np.flatnonzero(code == pair)
+            a, b = pair >> 32, pair & 0xFFFFFFFF
+            one, two = self.tables[a][self.row[x[at]]], other.tables[b][other.row[y[at]]]
+            if a != b:
+                one, two = (np.bitwise_xor.reduce(t.reshape(len(at), -1, min(a, b)), axis=1) for t in (one, two))
+            found[at] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+        return found
 
 
 def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs that their bitmaps don't rule out: Jaccard 0.8 leaves a symmetric difference of a ninth of both sizes."""
     for pairs in batches:
-        differ = _differences(pairs["bits_a"].to_numpy(), pairs["bits_b"].to_numpy())
+        each = np.arange(len(pairs))
+        differ = Bitmaps(pairs["bits_a"].tolist()).differences(each, Bitmaps(pairs["bits_b"].tolist()), each)
         yield pairs.loc[9 * differ <= (pairs["n_a"] + pairs["n_b"]).to_numpy(), ["a", "b"]]
 
 
@@ -182,10 +194,9 @@ def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return two.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(_possible, "a long, b long")
 
 
-def _closest_forest(pairs: np.ndarray, parts: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Of pairs whose ends lie in components `parts`, closest first, those that join what earlier ones haven't joined. The order
-    doesn't depend on the block, so blocks with the same members choose the same pairs."""
-    parent: dict[int, int] = {}
+def _closest_forest(pairs: np.ndarray, parts: np.ndarray, differ: np.ndarray, parent: dict[int, int]) -> np.ndarray:
+    """Of pairs whose ends lie in components `parts`, closest first, those that join what earlier ones, noted in parent, haven't
+    joined. The order doesn't depend on the block, so blocks with the same members choose the same pairs."""
 
     def root(x):
         while (up := parent.get(x, x)) != x:
@@ -202,11 +213,11 @@ def _closest_forest(pairs: np.ndarray, parts: np.ndarray, differ: np.ndarray) ->
     return pairs[chosen]
 
 
-def _block_pairs(block: pd.DataFrame, thin: bool) -> pd.DataFrame:
-    """Pairs of one (sig, i, j) in different components, of different blocks if i <> j, that sizes and bitmaps don't rule out.
-    Row r is compared with row r + 1, then all with r + 2, and so on: whole arrays at a time."""
+def _block_pairs(block: pd.DataFrame, joined: dict[int, int] | None) -> pd.DataFrame:
+    """Pairs of one (sig, i, j) in different components, of different blocks if i <> j, that sizes and bitmaps don't rule out;
+    with `joined` only those that join components, which it notes. Row r is compared with row r + 1, then all with r + 2, and so on: whole arrays at a time."""
     sig, i, j, own, rep, n, part = (block[c].to_numpy() for c in ("sig", "i", "j", "own", "rep", "n", "part"))
-    bits = block["bits"].to_numpy()
+    bits = Bitmaps(block["bits"].tolist())
     pairs, parts, differs = [], [], []
     for step in range(1, len(block)):
         x, y = slice(None, -step), slice(step, None)
@@ -216,7 +227,7 @@ def _block_pairs(block: pd.DataFrame, thin: bool) -> pd.DataFrame:
         fits = same & (part[x] != part[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (80 * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
         at = np.flatnonzero(fits)
         if len(at):
-            differ = _differences(bits[at], bits[at + step])
+            differ = bits.differences(at, bits, at + step)
             close = 9 * differ <= n[at] + n[at + step]
             at, differ = at[close], differ[close]
             pairs.append(np.sort(np.stack([rep[at], rep[at + step]], 1), 1))
@@ -224,7 +235,7 @@ def _block_pairs(block: pd.DataFrame, thin: bool) -> pd.DataFrame:
             differs.append(differ)
     found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     if len(found):
-        found = _closest_forest(found, np.concatenate(parts), np.concatenate(differs)) if thin else np.unique(found, axis=0)
+        found = np.unique(found, axis=0) if joined is None else _closest_forest(found, np.concatenate(parts), np.concatenate(differs), joined)
     return pd.DataFrame(found, columns=["a", "b"])
 
 
@@ -232,16 +243,16 @@ def _compared(thin: bool):
     """Rows (sig, i, j, own, rep, n, part, bits) sorted by sig, i, j: _block_pairs of every stretch of whole blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, joined = None, {} if thin else None
         for batch in batches:
             if held is not None:
                 batch = pd.concat([held, batch], ignore_index=True)
             key = batch[["sig", "i", "j"]].to_numpy()
             last = int((~(key == key[-1]).all(1)).cumsum()[-1]) if len(batch) else 0
-            yield _block_pairs(batch.iloc[:last], thin)
+            yield _block_pairs(batch.iloc[:last], joined)
             held = batch.iloc[last:]
         if held is not None:
-            yield _block_pairs(held, thin)
+            yield _block_pairs(held, joined)
 
     return run
 
@@ -274,18 +285,19 @@ def linked_parts(postings: DataFrame, marks: Callable[[DataFrame], DataFrame], l
         parts = connected_components(found) if new else parts
         side = broadcast_if_small(parts.withColumnRenamed("node", "rep"), NARROW)
         placed = shared.select("sig", "rep").join(side, "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("part"))
-        held = placed.groupBy("sig").agg(F.count("*").alias("g"), F.min("part").alias("low"), F.max("part").alias("high"))
+        held = placed.groupBy("sig").agg(F.count("*").alias("g"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("top"))
         # powers of two, so that blocks of signatures with the same sets agree
         blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("g") / BLOCK)))).cast("int")
-        held = stored(held.where("low <> high").select("sig", blocks.alias("blocks")), "open")
+        held = stored(held.where("low <> high").select("sig", "top", blocks.alias("blocks")), "open")
         if held.isEmpty():
             break
         apart = placed.join(broadcast_if_small(held, NARROW), "sig").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
         others = F.array("own") if thin else F.sequence(F.lit(0), F.col("blocks") - 1)
         apart = apart.withColumn("other", F.explode(others)).join(sizes, "rep")
-        apart = apart.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "part", "bits")
-        apart = apart.repartition(shuffle_width(postings.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "rep")
-        pairs = apart.mapInPandas(_compared(thin), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        apart = apart.select("top", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "part", "bits")
+        # signatures of the same sets mostly begin with the same one: dealt by it, a task sees their pairs together
+        apart = apart.repartition(shuffle_width(postings.sparkSession), "top", "i", "j").sortWithinPartitions("top", "sig", "i", "j", "rep")
+        pairs = apart.drop("top").mapInPandas(_compared(thin), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         new = not pairs.isEmpty()
         if new:
