@@ -114,3 +114,23 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 1, per_level: int =
         out = at.withColumn("level", F.lit(level)) if out is None else out.union(at.withColumn("level", F.lit(level)))
         seen = seen.union(at)
     return out
+
+
+def search_and_expand(
+    edges: DataFrame, found: DataFrame, backward: int = 1, forward: int = 0, per_paper: int = 10, order_col: str = "rank"
+) -> DataFrame:
+    """(node, phase, rank, level): papers that a search found (node, rank) and those around them, each once, as it comes first: phase
+    0 the search, in its order; 1 along edges, `backward` levels deep; 2 against them, `forward` levels. rank is that of the
+    found paper it was reached from. Every paper leads on to its per_paper smallest neighbours. Found rows without a node are
+    left out. The rows' order is that of (phase, rank, level, node)."""
+    seeds = found.where("node IS NOT NULL").groupBy("node").agg(F.min(order_col).alias("rank"))
+    out = seeds.select("node", F.lit(0).alias("phase"), "rank", F.lit(0).alias("level"))
+    for phase, depth, at_col, next_col in ((1, backward, "src", "dst"), (2, forward, "dst", "src")):
+        step, at = edges.select(F.col(at_col).alias("node"), F.col(next_col).alias("next")).distinct(), seeds
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("next"))
+        for level in range(1, depth + 1):
+            near = at.join(step, "node").withColumn("nth", nth).where(F.col("nth") <= per_paper)
+            at = saved(near.groupBy(F.col("next").alias("node")).agg(F.min("rank").alias("rank")), "around")
+            out = out.union(at.select("node", F.lit(phase), "rank", F.lit(level)))
+    first = out.groupBy("node").agg(F.min(F.struct("phase", "rank", "level")).alias("f"))
+    return first.select("node", "f.phase", "f.rank", "f.level")

@@ -119,3 +119,54 @@ def nested_sources(annotations: DataFrame, json_col: str = "json", id_col: str =
 
     kind = annotations.schema[id_col].dataType.simpleString()
     return annotations.select(F.col(id_col).alias("id"), F.col(json_col).alias("json")).mapInPandas(run, f"{id_col} {kind}, path string, sentence string")
+
+
+def triple_sources(annotations: DataFrame, json_col: str = "json", id_col: str = "paper_id") -> DataFrame:
+    """(paper_id, subject, predicate, object, sentence): sentences of nested annotations that state a row's triple.
+
+    A 'from sentence' entry speaks for the object it stands in. It states the triple if subject, predicate and object follow each other on
+    a chain of phrases (keys, and strings at the end, lists looked into) that begins at the root and passes through that object.
+    Sentences are stripped; a row gives each once. JSON that is null, broken or too deep for the parser gives no rows. An Arrow
+    batch at a time, a small recursion per row."""
+    import json
+
+    import pandas as pd
+
+    def chains(node, path):
+        """All chains from path through node to its ends."""
+        if isinstance(node, dict):
+            below = [(k, v) for k, v in node.items() if k != "from sentence"]
+            if not below:
+                yield path
+            for key, value in below:
+                yield from chains(value, [*path, key])
+        elif isinstance(node, list) and node:
+            for value in node:
+                yield from chains(value, path)
+        else:
+            yield [*path, node] if isinstance(node, str) else path
+
+    def stating(node, path, triple):
+        if isinstance(node, dict):
+            said = node.get("from sentence")
+            if isinstance(said, str) and any(c[i : i + 3] == triple for c in chains(node, path) for i in range(len(c) - 2)):
+                yield said.strip()
+            for key, value in node.items():
+                yield from stating(value, [*path, key], triple)
+        elif isinstance(node, list):
+            for value in node:
+                yield from stating(value, path, triple)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, text, *triple in zip(batch["id"], batch["json"], batch["subject"], batch["predicate"], batch["object"]):
+                try:
+                    rows += [(i, *triple, s) for s in dict.fromkeys(stating(json.loads(text or "null"), [], triple))]
+                except (ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(rows, columns=[id_col, "subject", "predicate", "object", "sentence"])
+
+    kind = annotations.schema[id_col].dataType.simpleString()
+    rows = annotations.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"), "subject", "predicate", "object")
+    return rows.mapInPandas(run, f"{id_col} {kind}, subject string, predicate string, object string, sentence string")

@@ -130,3 +130,44 @@ def compile_report(deep: DataFrame, drafts: DataFrame, facts: DataFrame) -> Data
     whole = body.crossJoin(toc).crossJoin(head).crossJoin(n)  # one row each
     top = F.format_string("# Research Synthesis\n\n\n**Sections:** %d  \n\n**Sub-sections:** %d  \n\n**Facts extracted:** %d  \n\n**Verified facts:** %d  \n\n**Avg. confidence:** %.0f%%\n\n\n## Contents\n\n\n", "sections", "leaves", "facts", "verified", F.col("conf") * 100)
     return whole.select(F.concat(top, "toc", F.lit("\n\n\n\n"), "draft").alias("report"))
+
+
+def append_sections(tree: DataFrame, gaps: DataFrame) -> DataFrame:
+    """tree with a critic's gaps (ord, title, description, keywords) as last children of the root, all of them, in their order; a gap
+    without a title is a Missing Section. Their ids are the root's, .s and the gap's ord. Without a root nothing is added."""
+    root = tree.where("parent_id IS NULL").select(F.col("node_id").alias("root_id"))
+    last = tree.join(root, F.col("parent_id") == F.col("root_id")).groupBy("root_id").agg((F.max("ord") + 1).alias("first"))
+    at = F.broadcast(root.join(last, "root_id", "left"))  # one row, the root
+    new = gaps.select(F.col("ord").alias("gap_ord"), "title", "description", "keywords").crossJoin(at)
+    new = new.select(
+        F.concat("root_id", F.lit(".s"), F.col("gap_ord").cast("string")).alias("node_id"), F.col("root_id").alias("parent_id"),
+        (F.coalesce("first", F.lit(0)) + F.col("gap_ord")).cast("int").alias("ord"), F.coalesce("title", F.lit("Missing Section")).alias("title"),
+        F.coalesce("description", F.lit("")).alias("description"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+    )
+    return tree.unionByName(new, allowMissingColumns=True)
+
+
+def node_citations(facts: DataFrame, node_col: str = "node_id", source_col: str = "source_doc") -> DataFrame:
+    """(node_id, citation): each source that a node's facts name, once, as [source]; facts without a source give none. One row a
+    citation, so that a node with many never becomes one large row."""
+    named = facts.where(F.coalesce(F.col(source_col).cast("string"), F.lit("")) != "")
+    return named.select(F.col(node_col).alias("node_id"), F.concat(F.lit("["), F.col(source_col).cast("string"), F.lit("]")).alias("citation")).distinct()
+
+
+def node_records(deep: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """The nodes as reports list them: id, title, description, depth, facts_count, draft_preview (200 characters), confidence and value
+    to two places, is_leaf, is_complete, children_count, parent. Columns that the tree lacks count as empty, 0 or false."""
+    has = lambda c, other: F.coalesce(c, F.lit(other)) if c in deep.columns else F.lit(other)
+    children = deep.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
+    wide = deep.join(children, "node_id", "left")
+    if facts is None:
+        wide = wide.withColumn("facts", F.lit(0).cast("long"))
+    else:
+        wide = wide.join(facts.groupBy("node_id").agg(F.count("*").alias("facts")), "node_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return wide.select(
+        F.col("node_id").alias("id"), "title", has("description", "").alias("description"), "depth", count("facts").alias("facts_count"),
+        F.substring(has("draft", ""), 1, 200).alias("draft_preview"), F.round(has("confidence", 0.0), 2).alias("confidence"),
+        F.round(has("value", 0.0), 2).alias("value"), "is_leaf", has("is_complete", False).alias("is_complete"),
+        count("children").alias("children_count"), F.col("parent_id").alias("parent"),
+    )

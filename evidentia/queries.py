@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import scores, text, vectors
 from .operators import attribution, dedup, graph, retrieval, selection, symbolic, tree
 from .plans import models
+from .sources import papers as paper_sources
 from .sources import readers, sinks
 
 QUERIES, ORACLES = {}, {}
@@ -565,3 +566,106 @@ def topn_report(spark, sf_dir):
 @query("search_stats", "SELECT count(*) AS raw, count(DISTINCT substr(text, 1, 80)) AS unique_papers, count(*) FILTER (doc_id % 2 = 0) AS with_pdf, count(*) FILTER (doc_id % 3 = 0) AS open_access FROM documents")
 def search_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("raw"), F.countDistinct(F.substring("text", 1, 80)).alias("unique_papers"), F.count_if(F.col("doc_id") % 2 == 0).alias("with_pdf"), F.count_if(F.col("doc_id") % 3 == 0).alias("open_access"))
+
+
+API_PAPERS = """
+SELECT p_partkey, 'openalex' AS source_api, p_name AS title, 'A ' || p_brand AS first_author, 2 AS n_authors, (1990 + p_size)::INT AS year, p_type AS abstract,
+  '10.1/' || p_partkey AS doi, 'W' || p_partkey AS url, CASE WHEN p_size % 2 = 0 THEN 'oa' || p_partkey ELSE 'pdf' || p_partkey END AS pdf_url,
+  p_partkey AS citation_count, p_size % 3 = 0 AS is_oa FROM part
+UNION ALL
+SELECT p_partkey, 'crossref', CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END, 'B ' || p_brand, 2,
+  CASE WHEN p_size % 5 = 0 THEN NULL ELSE 1990 + p_size END, '', '10.1/' || p_partkey, 'u' || p_partkey, 'second' || p_partkey, p_partkey, false FROM part
+UNION ALL
+SELECT p_partkey, 'arxiv', p_name, p_brand, 1, 2000 + p_size % 20, p_type, '', 'http://arxiv.org/abs/' || p_partkey || 'v1',
+  CASE WHEN p_size % 2 = 0 THEN 'http://arxiv.org/pdf/' || p_partkey ELSE 'https://arxiv.org/pdf/' || p_partkey || 'v1.pdf' END, 0, true FROM part"""
+
+
+@query("api_papers", API_PAPERS)
+def api_papers(spark, sf_dir):
+    """Responses of three APIs, made of every part, as paper rows."""
+    p, text_of = table(spark, sf_dir, "part"), lambda *parts: F.concat(*[F.lit(x[1:]) if x.startswith("'") else F.col(x).cast("string") for x in parts])
+    key = lambda at: text_of(f"'{at}", "p_partkey")
+    access = F.struct((F.col("p_size") % 3 == 0).alias("is_oa"), F.when(F.col("p_size") % 2 == 0, key("oa")).otherwise("").alias("oa_url"), key("pdf").alias("pdf_url"))
+    person = lambda name: F.struct(F.struct(name.alias("display_name")).alias("author"))
+    work = F.struct(
+        F.col("p_name").alias("display_name"), F.array(person(text_of("'A ", "p_brand")), person(F.lit("C"))).alias("authorships"), (1990 + F.col("p_size")).alias("publication_year"),
+        F.col("p_type").alias("abstract"), key("https://doi.org/10.1/").alias("doi"), key("W").alias("id"), F.col("p_partkey").alias("cited_by_count"), access.alias("open_access"),
+    )
+    one = F.to_json(F.struct(F.array(work).alias("results")))
+    link = lambda kind, at: F.struct(F.lit(kind).alias("content-type"), key(at).alias("URL"))
+    item = F.struct(
+        F.when(F.col("p_size") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("title"),
+        F.array(F.struct(F.lit("B").alias("given"), F.col("p_brand").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.lit("D").alias("family"))).alias("author"),
+        F.when(F.col("p_size") % 5 != 0, F.struct(F.array(F.array(1990 + F.col("p_size"), F.lit(5))).alias("date-parts"))).alias("published-print"),
+        key(" 10.1/").alias("DOI"), key("u").alias("URL"), F.col("p_partkey").alias("is-referenced-by-count"),
+        F.array(link("text/html", "first"), link("application/PDF", "second"), link("application/pdf", "third")).alias("link"),
+    )
+    two = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("message")))
+    pdf = F.when(F.col("p_size") % 2 == 0, text_of("'<link title=\"pdf\" href=\"http://arxiv.org/pdf/", "p_partkey", "'\"/>")).otherwise("")
+    three = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>results</title><entry>'), text_of("'<id>http://arxiv.org/abs/", "p_partkey", "'v1</id><title> ", "p_name", "' </title>"),
+        F.lit("<published>"), (2000 + F.col("p_size") % 20).cast("string"), text_of("'-01-02T00:00:00Z</published><summary>\n", "p_type", "'\n</summary><author><name>", "p_brand", "'</name></author>"),
+        F.lit('<link rel="alternate" href="x"/>'), pdf, F.lit("</entry></feed>"),
+    )
+    pages = p.select("p_partkey", one.alias("one"), two.alias("two"), three.alias("three"))
+    found = paper_sources.openalex(pages, "one", ("p_partkey",)).unionByName(paper_sources.crossref(pages, "two", ("p_partkey",)))
+    found = found.unionByName(paper_sources.arxiv(pages, "three", ("p_partkey",)))
+    people = (F.get("authors", F.lit(0)).alias("first_author"), F.size("authors").alias("n_authors"))
+    return found.select("p_partkey", "source_api", "title", *people, "year", "abstract", "doi", "url", "pdf_url", "citation_count", "is_oa")
+
+
+SEARCHED = f"""WITH {EDGES}, s AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 5),
+one AS (SELECT rank, dst AS node FROM edge JOIN s ON src = node QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 10),
+near AS (SELECT node, min(rank) AS rank FROM one GROUP BY 1),
+two AS (SELECT rank, dst AS node FROM edge JOIN near ON src = node QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 10),
+back AS (SELECT rank, src AS node FROM edge JOIN s ON dst = node QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 10),
+a AS (SELECT node, 0 AS phase, rank, 0 AS level FROM s UNION ALL SELECT node, 1, rank, 1 FROM one UNION ALL SELECT node, 1, rank, 2 FROM two UNION ALL SELECT node, 2, rank, 1 FROM back)
+SELECT node, phase::INT AS phase, rank::INT AS rank, level::INT AS level FROM a QUALIFY row_number() OVER (PARTITION BY node ORDER BY phase, rank, level) = 1"""
+
+
+@query("search_and_expand", SEARCHED)
+def search_and_expand(spark, sf_dir):
+    """The five dearest parts as a search's results, with two levels of what they cite and one of what cites them."""
+    top = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
+    found = top.select(F.col("p_partkey").alias("node"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+    return graph.search_and_expand(edges_of(spark, sf_dir), found, 2, 1)
+
+
+@query("triple_sources", "SELECT p_partkey, p_brand AS subject, 'comes as' AS predicate, p_name AS object, p_name || ' is ' || p_type AS sentence FROM part WHERE p_partkey % 3 <> 0")
+def triple_sources(spark, sf_dir):
+    """Annotations made of every part; two of three state the triple."""
+    p = table(spark, sf_dir, "part")
+    said = F.create_map(F.lit("from sentence"), F.concat(F.lit(" "), "p_name", F.lit(" is "), "p_type"))
+    body = F.to_json(F.create_map(F.lit("Contribution"), F.create_map(F.col("p_brand"), F.create_map(F.lit("comes as"), F.create_map(F.col("p_name"), said)))))
+    asked = F.when(F.col("p_partkey") % 3 != 0, F.lit("comes as")).otherwise("was")
+    rows = p.select("p_partkey", body.alias("json"), F.col("p_brand").alias("subject"), asked.alias("predicate"), F.col("p_name").alias("object"))
+    return symbolic.triple_sources(rows, id_col="p_partkey")
+
+
+@query("node_citations", "SELECT DISTINCT l_suppkey AS node_id, '[' || l_partkey || ']' AS citation FROM lineitem")
+def node_citations(spark, sf_dir):
+    return tree.node_citations(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("node_records", f"WITH {TREE}, k AS (SELECT parent_id AS p, count(*) AS n FROM tr WHERE parent_id IS NOT NULL GROUP BY 1), f AS (SELECT 's' || l_suppkey AS f, count(*) AS m FROM lineitem GROUP BY 1) SELECT node_id AS id, title, 'About ' || title AS description, depth::INT AS depth, coalesce(m, 0) AS facts_count, 'Text of ' || title AS draft_preview, ord % 10 / 10.0::DOUBLE AS confidence, 0.0::DOUBLE AS value, leaf AS is_leaf, ord % 2 = 0 AS is_complete, coalesce(n, 0) AS children_count, parent_id AS parent FROM lf LEFT JOIN k ON p = node_id LEFT JOIN f ON f = node_id")
+def node_records(spark, sf_dir):
+    facts = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("node_id"))
+    return tree.node_records(tree.add_depth(outline(spark, sf_dir)), facts)
+
+
+@query("outline_critique", f"WITH {TREE} SELECT node_id, parent_id, ord, title FROM tr UNION ALL SELECT 'root.s' || (row_number() OVER (ORDER BY s) - 1), 'root', (m + row_number() OVER (ORDER BY s))::INT, s FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (SELECT max(r_regionkey) AS m FROM region)")
+def outline_critique(spark, sf_dir):
+    """The market segments, which the outline lacks, as further sections."""
+    topics = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("title")).distinct()
+    nth = F.row_number().over(Window.orderBy("title")) - 1  # a handful of segments
+    gaps = topics.select(nth.alias("ord"), "title", F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("keywords"))
+    return tree.append_sections(outline(spark, sf_dir), gaps).select("node_id", "parent_id", "ord", "title")
+
+
+@query("paper_links", "SELECT 'p' || event_id AS paper_id, 0 AS nth, 'c' || event_id AS linked_id, 't' AS title, (event_id % 50)::INT AS year FROM events UNION ALL SELECT 'p' || event_id, 1, 'd' || event_id, '', 0 FROM events")
+def paper_links(spark, sf_dir):
+    """The first two of the cited papers with an id, of records made of every event."""
+    cites = F.concat(F.lit('{"citedPaper": {"paperId": "c'), "event_id", F.lit('", "title": "t", "year": '), F.col("event_id") % 50, F.lit('}}, {"citedPaper": {"title": "none"}}'))
+    more = F.concat(F.lit(', {"paperId": "d'), "event_id", F.lit('"}, {"paperId": "e"}]}'))
+    body = F.concat(F.lit('{"paperId": "p'), "event_id", F.lit('", "references": ['), cites, more)
+    return paper_sources.paper_links(readers.paper_records(table(spark, sf_dir, "events").select(body.alias("json"))), most=2)
