@@ -1,7 +1,7 @@
 """Landed search responses of scholarly APIs as uniform paper rows, and the links of papers.
 
-Every mapping takes a table with one response body a row and returns (page columns kept by the caller's choice of `keep`) title,
-authors, year, abstract, doi, url, pdf_url, source_api, citation_count, is_oa. A body that is null, empty or no valid response gives
+Every mapping takes a table with one response body a row and returns the columns `keep` of the body's row, then title, authors,
+year, abstract, doi, url, pdf_url, source_api, citation_count, is_oa. A body that is null, empty or no valid response gives
 no rows; absent parts are empty strings, empty arrays, 0, false, or a null year. Of a body at most `most` results are taken, in
 its order: the limit that the API has for one request.
 """
