@@ -78,3 +78,31 @@ def prompt(messages: DataFrame, by: str = "conv_id", order: str = "turn") -> Dat
     system = F.when(F.size(pick(True)) > 0, F.concat(F.lit("[System]\n"), F.array_join(pick(True), "\n\n")))
     turns = F.when(F.size(pick(False)) > 0, F.array_join(pick(False), "\n"))
     return rows.select(by, strip(F.concat_ws("\n\n", system, turns)).alias("prompt"))
+
+
+def excerpts(found: DataFrame, most: int, chars: int, by: str = "query_id", doc_col: str = "document_id") -> DataFrame:
+    """(by, excerpts): of each query's found rows (rank, text) the first `most`, each `chars` long at most, as numbered lines."""
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col(doc_col).cast("string"), F.lit(": "), F.substring(F.coalesce("text", F.lit("")), 1, chars))
+    rows = found.where(F.col("rank") <= most).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
+    return rows.select(by, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("excerpts"))
+
+
+def decision_prompt(queries: DataFrame, found: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, prompt) for queries (by, query): six excerpts of 350 characters, and whether to search further."""
+    shown = queries.join(excerpts(found, 6, 350, by), by, "left")
+    ask = F.lit("Reply ANSWER if these excerpts cover the question; else reply SEARCH: and one query for what is missing.")
+    return shown.select(by, F.concat(F.lit("Question: "), "query", F.lit("\n\n"), F.coalesce("excerpts", F.lit("(nothing found)")), F.lit("\n\n"), ask).alias("prompt"))
+
+
+def answer_prompt(queries: DataFrame, found: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, prompt) for queries (by, query): ten excerpts of 500 characters, to be answered with citations."""
+    shown = queries.join(excerpts(found, 10, 500, by), by, "left")
+    ask = F.lit("Answer from the excerpts alone and cite their numbers in brackets.")
+    return shown.select(by, F.concat(F.lit("Question: "), "query", F.lit("\n\n"), F.coalesce("excerpts", F.lit("(nothing found)")), F.lit("\n\n"), ask).alias("prompt"))
+
+
+def critique_prompt(title: Column, description: Column, draft: Column) -> Column:
+    """A node's title, description and the first 1,000 characters of its draft, to be answered NO GAPS or GAPS: a | b."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    ask = F.lit("\n\nWhat does the draft lack? Reply NO GAPS, or GAPS: with the missing topics, parted by |.")
+    return F.concat(F.lit("Section: "), blank(title), F.lit("\nAbout: "), blank(description), F.lit("\nDraft: "), F.substring(blank(draft), 1, 1000), ask)

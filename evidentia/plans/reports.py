@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import KEYWORDS, local_support, primary_tag, sufficiency
 from ..functions.text import sentences
 from ..functions.vectors import dot
-from ..operators import attribution, retrieval, selection, tree
+from ..operators import attribution, graph, retrieval, selection, tree
 from ..operators.storage import saved
 from .models import HashEmbedder, lexical_score
 
@@ -72,33 +72,101 @@ class Report:
     stages: list = field(default_factory=list)
 
 
-def full_report(index: DataFrame, query: str, target: int = 12, mode: str = "balanced", policy: str = "hybrid_v2", thresholds: dict | None = None, keywords: dict = KEYWORDS, rounds: int = 0, more: int = 5) -> Report:
-    """Retrieve max(200, 4 target) chunks, choose documents by coverage, take and verify their facts, and judge sufficiency. If it
-    fails, `rounds` times add `more` unseen candidates and try again; the last synthesis is returned either way. Each stage's
-    table is written; a stage that may fail (attribution) is isolated."""
+def no_verified_fact(leaves: DataFrame) -> DataFrame:
+    """The default critic: a leaf (node_id, verified) without a verified fact lacks one."""
+    none = F.array().cast("array<string>")
+    return leaves.select("node_id", F.when(F.col("verified") == 0, F.array(F.lit("no verified fact"))).otherwise(none).alias("gaps"))
+
+
+def leaves_with_gaps(chosen: DataFrame, facts: DataFrame, critic) -> int:
+    """How many of the chosen documents, each a leaf of the report, have gaps by critic(leaves)."""
+    held = facts.groupBy(F.col("source_doc").alias("paper_id")).agg(F.count_if("verified").alias("verified"))
+    leaves = chosen.select("paper_id").distinct().join(held, "paper_id", "left")
+    leaves = leaves.select(F.concat(F.lit("d"), F.col("paper_id").cast("string")).alias("node_id"), F.coalesce("verified", F.lit(0)).alias("verified"))
+    return critic(leaves).where(F.size("gaps") > 0).count()
+
+
+def reranked(found: DataFrame, query: str, scorer) -> DataFrame:
+    """found in the order of scorer(query, text); earlier ranks first on ties."""
+    everything = found.withColumn("query_id", F.lit(0))
+    again = retrieval.rerank(everything, scorer(F.lit(query), F.col("text")), (1 << 31) - 1, tie="rank")
+    return again.select(F.col("new_rank").alias("rank"), *[c for c in found.columns if c != "rank"])
+
+
+def full_report(
+    index: DataFrame, query: str, target: int = 12, mode: str = "balanced", policy: str = "hybrid_v2", thresholds: dict | None = None,
+    keywords: dict = KEYWORDS, rounds: int = 0, more: int = 5, scorer=lexical_score, edges: DataFrame | None = None, critic=no_verified_fact,
+) -> Report:
+    """Retrieve max(200, 4 target) chunks, re-rank them, choose documents by coverage, add up to `more` documents that the chosen ones
+    cite or are cited by in edges (src, dst), take and verify their facts, and judge sufficiency; gaps are the documents
+    in which critic finds some. If it fails, `rounds` times add `more` unseen candidates and try again; the last synthesis is returned
+    either way. Each stage's table is written; stages that may fail (re-ranking, graph, attribution) are isolated: the report goes
+    on without them and its stages name the error."""
     stages, began = [], time.time()
+    done = lambda stage, what: stages.append((stage, what, round(time.time() - began, 3)))
     found = saved(search(index, query, max(200, 4 * target), keywords=keywords), "found")
+    try:
+        found = saved(reranked(found, query, scorer), "reranked") if scorer else found
+        done("rerank", None)
+    except Exception as error:  # optional
+        done("rerank", str(error)[:200])
     ranked = saved(retrieval.candidates(found, keywords), "candidates")
     chosen = saved(selection.select_evidence(ranked, target, mode), "evidence").select("paper_id")
+    if edges is not None:
+        try:
+            chosen = saved(chosen.union(neighbours(index, edges, chosen, more)), "expanded")
+            done("graph", None)
+        except Exception as error:  # optional
+            done("graph", str(error)[:200])
     for turn in range(rounds + 1):
         evidence = index.join(chosen.select(F.col("paper_id").alias("document_id")), "document_id", "left_semi")
         sources = saved(retrieval.source_texts(evidence), "sources")
         facts = saved(attribution.verify_facts(extract_facts(evidence, query).drop("confidence"), sources), "facts")
-        counts = facts.agg(F.count("*").alias("total"), F.count_if("verified").alias("verified")).withColumn("gaps", F.lit(0))
+        gaps = leaves_with_gaps(chosen, facts, critic)
+        counts = facts.agg(F.count("*").alias("total"), F.count_if("verified").alias("verified")).withColumn("gaps", F.lit(gaps))
         row = counts.select("*", sufficiency("verified", "total", "gaps", policy, thresholds).alias("s")).first()
-        stages.append(("round", turn, round(time.time() - began, 3)))
+        done("round", turn)
         unseen = ranked.join(chosen, "paper_id", "left_anti").orderBy("rank").limit(more)
         if row["s"]["passed"] or turn == rounds or unseen.isEmpty():
             break
         chosen = saved(chosen.union(unseen.select("paper_id")), "evidence")
     try:
         cover = attribution.citation_coverage(attribution.attribute(sources.select(F.col("document_id").alias("doc_id"), F.col("source_text").alias("text")))).first().asDict()
-    except Exception as error:  # optional: the report goes on without it
+    except Exception as error:  # optional
         cover = {"error": str(error)[:200]}
-    checks = {"verified_facts": row["verified"], "total_facts": row["total"], "reason": row["s"]["reason"], "score": row["s"]["score"], "attribution": cover}
+    checks = {
+        "verified_facts": row["verified"], "total_facts": row["total"], "with_gaps": gaps, "reason": row["s"]["reason"], "score": row["s"]["score"], "attribution": cover
+    }
     return Report(f"session_{uuid.uuid4().hex}", query, chosen, facts, row["s"]["passed"], checks, markdown(facts, query), turn + 1, stages)
 
 
+def neighbours(index: DataFrame, edges: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """(paper_id): up to `most` documents of the index, smallest ids first, that chosen ones cite or are cited by."""
+    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src")))
+    near = graph.expand(both, chosen.select(F.col("paper_id").alias("node")), 1, (1 << 31) - 1)
+    here = near.join(index.select(F.col("document_id").alias("node")), "node", "left_semi")
+    return here.select(F.col("node").alias("paper_id")).orderBy("paper_id").limit(most)
+
+
+def query_session(index: DataFrame, folder: str, session_id: str, question: str, k: int = 6) -> DataFrame:
+    """The k best chunks for a question among the documents that a stored session used as evidence. KeyError without the session."""
+    from ..sources.sinks import read_session
+
+    used = read_session(index.sparkSession, folder, session_id).select(F.explode("evidence_papers").alias("used")).distinct()
+    own = index.withColumn("used", F.col("document_id").cast("string")).join(used, "used", "left_semi").drop("used")
+    return search(own, question, k)
+
+
+def refine_session(index: DataFrame, folder: str, session_id: str, question: str | None = None, **options) -> Report:
+    """A new report on a stored session's query, or on a further question, restricted to its evidence. Write its session_record to go on."""
+    from ..sources.sinks import read_session
+
+    session = read_session(index.sparkSession, folder, session_id)
+    used = session.select(F.explode("evidence_papers").alias("used")).distinct()
+    own = index.withColumn("used", F.col("document_id").cast("string")).join(used, "used", "left_semi").drop("used")
+    return full_report(own, question or session.first()["query"], **options)
+
+
 def markdown(facts: DataFrame, query: str) -> str:
     """Root, one section a source document, its verified facts as the draft: rolled up to one text."""
     drafts = facts.where("verified").groupBy("source_doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("fact_ord", "text"))), lambda f: F.concat(F.lit("- "), f["text"])), "\n").alias("draft"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores, text, vectors
 from .operators import attribution, dedup, graph, retrieval, selection, symbolic, tree
-from .plans import models
+from .plans import models, reasoning
 from .sources import papers as paper_sources
 from .sources import readers, sinks
 
@@ -669,3 +669,36 @@ def paper_links(spark, sf_dir):
     more = F.concat(F.lit(', {"paperId": "d'), "event_id", F.lit('"}, {"paperId": "e"}]}'))
     body = F.concat(F.lit('{"paperId": "p'), "event_id", F.lit('", "references": ['), cites, more)
     return paper_sources.paper_links(readers.paper_records(table(spark, sf_dir, "events").select(body.alias("json"))), most=2)
+
+
+def reasoned(spark, sf_dir) -> reasoning.Reasoning:
+    """All documents as papers, their triples resolved, events as information units and benchmark items as sections."""
+    papers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    triples, terms = triples_of(spark, sf_dir)
+    units = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("unit_type"))
+    sections = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("section_id"), F.col("text").alias("title"))
+    whole = lambda p: p.select("paper_id", scores.primary_tag("text", KEYWORDS).alias("tag"), "text")
+    return reasoning.reason(papers, triples, units, terms, sections, segment=whole)
+
+
+RELATED = f"""{WORDS}, {TAGGED}, ky AS (SELECT s || '||' || p || '||' || o AS key, doc_id FROM tp), hub AS (SELECT key, min(doc_id) AS hub FROM ky GROUP BY 1),
+pr AS (SELECT hub, doc_id, string_agg(key, ';' ORDER BY key) AS evidence FROM ky JOIN hub USING (key) WHERE doc_id <> hub GROUP BY ALL),
+rl AS (SELECT hub::VARCHAR AS from_paper, a.tag AS from_tag, pr.doc_id::VARCHAR AS to_paper, b.tag AS to_tag, 'supports' AS relation, evidence FROM pr JOIN tg a ON a.doc_id = hub JOIN tg b ON b.doc_id = pr.doc_id)"""
+
+
+@query("symbolic_relationships", f"WITH {RELATED} SELECT * FROM rl")
+def symbolic_relationships(spark, sf_dir):
+    return reasoned(spark, sf_dir).relationships.drop("explanation").withColumn("evidence", F.array_join("evidence", ";"))
+
+
+@query("symbolic_selections", f"WITH {RERANK}, qt AS (SELECT item_id, len(w) AS n, unnest(w) AS t FROM q), dt AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2))) AS t FROM documents), s AS (SELECT item_id AS section_id, doc_id AS paper_id, count(*)::DOUBLE / any_value(n) AS score FROM qt JOIN dt USING (t) GROUP BY ALL) SELECT section_id, paper_id, round(score, 9) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY score DESC, paper_id) AS rank FROM s) WHERE rank <= 5")
+def symbolic_selections(spark, sf_dir):
+    return reasoned(spark, sf_dir).selections.select("section_id", "paper_id", F.round("score", 9).alias("score"), "rank")
+
+
+RESOLVED = "e AS (SELECT doc_id, (i - 1) // 10 AS s, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM tp)), nn AS (SELECT tp.doc_id, count(DISTINCT e.s) AS n FROM tp JOIN e ON e.doc_id = tp.doc_id AND e.t IN (tp.s, tp.p, tp.o) GROUP BY 1)"
+
+
+@query("symbolic_stats", f"WITH {RELATED}, {RESOLVED} SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(*) FROM tg) AS total_segments, (SELECT count(*) FROM tp) AS total_triples, (SELECT count(*) FROM tp LEFT JOIN nn USING (doc_id) WHERE CASE WHEN c >= 3 THEN c ELSE least(coalesce(n, 0), 2) END >= 2) AS fully_resolved_triples, (SELECT count(*) FROM events) AS total_info_units, (SELECT count(*) FROM rl) AS relationships, (SELECT count(*) FROM benchmark) AS sections")
+def symbolic_stats(spark, sf_dir):
+    return reasoned(spark, sf_dir).stats
