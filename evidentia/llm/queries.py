@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, langid, line_dedup, mixing, ngram_join, sharding, url_filter
+from . import ann, bpe, chat, exact_dedup, langid, line_dedup, mixing, negatives, ngram_join, quality, sharding, spelling, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -177,3 +177,49 @@ def op10(spark, sf_dir):
 @query("op7_fuzzy_lines")
 def op7(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling.group_variants(spelling.vocabulary(spelling.occurrences(table(spark, sf_dir, "documents"))))
+
+
+QUALITY_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS nohost, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS g, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+raw AS (SELECT doc_id, host, nohost, t, unnest(string_split(t, chr(10))) AS l FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+ln AS MATERIALIZED (SELECT doc_id, host, nohost, t, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS l FROM raw),
+hosts AS (SELECT host, nohost, count(DISTINCT t) AS docs FROM d GROUP BY ALL),
+common AS (SELECT host, nohost, l FROM ln JOIN hosts USING (host, nohost) WHERE l <> '' GROUP BY host, nohost, l, docs HAVING count(DISTINCT t) > {quality.LINE_DOCS} AND count(DISTINCT t) > {quality.LINE_SHARE} * docs),
+gone AS (SELECT doc_id, sum(len(string_split(l, ' '))) AS n FROM ln JOIN common USING (host, nohost, l) GROUP BY 1),
+f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR n_words - n_removed_words < {quality.LEAST_LEFT} * n_words)) AS kept FROM b
+"""
+
+
+@query("op12_line_quality", QUALITY_SQL)
+def op12(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mine(rows.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")), F.col("vec_id") % 50 == 0)
