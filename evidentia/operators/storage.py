@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster, whose machines
+    don't share one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -346,14 +346,17 @@ def dup_penalty(spark, sf_dir):
     return tree.duplicate_penalty(facts).select(F.col("bfs").alias("conv_id"), F.col("fact_ord").alias("turn"), F.round("confidence", 6).alias("confidence"))
 
 
-EDGES = "edge AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_returnflag AS f FROM lineitem) WHERE dst IS NOT NULL AND f = 'R' AND src <> dst)"
+EDGES = """edge AS MATERIALIZED (
+  SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem)
+  WHERE dst IS NOT NULL AND src <> dst)"""
 
 
 def edges_of(spark, sf_dir) -> DataFrame:
-    """A citation graph from orders: from the part of a returned line to that of the next line."""
+    """A citation graph from orders: from the part of every line to that of the next. Lines that the order leaves tied have one part,
+    so however they fall the pairs are the same."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), "l_returnflag")
-    return li.where("dst IS NOT NULL AND l_returnflag = 'R' AND src <> dst").select("src", "dst").distinct()
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return li.where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def parts_1(spark) -> DataFrame:
