@@ -3,7 +3,6 @@ broadcasts and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_folder as shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only when a count shows that it has at most so many narrow rows.
-BROADCAST_ROWS = 50_000
+#: A side of a join is broadcast only when a count shows that it has at most so many rows, of at most so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 #: The same for rows of a few numbers.
 NARROW = 1_000_000
 #: Rows of one key beyond which spread_join deals them over several tasks.
@@ -30,15 +31,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evidentia-{uuid.uuid4().hex}/{name}"
 
@@ -62,20 +54,37 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory: lengths of strings, binaries and arrays, 8 for other columns."""
+    total = F.lit(16)
+    for field in df.schema:
+        kind, c = field.dataType.typeName(), F.col(field.name)
+        extra = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind in ("array", "map") else F.lit(0)
+        total = total + 8 + F.coalesce(extra, F.lit(0))
+    return total.cast("long")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table has at most `rows` rows and BROADCAST_BYTES bytes."""
+    some = df.limit(rows + 1).select(row_bytes(df).alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()  # one row
+    return some["n"] <= rows and (some["b"] or 0) <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stored table for broadcast if it has at most `rows` rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Mark a stored table for broadcast if it is_small; else leave the join to shuffle."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def spread_join(rows: DataFrame, side: DataFrame, *key: str, n: str = "n") -> DataFrame:
     """rows joined with side, one row a key, in which column n counts the key's rows: those of a key with more than HEAVY
-    rows are dealt over several tasks, to which its row of side is copied. Column n is dropped."""
+    rows are dealt over several tasks, to which its row of side is copied. They are dealt by a hash of their other columns, so
+    a repeated task deals them alike. Column n is dropped."""
     side = side.withColumn("evidentia_parts", F.ceil(F.col(n) / HEAVY).cast("int")).drop(n)
     heavy = stored(side.where("evidentia_parts > 1").select(*key, "evidentia_parts"), "heavy")
     if heavy.isEmpty():
         return rows.join(side.drop("evidentia_parts"), [*key])
-    rows = rows.join(broadcast_if_small(heavy, NARROW), [*key], "left")
-    rows = rows.withColumn("evidentia_part", F.floor(F.rand(7) * F.coalesce("evidentia_parts", F.lit(1))).cast("int")).drop("evidentia_parts")
+    dealt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in key]), F.coalesce("evidentia_parts", F.lit(1)))
+    rows = rows.join(broadcast_if_small(heavy, NARROW), [*key], "left").withColumn("evidentia_part", dealt.cast("int")).drop("evidentia_parts")
     side = side.withColumn("evidentia_part", F.explode(F.sequence(F.lit(0), F.col("evidentia_parts") - 1))).drop("evidentia_parts")
     return rows.join(side, [*key, "evidentia_part"]).drop("evidentia_part")
 
@@ -119,7 +128,7 @@ def _labels(batches):
         yield pd.DataFrame({"node": node, "component": component})
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60, few: int = NARROW) -> DataFrame:
+def connected_components(edges: DataFrame, few: int = NARROW) -> DataFrame:
     """(node, component) of an undirected graph given as rows (a, b) of longs; component: its smallest node.
 
     Union-find within each task thins the edges to a forest; then every node takes the smallest label around it
@@ -132,7 +141,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, few: int = NAR
         return stored(thin.coalesce(1).mapInPandas(_labels, "node long, component long"), "labels")
     both = stored(thin.union(thin.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so it ends
         around = (
             both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         )
@@ -142,7 +151,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, few: int = NAR
         labels = new.drop("old")
         if new.where("component <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
 def parity(tokens: np.ndarray, spread: int = 1) -> bytes:

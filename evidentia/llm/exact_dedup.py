@@ -11,43 +11,52 @@ from pyspark.sql import functions as F
 from .common import HEAVY, NARROW, ascii_lower, broadcast_if_small, shuffle_width, spread_join, stored
 
 
-#: Hashes are even, so buckets of the depth that their count gives need one or two bits more; keys that share all these bits
-#: stay in one bucket, which only makes it larger.
-MOST_SPLITS = 12
-
-
 @dataclass(frozen=True)
 class Directory:
-    """Buckets by the leading bits of a 64-bit hash: all of `depth` bits, those in splits[i] by i + 1 bits more."""
+    """Buckets by the leading bits of a 64-bit hash: all of `depth` bits; those in the table splits[i] (bucket) by i + 1 more."""
 
     depth: int
-    splits: tuple[tuple[int, ...], ...]
+    splits: tuple[DataFrame, ...]
 
-    def bucket(self, h: Column) -> Column:
-        code = _prefix(h, self.depth)
+    def place(self, rows: DataFrame) -> DataFrame:
+        """rows, which have h, with their bucket. The directory is a table that is joined; nothing of it is in the plan."""
+        rows = rows.withColumn("bucket", _prefix(F.col("h"), self.depth))
         for i, full in enumerate(self.splits):
-            code = F.when(code.isin(*full), _prefix(h, self.depth + i + 1)).otherwise(code)
-        return code
+            rows = rows.join(broadcast_if_small(full.withColumn("full", F.lit(True)), NARROW), "bucket", "left")
+            deeper = F.when(F.col("full"), _prefix(F.col("h"), self.depth + i + 1)).otherwise(F.col("bucket"))
+            rows = rows.withColumn("bucket", deeper).drop("full")
+        return rows
 
 
 def _prefix(h: Column, bits: int) -> Column:
-    """The first `bits` bits under a leading 1, so that prefixes of different lengths differ."""
-    return F.lit(1).cast("long") if bits == 0 else F.shiftrightunsigned(h, 64 - bits) + F.lit(1 << bits).cast("long")
+    """The first `bits` bits under a leading 1, so that prefixes of different lengths differ; all 64 bits are the hash itself."""
+    if bits == 0:
+        return F.lit(1).cast("long")
+    return h if bits >= 64 else F.shiftrightunsigned(h, 64 - bits) + F.lit(1 << bits if bits < 63 else -(1 << 63)).cast("long")
 
 
 def grow_directory(keys: DataFrame, capacity: int) -> Directory:
     """Double the directory until no bucket holds more than `capacity` of the distinct hashes in keys (h). One hash is one
-    chain however many copies it has, so copies never split a bucket. Only the codes of overfull buckets come to the driver: as
-    the depth is chosen by the count of keys and hashes are even, they are few."""
-    depth = max(0, (keys.count() // capacity).bit_length())
-    splits: list[tuple[int, ...]] = []
-    while True:
+    chain however many copies it has, so copies never split a bucket. The directory begins with the doublings that bring the mean
+    under a quarter of the capacity, so of even hashes a bucket is hardly ever overfull; if hashes share leading bits, the
+    buckets that are overfull split on, each round by a bit. The codes of these stay in tables."""
+    depth, count = 0, keys.count()
+    while count * 4 > capacity << depth:
+        depth += 1
+    splits: list[DataFrame] = []
+    while depth + len(splits) < 62:
         now = Directory(depth, tuple(splits))
-        full = keys.groupBy(now.bucket(F.col("h")).alias("bucket")).count().where(F.col("count") > capacity)
-        codes = tuple(sorted(r["bucket"] for r in full.collect()))
-        if not codes or len(splits) >= MOST_SPLITS:
+        counted = now.place(keys).groupBy("bucket").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        full = stored(counted.where((F.col("n") > capacity) & (F.col("low") != F.col("high"))).select("bucket"), "splits")
+        if full.isEmpty():
             return now
-        splits.append(codes)
+        splits.append(full)
+    return Directory(depth, tuple(splits))
+
+
+def owner(h: Column, width: int) -> Column:
+    """The task, of `width`, that owns a hash: ranges of the hash's values, of equal size."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(h, 40) * F.lit(width).cast("long"), 24).cast("int")
 
 
 def exact_groups(
@@ -55,43 +64,42 @@ def exact_groups(
 ) -> DataFrame:
     """Groups of equal texts: identical after lower-casing A-Z only.
 
-    1. A scan keeps (id, row, hash, digest) of every row and counts the rows of a hash. 2. The directory doubles where buckets
-    are overfull. 3. Every text goes to the owner task of its bucket, those of a hash with more than HEAVY rows to several by
+    1. A scan keeps (id, row, hash, digest) of every row and counts the rows of a hash. 2. The directory doubles while buckets
+    are overfull. 3. Every text goes to the task that owns its range of hashes, those of a hash with more than HEAVY rows to several by
     row. An owner compares the bytes of texts with one hash and makes an entry for each different text; entries of one hash
-    are chained by digest. They are the index, written in the order of buckets. 4. Every row looks its entry up by bucket,
-    hash and digest; what it returns is the entry's.
+    are chained by digest. They are the index: a range of buckets a file, in their order. 4. Every row looks its entry up by bucket,
+    hash and digest, which the same ranges hold; what it returns is the entry's.
 
     Returns one row per row of docs: id_col, keep_id, group_size, kept, text_sha256, bucket, chain. The largest id stays; of
     repeated rows with that very id, exactly one. A null text counts as empty; null ids come last and stay only where a whole
     group has none. An empty table gives an empty result. hashed: the hash, of 64 bits; equal ones only make chains longer.
     """
+    width = shuffle_width(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     src = src.withColumn("h", hashed(F.col("norm"))).withColumn("row", F.monotonically_increasing_id())
     rows = stored(src.select("id", "row", "h", F.sha2("norm", 256).alias("sha")), "rows")
     keys = stored(rows.groupBy("h").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts")), "keys")
-    bucket = grow_directory(keys, capacity).bucket(F.col("h")).alias("bucket")
+    directory = grow_directory(keys, capacity)
     heavy = stored(keys.where("parts > 1"), "heavy")
     some = not heavy.isEmpty()
+    dealt = src.join(broadcast_if_small(heavy, NARROW), "h", "left") if some else src.withColumn("parts", F.lit(1))
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    at = F.pmod(owner(F.col("h"), width) + F.pmod("row", F.col("parts")), F.lit(width)).cast("int")
+    owned = dealt.withColumn("owner", at).repartitionById(width, "owner")
+    entries = owned.groupBy("owner", "h", "norm").agg(F.count("*").alias("copies"), F.max("id").alias("keep_id"), F.max("parts").alias("parts"))
+    entry = ["h", F.sha2("norm", 256).alias("sha"), "copies", "keep_id"]
     if some:
-        dealt = src.join(broadcast_if_small(heavy, NARROW), "h", "left")
-        dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    else:
-        dealt = src.withColumn("parts", F.lit(1))
-    dealt = dealt.select("*", bucket, F.pmod("row", F.col("parts")).alias("part"))
-    owned = dealt.repartition(shuffle_width(docs.sparkSession), "bucket", "part")
-    entries = owned.groupBy("bucket", "part", "parts", "h", "norm").agg(F.count("*").alias("copies"), F.max("id").alias("keep_id"))
-    entry = ["bucket", "h", F.sha2("norm", 256).alias("sha"), "copies", "keep_id"]
-    if some:
-        met = entries.where("parts > 1").groupBy("bucket", "h", "norm").agg(F.sum("copies").alias("copies"), F.max("keep_id").alias("keep_id"))
+        met = entries.where("parts > 1").groupBy("h", "norm").agg(F.sum("copies").alias("copies"), F.max("keep_id").alias("keep_id"))
         entries = entries.where("parts = 1").select(*entry).union(met.select(*entry))
     else:
         entries = entries.select(*entry)
     # which of the rows with the largest id: by the numbers that were written, as a second scan may number rows otherwise
     stays = rows.groupBy("h", "sha").agg(F.max(F.struct("id", "row")).alias("top")).select("h", "sha", F.col("top.row").alias("stays"))
-    entries = entries.join(stays, ["h", "sha"])
-    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha"))
-    index = stored(entries.withColumn("chain", chain).withColumn("group_size", F.col("copies")).sortWithinPartitions("bucket", "h"), "index")
-    return spread_join(rows.select("*", bucket), index, "bucket", "h", "sha", n="copies").select(
+    entries = directory.place(stored(entries.join(stays, ["h", "sha"]), "entries"))
+    chain = F.row_number().over(Window.partitionBy("owner", "bucket", "h").orderBy("sha"))
+    index = entries.withColumn("owner", owner(F.col("h"), width)).repartitionById(width, "owner").withColumn("chain", chain)
+    index = stored(index.withColumn("group_size", F.col("copies")).sortWithinPartitions("bucket", "h").drop("owner"), "index")
+    return spread_join(directory.place(rows), index, "bucket", "h", "sha", n="copies").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, ascii_lower, broadcast_if_small, spread_join, stored
+from .common import NARROW, ascii_lower, broadcast_if_small, is_small, spread_join, stored
 
 #: Runs of white space; those within a line; what n_symbols counts.
 SPACES, BLANKS, SYMBOLS = r"[\x20\x09-\x0D]+", r"[\x20\x09\x0B-\x0D]+", "#*$%&|<>"
@@ -101,7 +101,7 @@ def judge(
     common = common.join(broadcast_if_small(hosts), "host").where(F.col("of") > line_share * F.col("docs"))
     common = stored(common.select("host", "a", "b", "n"), "common")
     each = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.a", "l.b", "l.words")
-    if common.limit(NARROW + 1).count() <= NARROW:
+    if is_small(common, NARROW):
         met = each.join(F.broadcast(common), ["host", "a", "b"])
     else:
         met = spread_join(each, common, "host", "a", "b")
