@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
-from .shingles import U, mixed, set_key, shingle_set
+from .shingles import U, mixed, set_key, shingle_set, word_shingles, words_key
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
 FREQUENT = 10
@@ -43,6 +43,12 @@ def combinations(tokens: np.ndarray) -> np.ndarray:
     groups, so some group holds the same combination of tokens, three or four mostly, in both sets. Combinations are
     the signatures. If no more than d groups of a set hold any token, its empty ones count too: then that holds as well
     when the equal groups are empty ones, which both sets then have.
+
+    Why not all k-token combinations of a prefix extended by k - 1 tokens: a set of n tokens has a prefix of n // 5 + 1, and if
+    that is frequent throughout, binomial(n // 5 + k, k) combinations: 2,628 pairs for 350 tokens, against about n / 2
+    = 175 here, and it is the large groups of near copies that are frequent throughout. Nor can the groups be
+    formed within the prefix: two linked sets' prefixes end at different tokens, so a group near the end would differ
+    although the sets agree on it; over the whole sets, only what differs touches a group.
     """
     found, at = [], bisect.bisect_right(BOUNDS, len(tokens)) - 1
     for level in (at, at + 1):
@@ -144,22 +150,29 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
     return np.sort(table["token"].to_numpy(np.int64).astype(U))
 
 
+def _similar(both: int, one: int, two: int) -> bool:
+    return 100 * both >= 80 * (one + two - both)
+
+
 def _verified(k: int):
     """Rows (a, part, b, text) sorted so that the text of a itself, with b null, comes before those to compare with it.
-    Exact: 100 * intersection >= 80 * union. One set and a stretch of texts are in memory at a time."""
+    Hashes of the shingles refuse most pairs; what they let pass is decided by the words themselves:
+    100 * intersection >= 80 * union. One set and a stretch of texts are in memory at a time."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, tokens = None, np.zeros(0, U)
+        head, own, tokens, shingles = None, None, np.zeros(0, U), None
         for batch in batches:
             found = []
             for a, b, text in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text"]):
                 if b < 0:
-                    head, tokens = a, shingle_set(text, k)
+                    head, own, tokens, shingles = a, text, shingle_set(text, k), None
                 elif a == head:
                     other = shingle_set(text, k)
-                    both = len(np.intersect1d(tokens, other, assume_unique=True))
-                    if 100 * both >= 80 * (len(tokens) + len(other) - both):
-                        found.append((a, b))
+                    if _similar(len(np.intersect1d(tokens, other, assume_unique=True)), len(tokens), len(other)):
+                        shingles = word_shingles(own, k) if shingles is None else shingles
+                        theirs = word_shingles(text, k)
+                        if _similar(len(shingles & theirs), len(shingles), len(theirs)):
+                            found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return check
@@ -177,7 +190,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({
-                "id": batch["id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "bits": [parity(s) for s in sets], "th": batch["th"],
+                "id": batch["id"], "n": [len(s) for s in sets], "key": [words_key(t) for t in batch["text"]], "bits": [parity(s) for s in sets], "th": batch["th"],
                 "sigs": [signatures(s, frequent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
 
@@ -220,8 +233,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs without space or \\t-\\r, A-Z lower-cased, of the whole text. A text of fewer than k words has its whole word
     sequence as its one shingle; without words (or null) a set is empty and linked with nothing, itself a component.
 
-    Equal sets are one class. Classes are indexed by signatures() and linked by linked_parts(): every pair that could link is
-    compared exactly, ruled out by a bound, or already joined.
+    Texts of the same words in the same order are one class. Classes are indexed by signatures() and linked by linked_parts():
+    every pair that could link is compared exactly, ruled out by a bound, or already joined. Links are decided by words;
+    64-bit hashes of shingles only choose what to compare, so a link is lost only if they collide within a pair's sets.
 
     Returns one row per row of docs: id_col, n_shingles, component_id (the smallest id in the component; nulls don't
     count, so it is null only if all ids there are). Repeated rows are rows of one class. Empty in, empty out.
@@ -242,4 +256,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     out = docs.join(ids, docs[id_col].eqNullSafe(ids["k_id"]) & (F.xxhash64(docs[text_col]) == ids["k_th"]), "left_semi")
     if placed.groupBy("id", "th").count().where("count > 1").isEmpty():
         return out
-    return out.withColumn("evidentia_th", F.when(F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]")), F.lit("")).otherwise(F.expr("uuid()"))).dropDuplicates([id_col, text_col, "evidentia_th"]).drop("evidentia_th")
+    words = F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    return out.where(words).dropDuplicates([id_col, text_col]).union(out.where(~words))

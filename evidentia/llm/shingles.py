@@ -5,25 +5,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-UNBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-STEP = U(0xC2B2AE3D27D4EB4F)
+STEP, LENGTH = U(0xC2B2AE3D27D4EB4F), U(0x9E3779B97F4A7C15)
+#: Bytes from which on a word is hashed by xxh3.
+LONG = 64
 _space = np.zeros(256, np.bool_)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n, kept for the longest text so far up to a million."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n, 1024) - 1, base))])
-        if n <= 1 << 20:
-            _powers[int(base)] = have
-    return have[:n]
+_low = np.arange(256, dtype=np.uint8)
+_low[65:91] += 32
+_first = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,19 +27,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word: a run without space or \\t-\\r, A-Z lower-cased."""
+    """A 64-bit hash of each word: a run without space or \\t-\\r, A-Z lower-cased. Eight bytes at a time are mixed into a
+    word's hash, so no two words collide but by chance."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.zeros(0, U)
     space = np.ones(len(raw) + 2, np.bool_)
     space[1:-1] = _space[raw]
     edges = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edges[0::2], edges[1::2]
-    low = raw.astype(U) + (((raw >= 65) & (raw <= 90)) * U(32)).astype(U) + U(1)
+    start, size = edges[0::2], edges[1::2] - edges[0::2]
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[: len(raw)] = _low[raw]
+    eight = np.ndarray(len(raw), "<u8", low, 0, (1,))  # the eight bytes from each place on
     with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, U)
-        np.cumsum(low * powers(BASE, len(raw)), out=total[1:])
-        return mixed((total[end] - total[start]) * powers(UNBASE, len(raw) + 1)[start])
+        h = mixed(mixed(eight[start] & _first[np.minimum(size, 8)]) + size.astype(U) * LENGTH)
+        more = np.flatnonzero((size > 8) & (size < LONG))
+        for at in range(8, LONG, 8):
+            more = more[size[more] > at]
+            if not len(more):
+                break
+            h[more] = mixed(h[more] * STEP ^ (eight[start[more] + at] & _first[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size >= LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[start[i] : start[i] + size[i]].tobytes())
+    return h
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words themselves; white space and A-Z of bytes are those of word_hashes."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_shingles(text: str | None, k: int = 5) -> set[tuple[bytes, ...]]:
+    """The k-word shingles themselves; of fewer words, the whole sequence; of none, nothing."""
+    words = words_of(text)
+    k = min(k, len(words))
+    return set(zip(*[words[i:] for i in range(k)]))
+
+
+def words_key(text: str | None) -> bytes:
+    """128 bits that stand for a text's sequence of words."""
+    return hashlib.blake2b(b" ".join(words_of(text)), digest_size=16).digest()
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -64,5 +83,5 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
 
 
 def set_key(tokens: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
+    """128 bits that stand for a set of hashes."""
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()

@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, common, langid, line_dedup, ngram_join
+from evidentia.llm import shingles as shingles_
 from evidentia.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, n long, key string"
@@ -104,6 +105,25 @@ def components(texts):
     return {i: (len(sets[i]), root(i)) for i in texts}
 
 
+def test_words_decide_links(spark):
+    """Thue-Morse words and their complements collide under polynomial hashes; words that differ in any one place don't count as equal."""
+    thue = ["".join("ab"[(bin(i).count("1") + c) % 2] for i in range(n)) for n in (64, 1024, 4096) for c in (0, 1)]
+    texts = thue + ["a" * 70 + c for c in "bcd"] + ["one two three four", "one two  THREE four", "one two three"]
+    docs = spark.createDataFrame([(i, t, None, 0, "k") for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs).collect()}
+    assert got == {i: i for i in range(len(texts))} | {10: 9}
+    assert {r["doc_id"] for r in ngram_join.keep_one(docs).collect()} == set(range(len(texts))) - {10}
+    h = [shingles_.word_hashes(t)[0] for t in texts[:9]]
+    assert len(set(h)) == 9 and (shingles_.word_hashes(" ".join(texts)) == [x for t in texts for x in shingles_.word_hashes(t)]).all()
+
+
+def test_keep_one_of_repeated_rows(spark):
+    """Rows that repeat an id and its text but differ elsewhere: one stays; without words all do."""
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x", i, "k") for i in range(40)] + [(2, " \n", "x", i, "k") for i in range(3)] + [(3, None, "x", i, "k") for i in range(2)], SCHEMA)
+    got = ngram_join.keep_one(docs).groupBy("doc_id").count().collect()
+    assert {(r["doc_id"], r["count"]) for r in got} == {(1, 1), (2, 3), (3, 2)}
+
+
 def test_ngram_join_equals_all_pairs(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
