@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, spread_join, stored
 
 #: The template: a header line with the percent-encoded role, the escaped text, a closing line.
 HEAD, CLOSE = "### ", "\n</turn>\n"
@@ -42,14 +42,16 @@ def format_windows(
     """Format every conversation as windows of whole turns.
 
     Turns are ordered by (turn, role, text). Prefix sums of their tokens, those of the template included, so that turns without
-    text count too, cut a conversation: with half = half of what window_tokens leaves beside the history and the first system turn (at least an eighth of the window), the turns whose
-    tokens begin in one stretch of `half` tokens share a window, and a turn of more than `half` tokens has one of
-    its own. So new turns stay within twice `half`, unless one turn alone is longer; turns are never cut. Each later window
-    repeats the conversation's first turn if its role is system, then up to history_turns turns before its own
-    that lie within history_tokens. The loss mask covers assistant texts where they are new; repeats are masked.
+    text count too, cut a conversation: with half = half of what window_tokens leaves beside the history and the first system turn,
+    the turns whose tokens begin in one stretch of `half` tokens share a window, and a turn of more than `half` tokens has one of
+    its own. Each later window repeats the conversation's first turn if its role is system, then up to history_turns turns before
+    its own that lie within history_tokens; beside a long system turn the history shrinks, to nothing if it must, so that an
+    eighth of the window is left for new turns. So a window stays within window_tokens unless one turn alone is longer than what the
+    system turn leaves: turns are never cut, and such a turn has a window to itself. A system turn of window_tokens or more leaves
+    nothing: then every turn has its own window. The loss mask covers assistant texts where they are new; repeats are masked.
 
     Prefix sums have two levels, blocks of 64 turn numbers and their totals, so one huge conversation is spread over
-    tasks. Null role or text: empty. A null conv_id is a conversation of its own; equal rows are turns of their own.
+    tasks; turns with one number (or none) are one block, numbered in one task. Null role or text: empty. A null conv_id is a conversation of its own; equal rows are turns of their own.
 
     Returns one row a window: conv, window, formatted, loss (array of start and length, in code points), n_context (leading
     repeated turns), n_new. Empty in, empty out.
@@ -64,30 +66,35 @@ def format_windows(
     inner = Window.partitionBy("ck", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     src = src.withColumn("nth", F.row_number().over(inner)).withColumn("upto", F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     src = stored(src, "turns")
-    blocks = src.groupBy("ck", "block").agg(F.max("nth").alias("n"), F.sum("tokens").alias("t"))
-    outer = Window.partitionBy("ck").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    leads = F.max(F.when((F.col("nth") == 1) & (F.col("role") == "system"), F.col("tokens")).otherwise(F.lit(0)))
+    blocks = src.groupBy("ck", "block").agg(F.max("nth").alias("n"), F.sum("tokens").alias("t"), leads.alias("s"))
+    order = Window.partitionBy("ck").orderBy("block")
+    outer = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    blocks = blocks.select("ck", "block", F.coalesce(F.sum("n").over(outer), zero).alias("n0"), F.coalesce(F.sum("t").over(outer), zero).alias("t0"))
+    first = F.first("s").over(order.rowsBetween(Window.unboundedPreceding, 0))  # the tokens of a conversation's system turn
+    blocks = blocks.select("ck", "block", F.coalesce(F.sum("n").over(outer), zero).alias("n0"), F.coalesce(F.sum("t").over(outer), zero).alias("t0"), first.alias("s_tokens"))
     placed = src.join(broadcast_if_small(stored(blocks, "blocks")), ["ck", "block"]).select(
-        "conv", "ck", "role", "text", "tokens", (F.col("n0") + F.col("nth") - 1).alias("pos"), (F.col("t0") + F.col("upto") - F.col("tokens")).alias("start")
+        "conv", "ck", "role", "text", "tokens", "s_tokens", (F.col("n0") + F.col("nth") - 1).alias("pos"), (F.col("t0") + F.col("upto") - F.col("tokens")).alias("start")
     )
-    systems = placed.where("pos = 0 AND role = 'system'").select("ck", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
+    systems = placed.where("pos = 0 AND role = 'system'").select("ck", F.col("role").alias("s_role"), F.col("text").alias("s_text"))
     systems = stored(systems, "systems")
-    placed = placed.join(broadcast_if_small(systems.select("ck", "s_tokens")), "ck", "left").withColumn("s_tokens", F.coalesce("s_tokens", F.lit(0)))
-    half = F.greatest(F.lit(window_tokens) - history_tokens - F.col("s_tokens"), F.lit(window_tokens // 8)) / 2
-    placed = placed.withColumn("half", F.floor(half))
+    room = F.lit(window_tokens) - F.col("s_tokens")
+    placed = placed.withColumn("past", F.greatest(F.lit(0), F.least(F.lit(history_tokens), room - window_tokens // 8)))
+    placed = placed.withColumn("half", F.floor(F.greatest(F.lit(1), room - F.col("past")) / 2))
     # A window's key: the stretch its turns begin in; a long turn and what follows it in the same stretch part there.
     own = F.col("tokens") > F.col("half")
     longs = Window.partitionBy("ck", "cell").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("cell", F.floor(F.col("start") / F.greatest(F.col("half"), F.lit(1)))).withColumn("own", own)
     placed = placed.withColumn("sub", 2 * F.sum(F.col("own").cast("int")).over(longs) - F.col("own").cast("int"))
     placed = stored(placed.drop("half", "s_tokens"), "placed")
-    spans = placed.groupBy("ck", "cell", "sub").agg(F.min("pos").alias("first"), F.min("start").alias("begin"))
-    back = spans.where("first > 0").select("ck", "cell", "sub", "begin", "first", F.explode(F.sequence(F.lit(1), F.lit(max(1, history_turns)))).alias("d"))
+    spans = placed.groupBy("ck", "cell", "sub").agg(F.min("pos").alias("first"), F.min("start").alias("begin"), F.first("past").alias("past"))
+    back = spans.where("first > 0").select("ck", "cell", "sub", "begin", "first", "past", F.explode(F.sequence(F.lit(1), F.lit(max(1, history_turns)))).alias("d"))
     back = back.where(F.col("d") <= history_turns).withColumn("pos", F.col("first") - F.col("d")).where("pos >= 0")
-    history = placed.select("conv", "ck", "pos", "role", "text", "start").join(back, ["ck", "pos"]).where(F.col("begin") - F.col("start") <= history_tokens)
+    history = placed.select("conv", "ck", "pos", "role", "text", "start").join(back, ["ck", "pos"]).where(F.col("begin") - F.col("start") <= F.col("past"))
     history = history.join(systems.select("ck").withColumn("pos", F.lit(0).cast("long")), ["ck", "pos"], "left_anti")  # it is repeated anyhow
-    again = spans.where("first > 0").join(systems, "ck").select("ck", "cell", "sub", F.lit(-1).cast("long").alias("pos"), F.col("s_role").alias("role"), F.col("s_text").alias("text"), F.lit(False).alias("new"))
+    later = stored(spans.where("first > 0").select("ck", "cell", "sub"), "later")
+    repeated = stored(systems.join(later.groupBy("ck").agg(F.count("*").alias("n")), "ck"), "repeated")
+    again = spread_join(later, repeated, "ck").select("ck", "cell", "sub", F.lit(-1).cast("long").alias("pos"), F.col("s_role").alias("role"), F.col("s_text").alias("text"), F.lit(False).alias("new"))
     parts = placed.select("ck", "cell", "sub", "pos", "role", "text", F.lit(True).alias("new"))
     parts = parts.union(history.select("ck", "cell", "sub", "pos", "role", "text", F.lit(False).alias("new"))).union(again)
     head = turn_head(F.col("role"))

@@ -35,13 +35,14 @@ tok AS (SELECT *, len(regexp_extract_all(made, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))
 num AS (SELECT *, row_number() OVER w - 1 AS pos, sum(tokens) OVER w - tokens AS start FROM tok
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
 sys AS (SELECT conv_id, role, made, tokens FROM num WHERE pos = 0 AND role = 'system'),
-half AS (SELECT n.*, floor(greatest(1024 - 256 - coalesce(s.tokens, 0), 128) / 2.0) AS half FROM num n LEFT JOIN sys s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
-cell AS (SELECT *, floor(start / half) AS cell, (tokens > half)::INT AS own FROM half),
+past AS (SELECT n.*, coalesce(s.tokens, 0) AS system, greatest(0, least(256, 1024 - coalesce(s.tokens, 0) - 128)) AS past FROM num n LEFT JOIN sys s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
+half AS (SELECT *, floor(greatest(1, 1024 - system - past) / 2.0) AS half FROM past),
+cell AS (SELECT *, floor(start / greatest(half, 1)) AS cell, (tokens > half)::INT AS own FROM half),
 sub AS (SELECT *, 2 * sum(own) OVER (PARTITION BY conv_id, cell ORDER BY pos ROWS UNBOUNDED PRECEDING) - own AS sub FROM cell),
-spans AS (SELECT conv_id, cell, sub, min(pos) AS first, min(start) AS begin FROM sub GROUP BY ALL),
+spans AS (SELECT conv_id, cell, sub, min(pos) AS first, min(start) AS begin, any_value(past) AS past FROM sub GROUP BY ALL),
 parts AS (
   SELECT conv_id, made FROM sub
-  UNION ALL SELECT h.conv_id, h.made FROM spans p JOIN sub h ON h.conv_id IS NOT DISTINCT FROM p.conv_id AND h.pos BETWEEN p.first - 2 AND p.first - 1 AND p.begin - h.start <= 256
+  UNION ALL SELECT h.conv_id, h.made FROM spans p JOIN sub h ON h.conv_id IS NOT DISTINCT FROM p.conv_id AND h.pos BETWEEN p.first - 2 AND p.first - 1 AND p.begin - h.start <= p.past
     WHERE NOT (h.pos = 0 AND h.role = 'system')
   UNION ALL SELECT s.conv_id, s.made FROM spans p JOIN sys s ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.first > 0),
 chars AS (SELECT conv_id, sum(length(made))::BIGINT AS formatted_chars FROM parts GROUP BY 1),
@@ -142,17 +143,12 @@ def op8(spark, sf_dir):
 
 
 def url_sql() -> str:
-    """The query's rules and rounds, unrolled."""
+    """The query's rules; the walks of each length up to 250 links, beyond which they weigh under 1e-17, as a recursion."""
     rules = [(r.text, r.verdict, f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')") for r in sorted(url_filter.RULES, key=lambda r: -len(r.text))]
     pick = lambda i: "CASE " + " ".join(f"WHEN {r[2]} THEN '{r[i]}'" for r in rules) + " END"
     d = url_filter.DAMPING
-    steps = ["s0 AS (SELECT kind, host, seed AS score FROM seed)"] + [
-        f"s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(part) AS score FROM (SELECT e.kind, e.dst AS host, s.score * e.share * {d} AS part FROM share e JOIN s{i} s ON s.kind = e.kind AND s.host = e.src "
-        f"UNION ALL SELECT kind, host, seed * (1 - {d}::DOUBLE) FROM seed) GROUP BY ALL)"
-        for i in range(url_filter.ROUNDS)
-    ]
     return f"""
-WITH u AS (SELECT page_id, html, strpos(coalesce(url, ''), '://') > 0 AS ok, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, strpos(coalesce(url, ''), '://') > 0 AS ok, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS MATERIALIZED (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 told AS (SELECT page_id, host, path, {pick(0)} AS rule, {pick(1)} AS verdict FROM p),
 link AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\\s"''>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p),
@@ -162,9 +158,10 @@ both_ways AS (SELECT 'allow' AS kind, src, dst, weight FROM edge UNION ALL SELEC
 share AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM both_ways),
 n AS (SELECT verdict AS kind, host, count(*)::DOUBLE AS n FROM told WHERE rule IS NOT NULL GROUP BY ALL),
 seed AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER () AS seed FROM n),
-{", ".join(steps)},
-h AS (SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM s{url_filter.ROUNDS} GROUP BY 1)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {url_filter.RATIO} + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
+walk AS (SELECT kind, host, seed * (1 - {d}::DOUBLE) AS step, 0 AS n FROM seed
+  UNION ALL SELECT e.kind, e.dst, sum(w.step * e.share * {d}), max(w.n) + 1 FROM walk w JOIN share e ON w.kind = e.kind AND w.host = e.src WHERE w.n < 250 GROUP BY e.kind, e.dst),
+h AS (SELECT host, coalesce(sum(step) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(step) FILTER (kind = 'block'), 0) AS distrust FROM walk GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {url_filter.RATIO}::DOUBLE * (1 + {url_filter.MARGIN}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict
 FROM told LEFT JOIN h USING (host)
 """
 

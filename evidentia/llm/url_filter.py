@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER, broadcast_if_small, stored
+from .common import HEAVY, LOWER, NARROW, UPPER, is_small, spread_join, stored
 
 
 @dataclass(frozen=True)
@@ -31,14 +31,12 @@ RULES = (
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 )
-#: Iterations that the query's SQL unrolls (propagate goes on until the scores settle) and share of a score that follows
-#: links; the block threshold is distrust > RATIO * trust, beyond rounding.
-ROUNDS, DAMPING, RATIO = 8, 0.85, 2.0
+#: Share of a score that follows links; the block threshold is distrust > RATIO * trust, beyond rounding.
+DAMPING, RATIO = 0.85, 2.0
 #: The scores have settled when no host's changes by more than this share of itself: far under MARGIN, so that ties stay ties.
 TOLERANCE = 1e-12
-#: Rounds in one job; rounds and scores beyond which there is an error.
-AT_ONCE, MOST_ROUNDS, LEAST_SCORE = 16, 10_000, 1e-290
-TOO_FAR = f"a host's score is under {LEAST_SCORE}: it is too far from the rules' hosts to be judged"
+#: Rounds in one job. A host that is reached at all counts as having at least LEAST_SCORE, however far it is.
+AT_ONCE, LEAST_SCORE = 16, 1e-290
 #: Rounding, relative to the scores: these shrink as the table grows, so no absolute margin would do.
 MARGIN = 1e-9
 #: An absolute link's host.
@@ -79,57 +77,68 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def _settle(edges: pd.DataFrame, seeds: pd.DataFrame, tolerance: float, damping: float, most_rounds: int) -> pd.DataFrame:
-    """propagate's rounds over one kind's edges and seeds."""
-    hosts, at = np.unique(np.concatenate([edges["src"], edges["dst"], seeds["host"]]).astype(str), return_inverse=True)
-    src, dst, begin = np.split(at, [len(edges), 2 * len(edges)])
-    share = edges["share"].to_numpy(float) * damping
-    score = np.bincount(begin, seeds["seed"].to_numpy(float) * (1 - damping), len(hosts))
-    step, reached = score.copy(), np.bincount(begin, minlength=len(hosts)) > 0
-    for _ in range(most_rounds):
+def _settle(links: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """propagate's rounds over the links of one kind, the hosts' own rows among them."""
+    hosts, at = np.unique(np.concatenate([links["src"], links["dst"]]).astype(str), return_inverse=True)
+    src, dst = np.split(at, 2)
+    share = links["share"].to_numpy(float)
+    score = np.bincount(dst, links["back"].to_numpy(float), len(hosts))
+    step, reached = score.copy(), score > 0
+    while True:
         step = np.bincount(dst, step[src] * share, len(hosts))
-        score, reached = score + step, reached | (np.bincount(dst, reached[src], len(hosts)) > 0)
-        if (score[reached] < LEAST_SCORE).any():
-            raise ArithmeticError(TOO_FAR)
-        if (step[reached] <= tolerance * score[reached]).all():
-            kind = (edges if len(edges) else seeds)["kind"].iloc[0]
-            return pd.DataFrame({"kind": kind, "host": hosts[reached], "score": score[reached]})
-    raise RuntimeError(f"scores have not settled in {most_rounds} rounds")
+        now = reached | (np.bincount(dst, reached[src], len(hosts)) > 0)
+        new = now & ~reached
+        step[new] = np.maximum(step[new], LEAST_SCORE)
+        score, reached = score + step, now
+        if not new.any() and (step[reached] <= tolerance * score[reached]).all():
+            return pd.DataFrame({"kind": links["kind"].iloc[0], "host": hosts[reached], "score": score[reached]})
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, most_rounds: int = MOST_ROUNDS, most_edges: int = BROADCAST_ROWS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank of two kinds at once. edges: (kind, src, dst, share), shares of a source adding up to 1;
     seeds: (kind, host, seed), all adding up to 1, so that the kinds compare. Returns (kind, host, score). A host without links
     passes nothing on.
 
     The scores are the sum of the walks of each length, (1 - damping) * damping^n for those of n links; a round adds the next
-    length. It ends when no host's last step is over `tolerance` of its own score. A host that a round reaches first has
-    only its step, so the end is also not before every host that can be reached has been; and as scores are sums of their
-    neighbours', later steps stay within that share. A score that underflows, or no end within most_rounds, is an error.
-    Up to most_edges edges and seeds, by count, are one task's work for each kind, as jobs for so few rows would be mostly
-    planning. More are joins and partial sums, and the score table is written after AT_ONCE rounds; the law is the same."""
-    narrow = max(edges.limit(most_edges + 1).count(), seeds.limit(most_edges + 1).count()) <= most_edges
-    if narrow:
-        settle = lambda e, s: _settle(e, s, tolerance, damping, most_rounds)
-        return stored(edges.groupBy("kind").cogroup(seeds.groupBy("kind")).applyInPandas(settle, "kind string, host string, score double"), "scores")
+    length. The end is when a round has reached no new host and no host's last step is over `tolerance` of its own
+    score; as scores are sums of their neighbours', later steps stay within that share. Steps shrink by damping each
+    round once all hosts are reached, so it comes. A host first reached by less than LEAST_SCORE counts as reached by that much, so scores
+    don't underflow on deep graphs: there, both kinds being that weak are a tie, and one alone still tells.
+
+    A round is one join and one sum; a host's own row among the links holds its seed and says that it isn't new. AT_ONCE rounds are
+    a job, whose result is written; the links of a hub are dealt over tasks, to which its state is copied. A graph that is
+    small enough to broadcast (is_small) is one task's work for each kind, by the same law, as hundreds of rounds over so few
+    rows would be mostly planning."""
     start = (F.col("seed") * (1 - damping)).alias("score")
-    back = seeds.select("kind", "host", start, F.lit(0.0).alias("step"))
-    state = seeds.select("kind", "host", start, start.alias("step"))
-    few = seeds.select("kind", "host").union(edges.select("kind", "dst")).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    for _ in range(0, most_rounds, AT_ONCE):
+    seeds = seeds.select("kind", "host", start)
+    every = seeds.select("kind", "host").union(edges.select("kind", "src")).union(edges.select("kind", "dst")).distinct()
+    own = every.join(seeds, ["kind", "host"], "left").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("share"), F.coalesce("score", F.lit(0.0)).alias("back"), F.lit(1).alias("old"))
+    steps = edges.select("kind", "src", "dst", (F.col("share") * damping).alias("share"), F.lit(0.0).alias("back"), F.lit(0).alias("old")).union(own)
+    steps, key = stored(steps, "steps"), ["kind", "src"]
+    if is_small(steps, NARROW):
+        settle = lambda links: _settle(links, tolerance)
+        return stored(steps.groupBy("kind").applyInPandas(settle, "kind string, host string, score double"), "scores")
+    hubs = edges.groupBy("kind", "src").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts")).where("parts > 1")
+    hubs = F.broadcast(stored(hubs, "hubs"))  # a row for HEAVY links at least
+    steps = steps.join(hubs, key, "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    key += ["part"]
+    steps = stored(steps, "dealt")
+    state = seeds.select("kind", "host", "score", F.col("score").alias("step"))
+    least = F.lit(LEAST_SCORE)
+    while True:
         for _ in range(AT_ONCE):
-            at = state.withColumnRenamed("host", "src")
-            moved = edges.join(F.broadcast(at) if few else at, ["kind", "src"])
-            passed = lambda c: (F.col(c) * F.col("share") * damping).alias(c)
-            moved = moved.select("kind", F.col("dst").alias("host"), passed("score"), passed("step"))
-            state = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("step").alias("step"))
+            at = state.select("kind", F.col("host").alias("src"), "score", "step")
+            at = at.join(hubs, ["kind", "src"], "left")
+            at = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            moved = steps.join(at, key)
+            sums = F.sum(F.col("score") * F.col("share") + F.col("back")).alias("score"), F.sum(F.col("step") * F.col("share")).alias("step")
+            state = moved.groupBy("kind", F.col("dst").alias("host")).agg(*sums, F.max("old").alias("old"))
+            step = F.when(F.col("old") == 0, F.greatest("step", least)).otherwise(F.col("step")).alias("step")
+            state = state.select("kind", "host", F.greatest("score", least).alias("score"), step, "old")
         state = stored(state, "scores")
-        row = state.agg(F.min("score").alias("least"), F.max(F.try_divide("step", "score")).alias("change")).first()  # one row
-        if row["least"] is not None and row["least"] < LEAST_SCORE:
-            raise ArithmeticError(TOO_FAR)
-        if row["change"] is None or row["change"] <= tolerance:
+        row = state.agg(F.count_if(F.col("old") == 0).alias("new"), F.max(F.col("step") / F.col("score")).alias("change")).first()  # one row
+        if not row["new"] and (row["change"] or 0.0) <= tolerance:
             return state.select("kind", "host", "score")
-    raise RuntimeError(f"scores have not settled in {most_rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO) -> DataFrame:
@@ -140,6 +149,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     `ratio` times its trust is blocked, others, also those that neither reaches, are allowed. Scores within a share of MARGIN
     of that are a tie; any distrust without trust blocks. So verdicts don't depend on how many other pages have rules.
 
+    A host too far to be told from 0 (LEAST_SCORE) still counts as reached. Pages of a hot host are dealt over tasks.
+
     Null url or one without ://: host and path are empty, no rule fits and the verdict is allow. Null html has no
     links. Repeated rows are judged alike; each counts as a page. Returns id_col, host, path, rule, verdict, trust, distrust.
     """
@@ -150,14 +161,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     edges = stored(host_edges(src), "edges")
     seeds = told.where("rule IS NOT NULL").groupBy(F.col("rule.verdict").alias("kind"), "host").agg(F.count("*").cast("double").alias("n"))
     total = seeds.agg(F.sum("n").alias("total"))  # one row
-    seeds = stored(seeds.crossJoin(F.broadcast(total)).select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "seeds")
+    seeds = stored(seeds.join(F.broadcast(total)).select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "seeds")
     both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block"), F.col("dst"), F.col("src"), "weight"))
-    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    shares = both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"))
+    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("n"))
+    shares = spread_join(both, stored(out, "out"), "kind", "src").select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"))
     scores = propagate(stored(shares, "shares"), seeds)
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     hosts = stored(scores.groupBy("host").agg(one("allow").alias("trust"), one("block").alias("distrust")), "hosts")
-    joined = told.join(broadcast_if_small(hosts), "host", "left")
+    if is_small(hosts):
+        joined = told.join(F.broadcast(hosts), "host", "left")
+    else:
+        every = told.groupBy("host").agg(F.count("*").alias("n")).join(hosts, "host", "left")
+        joined = spread_join(told, stored(every, "every"), "host")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     return joined.select(
         F.col("id").alias(id_col), "host", "path", F.col("rule.text").alias("rule"),

@@ -48,9 +48,28 @@ def test_exact_groups_whose_hashes_collide_and_hot_ones(spark):
 
 def test_directory_doubles_where_buckets_are_overfull(spark):
     entries = spark.range(500).select(F.xxhash64("id").alias("h"))
-    d = exact_dedup.grow_directory(entries, 16)
-    assert entries.groupBy(d.bucket(F.col("h")).alias("b")).count().agg(F.max("count")).first()[0] <= 16
-    assert d.splits
+    even = exact_dedup.grow_directory(entries, 16)
+    assert even.place(entries).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 16 and not even.splits
+    skewed = spark.range(500).select(F.shiftrightunsigned(F.xxhash64("id"), 9).alias("h"))  # nine leading bits are 0
+    d = exact_dedup.grow_directory(skewed, 16)
+    assert d.place(skewed).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 16 and d.splits
+    same = spark.range(50).select(F.lit(7).cast("long").alias("h"))
+    assert exact_dedup.grow_directory(same, 16).place(same).select("bucket").distinct().count() == 1
+
+
+def test_exact_groups_of_hashes_with_one_prefix(spark):
+    rows = [(i, f"text {i % 150}", "s", 0, 0) for i in range(300)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS), capacity=4, hashed=lambda c: F.shiftrightunsigned(F.xxhash64(c), 12)).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, 150 + i % 150, 2, i >= 150) for i in range(300)}
+
+
+def test_a_large_directory_stays_out_of_the_plan(spark):
+    """Many overfull buckets: their codes are in tables."""
+    rows = [(i, f"text {i}", "s", 0, 0) for i in range(3000)]
+    hashed = lambda c: F.shiftleft(F.pmod(F.xxhash64(c), F.lit(3000)), 50)
+    df = exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS), capacity=1, hashed=hashed)
+    plan = df._jdf.queryExecution().toString()
+    assert df.count() == 3000 and " IN (" not in plan and "INSET" not in plan
 
 
 def test_shards(spark):
@@ -163,6 +182,24 @@ def test_windows_keep_their_budget(spark):
     assert sum(r["n_new"] for r in got) == 7000 and max(r["n"] for r in got) <= 512
 
 
+def test_windows_with_a_long_system_turn(spark):
+    """Beside system turns of 900 tokens and more windows keep their budget while a turn fits; beyond, every turn has its own."""
+    rows = [(c, 0, "system", "rule " * n, 0, "") for c, n in enumerate((900, 700, 1015, 2000, 0))]
+    rows += [(c, i, "assistant" if i % 2 == 0 else "user", f"t{i} w w w w", 0, "") for c in range(5) for i in range(1, 120)]
+    rows += [(9, i, "user", "w " * 5, 0, "") for i in range(50)]
+    df = spark.createDataFrame(rows, TURNS)
+    windows = chat.format_windows(df).withColumn("n", chat.token_count(F.col("formatted"))).collect()
+    by = {}
+    for w in windows:
+        by.setdefault(w["conv"], []).append(w)
+    assert all(w["n"] <= 1024 for c in (0, 1, 4, 9) for w in by[c]) and all(w["n_new"] == 1 for w in by[3])
+    assert all(w["formatted"].startswith("### system") for c in (0, 1, 2, 3) for w in by[c])
+    assert any(w["n_context"] > 1 for w in by[1]) and all(w["n_context"] <= 1 for w in by[0])
+    assert {c: sum(w["n_new"] for w in ws) for c, ws in by.items()} == {0: 120, 1: 120, 2: 120, 3: 120, 4: 120, 9: 50}
+    small = chat.format_windows(df, window_tokens=40, history_tokens=256).collect()  # a window under the history
+    assert sum(w["n_new"] for w in small) == 650
+
+
 def test_system_turn_stays_and_history_is_masked(spark):
     rows = [(1, 0, "system", "be kind", 0, "")] + [(1, i, "assistant" if i % 2 == 0 else "user", f"t{i} " + "w " * 30, 0, "") for i in range(1, 20)]
     windows = chat.format_windows(spark.createDataFrame(rows, TURNS), window_tokens=200, history_tokens=70).collect()

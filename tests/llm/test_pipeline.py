@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers as P
@@ -51,3 +52,19 @@ def test_run(spark, tmp_path):
     known = corpus_pipeline.known_language(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
     assert {(r["score"], r["lang_pred"]) for r in known} == {(0.5, "mine")} and all(r["lang"] for r in known)
     assert [name for name, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_the_language_stage_rejects_and_fills_in(spark):
+    """Texts that could be any of five languages are rejected; where none is named the predicted one is put in; clean rows stay."""
+    rng = random.Random(2)
+    alphabets = {"xa": "abcd", "xb": "efgh", "xc": "ijkl", "xd": "mnop", "xe": "qrst"}
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(3, 7)))
+    text = lambda lang: " ".join(word(alphabets[lang]) for _ in range(30))
+    rows = [(i, text(lang), lang, "s", 1) for i in range(300) for lang in [rng.choice(list(alphabets))]]
+    unnamed = [(1000 + i, text("xc"), None, "s", 1) for i in range(20)]
+    mixed = [(2000 + i, " ".join(word(alphabets[lang]) for _ in range(8) for lang in alphabets), None, "s", 1) for i in range(20)]
+    strange = [(3000 + i, "".join(rng.choices("\u05d0\u05d1\u05d2\u05d3", k=60)), None, "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows + unnamed + mixed + strange, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert all(got.get(r[0]) == r[2] for r in rows) and all(got.get(r[0]) == "xc" for r in unnamed)
+    assert sum(r[0] in got for r in strange) == 0 and sum(r[0] in got for r in mixed) < 10

@@ -48,17 +48,28 @@ def test_url_scores_reach_the_end_of_a_chain_and_settle(spark):
             assert abs(r[column] - want[n[r["host"]]]) <= 1e-9 * want[n[r["host"]]]
 
 
-def test_url_scores_by_jobs_agree_with_one_task(spark):
-    edges = [("allow", f"s{i}", f"s{i + 1}", 1.0) for i in range(20)] + [("block", "a", "b", 0.5), ("block", "a", "c", 0.5), ("block", "b", "a", 1.0), ("allow", "x", "y", 1.0)]
-    edges = spark.createDataFrame(edges, "kind string, src string, dst string, share double")
-    seeds = spark.createDataFrame([("allow", "s0", 0.5), ("block", "a", 0.3), ("block", "alone", 0.2)], "kind string, host string, seed double")
-    told = lambda **x: {(r["kind"], r["host"]): r["score"] for r in url_filter.propagate(edges, seeds, tolerance=1e-2, **x).collect()}
-    one, jobs = told(), told(most_edges=0)
-    assert set(one) == set(jobs) and len(one) == 25
-    assert all(abs(one[k] - jobs[k]) <= 0.1 * jobs[k] for k in one) and all(one[k] == pytest.approx(jobs[k], 1e-12) for k in one if k[0] == "allow")
-    for most_edges in (0, 100):
-        with pytest.raises(Exception, match="not settled in 16 rounds"):
-            url_filter.propagate(edges, seeds, most_rounds=16, most_edges=most_edges)
+def test_url_scores_of_hubs_dealt_over_tasks(spark, monkeypatch):
+    edges = [("allow", f"s{i}", f"s{i + 1}", 1.0) for i in range(20)] + [("block", "hub", f"h{i}", 1 / 50) for i in range(50)] + [("block", f"h{i}", "hub", 1.0) for i in range(50)]
+    edges = spark.createDataFrame(edges + [("allow", "x", "y", 1.0)], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("allow", "s0", 0.5), ("block", "hub", 0.3), ("block", "alone", 0.2)], "kind string, host string, seed double")
+    told = lambda: {(r["kind"], r["host"]): r["score"] for r in url_filter.propagate(edges, seeds, damping=0.3).collect()}
+    one = told()
+    assert len(one) == 21 + 51 + 1 and one["allow", "s20"] == pytest.approx(0.5 * 0.7 * 0.3**20) and one["block", "alone"] == pytest.approx(0.2 * 0.7)
+    assert one["block", "hub"] == pytest.approx(0.3 * 0.7 / (1 - 0.3**2), 1e-9)
+    monkeypatch.setattr(url_filter, "is_small", lambda *_: False)
+    monkeypatch.setattr(url_filter, "HEAVY", 8)
+    jobs = told()
+    assert set(jobs) == set(one) and all(jobs[k] == pytest.approx(one[k], 1e-9) for k in one)
+
+
+def test_url_verdicts_on_a_deep_graph(spark):
+    """A chain of 130 hosts, each linked by 400 others, to a blocked one: their scores fall under the smallest doubles, all are blocked."""
+    link = lambda h: f'<a href="http://{h}/x">l</a>'
+    rows = [(i, f"http://s{i}.net/x", link(f"s{i + 1}.net" if i < 129 else "bad.com")) for i in range(130)] + [(130, "http://bad.com/de/y", "")]
+    rows += [(1000 + 400 * i + j, f"http://f{i}x{j}.net/", link(f"s{i}.net")) for i in range(130) for j in range(400)]
+    rows += [(999_999, "http://good.org/", ""), (999_998, "http://other.net/", "")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(got) == len(rows) and {i for i, v in got.items() if v == "allow"} == {999_999, 999_998}
 
 
 def reached_at(share, odd):
