@@ -63,11 +63,10 @@ def local_support(fact, source, source_low=None, source_words=None, source_numbe
     return F.when(F.contains(theirs, low), F.lit(1.0)).when(F.size(mine) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), part))
 
 
-def verification(fact, source, model_score=None, least: float = 0.7) -> Column:
-    """struct<verified, confidence, method>; model_score: a model's support where the local one is below 0.9."""
+def decision(no_fact: Column, no_source: Column, local, model_score=None, least: float = 0.7) -> Column:
+    """struct<verified, confidence, method> from a fact's local support; model_score: a model's support where that is below 0.9."""
     model = F.coalesce(col(model_score), F.lit(0.0)) if model_score is not None else F.lit(0.0)
     make = lambda ok, score, how: F.struct(ok.alias("verified"), score.alias("confidence"), how.alias("method"))
-    missing = (F.coalesce(col(fact), F.lit("")) == "") | (F.coalesce(col(source), F.lit("")) == "")
 
     def decide(local: Column) -> Column:
         best = F.greatest(local, model)
@@ -75,7 +74,13 @@ def verification(fact, source, model_score=None, least: float = 0.7) -> Column:
         return F.when(local >= 0.9, make(F.lit(True), local, F.lit("local_exact"))).otherwise(make(best >= least, F.round(best, 3), by))
 
     none = make(F.lit(False), F.lit(0.0), F.lit("none"))
-    return F.when(missing, none).otherwise(let(local_support(fact, source), decide))
+    return F.when(no_fact | no_source, none).otherwise(let(col(local), decide))
+
+
+def verification(fact, source, model_score=None, least: float = 0.7) -> Column:
+    """decision() of a fact against a source in the same row."""
+    blank = lambda c: F.coalesce(col(c), F.lit("")) == ""
+    return decision(blank(fact), blank(source), local_support(fact, source), model_score, least)
 
 
 def node_quality(facts, draft_chars, citations) -> Column:

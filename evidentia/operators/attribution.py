@@ -5,16 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import local_support, verification
-from ..functions.text import citation_ids, has_citation, sentences
+from ..functions.scores import decision, local_support
+from ..functions.text import STOP_WORDS, citation_ids, has_citation, numbers, sentences, strip, words
+from .storage import saved
+
+
+#: Facts of one source that are looked for in its text in one row.
+TOGETHER = 1000
+
+
+def _tokens(words, numbers) -> F.Column:
+    """Words and numbers as one array, told apart by their first letter."""
+    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w"), w)), F.transform(numbers, lambda n: F.concat(F.lit("n"), n)))
 
 
 def verify_facts(facts: DataFrame, sources: DataFrame, model_score: str | None = None, least: float = 0.7) -> DataFrame:
     """facts (source_doc, text, ...) with verified, confidence and method against sources (document_id, source_text); a fact
-    whose source is missing stays unverified."""
-    joined = facts.join(sources, facts["source_doc"] == sources["document_id"], "left").drop("document_id")
-    v = verification("text", F.coalesce("source_text", F.lit("")), model_score, least)
-    return joined.withColumn("v", v).select(*facts.columns, "v.verified", "v.confidence", "v.method")
+    whose source is missing stays unverified. model_score: a column with a model's support, used where the local one is below 0.9.
+
+    A source's words and numbers are taken once, those of its facts meet them by a join on (document, word) and are counted. Only
+    facts that lack two words at most (the first and last may be parts of longer ones) can stand in the text as a whole: they are
+    looked for there, TOGETHER of them a row, so that neither a text nor its words are copied to every fact."""
+    width = facts.columns
+    facts = saved(facts.withColumn("evidentia_fact", F.monotonically_increasing_id()), "facts")
+    texts = sources.select(F.col("document_id").alias("doc"), F.lower(F.coalesce("source_text", F.lit(""))).alias("low"), F.coalesce("source_text", F.lit("")).alias("whole"))
+    low = strip(F.lower(F.coalesce("text", F.lit(""))))
+    mine = F.array_except(F.array_distinct(words(low)), F.array(*map(F.lit, STOP_WORDS)))
+    told = facts.select("evidentia_fact", F.col("source_doc").alias("doc"), low.alias("fact"), mine.alias("w"), numbers(F.coalesce("text", F.lit(""))).alias("n"))
+    have = texts.select("doc", F.explode(_tokens(F.array_distinct(words("low")), numbers("whole"))).alias("token"))
+    asked = told.select("doc", "evidentia_fact", F.explode(_tokens("w", "n")).alias("token"))
+    met = asked.join(have, ["doc", "token"]).groupBy("evidentia_fact").agg(F.count_if(F.startswith("token", F.lit("w"))).alias("found_w"), F.count("*").alias("found"))
+    told = told.join(met, "evidentia_fact", "left").withColumn("found_w", F.coalesce("found_w", F.lit(0))).withColumn("found", F.coalesce("found", F.lit(0)))
+    told = saved(told.select("evidentia_fact", "doc", "fact", F.size("w").alias("n_w"), F.size("n").alias("n_n"), "found_w", (F.col("found") - F.col("found_w")).alias("found_n")), "found")
+    near = told.where((F.col("fact") != "") & (F.col("n_w") - F.col("found_w") <= 2))
+    parts = near.groupBy("doc").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    groups = near.join(parts, "doc").groupBy("doc", F.pmod(F.xxhash64("evidentia_fact"), "parts").alias("part")).agg(F.collect_list(F.struct("evidentia_fact", "fact")).alias("facts"))
+    inside = groups.join(texts.select("doc", "low"), "doc").select(F.explode(F.filter("facts", lambda f: F.contains("low", f["fact"]))["evidentia_fact"]).alias("evidentia_fact"))
+    there = texts.where("whole <> ''").select("doc", F.lit(True).alias("known"))
+    scored = told.join(inside.withColumn("whole", F.lit(True)), "evidentia_fact", "left").join(there, "doc", "left")
+    share = F.col("found_w") / F.col("n_w")
+    part = F.when(F.col("n_n") > 0, share * 0.5 + F.col("found_n") / F.col("n_n") * 0.5).otherwise(share)
+    known = F.coalesce("known", F.lit(False))
+    local = F.when(F.col("whole") | (known & (F.col("fact") == "")), 1.0).when(F.col("n_w") == 0, 0.0).otherwise(F.least(F.lit(1.0), part))
+    scored = scored.select("evidentia_fact", known.alias("evidentia_known"), F.coalesce(local, F.lit(0.0)).alias("evidentia_local"))
+    v = decision(F.coalesce("text", F.lit("")) == "", ~F.col("evidentia_known"), "evidentia_local", model_score, least)
+    return facts.join(scored, "evidentia_fact").withColumn("evidentia_v", v).select(*width, *[F.col("evidentia_v")[c].alias(c) for c in ("verified", "confidence", "method")])
 
 
 def attribute(docs: DataFrame, passages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

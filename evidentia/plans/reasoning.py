@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import KEYWORDS, tag_scores, top_tags
 from ..functions.text import parse_paper_tag, query_terms, sentences
-from ..operators import symbolic
+from ..operators import extraction, symbolic
 from ..operators.storage import saved
 
 
@@ -91,12 +91,25 @@ def statistics(papers: DataFrame, segments: DataFrame, triples: DataFrame, info_
 
 
 def reason(
-    papers: DataFrame, triples: DataFrame, info_units: DataFrame, terms: DataFrame, sections: DataFrame, top_k: int = 5,
-    relate: Callable[[DataFrame, DataFrame], DataFrame] = shared_triples, segment: Callable[[DataFrame], DataFrame] = segments,
+    papers: DataFrame, triples: DataFrame | None = None, info_units: DataFrame | None = None, terms: DataFrame | None = None, sections: DataFrame | None = None, top_k: int = 5,
+    relate: Callable[[DataFrame, DataFrame], DataFrame] = shared_triples, segment: Callable[[DataFrame], DataFrame] = segments, verbs: str | None = None,
 ) -> Reasoning:
     """All steps over papers (paper_id, text): segments; triples with all three parts, resolved across sentences by terms (paper_id,
     sentence_idx, term); relationships from relate(segments, triples), none with fewer than two segments; the top_k papers
-    of each section (section_id, title); counts. Tables that later steps share are written once."""
+    of each section (section_id, title); counts. Tables that later steps share are written once.
+
+    What isn't given is taken from the texts (operators.extraction): triples by a chunker, whose predicates are the words that match
+    `verbs`; information units with key phrases; terms from the units' phrases. No sections: none are served."""
+    spark = papers.sparkSession
+    if triples is None:
+        triples = extraction.extract_triples(papers, "paper_id", verbs=verbs).withColumn("triple_id", F.monotonically_increasing_id())
+        triples = saved(triples, "extracted")  # fixes the ids
+    if info_units is None:
+        info_units = saved(extraction.info_units(papers, "paper_id"), "units")
+    if terms is None:
+        named = {"predicates", "entities"} <= set(info_units.columns)
+        terms = extraction.unit_terms(info_units) if named else papers.limit(0).select("paper_id", F.lit(0).alias("sentence_idx"), F.lit("").alias("term"))
+    sections = spark.createDataFrame([], "section_id int, title string") if sections is None else sections
     cut = saved(segment(papers), "segments")
     resolved = saved(symbolic.resolve_triples(symbolic.valid_triples(triples), terms), "triples")
     answers = relate(cut, resolved)

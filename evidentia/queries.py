@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scores, text, vectors
-from .operators import attribution, dedup, graph, retrieval, selection, symbolic, tree
-from .plans import models, reasoning
+from .operators import attribution, dedup, extraction, graph, retrieval, selection, symbolic, tree
+from .plans import leaves, models, reasoning
 from .sources import papers as paper_sources
 from .sources import readers, sinks
 
@@ -705,3 +705,74 @@ RESOLVED = "e AS (SELECT doc_id, (i - 1) // 10 AS s, w[i] AS t FROM (SELECT doc_
 @query("symbolic_stats", f"WITH {RELATED}, {RESOLVED} SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(*) FROM tg) AS total_segments, (SELECT count(*) FROM tp) AS total_triples, (SELECT count(*) FROM tp LEFT JOIN nn USING (doc_id) WHERE CASE WHEN c >= 3 THEN c ELSE least(coalesce(n, 0), 2) END >= 2) AS fully_resolved_triples, (SELECT count(*) FROM events) AS total_info_units, (SELECT count(*) FROM rl) AS relationships, (SELECT count(*) FROM benchmark) AS sections")
 def symbolic_stats(spark, sf_dir):
     return reasoned(spark, sf_dir).stats
+
+
+#: What stands for verbs and function words in the invented prose.
+VERBS = ["is", "was", "be", "est", "ist", "es", "shat", "thing"]
+FUNCTION_WORDS = ["the", "of", "and", "to", "in", "that", "it", "with", "le", "la", "de", "et", "der", "die", "und", "el", "los", "que"]
+_WORDS = lambda ws: ", ".join(f"'{w}'" for w in ws)
+PLAIN = HEADED.replace("CASE WHEN i % 4 = 0 THEN (i // 4)::VARCHAR || '. Section Heading' ELSE p[i] END AS raw", "p[i] AS raw")
+PARTS = rf"""{PLAIN},
+bd AS (SELECT doc_id, part, coalesce(max(line) FILTER (head), '') AS heading, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT head) AS body FROM p GROUP BY doc_id, part HAVING count(*) FILTER (NOT head) > 0),
+bs AS (SELECT doc_id, heading, string_split(body, '. ') AS ps, coalesce(sum(len(string_split(body, '. '))) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM bd),
+ps AS (SELECT doc_id, heading, (first + i - 1)::INT AS sentence_idx, {STRIP("ps[i]")} AS text FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM bs)),
+tk AS (SELECT doc_id, heading, sentence_idx, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}%][\p{{L}}\p{{N}}%''-]*|[,;:()\[\].!?]') AS ts FROM ps WHERE text <> '')"""
+KIND = f"CASE WHEN regexp_matches(w, '^[,;:()\\[\\].!?]$') THEN 'B' WHEN lower(w) IN ({_WORDS(VERBS)}) THEN 'V' WHEN lower(w) IN ({_WORDS(FUNCTION_WORDS)}) THEN 'D' ELSE 'N' END".replace("\\\\", "\\")
+CHUNKED = "((?:N:[^ ]+ )+)(?:D:[^ ]+ )*((?:V:[^ ]+ )+)(?:D:[^ ]+ )*((?:N:[^ ]+ )+)"
+TRIPLES = rf"""{PARTS},
+an AS (SELECT doc_id, heading, sentence_idx, array_to_string(list_transform(ts, lambda w: {KIND} || ':' || w || ' '), '') AS a FROM tk),
+ex AS (SELECT doc_id, heading, sentence_idx, regexp_extract_all(a, '{CHUNKED}', 1) AS s, regexp_extract_all(a, '{CHUNKED}', 2) AS p, regexp_extract_all(a, '{CHUNKED}', 3) AS o FROM an),
+tx AS (SELECT doc_id, heading, sentence_idx, i - 1 AS nth, {", ".join(f"trim(regexp_replace({c}[i], '[NV]:', '', 'g')) AS {n}" for c, n in (("s", "subject"), ("p", "predicate"), ("o", "object")))}
+  FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM ex))"""
+
+
+@query("triple_extract", f"WITH {TRIPLES} SELECT doc_id AS paper_id, sentence_idx, nth::INT AS nth, subject, predicate, object, 'Contribution' AS info_unit, 3 AS completeness FROM tx")
+def triple_extract(spark, sf_dir):
+    """The triples that the sentences of all documents state."""
+    return extraction.extract_triples(table(spark, sf_dir, "documents"), verbs=f"^({'|'.join(VERBS)})$", function_words=FUNCTION_WORDS)
+
+
+PHRASES = rf"""{PARTS},
+rn AS (SELECT doc_id, sentence_idx, list_filter(list_transform(string_split(array_to_string(list_transform(ts, lambda w: CASE WHEN {KIND.replace("'V'", "'N'")} = 'N' THEN lower(w) ELSE '|' END), ' '), '|'), lambda r: trim(r)), lambda r: r <> '') AS r FROM tk WHERE length(text) > 10),
+ph AS (SELECT doc_id, sentence_idx, i AS nth, r[i] AS phrase, string_split(r[i], ' ') AS ws FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM rn) WHERE len(string_split(r[i], ' ')) <= 4),
+wd AS (SELECT doc_id, sentence_idx, nth, phrase, len(ws) AS n, unnest(ws) AS w FROM ph),
+sc AS (SELECT doc_id, w, sum(n)::DOUBLE / count(*) AS score FROM wd GROUP BY ALL),
+fs AS (SELECT doc_id, sentence_idx, phrase, nth, round(sum(score), 9) AS score FROM wd JOIN sc USING (doc_id, w) GROUP BY ALL),
+best AS (SELECT doc_id, sentence_idx, phrase, max(score) AS score, min(nth) AS nth FROM fs GROUP BY doc_id, sentence_idx, phrase QUALIFY row_number() OVER (PARTITION BY doc_id, sentence_idx ORDER BY max(score) DESC, min(nth)) <= 5)"""
+
+
+@query("key_phrases", f"WITH {PHRASES} SELECT doc_id, sentence_idx, string_agg(phrase, ';' ORDER BY score DESC, nth) AS phrases FROM best GROUP BY ALL")
+def key_phrases(spark, sf_dir):
+    """The key phrases of every sentence of all documents."""
+    cut = extraction.paragraph_sentences(table(spark, sf_dir, "documents")).where(F.char_length("text") > 10)
+    told = extraction.key_phrases(cut, function_words=FUNCTION_WORDS).where(F.size("key_phrases") > 0)
+    return told.select("doc_id", "sentence_idx", F.array_join("key_phrases", ";").alias("phrases"))
+
+
+def leaf_tables(spark, sf_dir):
+    """Benchmark items as the leaves of an outline, documents as chunks of an index."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id"), F.col("text").alias("title"))
+    docs = table(spark, sf_dir, "documents")
+    return items, docs.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_ord"), "text", models.HashEmbedder().embed(F.col("text")).alias("embedding"))
+
+
+LEAF_FACTS = rf"""{HASHED}, {RERANK},
+nr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5),
+m AS (SELECT doc_id, text FROM documents), sn AS (SELECT * FROM ({SENTENCES.removeprefix("s AS ")})),
+ff AS (SELECT query_id, doc_id, rank, n, x, round(len(list_filter(w, lambda t: contains(lower(x), t)))::DOUBLE / len(w), 9) AS score FROM nr JOIN q ON item_id = query_id JOIN sn USING (doc_id) WHERE length(x) > 20 AND len(w) > 0),
+fo AS (SELECT query_id, doc_id, x, min(score) AS score, min((rank, n)) AS place FROM ff WHERE score > 0 GROUP BY ALL)"""
+
+
+@query("leaf_facts", f"WITH {LEAF_FACTS} SELECT query_id AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, doc_id, x)::INT AS fact_ord, md5(x) AS text_md5, doc_id AS source_doc, score FROM fo QUALIFY fact_ord <= 12")
+def leaf_facts(spark, sf_dir):
+    """The facts of every leaf from its five nearest documents."""
+    items, docs = leaf_tables(spark, sf_dir)
+    found = leaves.leaf_facts(leaves.leaf_evidence(leaves.leaf_queries(items), docs, 5, scorer=None, tie="document_id"))
+    return found.select("node_id", "fact_ord", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source_doc", "score")
+
+
+@query("leaf_drafts")
+def leaf_drafts(spark, sf_dir):
+    """Every leaf of the benchmark's outline, processed to its draft and confidence."""
+    items, docs = leaf_tables(spark, sf_dir)
+    return leaves.process_leaves(items, docs, tie="document_id").nodes.drop("chosen")
