@@ -83,6 +83,12 @@ def verification(fact, source, model_score=None, least: float = 0.7) -> Column:
     return decision(blank(fact), blank(source), local_support(fact, source), model_score, least)
 
 
+def model_support(confidence, supported) -> Column:
+    """A model's answer as a support score: its confidence, 0.3 of it for a claim that it finds unsupported; nothing said is 0."""
+    said = F.coalesce(col(confidence).cast("double"), F.lit(0.0))
+    return F.when(F.coalesce(col(supported), F.lit(False)), said).otherwise(said * 0.3)
+
+
 def node_quality(facts, draft_chars, citations) -> Column:
     part = lambda x, most, weight: F.least(col(x) / F.lit(float(most)), F.lit(1.0)) * weight
     return F.when(col(facts) == 0, F.lit(0.2)).otherwise(part(facts, 5, 0.4) + part(draft_chars, 500, 0.3) + part(citations, 3, 0.3))

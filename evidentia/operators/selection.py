@@ -48,6 +48,20 @@ def coverage_report(selected: DataFrame, target: int, mode: str = "balanced") ->
     return joined.withColumn("note", F.when(F.col("selected") < F.col("budget"), note))
 
 
+def clusters(selected: DataFrame, target: int, mode: str = "balanced") -> DataFrame:
+    """(cluster_id, cluster_label, paper_id, nth, n, budget, note): the chosen papers by tag, in the order of their selection, a row each, so
+    that a large cluster is no large row. Tags without papers have none."""
+    budget = budgets(target, mode)
+    plan = F.element_at(F.create_map(*[F.lit(x) for t in TAGS for x in (t, budget[t])]), F.col("tag"))
+    n = F.count("*").over(Window.partitionBy("tag"))
+    nth = F.row_number().over(Window.partitionBy("tag").orderBy("position"))
+    told = selected.select("tag", "paper_id", nth.alias("nth"), n.alias("n"))
+    return told.select(
+        F.concat(F.lit("cluster_"), "tag").alias("cluster_id"), F.concat(F.lit("PrimaryTag:"), "tag").alias("cluster_label"), "paper_id", "nth", "n",
+        plan.alias("budget"), F.format_string("Selected %d for tag %s", "n", "tag").alias("note"),
+    )
+
+
 def evidence_fingerprint(ids: DataFrame, id_col: str = "paper_id", by: list[str] | None = None) -> DataFrame:
     """sha256 of a set's sorted ids, one a line: the same for any order. For evidence sets, whose size a target bounds."""
     digest = F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(id_col).cast("string"))), "\n"), 256).alias("fingerprint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scores, text, vectors
 from .operators import attribution, dedup, extraction, graph, retrieval, selection, symbolic, tree
-from .plans import leaves, models, reasoning
+from .plans import leaves, models, reasoning, synthesis
 from .sources import papers as paper_sources
 from .sources import readers, sinks
 
@@ -211,15 +211,28 @@ def verify_local(spark, sf_dir):
 FACTS = f"{MARKED}, {SENTENCES}, fa AS (SELECT doc_id || ':' || n AS fact_id, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS source_doc, x AS ft FROM s)"
 
 
-@query("verify_decision", rf"WITH {FACTS}, x AS (SELECT fact_id, ft, text AS dt, {STRIP('lower(ft)')} AS fl, lower(text) AS dl FROM fa LEFT JOIN documents ON doc_id = source_doc), y AS (SELECT *, list_distinct(regexp_extract_all(ft, '[0-9]+\.?[0-9]*')) AS fn, list_distinct(regexp_extract_all(dt, '[0-9]+\.?[0-9]*')) AS dn, list_filter(list_distinct(list_filter(regexp_split_to_array(fl, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')), lambda x: x NOT IN ({STOP})) AS fw, list_filter(regexp_split_to_array(dl, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS dw FROM x), z AS (SELECT fact_id, dt, ft, CASE WHEN contains(dl, fl) THEN 1.0 WHEN len(fw) = 0 THEN 0.0 WHEN len(fn) > 0 THEN len(list_intersect(fw, dw))::DOUBLE / len(fw) * 0.5 + len(list_intersect(fn, dn))::DOUBLE / len(fn) * 0.5 ELSE len(list_intersect(fw, dw))::DOUBLE / len(fw) END AS c FROM y) SELECT fact_id, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN false ELSE c >= 0.7 END AS verified, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN 0.0 WHEN c >= 0.9 THEN round(c, 3) ELSE round(c, 3) END::DOUBLE AS confidence, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN 'none' WHEN c >= 0.9 THEN 'local_exact' ELSE 'local_partial' END AS method FROM z")
+DECIDED = rf"WITH {FACTS}, x AS (SELECT fact_id, ft, text AS dt, {STRIP('lower(ft)')} AS fl, lower(text) AS dl FROM fa LEFT JOIN documents ON doc_id = source_doc), y AS (SELECT *, list_distinct(regexp_extract_all(ft, '[0-9]+\.?[0-9]*')) AS fn, list_distinct(regexp_extract_all(dt, '[0-9]+\.?[0-9]*')) AS dn, list_filter(list_distinct(list_filter(regexp_split_to_array(fl, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')), lambda x: x NOT IN ({STOP})) AS fw, list_filter(regexp_split_to_array(dl, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS dw FROM x), z AS (SELECT fact_id, dt, ft, CASE WHEN contains(dl, fl) THEN 1.0 WHEN len(fw) = 0 THEN 0.0 WHEN len(fn) > 0 THEN len(list_intersect(fw, dw))::DOUBLE / len(fw) * 0.5 + len(list_intersect(fn, dn))::DOUBLE / len(fn) * 0.5 ELSE len(list_intersect(fw, dw))::DOUBLE / len(fw) END AS c FROM y) SELECT fact_id, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN false ELSE c >= 0.7 END AS verified, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN 0.0 WHEN c >= 0.9 THEN round(c, 3) ELSE round(c, 3) END::DOUBLE AS confidence, CASE WHEN coalesce(dt, '') = '' OR ft = '' THEN 'none' WHEN c >= 0.9 THEN 'local_exact' ELSE 'local_partial' END AS method FROM z"
+
+
+@query("verify_decision", DECIDED)
 def verify_decision(spark, sf_dir):
+    return decided(spark, sf_dir).select("fact_id", "verified", F.round("confidence", 3).alias("confidence"), "method")
+
+
+def decided(spark, sf_dir) -> DataFrame:
     """Every sentence of every text as a fact, of every fourth text against the next one."""
     docs = table(spark, sf_dir, "documents")
     cut = marked(spark, sf_dir).select("doc_id", F.posexplode(text.sentences("text")).alias("n", "text"))
     source = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("source_doc")
     facts = cut.select(F.concat_ws(":", "doc_id", "n").alias("fact_id"), source, "text")
-    v = attribution.verify_facts(facts, docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("source_text")))
-    return v.select("fact_id", "verified", F.round("confidence", 3).alias("confidence"), "method")
+    return attribution.verify_facts(facts, docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("source_text")))
+
+
+@query("report_stats", f"SELECT split_part(fact_id, ':', 1)::BIGINT AS doc_id, count(*) AS total_facts, count(*) FILTER (verified) AS verified_facts, count(*) FILTER (verified) || '/' || count(*) || ' = ' || round(count(*) FILTER (verified) / count(*)::DOUBLE * 100)::BIGINT || '%' AS verification_rate FROM ({DECIDED}) GROUP BY 1")
+def report_stats(spark, sf_dir):
+    """What a report says of its facts, for the facts of every document."""
+    facts = decided(spark, sf_dir).withColumn("doc_id", F.split("fact_id", ":")[0].cast("long"))
+    return synthesis.report_statistics(facts, ["doc_id"]).drop("mean_confidence")
 
 
 TITLES = rf"""
@@ -297,6 +310,12 @@ def coverage_notes(spark, sf_dir):
     return selection.coverage_report(selection.select_evidence(ranked_candidates(spark, sf_dir), 30), 30)
 
 
+@query("coverage_clusters", CHOSEN + " SELECT 'cluster_' || tag AS cluster_id, paper_id, (row_number() OVER (PARTITION BY tag ORDER BY position))::INT AS nth, count(*) OVER (PARTITION BY tag) AS n FROM q WHERE pass = 1 OR position <= 30")
+def coverage_clusters(spark, sf_dir):
+    """The papers that coverage selection takes from all documents, by cluster."""
+    return selection.clusters(selection.select_evidence(ranked_candidates(spark, sf_dir), 30), 30).select("cluster_id", "paper_id", "nth", "n")
+
+
 @query("candidate_docs", f"WITH {SCORED}, r AS (SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, label, arg_min(vec_id, rank) AS vec_id, min(rank)::INT AS rank FROM r WHERE rank <= 50 GROUP BY ALL")
 def candidate_docs(spark, sf_dir):
     q, rows = vectors_of(spark, sf_dir)
