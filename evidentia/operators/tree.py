@@ -56,10 +56,62 @@ def siblings(tree: DataFrame) -> DataFrame:
     return tree.select("node_id", "parent_id").join(other, "parent_id").where("node_id <> sibling_id").select("node_id", "sibling_id")
 
 
-def leaf_descendants(deep: DataFrame) -> DataFrame:
-    """(ancestor, leaf) from a table with depths: each leaf under every node of its path but itself."""
-    leaves = deep.where("is_leaf").select(F.col("node_id").alias("leaf"), F.explode("path").alias("ancestor"))
-    return leaves.where("ancestor <> leaf").select("ancestor", "leaf")
+def intervals(tree: DataFrame) -> DataFrame:
+    """(node_id, depth, enter, leave): where a walk around the tree, children in the order of (ord, node_id), enters and leaves each node, from
+    0. A node is below another if its enter lies between that one's enter and leave; preorder is the order of enter.
+
+    The walk is a linked list of two steps a node; pointer doubling ranks it: each round every step learns what lies twice
+    as far ahead, so a tree of n nodes takes log2(2 n) rounds of one join, however deep it is. Several roots are walked one
+    after another. A node that is its own ancestor, or whose parent isn't there, is an error. An empty tree has none. Children of one
+    node are put in order by one task."""
+    here = tree.select("node_id", "parent_id", "ord")
+    here = saved(here.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    among = Window.partitionBy("parent_id").orderBy("ord", "node_id")
+    kin = here.select("id", "node_id", "parent_id", F.lead("id").over(among).alias("next"), F.row_number().over(among).alias("nth"))
+    first = kin.where("nth = 1 AND parent_id IS NOT NULL").select(F.col("parent_id").alias("node_id"), F.col("id").alias("child"))
+    up = here.select(F.col("node_id").alias("parent_id"), F.col("id").alias("parent"))
+    linked = kin.join(first, "node_id", "left").join(up, "parent_id", "left")
+    linked = saved(linked.select("id", "parent_id", "parent", "next", "child"), "linked")
+    if not linked.where("parent_id IS NOT NULL AND parent IS NULL").isEmpty():
+        raise ValueError("a node's parent isn't in the tree")
+    n = linked.count()
+    one = F.lit(1).cast("long")
+    enter = linked.select((2 * F.col("id")).alias("step"), F.coalesce(2 * F.col("child"), 2 * F.col("id") + 1).alias("ahead"), one.alias("rest"), one.alias("climb"))
+    leave = linked.select((2 * F.col("id") + 1).alias("step"), F.coalesce(2 * F.col("next"), 2 * F.col("parent") + 1).alias("ahead"), one.alias("rest"), (-one).alias("climb"))
+    state = saved(enter.union(leave), "walk")
+    for turn in count(1):
+        if state.where("ahead IS NOT NULL").isEmpty():
+            break
+        if turn > (2 * n).bit_length() + 1:
+            raise ValueError("a node of the tree is its own ancestor")
+        far = state.select(F.col("step").alias("ahead"), F.col("ahead").alias("further"), F.col("rest").alias("r"), F.col("climb").alias("c"))
+        moved = state.join(far, "ahead", "left")
+        state = saved(moved.select("step", F.col("further").alias("ahead"), (F.col("rest") + F.coalesce("r", F.lit(0))).alias("rest"), (F.col("climb") + F.coalesce("c", F.lit(0))).alias("climb")), "walk")
+    at = state.select(F.floor(F.col("step") / 2).alias("id"), (F.col("step") % 2).alias("side"), (F.lit(2 * n) - F.col("rest")).alias("at"), (-F.col("climb")).alias("depth"))
+    both = at.groupBy("id").agg(
+        F.max(F.when(F.col("side") == 0, F.col("at"))).alias("enter"), F.max(F.when(F.col("side") == 1, F.col("at"))).alias("leave"),
+        F.max(F.when(F.col("side") == 0, F.col("depth"))).cast("int").alias("depth"),
+    )
+    return here.select("id", "node_id").join(both, "id").select("node_id", "depth", "enter", "leave")
+
+
+def leaf_descendants(tree: DataFrame) -> DataFrame:
+    """(ancestor, leaf): each leaf under every node above it. By pointer doubling from (node_id, parent_id): a round doubles how far up the
+    pairs reach, so log2(depth) rounds, and no row holds a path. A node that is its own ancestor is an error."""
+    up = tree.where("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("above"))
+    inner = up.select(F.col("above").alias("node_id")).distinct()
+    pairs = saved(up.join(inner, "node_id", "left_anti").select(F.col("node_id").alias("leaf"), F.col("above").alias("ancestor")), "pairs")
+    jumps, limit = saved(up, "jumps"), None
+    for turn in count(1):
+        new = pairs.join(jumps.withColumnRenamed("node_id", "ancestor"), "ancestor").select("leaf", F.col("above").alias("ancestor"))
+        new = saved(new, "pairs")
+        jumps = saved(jumps.join(jumps.select(F.col("node_id").alias("above"), F.col("above").alias("further")), "above").select("node_id", F.col("further").alias("above")), "jumps")
+        if new.isEmpty() and jumps.isEmpty():
+            return pairs.select("ancestor", "leaf")
+        limit = limit or tree.count().bit_length() + 1
+        if turn > limit:
+            raise ValueError("a node of the tree is its own ancestor")
+        pairs = saved(pairs.union(new), "pairs")
 
 
 def bfs_order(deep: DataFrame) -> DataFrame:

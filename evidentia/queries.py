@@ -310,7 +310,7 @@ def coverage_notes(spark, sf_dir):
     return selection.coverage_report(selection.select_evidence(ranked_candidates(spark, sf_dir), 30), 30)
 
 
-@query("coverage_clusters", CHOSEN + " SELECT 'cluster_' || tag AS cluster_id, paper_id, (row_number() OVER (PARTITION BY tag ORDER BY position))::INT AS nth, count(*) OVER (PARTITION BY tag) AS n FROM q WHERE pass = 1 OR position <= 30")
+@query("coverage_clusters", CHOSEN + " SELECT 'cluster_' || tag AS cluster_id, doc_id AS paper_id, (row_number() OVER (PARTITION BY tag ORDER BY position))::INT AS nth, count(*) OVER (PARTITION BY tag) AS n FROM q WHERE pass = 1 OR position <= 30")
 def coverage_clusters(spark, sf_dir):
     """The papers that coverage selection takes from all documents, by cluster."""
     return selection.clusters(selection.select_evidence(ranked_candidates(spark, sf_dir), 30), 30).select("cluster_id", "paper_id", "nth", "n")
@@ -456,7 +456,15 @@ def siblings(spark, sf_dir):
 
 @query("leaf_descendants", f"WITH {TREE} SELECT a.node_id AS ancestor, count(*) AS leaves FROM lf a JOIN lf b ON b.leaf AND starts_with(b.path, a.path || '/') GROUP BY 1")
 def leaf_descendants(spark, sf_dir):
-    return tree.leaf_descendants(tree.add_depth(outline(spark, sf_dir))).groupBy("ancestor").agg(F.count("*").alias("leaves"))
+    return tree.leaf_descendants(outline(spark, sf_dir)).groupBy("ancestor").agg(F.count("*").alias("leaves"))
+
+
+PREORDER = "po AS (SELECT t.node_id, t.depth, t.path, row_number() OVER (ORDER BY CASE t.depth WHEN 0 THEN [0] WHEN 1 THEN [0, t.ord] WHEN 2 THEN [0, u.ord, t.ord] ELSE [0, v.ord, u.ord, t.ord] END) - 1 AS pre FROM tr t LEFT JOIN tr u ON u.node_id = t.parent_id LEFT JOIN tr v ON v.node_id = u.parent_id), sz AS (SELECT a.node_id, count(*) AS n FROM tr a JOIN tr b ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY 1)"
+
+
+@query("tree_intervals", f"WITH {TREE}, {PREORDER} SELECT node_id, depth, 2 * pre - depth AS enter, 2 * pre - depth + 2 * n - 1 AS leave FROM po JOIN sz USING (node_id)")
+def tree_intervals(spark, sf_dir):
+    return tree.intervals(outline(spark, sf_dir))
 
 
 @query("bfs_order", f"WITH {TREE}, p AS (SELECT t.node_id, t.depth, CASE t.depth WHEN 0 THEN [0] WHEN 1 THEN [0, t.ord] WHEN 2 THEN [0, u.ord, t.ord] ELSE [0, v.ord, u.ord, t.ord] END AS po FROM tr t LEFT JOIN tr u ON u.node_id = t.parent_id LEFT JOIN tr v ON v.node_id = u.parent_id) SELECT node_id, row_number() OVER (ORDER BY depth, po) AS bfs FROM p")
