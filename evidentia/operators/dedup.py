@@ -98,3 +98,11 @@ def _dense(rows: DataFrame, by: list[str]) -> Column:
     """DOI rows before the others, each by ord: ord itself, the others lifted above every ord."""
     most = rows.agg(F.max("ord").alias("m")).collect()[0]["m"] or 0
     return F.when(F.col("has_doi"), F.col("ord")).otherwise(F.col("ord") + most + 1)
+
+
+def search_statistics(found: DataFrame, unique: DataFrame) -> DataFrame:
+    """One row: raw, the papers found (rows of found), and of those left after dedup unique_papers, with_pdf (a PDF's address that isn't
+    empty) and open_access (is_oa; null is not). Empty tables give zeros. Two aggregates that meet as one row each."""
+    pdf = F.coalesce("pdf_url", F.lit("")) != ""
+    left = unique.agg(F.count("*").alias("unique_papers"), F.count_if(pdf).alias("with_pdf"), F.count_if(F.coalesce("is_oa", F.lit(False))).alias("open_access"))
+    return found.agg(F.count("*").alias("raw")).join(F.broadcast(left))

@@ -593,9 +593,12 @@ def topn_report(spark, sf_dir):
     return readers.top_report(p)
 
 
-@query("search_stats", "SELECT count(*) AS raw, count(DISTINCT substr(text, 1, 80)) AS unique_papers, count(*) FILTER (doc_id % 2 = 0) AS with_pdf, count(*) FILTER (doc_id % 3 = 0) AS open_access FROM documents")
+@query("search_stats", "WITH u AS (SELECT min(doc_id) AS d FROM documents GROUP BY substr(text, 1, 80)) SELECT (SELECT count(*) FROM documents) AS raw, count(*) AS unique_papers, count(*) FILTER (d % 2 = 0) AS with_pdf, count(*) FILTER (d % 3 = 0) AS open_access FROM u")
 def search_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("raw"), F.countDistinct(F.substring("text", 1, 80)).alias("unique_papers"), F.count_if(F.col("doc_id") % 2 == 0).alias("with_pdf"), F.count_if(F.col("doc_id") % 3 == 0).alias("open_access"))
+    """Of the documents as found papers, those with equal titles merged into the first."""
+    found = papers(spark, sf_dir).withColumn("is_oa", F.col("ord") % 3 == 0)
+    unique = found.groupBy("title").agg(F.min_by(F.struct("pdf_url", "is_oa"), "ord").alias("p")).select("p.*")
+    return dedup.search_statistics(found, unique)
 
 
 API_PAPERS = """

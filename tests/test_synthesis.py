@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import scores
-from evidentia.operators import selection
+from evidentia.operators import dedup, selection
 from evidentia.plans import reports, synthesis
 
 
@@ -76,3 +76,9 @@ def test_statistics_clusters_and_support(spark):
     assert sorted((r["cluster_id"], r["nth"]) for r in rows) == [("cluster_E", 1), ("cluster_E", 2), ("cluster_M", 1), ("cluster_T", 1), ("cluster_T", 2), ("cluster_T", 3)]
     said = spark.createDataFrame([(0.8, True), (0.8, False), (None, True), (0.5, None)], "c double, s boolean")
     assert [round(r[0], 6) for r in said.select(scores.model_support("c", "s")).collect()] == [0.8, 0.24, 0.0, 0.15]
+
+
+def test_search_statistics(spark):
+    papers = spark.createDataFrame([("a", True), ("", None), (None, False), ("b", True)], "pdf_url string, is_oa boolean")
+    assert dedup.search_statistics(papers, papers.limit(3)).first().asDict() == {"raw": 4, "unique_papers": 3, "with_pdf": 1, "open_access": 1}
+    assert dedup.search_statistics(papers.limit(0), papers.limit(0)).first().asDict() == {"raw": 0, "unique_papers": 0, "with_pdf": 0, "open_access": 0}
