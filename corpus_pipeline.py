@@ -18,7 +18,8 @@ LEAST_SCORE = 0.4
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: without letters (or null), or with a score under LEAST_SCORE. Where the
-    table names no language, the one predicted is put in. Without any label to learn from, only texts without letters go."""
+    table names no language, the one predicted is put in; of equally likely ones the first by name. Without any label to learn from, only
+    texts without letters go. Repeated rows are judged alike and all stay; an empty table stays empty."""
     model = langid.fit(docs.where(langid.fold() != 0), key=F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     told = langid.predict(docs, model, as_col="evidentia_told")
     if model.languages:
@@ -28,22 +29,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased; null is empty) the row with the largest doc_id stays; of rows that repeat that doc_id, one. An
+    empty table stays empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of Jaccard similarity 0.8 or more on five-word shingles the smallest doc_id stays."""
+    """Of each component of Jaccard similarity 0.8 or more on five-word shingles the smallest doc_id stays; of rows that repeat it, the
+    smallest text hash. Texts without words all stay; an empty table stays empty."""
     return ngram_join.keep_one(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, none to three times each as the sources' targets demand, in the order of training."""
+    """Whole documents, none to three times each as the sources' targets demand, in the order of training; readings at one position come
+    in any order. Equal rows are rows of their own; an empty table stays empty."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of every document that the mix took, as digests."""
+    """The tokens of every document that the mix took, as digests: a row for each reading. Null is empty; an empty table gives none."""
     return bpe.round_trip(docs, *tokenizer())
 
 

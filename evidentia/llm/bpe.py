@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps between one and two times so many recent words, so its memory is bounded on any corpus.
 MOST_WORDS = 150_000
@@ -221,5 +223,6 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
             columns = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
         codec.rest()
+        give_back()
 
     return docs.select(F.col(id_col), run(F.col(text_col)).alias("r")).select(id_col, "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

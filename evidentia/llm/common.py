@@ -3,11 +3,14 @@ broadcasts and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def give_back() -> None:
+    """At the end of a task: return what this Python worker has freed to the system, as idle workers stay beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes in memory: lengths of strings, binaries and arrays, 8 for other columns."""
     total = F.lit(16)
@@ -193,6 +206,7 @@ def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each = np.arange(len(pairs))
         differ = Bitmaps(pairs["bits_a"].tolist()).differences(each, Bitmaps(pairs["bits_b"].tolist()), each)
         yield pairs.loc[9 * differ <= (pairs["n_a"] + pairs["n_b"]).to_numpy(), ["a", "b"]]
+    give_back()
 
 
 def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -261,6 +275,8 @@ def _compared(thin: bool):
             held = batch.iloc[last:]
         if held is not None:
             yield _block_pairs(held, joined)
+        held = joined = None
+        give_back()
 
     return run
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Hashed features, n-gram sizes, characters of a text that are in memory at a time.
 BITS, SIZES, PIECE = 15, (1, 2, 3), 1 << 18
 #: The bound of the sample that fits the classifier, over all languages; document frequencies come from all training rows.
@@ -132,6 +134,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
                     n += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(df[at], n)})
+        give_back()
 
     found = rows.select("text").mapInPandas(frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros((1 << BITS) + 1, np.int64)  # one place a feature, the last for the count of texts
@@ -188,6 +191,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", as_col: str =
             told = [model.predict(t.as_py()) for t in texts]
             lang, score = pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())
             yield pa.StructArray.from_arrays([lang, score], ["lang_pred", "score"])
+        give_back()
 
     # else a filter on what it says and a column of it would run it twice
     return docs.withColumn(as_col, run.asNondeterministic()(F.col(text_col)))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
+from .common import NARROW, TEXTS, broadcast_if_small, give_back, linked_parts, parity, shuffle_width, spread_join, stored
 from .shingles import U, mixed, set_key, shingle_set, word_shingles, words_key
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
@@ -133,6 +133,8 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
                     sets, held, seen = [], 0, set()
         if sets:
             yield run()
+        sets, seen = [], set()
+        give_back()
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         tokens = [np.concatenate([[U(f)], U(f) + np.cumsum(unpacked(g))]).astype(U) for f, g in zip(group["first"], group["gaps"])]
@@ -174,6 +176,8 @@ def _verified(k: int):
                         if _similar(len(shingles & theirs), len(shingles), len(theirs)):
                             found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        own, tokens, shingles = None, None, None
+        give_back()
 
     return check
 
@@ -193,6 +197,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
                 "id": batch["id"], "n": [len(s) for s in sets], "key": [words_key(t) for t in batch["text"]], "bits": [parity(s) for s in sets], "th": batch["th"],
                 "sigs": [signatures(s, frequent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
+        give_back()
 
     id_type = docs.schema["id"].dataType.simpleString()
     hashed = docs.withColumn("th", F.xxhash64("text"))
