@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import decision, local_support
+from ..functions.scores import decision
 from ..functions.text import STOP_WORDS, citation_ids, has_citation, numbers, sentences, strip, words
+from .postings import supporting
+from .postings import tokens as _tokens
 from .storage import saved
 
 
@@ -14,11 +16,6 @@ from .storage import saved
 TOGETHER = 1000
 
 
-def _tokens(words, numbers) -> F.Column:
-    """Words and numbers as one array, told apart by their first letter."""
-    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w"), w)), F.transform(numbers, lambda n: F.concat(F.lit("n"), n)))
-
-
 def verify_facts(facts: DataFrame, sources: DataFrame, model_score: str | None = None, least: float = 0.7) -> DataFrame:
     """facts (source_doc, text, ...) with verified, confidence and method against sources (document_id, source_text); a fact
     whose source is missing stays unverified. model_score: a column with a model's support, used where the local one is below 0.9.
@@ -56,7 +53,9 @@ def attribute(docs: DataFrame, passages: DataFrame | None = None, id_col: str =
     """(doc_id, sentence_ord, text, citation_ids, verified, confidence) of every sentence of 5 characters or more.
 
     A cited sentence keeps its citations and is verified. An uncited one gets, if passages (doc_id, passage_id, text) are
-    given, the passage of its document that supports it most, from `least` on: confidence 0.8; else none: 0."""
+    given, the passage of its document that supports it most, from `least` (above 0) on, ties to the smaller passage_id:
+    confidence 0.8; else none: 0. Sentences meet passages on the words of a document, not each with each; equal rows are one,
+    rows without a doc_id or passage text find nothing."""
     cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(text_col)).alias("sentence_ord", "text")).where(F.char_length("text") >= 5)
     cited = cut.where(has_citation("text")).select("*", citation_ids("text").alias("citation_ids"), F.lit(True).alias("verified"), F.lit(None).cast("double").alias("confidence"))
     open_ones = cut.where(~has_citation("text"))
@@ -64,10 +63,13 @@ def attribute(docs: DataFrame, passages: DataFrame | None = None, id_col: str =
     if passages is None:
         rest = open_ones.select("*", none.alias("citation_ids"), F.lit(False).alias("verified"), F.lit(0.0).alias("confidence"))
     else:
-        near = open_ones.join(passages.select("doc_id", F.col("passage_id").cast("string").alias("passage_id"), F.col("text").alias("passage")), "doc_id")
-        near = near.withColumn("support", local_support("text", "passage")).where(F.col("support") >= least)
-        best = near.groupBy("doc_id", "sentence_ord").agg(F.min_by("passage_id", F.struct(-F.col("support"), "passage_id")).alias("p"))
-        rest = open_ones.join(best, ["doc_id", "sentence_ord"], "left").select(
+        key, within = F.struct("doc_id", "sentence_ord", F.md5("text").alias("text")), F.col("doc_id").cast("string").alias("within")
+        named = F.struct(F.col("passage_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("text"))
+        facts = open_ones.where("doc_id IS NOT NULL").select(key.alias("item"), within, "text").dropDuplicates(["item"])
+        there = passages.where("doc_id IS NOT NULL AND text IS NOT NULL").select(named.alias("source"), within, "text").dropDuplicates(["source"])
+        best = supporting(facts, there, 1, fill=False, digits=None).where(F.col("score") >= least)
+        best = best.select("item", F.col("source.id").alias("p"))
+        rest = open_ones.withColumn("item", key).join(best, "item", "left").select(
             "doc_id", "sentence_ord", "text", F.when(F.col("p").isNull(), none).otherwise(F.array("p")).alias("citation_ids"),
             F.lit(False).alias("verified"), F.when(F.col("p").isNull(), 0.0).otherwise(0.8).alias("confidence"),
         )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scores, text, vectors
-from .operators import attribution, dedup, extraction, graph, retrieval, selection, symbolic, tree
+from .operators import attribution, dedup, extraction, graph, postings, retrieval, selection, symbolic, tree
 from .plans import leaves, models, reasoning, synthesis
 from .sources import papers as paper_sources
 from .sources import readers, sinks
@@ -178,18 +178,13 @@ RERANK = r"q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lo
 @query("rerank_topn", f"WITH {RERANK}, s AS (SELECT item_id AS query_id, doc_id, len(list_filter(w, lambda x: contains(lower(text), x)))::DOUBLE / len(w) AS score FROM q, documents WHERE len(w) > 0) SELECT query_id, doc_id, round(1 / (1 + exp(-score)), 6) AS score, n::INT AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 5")
 def rerank_topn(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.query_terms("text").alias("terms"))
-    both = asked(table(spark, sf_dir, "documents").select("doc_id", "text"), q)
-    best = retrieval.rerank(both, models.lexical_score(F.lit(""), F.col("text"), F.col("terms")), 5, tie="doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
+    found = postings.holding(q.select(F.col("query_id").alias("item"), "terms").where(F.size("terms") > 0), docs, 5)
+    found = found.select(F.col("item").alias("query_id"), F.col("source").alias("doc_id"), "score")
+    best = retrieval.rerank(found, F.col("score"), 5, tie="doc_id")
     return best.select("query_id", "doc_id", F.round(scores.sigmoid("rerank_score"), 6).alias("score"), "new_rank")
 
 
-def asked(docs: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every item of a stated, counted set against all documents."""
-    if items.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} items: ask them in parts")
-    return docs.join(F.broadcast(items))
-
-
 SUPPORT = rf"""
 f AS (SELECT item_id, text AS ft, {STRIP('lower(text)')} AS fl, list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')) AS fn, list_filter(list_distinct(list_filter(regexp_split_to_array({STRIP('lower(text)')}, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')), lambda x: x NOT IN ({STOP})) AS fw FROM benchmark),
 d AS (SELECT doc_id, text AS dt, lower(text) AS dl, list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')) AS dn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) AS dw FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 > 0),
@@ -199,12 +194,9 @@ SUPPORT = SUPPORT.replace(" WHERE doc_id % 10 = 0 OR doc_id % 10 > 0", "")
 
 @query("verify_local", f"WITH {SUPPORT}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 6) DESC, doc_id) AS n FROM v) SELECT item_id, doc_id, round(c, 6)::DOUBLE AS confidence, c >= 0.7 AS verified, CASE WHEN c >= 0.9 THEN 'local_exact' ELSE 'local_partial' END AS method FROM r WHERE n <= 3")
 def verify_local(spark, sf_dir):
-    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("fact"))
-    low = F.lower("text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", low.alias("low"), text.words(low).alias("w"), text.numbers("text").alias("f"))
-    support = scores.local_support("fact", "text", "low", "w", "f")  # derived once a document, not once a fact
-    v = asked(docs, facts).select("item_id", "doc_id", F.round(support, 6).alias("confidence"))
-    best = retrieval.top_k(v, 3, "item_id", "doc_id", "confidence")
+    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
+    best = postings.supporting(facts, docs, 3).select(F.col("item").alias("item_id"), F.col("source").alias("doc_id"), F.col("score").alias("confidence"))
     return best.select("item_id", "doc_id", "confidence", (F.col("confidence") >= 0.7).alias("verified"), F.when(F.col("confidence") >= 0.9, "local_exact").otherwise("local_partial").alias("method"))
 
 
