@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,36 +69,73 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return n.crossJoin(m).withColumn("density", F.when(F.col("nodes") > 1, F.round(F.col("edges") / possible, 4)).otherwise(0.0))
 
 
+def _side(edges: DataFrame, at_col: str, next_col: str, node, kind) -> dict:
+    start = edges.sparkSession.range(1).select(F.lit(node).cast(kind).alias("node"), F.lit(0).alias("hop"))
+    start = saved(start, "path")
+    return {"step": edges.select(F.col(at_col).alias("node"), F.col(next_col).alias("next")), "front": start, "seen": start, "hop": 0, "size": 1}
+
+
+def _grow(side: dict) -> None:
+    """One level more: what the frontier leads to and this side has not seen."""
+    side["hop"] += 1
+    new = side["front"].select("node").join(side["step"], "node").select(F.col("next").alias("node")).distinct()
+    side["front"] = saved(new.join(side["seen"].select("node"), "node", "left_anti").select("node", F.lit(side["hop"]).alias("hop")), "path")
+    side["size"] = side["front"].count()
+    side["seen"] = side["seen"].union(side["front"])
+    if side["hop"] % 32 == 0:  # one table again, so that long searches don't plan ever longer unions
+        side["seen"] = saved(side["seen"], "path")
+
+
+def _before(behind: DataFrame, at: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, back) for nodes of `at`, each with its smallest predecessor in `behind`."""
+    return behind.select("node").join(step, "node").select(F.col("next").alias("at"), "node").join(at.select(F.col("node").alias("at")), "at").groupBy(F.col("at").alias("node")).agg(F.min("node").alias("back"))
+
+
 def shortest_path(edges: DataFrame, source, target, most_hops: int | None = None) -> DataFrame:
     """(hop, node) of a shortest directed path; no rows if there is none. Of several, each step back takes the smallest node.
-    Breadth first: every round joins the frontier, drops what was visited and writes the new level, until the target or no new
-    node is found. With most_hops, a search that is still open then is an error."""
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType
-    start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(kind).alias("back"))
-    visited = frontier = saved(start, "path")
-    for hop in count(1):
-        if not frontier.where(F.col("node") == F.lit(target)).isEmpty():
+    Edges without a src or dst lead nowhere, repeated ones count once.
+
+    Two frontiers, forwards from the source and backwards from the target, grow a level at a time, the smaller one first, until
+    they meet or one is empty. From where they met, the backward levels are walked forwards, so that every node on a shortest
+    path knows its smallest predecessor; the path is read back by doubling those pointers, in as many rounds as its length
+    has binary digits. With most_hops, a search that is still open then is an error."""
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    none = spark.createDataFrame([], f"hop int, node {kind.simpleString()}")
+    edges = saved(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")  # every level reads them
+    there, back = _side(edges, "src", "dst", source, kind), _side(edges, "dst", "src", target, kind)
+    while True:
+        met = there["front"].select("node").join(back["front"].select("node"), "node")
+        if not met.isEmpty():
             break
-        if most_hops is not None and hop > most_hops:
+        if not there["size"] or not back["size"]:
+            return none
+        if most_hops is not None and there["hop"] + back["hop"] >= most_hops:
             raise RuntimeError(f"no path found in {most_hops} hops, and there are further nodes")
-        following = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("back"))
-        frontier = saved(following.join(visited.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "back"), "path")
-        if frontier.isEmpty():
-            return spark.createDataFrame([], f"hop int, node {kind.simpleString()}")
-        visited = visited.union(frontier)
-        if hop % 32 == 0:  # one table again, so that long searches don't plan ever longer unions
-            visited = saved(visited, "path")
-    path, at = [], target
-    for row_hop in range(hop, -1, -1):  # one lookup a hop
-        row = visited.where((F.col("node") == F.lit(at)) & (F.col("hop") <= row_hop)).select("hop", "node", "back").first()
-        if row is None:
-            return spark.createDataFrame([], f"hop int, node {kind.simpleString()}")
-        path.append((row["hop"], row["node"]))
-        if row["back"] is None:
-            break
-        at = row["back"]
-    return spark.createDataFrame(path, f"hop int, node {kind.simpleString()}")
+        _grow(min(there, back, key=lambda side: side["size"]))
+    met, length = saved(met, "path"), there["hop"] + back["hop"]
+    levels, at = [], met
+    for left in range(back["hop"] - 1, -1, -1):  # forwards through the levels before the target
+        level = _before(at, back["seen"].where(F.col("hop") == left), there["step"])
+        at = saved(level, "path")
+        levels.append(at)
+    at = met
+    for hop in range(there["hop"] - 1, -1, -1):  # and backwards to the source
+        level = saved(_before(there["seen"].where(F.col("hop") == hop), at, there["step"]), "path")
+        levels.append(level)
+        at = level.select(F.col("back").alias("node")).distinct()
+    path = spark.range(1).select(F.lit(length).alias("hop"), F.lit(target).cast(kind).alias("node"))
+    if not levels:
+        return path
+    jump = levels[0]
+    for level in levels[1:]:
+        jump = jump.union(level)
+    jump, reach = saved(jump, "path"), 1
+    while True:
+        path = saved(path.union(path.join(jump, "node").select((F.col("hop") - reach).alias("hop"), F.col("back").alias("node"))), "path")
+        reach *= 2
+        if reach > length:
+            return path
+        jump = saved(jump.join(jump.select(F.col("node").alias("back"), F.col("back").alias("further")), "back").select("node", F.col("further").alias("back")), "path")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 1, per_level: int = 10, forward: bool = False) -> DataFrame:

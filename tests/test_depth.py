@@ -6,6 +6,36 @@ from pyspark.sql import functions as F
 from evidentia.operators import graph, tree
 
 
+def plain_path(edges, source, target):
+    """Breadth first; each step back takes the smallest node."""
+    hops, at, n = {source: 0}, {source}, 0
+    while at and target not in hops:
+        n += 1
+        at = {d for s, d in edges if s in at} - set(hops)
+        hops |= dict.fromkeys(at, n)
+    if target not in hops:
+        return []
+    path = [target]
+    while path[0] != source:
+        path.insert(0, min(s for s, d in edges if d == path[0] and hops.get(s) == hops[path[0]] - 1))
+    return path
+
+
+def test_two_sided_paths_equal_breadth_first(spark):
+    r = random.Random(5)
+    pairs = {(r.randrange(60), r.randrange(60)) for _ in range(120)}
+    rows = [*pairs, *list(pairs)[:9], (None, 3), (4, None)]
+    edges = spark.createDataFrame(rows, "src int, dst int").coalesce(1).cache()
+    lengths = set()
+    for _ in range(9):
+        a, b = r.randrange(60), r.randrange(60)
+        want = plain_path(pairs, a, b)
+        lengths.add(len(want))
+        got = graph.shortest_path(edges, a, b).orderBy("hop").collect()
+        assert [(x["hop"], x["node"]) for x in got] == list(enumerate(want))
+    assert len(lengths) > 2
+
+
 def test_shortest_path_of_more_than_fifty_hops(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(55)] + [(90, 91), (91, 90)], "src long, dst long")
     assert [r["node"] for r in graph.shortest_path(edges, 0, 55).orderBy("hop").collect()] == list(range(56))
