@@ -696,6 +696,20 @@ def paper_links(spark, sf_dir):
     return paper_sources.paper_links(readers.paper_records(table(spark, sf_dir, "events").select(body.alias("json"))), most=2)
 
 
+RELATED = "SELECT 'p' || event_id AS paper_id, nth::INT AS nth, linked || event_id AS linked_id, title, year::INT AS year FROM events, (VALUES (0, 'a', 't', 1), (1, 'c', '', 0)) v(nth, linked, title, year)"
+
+
+@query("paper_recommendations", f"{RELATED} WHERE event_id % 2 = 0 AND nth <= event_id % 3")
+def paper_recommendations(spark, sf_dir):
+    """One to three recommended papers of every event, for half of which a response is in the cache; one of its three has no id."""
+    events = table(spark, sf_dir, "events")
+    asked = events.select(F.concat(F.lit("p"), "event_id").alias("paper_id"), (F.col("event_id") % 3 + 1).cast("int").alias("limit"))
+    body = F.concat(F.lit('{"papers": [{"paperId": "a'), "event_id", F.lit('", "title": "t", "year": 1}, {"title": "none"}, {"paperId": "c'), "event_id", F.lit('"}]}'))
+    name = F.concat(F.lit("p"), "event_id", F.lit(":"), (F.col("event_id") % 3 + 1).cast("string"))
+    cache = events.where("event_id % 2 = 0").select(text.cache_key(F.lit("related"), name).alias("key"), body.alias("body"))
+    return paper_sources.recommendations(asked, cache)
+
+
 def reasoned(spark, sf_dir) -> reasoning.Reasoning:
     """All documents as papers, their triples resolved, events as information units and benchmark items as sections."""
     papers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .readers import cached
 
 OPENALEX = (
     "results array<struct<display_name: string, authorships: array<struct<author: struct<display_name: string>>>, publication_year: int, "
@@ -26,8 +27,10 @@ ARXIV = (
     "entry array<struct<id: string, title: string, summary: string, published: string, author: array<struct<name: string>>, "
     "link: array<struct<_href: string, _title: string>>>>"
 )
-#: Results of one request, as the APIs limit them, and linked papers of one paper.
-MOST_OPENALEX, MOST_CROSSREF, MOST_ARXIV, MOST_LINKS = 200, 1000, 2000, 1000
+RELATED = "papers array<struct<paperId: string, title: string, year: int>>"
+#: Results of one request, as the APIs limit them, linked papers of one paper, recommended ones and how many
+#: of these a request without a limit asks for.
+MOST_OPENALEX, MOST_CROSSREF, MOST_ARXIV, MOST_LINKS, MOST_RELATED, RELATED_UNASKED = 200, 1000, 2000, 1000, 500, 20
 
 
 def _text(x: Column) -> Column:
@@ -87,3 +90,17 @@ def paper_links(papers: DataFrame, relation: str = "references", most: int = MOS
     known = F.filter(relation, lambda r: r["paper_id"] != "")
     rows = papers.select("paper_id", F.posexplode(F.slice(known, 1, most)).alias("nth", "r"))
     return rows.select("paper_id", "nth", F.col("r.paper_id").alias("linked_id"), "r.title", "r.year")
+
+
+def recommendations(requests: DataFrame, cache: DataFrame, most: int = MOST_RELATED) -> DataFrame:
+    """(paper_id, nth, linked_id, title, year): papers recommended beside those of requests (paper_id, limit), in the order of the
+    responses that a cache (key, body) has for them; requests without one, or with a broken one, give no rows. limit: how many are
+    asked for, RELATED_UNASKED if null, `most` at most. Papers without an id are left out; equal requests count once."""
+    limit = F.coalesce("limit", F.lit(RELATED_UNASKED))
+    asked = requests.where("paper_id IS NOT NULL").select("paper_id", limit.alias("limit")).distinct()
+    named = F.concat(F.col("paper_id").cast("string"), F.lit(":"), F.col("limit").cast("string"))
+    found = cached(asked.select("*", F.lit("related").alias("method"), named.alias("query")), cache).where("body IS NOT NULL")
+    known = F.filter(F.from_json("body", RELATED)["papers"], lambda r: F.coalesce(r["paperId"], F.lit("")) != "")
+    cut = F.slice(known, F.lit(1), F.greatest(F.least("limit", F.lit(most)), F.lit(0)))
+    rows = found.select("paper_id", F.posexplode(cut).alias("nth", "r"))
+    return rows.select("paper_id", "nth", F.col("r.paperId").alias("linked_id"), _text(F.col("r.title")).alias("title"), F.coalesce("r.year", F.lit(0)).alias("year"))

@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from evidentia.functions.text import cache_key
 from evidentia.operators import graph, symbolic, tree
 from evidentia.sources import papers, readers
 
@@ -32,6 +35,18 @@ def test_links_of_papers(spark):
     assert [tuple(r) for r in rows] == [("p", 0, "a", "", 1), ("p", 1, "b", "t", 0)]
 
 
+def test_recommendations_from_the_cache(spark):
+    many = json.dumps({"papers": [{"paperId": f"r{i}"} for i in range(30)] + [None, {}]})
+    stored = spark.createDataFrame([("p:20", many), ("p:2", many), ("q:3", "{broken"), ("s:-1", many)], "query string, body string")
+    cache = stored.select(cache_key(F.lit("related"), "query").alias("key"), "body")
+    asked = spark.createDataFrame([("p", None), ("p", 20), ("p", 2), ("q", 3), ("r", 1), ("s", -1), (None, 1)], "paper_id string, `limit` int")
+    rows = papers.recommendations(asked, cache).collect()
+    assert sorted((r.paper_id, r.nth, r.linked_id, r.title, r.year) for r in rows) == sorted(
+        [("p", i, f"r{i}", "", 0) for i in range(20)] + [("p", i, f"r{i}", "", 0) for i in range(2)])
+    assert papers.recommendations(asked, cache, most=1).count() == 2
+    assert papers.recommendations(asked.limit(0), cache).isEmpty()
+
+
 def test_search_and_expand(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 5), (3, 1), (6, 1), (9, 2), (1, 2)], "src int, dst int")
     found = spark.createDataFrame([(1, 1), (9, 2), (1, 3), (None, 0)], "node int, rank int")
