@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NARROW, TEXTS, broadcast_if_small, give_back, linked_parts, parity, shuffle_width, spread_join, stored
-from .shingles import U, mixed, set_key, shingle_set, word_shingles, words_key
+from .shingles import U, mixed, set_key, shingle_sets, word_shingles, words_key
 
 #: A token in so many sets is frequent; raised until the table of frequent tokens has at most MOST_FREQUENT rows.
 FREQUENT = 10
@@ -95,9 +95,9 @@ def unpacked(x: bytes) -> np.ndarray:
     return planes.view("<u8")[:, 0].astype(U)
 
 
-def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.ndarray]) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[Iterable[str]], Iterator[np.ndarray]]) -> np.ndarray:
     """The leading bits of tokens that FREQUENT or more sets hold, sorted; exact over all texts (equal sets in a run count once); make: the
-    set of a text, as sorted distinct hashes.
+    sets of texts, as sorted distinct hashes.
 
     A task sorts the tokens of a run of sets and sends, for each range of token values, the differences and counts:
     about 3 bytes a token. A range is counted by one task; there are at least four ranges a shuffle partition. Only the order of
@@ -112,8 +112,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
 
         def run():
             token = np.concatenate(sets)
-            token >>= drop  # in place, as is the sort: the run is the most that a worker holds
-            token.sort()
+            token.sort()  # in place: the run is the most that a worker holds
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             token, n = token[first], np.diff(np.append(first, len(token)))
             at = (token // U(step)).astype(np.int64)
@@ -122,11 +121,10 @@ def frequent_tokens(docs: DataFrame, text_col: str, make: Callable[[str], np.nda
             return pd.DataFrame(rows, columns=["part", "first", "gaps", "counts"])
 
         for batch in batches:
-            for text in batch[text_col]:
-                tokens = make(text)
+            for tokens in make(batch[text_col]):
                 if len(tokens) and (key := set_key(tokens)) not in seen:
                     seen.add(key)
-                    sets.append(tokens)
+                    sets.append(tokens >> drop)
                     held += len(tokens)
                 if held >= RUN:
                     yield run()
@@ -165,11 +163,10 @@ def _verified(k: int):
         head, own, tokens, shingles = None, None, np.zeros(0, U), None
         for batch in batches:
             found = []
-            for a, b, text in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text"]):
+            for a, b, text, other in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text"], shingle_sets(batch["text"], k)):
                 if b < 0:
-                    head, own, tokens, shingles = a, text, shingle_set(text, k), None
+                    head, own, tokens, shingles = a, text, other, None
                 elif a == head:
-                    other = shingle_set(text, k)
                     if _similar(len(np.intersect1d(tokens, other, assume_unique=True)), len(tokens), len(other)):
                         shingles = word_shingles(own, k) if shingles is None else shingles
                         theirs = word_shingles(text, k)
@@ -186,13 +183,13 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFra
     """(id, th, n, part) of the rows with words, th the text's hash and part the component's number; (id, th, n) of the others."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    frequent = frequent_tokens(docs, "text", lambda text: shingle_set(text, k))
+    frequent = frequent_tokens(docs, "text", lambda texts: shingle_sets(texts, k))
     sent = spark.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT rows
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = sent.value
         for batch in batches:
-            sets = [shingle_set(t, k) for t in batch["text"]]
+            sets = list(shingle_sets(batch["text"], k))
             yield pd.DataFrame({
                 "id": batch["id"], "n": [len(s) for s in sets], "key": [words_key(t) for t in batch["text"]], "bits": [parity(s) for s in sets], "th": batch["th"],
                 "sigs": [signatures(s, frequent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
