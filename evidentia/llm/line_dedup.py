@@ -12,14 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, TEXTS, broadcast_if_small, linked_parts, parity, shuffle_width, spread_join, stored
+from .common import NARROW, TEXTS, broadcast_if_small, give_back, linked_parts, parity, shuffle_width, spread_join, stored
 from .shingles import mixed
 
 #: Characters of a shingle; bands and rows of a signature; pairs of one line that a task verifies together; characters
 #: whose shingles are in memory at a time; lines that a task remembers so as not to send them again; bits of a bitmap a
 #: shingle.
 CHARS, BANDS, ROWS, MEET, STRETCH, REMEMBER, SPREAD = 10, 12, 4, 256, 1 << 19, 200_000, 2
+#: Signatures that a task sorts into ranges at a time; signatures among which a task looks for lone ones.
+RUN, MOST = 1 << 18, 4_000_000
 U32, U64 = np.uint32, np.uint64
+#: A line's number, size and signatures; one signature of a line.
+SIGNED = np.dtype([("rep", "<i8"), ("n", "<i4"), ("sigs", "<u8", (BANDS,))])
+POSTING = np.dtype([("sig", "<u8"), ("rep", "<i8"), ("n", "<i4")])
 _seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(U32) | U32(1)
 _blank, _odd = re.compile(r"[\x20\x09-\x0D]+"), ("  ", "\t", "\x0b", "\x0c", "\r")
 
@@ -67,14 +72,27 @@ def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def shingle_set(line: str) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a normal line's shingles."""
-    line = line if len(line) >= CHARS else line + "\0" * (CHARS - len(line))
-    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), U32).astype(U64)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """For each normal line the sorted distinct 64-bit hashes of its shingles; the sets share an array."""
+    short = [x if len(x) >= CHARS else x + "\0" * (CHARS - len(x)) for x in lines]
+    code = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), U32)
+    end = np.cumsum(np.fromiter(map(len, short), np.int64, len(short)))
+    first = np.append(0, end[:-1])
     h = np.zeros(len(code) - CHARS + 1, U64)
     for i in range(CHARS):
-        h = h * U64(0x9E3779B97F4A7C15) + code[i : len(code) - CHARS + 1 + i]
-    return np.unique(mixed(h))
+        h *= U64(0x9E3779B97F4A7C15)
+        h += code[i : len(code) - CHARS + 1 + i]
+    h = mixed(h)
+    new = np.zeros(len(h) + 1, np.bool_)  # shingles over the border of two lines stay out
+    for a, b in zip(first.tolist(), (end - CHARS + 1).tolist()):
+        h[a:b].sort()
+        new[a:b] = True
+    new[1:-1] &= h[1:] != h[:-1]
+    new[first] = True
+    new = new[:-1]
+    before = np.append(0, np.cumsum(new))
+    h = h[new]
+    return [h[a:b] for a, b in zip(before[first].tolist(), before[end - CHARS + 1].tolist())]
 
 
 def shingle_strings(line: str) -> set[str]:
@@ -87,16 +105,45 @@ def similar(x: set[str], y: set[str]) -> bool:
     return 100 * both >= 80 * (len(x) + len(y) - both)
 
 
-def _sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """bands() of any number of lines, a stretch at a time."""
-    found, at = [], 0
+def _common(x: str, y: str) -> int:
+    """With how many same characters two strings begin."""
+    least, most = 0, min(len(x), len(y))
+    while least < most:
+        mid = (least + most + 1) // 2
+        if x[least:mid] == y[least:mid]:
+            least = mid
+        else:
+            most = mid - 1
+    return least
+
+
+def surely_similar(x: str, n: int, y: str) -> bool:
+    """Whether what two normal lines begin and end with alike makes them similar(), without all their shingles; False leaves it open.
+    n: at most as many shingles as x has. Those that lie within the common ends are shared, so at most the others are one line's alone."""
+    begin = _common(x, y)
+    low = max(0, begin - CHARS + 1)
+    high = max(0, _common(x[begin:][::-1], y[begin:][::-1]) - CHARS + 1)
+    if 2 * (low + high) < n:
+        return False
+    from_x, from_y = ({z[i : i + CHARS] for i in range(low, max(1, len(z) - CHARS + 1) - high)} for z in (x, y))
+    return 100 * (n - len(from_x - from_y)) >= 80 * (n + len(from_y - from_x))
+
+
+def _stretches(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in stretches of about STRETCH characters."""
+    at = 0
     while at < len(lines):
         end, held = at, 0
         while end < len(lines) and held < STRETCH:
             held += len(lines[end]) + CHARS
             end += 1
-        found.append(bands(lines[at:end]))
+        yield lines[at:end]
         at = end
+
+
+def _sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """bands() of any number of lines, a stretch at a time."""
+    found = [bands(some) for some in _stretches(lines)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -104,19 +151,18 @@ def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
-READ = "struct<line: array<long>, signed: array<struct<rep: long, n: int, sigs: array<long>>>>"
+READ = "struct<line: array<long>, signed: binary>"
 
 
 def _read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The numbers of a text's lines (null for those without visible characters), and of those that this task hasn't met, or
-    not lately, the signatures."""
+    not lately, the signatures (SIGNED)."""
     seen: set[int] = set()
     for texts in batches:
-        numbers, counts, new, new_counts, lines = [], [], [], [], []
+        numbers, counts, new, ends, lines = [], [], [], [0], []
         for text in texts:
             found = normal_lines(text.as_py() or "")
             counts.append(len(found))
-            before = len(new)
             for line in found:
                 n = number(line) if line else None
                 numbers.append(n)
@@ -124,32 +170,107 @@ def _read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                     seen.add(n)
                     new.append(n)
                     lines.append(line)
-            new_counts.append(len(new) - before)
+            ends.append(len(new))
         if len(seen) > REMEMBER:
             seen.clear()
-        sigs, sizes = _sign(lines) if lines else (np.zeros((0, BANDS), U64), np.zeros(0, np.int64))
-        of_line = _lists(pa.array(sigs.view(np.int64).ravel(), pa.int64()), [BANDS] * len(lines))
-        signed = pa.StructArray.from_arrays([pa.array(new, pa.int64()), pa.array(sizes, pa.int32()), of_line], ["rep", "n", "sigs"])
-        yield pa.StructArray.from_arrays([_lists(pa.array(numbers, pa.int64()), counts), _lists(signed, new_counts)], ["line", "signed"])
+        table = np.zeros(len(lines), SIGNED)
+        if lines:
+            table["rep"] = new
+            table["sigs"], table["n"] = _sign(lines)
+        signed = pa.array([table[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        yield pa.StructArray.from_arrays([_lists(pa.array(numbers, pa.int64()), counts), signed], ["line", "signed"])
+
+
+def _ranges(width: int):
+    """Rows (signed): their signatures in runs, sorted into `width` ranges of values."""
+
+    def run(tables: list[np.ndarray]) -> pd.DataFrame:
+        table = np.concatenate(tables)
+        posts = np.zeros(len(table) * BANDS, POSTING)
+        posts["sig"], posts["rep"], posts["n"] = table["sigs"].ravel(), np.repeat(table["rep"], BANDS), np.repeat(table["n"], BANDS)
+        part = ((posts["sig"] >> U64(32)) * U64(width) >> U64(32)).astype(np.uint16 if width <= 1 << 16 else np.int32)  # short ones sort fast
+        order = np.argsort(part, kind="stable")
+        part, posts = part[order], posts[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        return pd.DataFrame({"part": part[first].astype(np.int32), "posts": [x.tobytes() for x in np.split(posts, first[1:])]})
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, held = [], 0
+        for batch in batches:
+            tables.append(np.frombuffer(b"".join(batch["signed"]), SIGNED))
+            held += len(tables[-1]) * BANDS
+            if held >= RUN:
+                yield run(tables)
+                tables, held = [], 0
+        if held:
+            yield run(tables)
+
+    return runs
+
+
+def _rows(posts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"sig": posts["sig"].astype(np.int64), "rep": posts["rep"], "n": posts["n"]})
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of whole ranges the signatures that two lines or more have. A task that gets more than MOST passes all on, as before
+    it knows all it can't tell lone ones."""
+    pieces, held = [], 0
+    for batch in batches:
+        found = [np.frombuffer(x, POSTING) for x in batch["posts"]]
+        pieces += found
+        held += sum(map(len, found))
+        if held > MOST:
+            yield from map(_rows, pieces)
+            pieces = []
+    if pieces and held <= MOST:
+        posts = np.concatenate(pieces)
+        pieces = []
+        sig = np.ascontiguousarray(posts["sig"])
+        order = np.argsort(sig)
+        posts = posts[order[_shared(sig[order])]]
+        posts = posts[np.lexsort((posts["rep"], posts["sig"]))]
+        posts = posts[np.append(True, (posts["sig"][1:] != posts["sig"][:-1]) | (posts["rep"][1:] != posts["rep"][:-1]))[: len(posts)]]
+        yield _rows(posts[_shared(posts["sig"])])
+    give_back()
+
+
+def _shared(values: np.ndarray) -> np.ndarray:
+    """Which of these sorted values occur more than once."""
+    same = values[1:] == values[:-1]
+    return (np.append(False, same) | np.append(same, False))[: len(values)]
+
+
+def postings_of(signed: DataFrame) -> DataFrame:
+    """(sig, rep, n) of the lines in signed (SIGNED), without most signatures that only one line has: few others are left, so
+    it is a pass over sorted numbers, not rows, that goes through all of them."""
+    width = shuffle_width(signed.sparkSession)
+    sent = signed.mapInPandas(_ranges(4 * width), "part int, posts binary").repartition(width, "part")
+    return stored(sent.select("posts").mapInPandas(_met, "sig long, rep long, n int"), "postings", batch=TEXTS)
 
 
 def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingle_set(normal_lines(text)[0]) for text in batch["text"]]
+        sets = [x for some in _stretches([normal_lines(text)[0] for text in batch["text"]]) for x in shingle_sets(some)]
         yield pd.DataFrame({"rep": batch["line"], "n": [len(s) for s in sets], "bits": [parity(s, SPREAD) for s in sets]})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (a, own, b, text) sorted so that line a itself comes first: exact Jaccard of the shingles as strings."""
-    head, held = None, set()
+    """Rows (a, own, b, text) sorted so that line a itself comes first: exact Jaccard of the shingles as strings, or a bound that decides it.
+    Distinct hashes are at most as many as distinct shingles, so their number will do for the bound."""
+    head, first, n, held = None, "", 0, None
     for batch in batches:
         found = []
-        for a, own, b, text in zip(batch["a"].tolist(), batch["own"].tolist(), batch["b"].tolist(), batch["text"]):
-            line = normal_lines(text)[0]
+        lines = [normal_lines(text)[0] for text in batch["text"]]
+        sizes = iter([len(x) for some in _stretches([x for x, own in zip(lines, batch["own"]) if own]) for x in shingle_sets(some)])
+        for a, own, b, line in zip(batch["a"].tolist(), batch["own"].tolist(), batch["b"].tolist(), lines):
             if own:
-                head, held = a, shingle_strings(line)
-            elif a == head and similar(held, shingle_strings(line)):
-                found.append((a, b))
+                head, first, n, held = a, line, next(sizes), None
+            elif a == head:
+                if not (sure := surely_similar(first, n, line)):
+                    held = shingle_strings(first) if held is None else held
+                if sure or similar(held, shingle_strings(line)):
+                    found.append((a, b))
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
@@ -171,7 +292,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     read = stored(docs.withColumn("read", F.arrow_udf(_read, READ)("text")).select("id", "th", "read.line", "read.signed"), "read", batch=TEXTS)
     places = read.select("id", "th", F.posexplode("line").alias("nth", "line")).where("line IS NOT NULL")
-    postings = read.select(F.explode("signed").alias("s")).select(F.explode("s.sigs").alias("sig"), "s.rep", "s.n")
     owners = places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at"))
     texts: list[DataFrame] = []
 
@@ -195,7 +315,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         there = there.repartition(shuffle_width(spark), "a", "part").sortWithinPartitions("a", "part", "rest")
         return stored(there.select("a", (F.col("rest") == 0).alias("own"), "b", "text").mapInPandas(_verified, "a long, b long"), "links")
 
-    parts = linked_parts(postings, marks, links)
+    parts = linked_parts(postings_of(read.select("signed")), marks, links)
     parts = broadcast_if_small(parts.withColumnRenamed("node", "line"), NARROW)
     placed = places.join(parts, "line", "left").select("id", "th", "nth", F.coalesce("component", "line").alias("part"))
     stays = placed.groupBy("part").agg(F.min(F.struct("id", "th", "nth")).alias("first"), F.count("*").alias("n"))
@@ -204,7 +324,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if gone.agg(F.coalesce(F.sum(F.size("drop") + 3), F.lit(0)).alias("n")).first()["n"] <= NARROW:  # numbers, not rows
         gone = F.broadcast(gone)
     lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.coalesce(F.array_contains("drop", i), F.lit(False)), x)), lambda x: x.isNotNull())
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("drop", i))
     return docs.join(gone, docs["id"].eqNullSafe(gone["g_id"]) & (docs["th"] == gone["g_th"]), "left").select(
         F.col("id").alias(id_col), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
