@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, TEXTS, broadcast_if_small, give_back, linked_parts, parity, shuffle_width, spread_join, stored
+from .common import NARROW, TEXTS, broadcast_if_small, give_back, is_small, linked_parts, parity, shuffle_width, spread_join, stored
 from .shingles import mixed
 
 #: Characters of a shingle; bands and rows of a signature; pairs of one line that a task verifies together; characters
@@ -292,12 +292,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     read = stored(docs.withColumn("read", F.arrow_udf(_read, READ)("text")).select("id", "th", "read.line", "read.signed"), "read", batch=TEXTS)
     places = read.select("id", "th", F.posexplode("line").alias("nth", "line")).where("line IS NOT NULL")
-    owners = places.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at"))
     texts: list[DataFrame] = []
 
     def marks(reps: DataFrame) -> DataFrame:
         """Sizes and bitmaps of lines; their texts are fetched once, each from the document that owns it, and kept for links()."""
-        wanted = owners.join(reps.withColumnRenamed("rep", "line"), "line", "left_semi")
+        reps = stored(reps.withColumnRenamed("rep", "line"), "reps")
+        few = is_small(reps, NARROW)  # else a common line's places are better summed up before they meet
+        own = places.join(F.broadcast(reps), "line", "left_semi") if few else places
+        wanted = own.groupBy("line").agg(F.min(F.struct("id", "th", "nth")).alias("at"))
+        wanted = wanted if few else wanted.join(reps, "line", "left_semi")
         wanted = stored(wanted.select("line", F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th"), F.col("at.nth").alias("w_nth")), "wanted")
         some = broadcast_if_small(stored(wanted.select("w_id", "w_th").distinct(), "some"), NARROW)
         cut = docs.join(some, docs["id"].eqNullSafe(some["w_id"]) & (docs["th"] == some["w_th"]), "left_semi")
@@ -324,8 +327,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if gone.agg(F.coalesce(F.sum(F.size("drop") + 3), F.lit(0)).alias("n")).first()["n"] <= NARROW:  # numbers, not rows
         gone = F.broadcast(gone)
     lines = F.split("text", "\n", -1)
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     kept = F.filter(lines, lambda _, i: ~F.array_contains("drop", i))
     return docs.join(gone, docs["id"].eqNullSafe(gone["g_id"]) & (docs["th"] == gone["g_th"]), "left").select(
-        F.col("id").alias(id_col), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"),
+        F.col("id").alias(id_col), F.coalesce(ends + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )

@@ -61,3 +61,17 @@ def test_too_many_signatures_for_a_task(monkeypatch):
         met = pd.concat(line_dedup._met(ranges.iloc[i : i + 5] for i in range(0, len(ranges), 5)))
         assert set(zip(met["sig"], met["rep"])) == want and set(met["n"]) == {7}
     assert not list(line_dedup._ranges(8)(iter([]))) and not list(line_dedup._met(iter([])))
+
+
+def test_many_and_few_lines_with_company(spark, monkeypatch):
+    """Whether lines that meet others are few enough to broadcast changes nothing; places of other lines aren't looked for if so."""
+    rng = random.Random(14)
+    lines = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(30)]
+    texts = [(i, f"{lines[i]}\n\n{lines[i % 4]}z\n") for i in range(30)] + [(30, None), (31, ""), (32, "\n")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = []
+    for few in (True, False):
+        monkeypatch.setattr(line_dedup, "is_small", lambda *_, few=few: few)
+        found.append(sorted(line_dedup.dedup_lines(df).collect()))
+    assert found[0] == found[1]
+    assert [r["n_lines"] for r in found[0]] == [4] * 30 + [0, 1, 2] and [r["n_dropped"] for r in found[0]] == [1] * 30 + [0, 0, 0]
