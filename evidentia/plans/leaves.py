@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import node_quality
 from ..functions.text import col, query_terms, sentences, words
-from ..functions.vectors import dot, let
+from ..functions.vectors import let
 from ..operators import attribution, retrieval
 from ..operators.storage import saved
 from .models import HashEmbedder, lexical_score
@@ -35,10 +35,14 @@ def leaf_queries(leaves: DataFrame, embedder=None) -> DataFrame:
 
 def leaf_evidence(queries: DataFrame, index: DataFrame, k: int = 8, over: int = 2, scorer=lexical_score, tie: str = "chunk_id") -> DataFrame:
     """(node_id, title, query, document_id, chunk_ord, text, rank): the k best chunks of each leaf by vector, or, with a scorer, the
-    k that it puts first among the `over` times k best, earlier ones first on ties; equal vectors in the order of `tie`. All leaves are one join with the index."""
+    k that it puts first among the `over` times k best, earlier ones first on ties; equal vectors in the order of `tie`. All leaves meet the
+    index by blocks of vectors (retrieval.nearest); texts, told apart by a digest where ids repeat, are joined with what is found."""
     slim = queries.select(F.col("node_id").alias("query_id"), "q_vec")
-    scored = retrieval.score_all(slim, index, measure=lambda a, b: F.round(dot(a, b), 6))
-    found = retrieval.top_k(scored, over * k if scorer else k, tie=tie).select(F.col("query_id").alias("node_id"), "document_id", "chunk_ord", "text", "rank")
+    named = index.withColumn("chunk", F.struct("document_id", "chunk_ord", F.md5(F.col("text").cast("binary")).alias("digest")))
+    found = retrieval.nearest(slim, named, over * k if scorer else k, tie, ["chunk"])
+    found = saved(found.select(F.col("query_id").alias("node_id"), "chunk", "rank"), "found")
+    texts = retrieval.among(named.select("chunk", "text"), found, "chunk").dropDuplicates(["chunk"])
+    found = found.join(texts, "chunk").select("node_id", "chunk.document_id", "chunk.chunk_ord", "text", "rank")
     found = found.join(queries.drop("q_vec"), "node_id")
     if not scorer:
         return found
@@ -112,7 +116,7 @@ def process_leaves(
     queries = saved(leaf_queries(leaves, embedder), "leaf_queries")
     evidence = saved(leaf_evidence(queries, index, k, scorer=scorer, tie=tie), "leaf_evidence")
     found = saved(leaf_facts(evidence, per_leaf), "leaf_facts")
-    used = index.join(found.select(F.col("source_doc").alias("document_id")).distinct(), "document_id", "left_semi")
+    used = retrieval.among(index.select("document_id", "chunk_ord", "text"), found.select(F.col("source_doc").alias("document_id")), "document_id")
     facts = saved(attribution.verify_facts(found, retrieval.source_texts(used, (1 << 31) - 1), least=least), "facts")
     drafted = draft_leaves(leaves, facts, most, penalty)
     quality = node_quality("n_facts", F.char_length("draft"), "n_citations")
