@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from evidentia.functions.vectors import dot
 from evidentia.operators import retrieval
 from evidentia.plans import leaves, reports
@@ -36,3 +37,11 @@ def test_drafts_rank_chunks_without_their_texts(spark, monkeypatch):
     assert ranked and not any("text" in columns for columns in ranked)
     assert got.nodes.where("n_facts > 0").count() == 2 and got.evidence.groupBy("node_id").count().collect()[0]["count"] == 3
     assert got.evidence.where(~F.contains("text", F.lit("encoder"))).isEmpty()
+
+
+def test_leaf_facts_of_more_leaves_than_were_allowed(spark, tmp_path):
+    spark.createDataFrame([(i, "encoder retrieval" if i % 2 else "accuracy") for i in range(10_001)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, f"The encoder number {i} is used for retrieval. It reaches an accuracy of {i} points.") for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["leaf_facts"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.groupBy("score").agg(F.countDistinct("node_id").alias("n"), F.count("*").alias("rows")).orderBy("n").collect()] == [(1.0, 10_001, 30_003)]
