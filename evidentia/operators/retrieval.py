@@ -14,7 +14,7 @@ from ..functions.scores import KEYWORDS, primary_tag
 from ..functions.vectors import cosine, dot
 
 #: Queries and rows of a block of the exact search; scores that are held at once; keys up to which a table is narrowed by a broadcast.
-QUERIES, ROWS, CELLS, FEW = 4096, 16384, 1 << 22, 100_000
+QUERIES, ROWS, CELLS, FEW = 16384, 32768, 1 << 22, 100_000
 
 
 def chunks(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", size: int = 1000, overlap: int = 100) -> DataFrame:

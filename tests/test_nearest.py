@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,29 @@ def test_leaf_facts_of_more_leaves_than_were_allowed(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = __spark_entry__.queries()["leaf_facts"](spark, str(tmp_path))
     assert [tuple(r) for r in got.groupBy("score").agg(F.countDistinct("node_id").alias("n"), F.count("*").alias("rows")).orderBy("n").collect()] == [(1.0, 10_001, 30_003)]
+
+
+@pytest.fixture(scope="module")
+def many_queries(spark, tmp_path_factory):
+    """Vectors of which more than 10,000 are queries, the folder that has them."""
+    path = str(tmp_path_factory.mktemp("vectors"))
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-8, 9, (10_001, 3)) / 8
+    rows = [(50 * i, v.tolist(), int(i % 5)) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    return path, vectors
+
+
+def first(vectors, i, k):
+    """Places of the k nearest to i by brute force, and their scores; exact, as components are eighths."""
+    scores = np.round(vectors @ vectors[i], 6)
+    order = np.lexsort((np.arange(len(vectors)), -scores))
+    order = order[order != i][:k]
+    return order, scores[order]
+
+
+def test_dense_topk_of_many_queries(spark, many_queries):
+    path, vectors = many_queries
+    got = __spark_entry__.queries()["dense_topk"](spark, path).where("query_id IN (0, 50, 250000, 500000)").collect()
+    want = {(50 * i, 50 * int(j), float(s), n + 1) for i in (0, 1, 5000, 10_000) for n, (j, s) in enumerate(zip(*first(vectors, i, 10)))}
+    assert {(r["query_id"], r["vec_id"], round(r["score"], 5), r["rank"]) for r in got} == {(q, v, round(s, 5), n) for q, v, s, n in want} and len(got) == 40
