@@ -72,3 +72,13 @@ def test_dense_topk_of_many_queries(spark, many_queries):
     got = __spark_entry__.queries()["dense_topk"](spark, path).where("query_id IN (0, 50, 250000, 500000)").collect()
     want = {(50 * i, 50 * int(j), float(s), n + 1) for i in (0, 1, 5000, 10_000) for n, (j, s) in enumerate(zip(*first(vectors, i, 10)))}
     assert {(r["query_id"], r["vec_id"], round(r["score"], 5), r["rank"]) for r in got} == {(q, v, round(s, 5), n) for q, v, s, n in want} and len(got) == 40
+
+
+def test_candidates_of_many_queries(spark, many_queries):
+    path, vectors = many_queries
+    got = {(r["query_id"], r["label"]): (r["vec_id"], r["rank"]) for r in __spark_entry__.queries()["candidate_docs"](spark, path).where("query_id IN (0, 50, 250000, 500000)").collect()}
+    want = {}
+    for i in (0, 1, 5000, 10_000):
+        for n, j in enumerate(first(vectors, i, 50)[0]):
+            want.setdefault((50 * i, int(j) % 5), (50 * int(j), n + 1))
+    assert got == want
