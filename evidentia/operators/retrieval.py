@@ -177,7 +177,11 @@ def among(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def over_fetch(scored: DataFrame, k: int, keep: Column, query_col: str = "query_id", tie: str = "chunk_ord") -> DataFrame:
     """The first k of the 2k best that satisfy keep: may be fewer than k, the filter comes after the fetch."""
-    kept = top_k(scored, 2 * k, query_col, tie).where(keep)
+    return ranked_again(top_k(scored, 2 * k, query_col, tie).where(keep), k, query_col)
+
+
+def ranked_again(kept: DataFrame, k: int, query_col: str = "query_id") -> DataFrame:
+    """The first k of what a filter left of ranked rows, ranked from 1."""
     again = Window.partitionBy(query_col).orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
 
@@ -205,4 +209,4 @@ def first_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.min_by("text", "chunk_ord").alias("text"), F.count("*").alias("n_chunks"))
 
 
-__all__ = ["among", "candidates", "chunks", "cosine", "first_chunks", "nearest", "over_fetch", "rerank", "score_all", "source_texts", "top_k"]
+__all__ = ["among", "candidates", "chunks", "cosine", "first_chunks", "nearest", "over_fetch", "ranked_again", "rerank", "score_all", "source_texts", "top_k"]

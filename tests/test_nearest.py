@@ -82,3 +82,10 @@ def test_candidates_of_many_queries(spark, many_queries):
         for n, j in enumerate(first(vectors, i, 50)[0]):
             want.setdefault((50 * i, int(j) % 5), (50 * int(j), n + 1))
     assert got == want
+
+
+def test_topk_section_filter_of_many_queries(spark, many_queries):
+    path, vectors = many_queries
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in __spark_entry__.queries()["topk_section_filter"](spark, path).where("query_id IN (0, 50, 250000, 500000)").collect()}
+    want = {(50 * i, n + 1): 50 * int(j) for i in (0, 1, 5000, 10_000) for n, j in enumerate([j for j in first(vectors, i, 20)[0] if j % 5 < 3][:10])}
+    assert got == want
