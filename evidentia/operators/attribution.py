@@ -2,51 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import decision
 from ..functions.text import STOP_WORDS, citation_ids, has_citation, numbers, sentences, strip, words
 from .postings import supporting
-from .postings import tokens as _tokens
 from .storage import saved
 
 
-#: Facts of one source that are looked for in its text in one row.
-TOGETHER = 1000
+#: Facts of one source that are looked for in its text in one row; rows over which facts without a source are dealt; sources of more than
+#: TOGETHER facts up to which their numbers of rows are broadcast.
+TOGETHER, NOWHERE, FEW = 1000, 1000, 100_000
 
 
 def verify_facts(facts: DataFrame, sources: DataFrame, model_score: str | None = None, least: float = 0.7) -> DataFrame:
     """facts (source_doc, text, ...) with verified, confidence and method against sources (document_id, source_text); a fact
     whose source is missing stays unverified. model_score: a column with a model's support, used where the local one is below 0.9.
 
-    A source's words and numbers are taken once, those of its facts meet them by a join on (document, word) and are counted. Only
-    facts that lack two words at most (the first and last may be parts of longer ones) can stand in the text as a whole: they are
-    looked for there, TOGETHER of them a row, so that neither a text nor its words are copied to every fact."""
+    A source's facts meet its text in one row, TOGETHER of them (more are dealt by hashes over several), so that neither a text nor its
+    words are copied to every fact and no word is moved by itself. Of the words of all these facts those that the source lacks are
+    found at once; a fact's own are counted against these."""
     width = facts.columns
-    facts = saved(facts.withColumn("evidentia_fact", F.monotonically_increasing_id()), "facts")
-    texts = sources.select(F.col("document_id").alias("doc"), F.lower(F.coalesce("source_text", F.lit(""))).alias("low"), F.coalesce("source_text", F.lit("")).alias("whole"))
-    low = strip(F.lower(F.coalesce("text", F.lit(""))))
-    mine = F.array_except(F.array_distinct(words(low)), F.array(*map(F.lit, STOP_WORDS)))
-    told = facts.select("evidentia_fact", F.col("source_doc").alias("doc"), low.alias("fact"), mine.alias("w"), numbers(F.coalesce("text", F.lit(""))).alias("n"))
-    have = texts.select("doc", F.explode(_tokens(F.array_distinct(words("low")), numbers("whole"))).alias("token"))
-    asked = told.select("doc", "evidentia_fact", F.explode(_tokens("w", "n")).alias("token"))
-    met = asked.join(have, ["doc", "token"]).groupBy("evidentia_fact").agg(F.count_if(F.startswith("token", F.lit("w"))).alias("found_w"), F.count("*").alias("found"))
-    told = told.join(met, "evidentia_fact", "left").withColumn("found_w", F.coalesce("found_w", F.lit(0))).withColumn("found", F.coalesce("found", F.lit(0)))
-    told = saved(told.select("evidentia_fact", "doc", "fact", F.size("w").alias("n_w"), F.size("n").alias("n_n"), "found_w", (F.col("found") - F.col("found_w")).alias("found_n")), "found")
-    near = told.where((F.col("fact") != "") & (F.col("n_w") - F.col("found_w") <= 2))
-    parts = near.groupBy("doc").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    groups = near.join(parts, "doc").groupBy("doc", F.pmod(F.xxhash64("evidentia_fact"), "parts").alias("part")).agg(F.collect_list(F.struct("evidentia_fact", "fact")).alias("facts"))
-    inside = groups.join(texts.select("doc", "low"), "doc").select(F.explode(F.filter("facts", lambda f: F.contains("low", f["fact"]))["evidentia_fact"]).alias("evidentia_fact"))
-    there = texts.where("whole <> ''").select("doc", F.lit(True).alias("known"))
-    scored = told.join(inside.withColumn("whole", F.lit(True)), "evidentia_fact", "left").join(there, "doc", "left")
-    share = F.col("found_w") / F.col("n_w")
-    part = F.when(F.col("n_n") > 0, share * 0.5 + F.col("found_n") / F.col("n_n") * 0.5).otherwise(share)
-    known = F.coalesce("known", F.lit(False))
-    local = F.when(F.col("whole") | (known & (F.col("fact") == "")), 1.0).when(F.col("n_w") == 0, 0.0).otherwise(F.least(F.lit(1.0), part))
-    scored = scored.select("evidentia_fact", known.alias("evidentia_known"), F.coalesce(local, F.lit(0.0)).alias("evidentia_local"))
-    v = decision(F.coalesce("text", F.lit("")) == "", ~F.col("evidentia_known"), "evidentia_local", model_score, least)
-    return facts.join(scored, "evidentia_fact").withColumn("evidentia_v", v).select(*width, *[F.col("evidentia_v")[c].alias(c) for c in ("verified", "confidence", "method")])
+    mixed = F.xxhash64(*[c for c, kind in facts.dtypes if "map<" not in kind and kind != "variant"])
+    named = facts.select(F.col("source_doc").alias("doc"), F.struct(*width).alias("row"), mixed.alias("mixed"))
+    heavy = named.where("doc IS NOT NULL").groupBy("doc").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1")
+    heavy = saved(heavy, "heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= FEW else heavy
+    part = F.pmod("mixed", F.when(F.col("doc").isNull(), F.lit(NOWHERE)).otherwise(F.coalesce("parts", F.lit(1)))).cast("int").alias("part")
+    held = named.join(heavy, "doc", "left").groupBy("doc", part).agg(F.collect_list("row").alias("rows"))
+    texts = sources.select(F.col("document_id").alias("doc"), F.coalesce("source_text", F.lit("")).alias("whole")).join(heavy, "doc", "left")
+    texts = texts.select("doc", "whole", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    text = lambda r: F.coalesce(r["text"], F.lit(""))
+    both = held.join(texts, ["doc", "part"], "left").select(F.coalesce("whole", F.lit("")).alias("whole"), F.transform("rows", lambda r: F.struct(r.alias("row"), strip(F.lower(text(r))).alias("fact"))).alias("facts"))
+    mine = lambda f: F.array_except(F.array_distinct(words(f["fact"])), F.array(*map(F.lit, STOP_WORDS)))
+    cut = F.transform("facts", lambda f: F.struct(f["row"].alias("row"), f["fact"].alias("fact"), mine(f).alias("w"), numbers(text(f["row"])).alias("n")))
+    both = both.select("whole", F.lower("whole").alias("low"), cut.alias("facts"))
+    lacking = lambda c, there: F.array_except(F.flatten(F.transform("facts", lambda f: f[c])), there)
+    both = both.select("whole", "low", "facts", lacking("w", words("low")).alias("no_w"), lacking("n", numbers("whole")).alias("no_n"))
+    known = F.col("whole") != ""
+
+    def support(f: Column) -> Column:
+        share = lambda c: (F.size(f[c]) - F.size(F.array_intersect(f[c], F.col(f"no_{c}")))) / F.size(f[c])
+        part = F.when(F.size(f["n"]) > 0, share("w") * 0.5 + share("n") * 0.5).otherwise(share("w"))
+        inside = known & F.contains("low", f["fact"])
+        return F.struct(f["row"].alias("row"), known.alias("known"), F.when(inside, 1.0).when(F.size(f["w"]) == 0, 0.0).otherwise(F.least(F.lit(1.0), part)).alias("local"))
+
+    scored = both.select(F.explode(F.transform("facts", support)).alias("f")).select("f.row.*", F.col("f.known").alias("evidentia_known"), F.col("f.local").alias("evidentia_local"))
+    v = decision(F.coalesce("text", F.lit("")) == "", ~F.col("evidentia_known"), F.coalesce("evidentia_local", F.lit(0.0)), model_score, least)
+    return scored.withColumn("evidentia_v", v).select(*width, *[F.col("evidentia_v")[c].alias(c) for c in ("verified", "confidence", "method")])
 
 
 def attribute(docs: DataFrame, passages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
