@@ -27,3 +27,9 @@ def test_verify_decision_writes_no_facts(spark, folder, written):
     got = {r["fact_id"]: (r["verified"], r["method"]) for r in __spark_entry__.queries()["verify_decision"](spark, folder).collect()}
     assert len(got) == 1506 and got["1:0"] == got["1:1499"] == got["2:1"] == (True, "local_exact") and got["4:0"] == got["8:0"] == (False, "none")
     assert written == [(1, ["doc", "parts"])]  # the one document of more facts than a row takes
+
+
+def test_report_stats_writes_no_facts(spark, folder, written):
+    got = {r["doc_id"]: r["verification_rate"] for r in __spark_entry__.queries()["report_stats"](spark, folder).collect()}
+    assert got == {1: "1500/1500 = 100%", 2: "2/2 = 100%", 4: "0/2 = 0%", 8: "0/1 = 0%", 9: "0/1 = 0%"}
+    assert written == [(1, ["doc", "parts"])]
