@@ -107,23 +107,31 @@ def phrases_of(text, function_words: list[str] = STOP_WORDS) -> Column:
     return F.transform(runs, lambda r: F.split(r, " "))
 
 
-def key_phrases(sentences: DataFrame, most: int = 5, longest: int = 4, function_words: list[str] = STOP_WORDS) -> DataFrame:
-    """sentences (doc_id, sentence_idx, text, ...) with key_phrases, the `most` best of each, best first, ties in their order.
+def sentence_phrases(sentences: DataFrame, most: int = 5, longest: int = 4, function_words: list[str] = STOP_WORDS, dealt: bool = False) -> DataFrame:
+    """(doc_id, sentence_idx, key_phrases): the `most` best of every sentence (doc_id, sentence_idx, text) that has any, best first, ties in their order.
 
     A phrase is a run of up to `longest` words between function words and marks. Words of a document that stand in one phrase
     are neighbours in a graph; a word's score is its degree there, itself included, over its frequency, a phrase's the sum of its
-    words'. A document's words are counted and looked up where they are: the sentences are dealt by document
-    once, and nothing but phrases moves. Sentences without phrases have none; repeated (doc_id, sentence_idx) count as one sentence."""
+    words'. A document's words are counted where they are, by windows: the sentences are dealt by document once (not at all, if they are
+    `dealt`, as paragraph_sentences' are), and each phrase's text goes with one of its words. Repeated (doc_id, sentence_idx) count as one sentence, rows without a doc_id as none."""
     texts = sentences.select("doc_id", "sentence_idx", F.posexplode(phrases_of("text", function_words)).alias("nth", "words"))
-    cut = texts.where(F.size("words") <= longest).repartition("doc_id")
-    words = cut.select("doc_id", "sentence_idx", "nth", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase"), F.explode("words").alias("word"))
-    graph = words.groupBy("doc_id", "word").agg((F.sum("n") / F.count("*")).alias("score"))
-    found = words.join(graph, ["doc_id", "word"]).groupBy("doc_id", "sentence_idx", "nth", "phrase").agg(F.round(F.sum("score"), 9).alias("score"))
+    cut = texts.where((F.size("words") <= longest) & F.col("doc_id").isNotNull())
+    cut = (cut if dealt else cut.repartition("doc_id")).withColumn("phrase", F.array_join("words", " "))
+    words = cut.select("doc_id", "sentence_idx", "nth", F.size("words").alias("n"), F.xxhash64("phrase").alias("which"), "phrase", F.posexplode("words").alias("at", "word"))
+    words = words.withColumn("phrase", F.when(F.col("at") == 0, F.col("phrase"))).drop("at")
+    same = Window.partitionBy("doc_id", "word")
+    words = words.withColumn("score", F.sum("n").over(same) / F.count("*").over(same))
+    found = words.groupBy("doc_id", "sentence_idx", "nth", "which").agg(F.max("phrase").alias("phrase"), F.round(F.sum("score"), 9).alias("score"))
     once = found.groupBy("doc_id", "sentence_idx", "phrase").agg(F.min("nth").alias("nth"), F.max("score").alias("score"))
     order = Window.partitionBy("doc_id", "sentence_idx").orderBy(F.desc("score"), "nth")
     best = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
     rows = best.groupBy("doc_id", "sentence_idx").agg(F.sort_array(F.collect_list(F.struct("r", "phrase"))).alias("rows"))
-    told = rows.select("doc_id", "sentence_idx", F.transform("rows", lambda r: r["phrase"]).alias("key_phrases"))
+    return rows.select("doc_id", "sentence_idx", F.transform("rows", lambda r: r["phrase"]).alias("key_phrases"))
+
+
+def key_phrases(sentences: DataFrame, most: int = 5, longest: int = 4, function_words: list[str] = STOP_WORDS) -> DataFrame:
+    """sentences (doc_id, sentence_idx, text, ...) with key_phrases (sentence_phrases); sentences without phrases have none."""
+    told = sentence_phrases(sentences, most, longest, function_words)
     none = F.array().cast("array<string>")
     return sentences.join(told, ["doc_id", "sentence_idx"], "left").withColumn("key_phrases", F.coalesce("key_phrases", none))
 
