@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, strip, title_tokens
 from .storage import saved
 
+#: Tokens of a set that is joined on several at once, so many at most, and so many combinations for one size; rows of a set in an array.
+SMALL, JOINT, COMBINED, BLOCK = 24, 3, 20, 1000
+
 
 def similarity(a, b) -> Column:
     """Jaccard of two token arrays without repeats; 0 if either is empty."""
@@ -16,24 +22,85 @@ def similarity(a, b) -> Column:
     return F.when((F.size(col(a)) == 0) | (F.size(col(b)) == 0), F.lit(0.0)).otherwise(both / either)
 
 
-def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """(a, b, similarity) with a < b and Jaccard similarity of at least `least`.
+def _shared(a: int, b: int, least: float) -> int:
+    """The fewest tokens that sets of a and b tokens share whose Jaccard similarity is at least `least`."""
+    return math.ceil(least / (1 + least) * (a + b) - 1e-9)
+
+
+def _joint(a: int, b: int, least: float) -> int:
+    """How many tokens sets of these sizes are joined on at once: as many as keep their combinations few."""
+    o = _shared(a, b, least)
+    fits = [j for j in range(2, min(JOINT, o) + 1) if math.comb(max(a, b) - o + j, j) <= COMBINED]
+    return max(fits, default=1)
+
+
+def _combinations(n: int, j: int) -> list[tuple[int, ...]]:
+    return list(itertools.combinations(range(n), j))
+
 
-    Prefix filter: in the order of rising frequency, two such sets share one of their first size - ceil(least * size) + 1
-    tokens, so only those are joined on. Rows of equal sets meet on one token each."""
-    given = rows.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens")).where(F.size("tokens") > 0)
-    each = given.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+def signatures(size: int, least: float) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(smaller size, larger size, places): where a set of `size` tokens, rarest first, stands for meeting sets of each size it may be similar to.
+
+    Two sets that share o tokens share j of them among the first size - o + j of each, in one order of all tokens."""
+    out = []
+    for other in range(max(1, math.ceil(size * least - 1e-9)), math.floor(size / least + 1e-9) + 1):
+        o, j = _shared(size, other, least), _joint(min(size, other), max(size, other), least)
+        if 0 < o <= min(size, other):
+            out += [(min(size, other), max(size, other), c) for c in _combinations(min(size, size - o + j), j)]
+    return out
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity), a < b, of different sets (id, tokens sorted and distinct, not empty) of a Jaccard similarity of at least `least`.
+
+    Sets of up to SMALL tokens meet on combinations of their rarest tokens (signatures), larger ones with each other and with these on single
+    tokens of their prefixes: of the first size - ceil(least * size) + 1 tokens in the order of rising frequency two such sets share one."""
+    each = sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("id").orderBy("n", "token")
-    each = each.join(common, "token").withColumn("nth", F.row_number().over(order))
-    prefix = each.where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).where("n > 1").select("id", "size", "token")
-    one, two = prefix.alias("x"), prefix.alias("y")
+    ranked = each.join(common, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked"))
+    ranked = saved(ranked, "ranked")
+    places = [(s, a, b, list(c)) for s in range(1, SMALL + 1) for a, b, c in signatures(s, least) if a <= SMALL]
+    large = range(SMALL + 1, math.floor(SMALL / least + 1e-9) + 1)  # that may be similar to small ones
+    places += [(s, a, b, list(c)) for s in large for a, b, c in signatures(s, least) if a <= SMALL]
+    table = sets.sparkSession.createDataFrame(places, "size int, a int, b int, places array<int>").groupBy("size").agg(F.collect_list(F.struct("a", "b", "places")).alias("where"))
+    small = ranked.join(F.broadcast(table), "size")  # a row for each size
+    taken = lambda w: F.transform(w["places"], lambda i: F.get("ranked", i))
+    keys = F.filter(F.transform("where", lambda w: F.struct(w["a"].alias("x"), w["b"].alias("y"), taken(w).alias("t"))), lambda k: F.forall(k["t"], lambda t: t["n"] > 1))
+    small = small.select("id", "size", F.explode(F.transform(keys, lambda k: F.xxhash64(k["x"], k["y"], F.transform(k["t"], lambda t: t["token"])))).alias("key"))
+    one, two = small.alias("x"), small.alias("y")
+    pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    prefix = F.slice("ranked", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))
+    single = ranked.where(F.col("size") > SMALL).select("id", "size", F.explode(F.filter(prefix, lambda t: t["n"] > 1)["token"]).alias("token"))
+    one, two = single.alias("x"), single.alias("y")
     fits = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-9
-    pairs = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = pairs.join(given.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(given.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    long = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = pairs.union(long).distinct()
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     return pairs.withColumn("similarity", similarity("ta", "tb")).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
+    """(a, b, similarity) with a < b and Jaccard similarity of at least `least` (above 0).
+
+    Equal sets are one, so only different sets are compared (similar_sets). Rows are put in for the sets at the end, BLOCK of a set with BLOCK of
+    the other in one row of two arrays: the pairs themselves, as many as the square of a set's rows, are made where they are read
+    and never shuffled."""
+    given = rows.select(F.col(id_col).alias("id"), F.sort_array(tokens_col).alias("tokens")).where((F.size("tokens") > 0) & F.col("id").isNotNull())
+    given = saved(given, "given")
+    count = saved(given.groupBy("tokens").agg(F.count("*").alias("rows")).select("tokens", "rows", F.monotonically_increasing_id().alias("set")), "sets")
+    found = similar_sets(count.select(F.col("set").alias("id"), "tokens"), least)
+    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
+    blocks = given.join(count, "tokens").groupBy("set", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list("id").alias("ids"))
+    blocks = saved(blocks, "blocks")
+    same = count.where("rows > 1").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity"))
+    left, right = blocks.select(F.col("set").alias("a"), F.col("part").alias("pa"), F.col("ids").alias("x")), blocks.select(F.col("set").alias("b"), F.col("part").alias("pb"), F.col("ids").alias("y"))
+    met = found.union(same).join(left, "a").join(right, "b").where("a < b OR pa <= pb")
+    met = met.repartition(F.xxhash64("a", "b", "pa", "pb"))
+    inner = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
+    pairs = met.select("similarity", inner.alias("inner"), F.explode("x").alias("p"), "y").select("similarity", "inner", "p", F.explode("y").alias("q"))
+    return pairs.where((F.col("p") < F.col("q")) | (~F.col("inner") & (F.col("p") > F.col("q")))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+
+
 def first_come(rows: DataFrame, pairs: DataFrame, fixed: Column | None = None, most_rounds: int = 200) -> DataFrame:
     """Greedy in the order of ord, all rows at once: a row is accepted unless an earlier accepted row is similar, and else
     goes into the first such. Rows that `fixed` marks are accepted beforehand.
